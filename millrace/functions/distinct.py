@@ -32,8 +32,13 @@ def sketch_cardinality(sketch: Column | str) -> Column:
     return F.hll_sketch_estimate(sketch)
 
 
+# Below this error the built-in aggregate would keep thousands of buffer columns, whose code
+# takes longer to compile than the query to run; a sketch holds the same state in one value.
+SMALLEST_BUILTIN_ERROR = 0.01
+
+
 def _estimate(column: str, error: float, method: str) -> Column:
-    if method == "sketch":
+    if method == "sketch" or error < SMALLEST_BUILTIN_ERROR:
         return sketch_cardinality(sketch_init_agg(column, error))
     return F.approx_count_distinct(column, error)
 

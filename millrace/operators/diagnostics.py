@@ -71,24 +71,29 @@ def search_logs(
     return found if limit is None else found.limit(limit)
 
 
+def _matched(text: Column, pattern: str, group: int) -> Column:
+    """A group of a pattern, NULL where it does not match. Casting the empty string with
+    ``try_cast`` instead would raise and catch an exception per line."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
 def lost_executors(lines: DataFrame, line: str = "value") -> DataFrame:
     """Task, stage, task attempt, executor, reason and time-out (ms) of each lost-executor
     line; other lines are dropped. A record broken over several lines must come as one value."""
     def group(number: int) -> Column:
-        return F.regexp_extract(F.col(line), f"(?s){LOST_TASK}", number)
+        return _matched(F.col(line), f"(?s){LOST_TASK}", number)
 
-    timeout = F.regexp_extract("reason", TIMED_OUT, 1)
     return (
         lines.where(F.col(line).contains("ExecutorLostFailure"))
         .select(
-            group(1).try_cast("int").alias("task"),
-            group(2).try_cast("int").alias("stage"),
-            group(3).try_cast("bigint").alias("tid"),
+            group(1).cast("int").alias("task"),
+            group(2).cast("int").alias("stage"),
+            group(3).cast("bigint").alias("tid"),
             group(4).alias("executor"),
             F.trim(group(5)).alias("reason"),
         )
         .where(F.col("task").isNotNull())
-        .withColumn("timeout_ms", F.when(timeout != "", timeout).cast("bigint"))
+        .withColumn("timeout_ms", _matched(F.col("reason"), TIMED_OUT, 1).cast("bigint"))
     )
 
 
@@ -101,7 +106,7 @@ def registration_batches(lines: DataFrame, line: str = "value", by: Sequence[str
     """Batches, partitions and milliseconds by phase over partition-registration lines;
     ``n_other`` counts the lines that are neither of the two kinds."""
     def number(pattern: str, group: int) -> Column:
-        return F.regexp_extract(F.col(line), pattern, group).try_cast("bigint")
+        return _matched(F.col(line), pattern, group).cast("bigint")
 
     parsed = lines.select(
         *by,

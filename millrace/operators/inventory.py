@@ -18,6 +18,10 @@ STATE_KEYS = ("crdate", "obj_id")
 STATE_VALUES = ("vm_id", "cluster_id", "otype")
 NULL_MARKER = "-"
 MARK_SCHEMA = "crdate INT, upd_tv BIGINT"
+
+# How much of an extract one task writes.
+ROWS_PER_TASK = 5_000_000
+DAYS_PER_TASK = 20
 EXTRACT_COLUMNS = ("dt", "obj_id", "obj_type", "vm_id", "cluster_id")
 
 
@@ -117,50 +121,46 @@ def state_schema(inventory: DataFrame, stamp_column: str = "upd_tv") -> str:
     return ", ".join([*columns, f"{stamp_column} bigint"])
 
 
-def changed_days(state: DataFrame, marks: DataFrame) -> DataFrame:
+def changed_days(state: DataFrame, marks: DataFrame, with_rows: bool = False) -> DataFrame:
     """Days whose newest stamp is later than the mark saved by the last extract.
 
-    Both sides are one row per day before they meet.
+    Both sides are one row per day before they meet. ``with_rows`` adds the number of rows
+    of the day as ``n_rows``.
     """
-    newest = state.groupBy("crdate").agg(F.max("upd_tv").alias("upd_tv"))
+    newest = state.groupBy("crdate").agg(F.max("upd_tv").alias("upd_tv"), F.count("*").alias("n_rows"))
     saved = marks.groupBy("crdate").agg(F.max("upd_tv").alias("mark"))
     return (
         newest.join(saved, "crdate", "left")
         .where(F.coalesce("mark", F.lit(0)) < F.coalesce("upd_tv", F.lit(0)))
-        .select("crdate", "upd_tv")
+        .select("crdate", "upd_tv", *(["n_rows"] if with_rows else []))
     )
 
 
 def daily_extract(state: DataFrame, days: DataFrame) -> DataFrame:
-    """Dictionary rows of the given days, ordered by day and object.
+    """Dictionary rows of the given days.
 
     ``days`` is one row per day, so the semi-join side is small; on a state partitioned by
-    ``crdate`` it also prunes the partitions read. The sort is by ranges of (day, object):
-    a day that holds most of the objects is spread over many tasks.
+    ``crdate`` it also prunes the partitions read.
     """
-    return (
-        state.join(days.select("crdate"), "crdate", "left_semi")
-        .select(
-            day_text(F.col("crdate")).alias("dt"),
-            "obj_id",
-            F.col("otype").alias("obj_type"),
-            "vm_id",
-            "cluster_id",
-        )
-        .orderBy("dt", "obj_id")
+    return state.join(days.select("crdate"), "crdate", "left_semi").select(
+        day_text(F.col("crdate")).alias("dt"), "obj_id", F.col("otype").alias("obj_type"), "vm_id", "cluster_id"
     )
 
 
-def write_extract(extract: DataFrame, path: str) -> str:
-    """Replace the days of an extract under ``path``: one folder per day, CSV with a header.
+def write_extract(extract: DataFrame, path: str, tasks: int | None = None) -> str:
+    """Replace the days of an extract under ``path``: one folder per day, CSV with a header,
+    ordered by object.
 
-    The folder is named by a copy of the day, as partition columns are not written into the
-    files and ``dt`` is part of the format. Rows arrive range-sorted, so a task writes few
-    days and a large day gets several files in order.
+    Rows are dealt out by ranges of (day, object): a task writes whole small days, and a day
+    that holds most of the objects gets several files in order. The folder is named by a
+    copy of the day, as partition columns are not written into the files and ``dt`` is part
+    of the format.
     """
-    writer = extract.withColumn("day", F.regexp_replace("dt", "-", "")).write.partitionBy("day")
-    writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", "true")
-    writer.csv(path)
+    order = ["dt", "obj_id"]
+    ranged = extract.repartitionByRange(tasks, *order) if tasks else extract.repartitionByRange(*order)
+    writer = ranged.sortWithinPartitions(*order).withColumn("day", F.regexp_replace("dt", "-", "")).write
+    writer = writer.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("header", "true").csv(path)
     return path
 
 
@@ -171,9 +171,13 @@ def extract_changed(spark: SparkSession, state: DataFrame, marks_path: str, path
     that dies in between extracts the same days again and overwrites them.
     """
     staged = fresh_path(spark, "days")
-    changed_days(state, read_marks(spark, marks_path)).coalesce(1).write.parquet(staged)
-    days = spark.read.schema(MARK_SCHEMA).parquet(staged)
-    write_extract(daily_extract(state, days), path)
+    found = changed_days(state, read_marks(spark, marks_path), with_rows=True)
+    found.coalesce(1).write.parquet(staged)
+    days = spark.read.schema(f"{MARK_SCHEMA}, n_rows BIGINT").parquet(staged)
+    # Enough tasks for the rows, and for the files, as opening a file costs time too.
+    size = days.agg(F.count("*").alias("days"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")).first()
+    tasks = -(-size["days"] // DAYS_PER_TASK) + size["n_rows"] // ROWS_PER_TASK
+    write_extract(daily_extract(state, days), path, max(1, tasks))
     save_marks(days, marks_path)
     return path
 

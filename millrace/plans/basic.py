@@ -82,8 +82,7 @@ def catalog_list(spark: SparkSession, directory: str) -> DataFrame:
     name = directory_database(spark, directory)
     counts = []
     for entry in TABLES:
-        columns = table(spark, directory, entry).schema.toDDL()
-        stored = external_table(spark, f"{name}.{entry}", columns, f"{directory}/{entry}.parquet")
+        stored = external_table(spark, f"{name}.{entry}", None, f"{directory}/{entry}.parquet")
         counts.append(stored.agg(F.lit(entry).alias("name"), F.count("*").alias("n_rows")))
     rows = counts[0]
     for other in counts[1:]:

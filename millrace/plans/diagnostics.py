@@ -3,6 +3,8 @@ Spark writes from events, line items and orders."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def event_durations_sliced(spark: SparkSession, directory: str) -> DataFrame:
     """The same with runs being event types: each is far larger than the rows allowed per
     task, so all are cut into time slices."""
     events = table(spark, directory, "events").select("event_type", "event_id", "ts")
-    return phase_durations(events, run="event_type", order=["event_id"], rows_per_task=500)
+    return phase_durations(events, run="event_type", order=["event_id"], rows_per_task=1000)
 
 
 def _text(*parts: Column | str) -> Column:
@@ -124,8 +126,8 @@ def _write_event_log(spark: SparkSession, directory: str) -> str:
     )
     sql_end = orders.select(F.lit(f"{sql_event}End").alias("Event"), key.alias("executionId"), ended.alias("time"))
     path = f"{fresh_path(spark, 'events')}/application_1700000000000_0001"
-    for frame in (tasks, job_start, job_end, stages, sql_start, sql_end):
-        frame.write.mode("append").json(path)
+    kinds = [tasks, job_start, job_end, stages, sql_start, sql_end]
+    reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), kinds).write.json(path)
     return path
 
 

@@ -55,22 +55,25 @@ def wide_columns(df: DataFrame, decimal_divisor: int = 100, number: str = "val")
     """Add the 21 derived columns of the wide table to a frame with an INT running number.
 
     All are inlined over the number, so one projection computes them. With divisor 10 the
-    first decimal does not fit DECIMAL(10,2) and becomes NULL (``try_cast``).
+    first decimal does not fit DECIMAL(10,2) and becomes NULL.
     """
     base = F.col(number)
     ints = {name: base + F.lit(offset) for name, offset in INT_OFFSETS.items()}
     longs = {name: base + F.lit(offset).cast("bigint") for name, offset in LONG_OFFSETS.items()}
     doubles = {name: (ints[source] / F.lit(by)).cast("double") for name, (source, by) in DOUBLE_SOURCES.items()}
-    decimals = {
-        name: (ints[source] / F.lit(decimal_divisor)).try_cast("decimal(10,2)")
-        for name, source in DECIMAL_SOURCES.items()
-    }
+    decimals = {name: _decimal_or_null(ints[source] / F.lit(decimal_divisor)) for name, source in DECIMAL_SOURCES.items()}
     digest = md5_of_int(ints["int_1"])
     texts = {name: digest for name in TEXT_COLUMNS}
     derived = {**ints, **longs, **doubles, **decimals, **texts}
     return df.select("*", *[column.alias(name) for name, column in derived.items()])
 
 
+def _decimal_or_null(value: Column) -> Column:
+    """DOUBLE -> DECIMAL(10,2), NULL where it does not fit. The bound is tested first, as
+    ``try_cast`` raises and catches an exception for each value out of range."""
+    return F.when(F.abs(value) < 99_999_999.995, value).cast("decimal(10,2)")
+
+
 def wide_rows(
     spark: SparkSession,
     parts: int,

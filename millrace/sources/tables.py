@@ -40,16 +40,18 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 def external_table(
     spark: SparkSession,
     name: str,
-    columns: str,
+    columns: str | None,
     path: str,
     file_format: str = "parquet",
     partitioned_by: str | None = None,
 ) -> DataFrame:
     """Declare a catalog table over existing files and open it.
 
-    The declared columns may be fewer than the stored ones. Dropping the table leaves the files.
+    The declared columns may be fewer than the stored ones; without them they are inferred
+    from the files. Dropping the table leaves the files.
     """
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     partitions = f"PARTITIONED BY ({partitioned_by})" if partitioned_by else ""
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING {file_format} {partitions} LOCATION '{path}'")
+    declared = f"({columns})" if columns else ""
+    spark.sql(f"CREATE TABLE {name} {declared} USING {file_format} {partitions} LOCATION '{path}'")
     return spark.table(name)

@@ -1,0 +1,138 @@
+import datetime as dt
+
+import pytest
+
+from conftest import rows
+from millrace.sinks import jdbc
+from millrace.streaming import records
+
+GOOD = '{"a": "x", "b": 12, "c": 600, "d": "y"}'
+MESSAGES = [
+    ("k1", GOOD),
+    ("k2", "{not json"),
+    ("k3", '{"a": "x", "b": 1}'),
+    ("k4", '{"a": "x", "b": "text", "c": 1, "d": "z"}'),
+    ("k5", None),
+    (None, GOOD),
+]
+
+
+@pytest.fixture
+def messages(spark):
+    df = spark.createDataFrame(MESSAGES, "key STRING, value STRING")
+    return df.selectExpr("CAST(key AS BINARY) AS key", "CAST(value AS BINARY) AS value")
+
+
+def test_parse_keeps_every_record(messages):
+    parsed = {row[0]: tuple(row)[1:] for row in records.parse_records(messages).collect()}
+    assert parsed["k1"] == parsed[None] == ("x", 12, 600, "y")
+    assert parsed["k2"] == parsed["k5"] == (None,) * 4
+    assert parsed["k3"] == ("x", 1, None, None)
+    assert parsed["k4"][1] is None and len(parsed) == 6
+
+
+def test_batch_writes_once(spark, messages, tmp_path):
+    path = str(tmp_path / "out")
+    records.run_batch(messages, path)
+    assert spark.read.parquet(path).count() == 6
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        records.run_batch(messages, path)
+
+
+def test_stream_equals_batch_and_restart_adds_nothing(spark, messages, tmp_path):
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "check"))
+    messages.write.parquet(source)
+
+    def run():
+        stream = spark.readStream.schema(messages.schema).parquet(source)
+        records.run_stream(stream, out, checkpoint, trigger={"availableNow": True}).awaitTermination()
+        return sorted(map(str, spark.read.parquet(out).collect()))
+
+    expected = sorted(map(str, records.parse_records(messages).collect()))
+    assert run() == expected
+    assert run() == expected
+    messages.limit(2).write.mode("append").parquet(source)
+    assert len(run()) == 8
+
+
+def test_mode_by_setting(spark, conf, messages, tmp_path):
+    source = str(tmp_path / "in")
+    messages.write.parquet(source)
+    options = {"path": source}
+    out = records.run_records(spark, options, str(tmp_path / "b"), str(tmp_path / "c"), source="parquet")
+    assert spark.read.parquet(out).count() == 6
+    conf(records.MODE_SETTING, "STREAM")
+    conf("spark.sql.streaming.schemaInference", "true")
+    query = records.run_records(spark, options, str(tmp_path / "s"), str(tmp_path / "c"), source="parquet")
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 6
+    conf(records.MODE_SETTING, "OTHER")
+    with pytest.raises(ValueError):
+        records.run_records(spark, options, out, out)
+
+
+def test_generated_stream(spark, tmp_path):
+    out = str(tmp_path / "queue")
+    stream = records.record_stream(spark, 50)
+    query = records.send_records(stream, str(tmp_path / "check"), {"path": out}, "parquet", {"processingTime": "1 second"})
+    begin = dt.datetime.now()
+    while (dt.datetime.now() - begin).seconds < 30 and not any(p["numInputRows"] for p in query.recentProgress):
+        query.awaitTermination(1)
+    query.stop()
+    parsed = records.parse_records(spark.read.parquet(out))
+    assert parsed.count() > 0
+    assert parsed.where("a = key AND b BETWEEN 0 AND 9999 AND c BETWEEN 512 AND 1274 AND d <> a").count() == parsed.count()
+
+
+def test_rate_is_at_least_one(spark):
+    assert records.record_stream(spark, 0.2).isStreaming
+
+
+def test_queue_options():
+    options = records.queue_options("host:9091", "topic1", "user1", "secret", startingOffsets="earliest")
+    assert options["subscribe"] == "topic1" and options["startingOffsets"] == "earliest"
+    assert 'username="user1" password="secret";' in options["kafka.sasl.jaas.config"]
+    assert set(records.queue_options("h", "t")) == {"kafka.bootstrap.servers", "subscribe"}
+
+
+class FakeWriter:
+    def __init__(self):
+        self.calls = {}
+
+    @property
+    def write(self):
+        return self
+
+    def format(self, name):
+        self.calls["format"] = name
+        return self
+
+    def options(self, **options):
+        self.calls["options"] = options
+        return self
+
+    def mode(self, mode):
+        self.calls["mode"] = mode
+        return self
+
+    def save(self):
+        self.calls["saved"] = True
+
+
+def test_jdbc_export_settings():
+    """No database is started here: this checks what the writer is told."""
+    writer = FakeWriter()
+    assert jdbc.export_jdbc(writer, url="jdbc:x", dbtable="t", user="u", password="p", driver="d") == "t"
+    assert writer.calls["mode"] == "overwrite" and writer.calls["format"] == "jdbc" and writer.calls["saved"]
+    assert writer.calls["options"] == {
+        "url": "jdbc:x", "dbtable": "t", "numPartitions": "45", "batchsize": "10000",
+        "user": "u", "password": "p", "driver": "d",
+    }
+
+
+def test_record_rows_sorted(spark):
+    from pyspark.sql import functions as F
+
+    made = records.record_rows(spark.range(10000, 10002), F.col("id"), F.lit("k"), F.lit("e"))
+    assert rows(records.parse_records(made), "b") == [("k", "k", 0, 10000 % 763 + 512, "e"), ("k", "k", 1, 10001 % 763 + 512, "e")]
