@@ -158,8 +158,9 @@ def write_extract(extract: DataFrame, path: str, tasks: int | None = None) -> st
     """
     order = ["dt", "obj_id"]
     ranged = extract.repartitionByRange(tasks, *order) if tasks else extract.repartitionByRange(*order)
-    writer = ranged.sortWithinPartitions(*order).withColumn("day", F.regexp_replace("dt", "-", "")).write
-    writer = writer.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    # The sort starts with the folder, as a partitioned write asks for and would sort by again.
+    dated = ranged.withColumn("day", F.regexp_replace("dt", "-", "")).sortWithinPartitions("day", *order)
+    writer = dated.write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.option("header", "true").csv(path)
     return path
 

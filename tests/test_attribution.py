@@ -1,0 +1,135 @@
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import plan_text, rows
+from millrace.operators import attribution
+
+DAY = dt.date(2022, 11, 10)
+COSTS = (
+    "line INT, resource_id STRING, date DATE, cost DECIMAL(18,2), "
+    "`label.user_labels.cluster_id` STRING, `label.user_labels.project_id` STRING"
+)
+KEEP = ["line", "resource_id", "date", "cost"]
+START, END = "2022-11-05", "2022-11-20"
+
+
+def cost(line, resource, day=DAY, cluster=None, project=None, amount="1.50"):
+    return (line, resource, day, Decimal(amount), cluster, project)
+
+
+@pytest.fixture
+def costs(spark):
+    return spark.createDataFrame(
+        [
+            cost(1, "d1"),
+            cost(2, "d2"),
+            cost(3, "unknown"),
+            cost(4, None),
+            cost(5, "d1", dt.date(2022, 11, 20)),
+            cost(6, "d1", dt.date(2022, 11, 5)),
+            cost(7, "cl-a", cluster="cA", project="p1"),
+            cost(8, "cl-a", cluster="cA", project="p2"),
+            cost(9, "cl-a", cluster="cA", project="p1"),
+            cost(10, "cl-b", cluster="cB", project=""),
+            cost(11, "cl-b", cluster="", project="p9"),
+            cost(12, "cl-b", cluster=None, project="p9"),
+            cost(13, "cl-a", dt.date(2022, 11, 20), cluster="cA", project="late"),
+            cost(14, "d3"),
+        ],
+        COSTS,
+    )
+
+
+@pytest.fixture
+def inventory(spark):
+    return spark.createDataFrame(
+        [(DAY, "d1", "cA"), (DAY, "d2", "cB"), (DAY, "d3", None), (dt.date(2022, 11, 20), "d1", "cA"), (dt.date(2022, 11, 5), "d1", "cA")],
+        "dt DATE, obj_id STRING, cluster_id STRING",
+    )
+
+
+def attributed(costs, inventory, **options):
+    labels = attribution.project_labels(costs, START, END)
+    return attribution.attribute_costs(costs, inventory, labels, START, END, KEEP, **options)
+
+
+def test_labels(costs):
+    assert rows(attribution.project_labels(costs, START, END), "project_id") == [(DAY, "cA", "p1"), (DAY, "cA", "p2")]
+
+
+def test_attribution(costs, inventory):
+    found = rows(attributed(costs, inventory).select("line", "cluster_id", "project_id"), "line", "project_id")
+    unmatched = [(line, "-", "-") for line in (7, 8, 9, 10, 11, 12, 14)]
+    assert found == [
+        (1, "cA", "p1"), (1, "cA", "p2"), (2, "cB", "-"), (3, "-", "-"), (4, "-", "-"), (6, "cA", "-"), *unmatched,
+    ]
+
+
+def test_default_columns_follow_the_export(spark, inventory):
+    columns = ", ".join(f"{name} {'DATE' if name == 'date' else 'STRING'}" for name in attribution.COST_COLUMNS)
+    empty = spark.createDataFrame([], columns)
+    labels = spark.createDataFrame([], "dt DATE, cluster_id STRING, project_id STRING")
+    made = attribution.attribute_costs(empty, inventory, labels, START, END)
+    assert made.columns == ["cluster_id", "project_id", *attribution.COST_COLUMNS]
+
+
+def test_rollup_reports_fan_out(costs, inventory):
+    by_labels = attribution.cost_rollup(attributed(costs, inventory, with_fan_out=True), ["cluster_id", "project_id"])
+    by_counting = attribution.cost_rollup(attributed(costs, inventory), ["cluster_id", "project_id"], ["line"])
+    expected = [
+        ("-", "-", Decimal("13.50"), 9, 0),
+        ("cA", "-", Decimal("1.50"), 1, 0),
+        ("cA", "p1", Decimal("1.50"), 1, 1),
+        ("cA", "p2", Decimal("1.50"), 1, 1),
+        ("cB", "-", Decimal("1.50"), 1, 0),
+    ]
+    assert rows(by_labels, "cluster_id", "project_id") == expected
+    assert rows(by_counting, "cluster_id", "project_id") == expected
+
+
+def test_cost_lines_are_shuffled_once(spark, conf, tmp_path, costs, inventory):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    costs.write.parquet(str(tmp_path / "costs"))
+    lines = spark.read.parquet(str(tmp_path / "costs"))
+    text = plan_text(attributed(lines, inventory))
+    shuffles = [line for line in text.splitlines() if "Exchange hashpartitioning(date" in line]
+    assert len([line for line in shuffles if "resource_id" in line]) == 1
+    assert "PushedFilters: [IsNotNull(date), GreaterThanOrEqual(date,2022-11-05), LessThan(date,2022-11-20)" in text
+
+
+def test_hot_resource_is_split(spark, conf, inventory):
+    """A resource that holds most of the lines, among them lines without any resource: the
+    join runs as a skew join and stays whole."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "128k")
+    conf("spark.sql.shuffle.partitions", "64")
+    n = 100000
+    lines = spark.range(0, n, numPartitions=16).select(
+        F.col("id").cast("int").alias("line"),
+        F.when(F.col("id") % 3 == 0, "d1").when(F.col("id") % 3 == 1, F.md5(F.col("id").cast("string"))).alias("resource_id"),
+        F.lit(DAY).alias("date"),
+        F.md5(F.col("id").cast("string")).alias("cost"),
+    )
+    labels = spark.createDataFrame([(DAY, "cA", "p1")], "dt DATE, cluster_id STRING, project_id STRING")
+    result = attribution.attribute_costs(lines, inventory, labels, START, END, KEEP)
+    assert result.groupBy("project_id").count().orderBy("project_id").collect() == [("-", n - -(-n // 3)), ("p1", -(-n // 3))]
+    result.collect()
+    assert "SortMergeJoin(skew=true)" in plan_text(result)
+
+
+def test_mapping(spark):
+    costs = spark.createDataFrame(
+        [(1, "a", DAY), (2, "a", dt.date(2022, 11, 11)), (3, "b", DAY), (4, "c", DAY), (5, None, DAY)],
+        "line INT, cluster_id STRING, date DATE",
+    )
+    mapping = spark.createDataFrame(
+        [(DAY, "a", "dated"), (None, "a", "always"), (DAY, "b", "only-dated"), (dt.date(2022, 1, 1), "c", "other-day")],
+        "valid_on DATE, cluster_id STRING, project_id STRING",
+    )
+    found = rows(attribution.map_projects(costs, mapping).select("line", "project_id"), "line")
+    assert found == [(1, "dated"), (2, "always"), (3, "only-dated"), (4, None), (5, None)]
