@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, StructType
 
 from millrace.functions.scalars import non_empty, quoted
+from millrace.sources.tables import read_csv
 
 # Names of the label columns in a billing export, the text for "no match",
 # and the columns of a cost line that the attributed output keeps.
@@ -31,7 +33,34 @@ COST_COLUMNS = (
     "cud_credit",
     "misc_credit",
 )
-DECIMAL_SUM = "decimal(28,2)"
+
+# The columns of the two CSV inputs and their types.
+BILLING_SCHEMA = f"""
+    cloud_name STRING, folder_name STRING, resource_id STRING, service_name STRING, sku_name STRING,
+    date DATE, currency STRING, pricing_quantity DECIMAL(28,10), pricing_unit STRING,
+    cost DECIMAL(28,10), credit DECIMAL(28,10), monetary_grant_credit DECIMAL(28,10),
+    volume_incentive_credit DECIMAL(28,10), cud_credit DECIMAL(28,10), misc_credit DECIMAL(28,10),
+    `{CLUSTER_LABEL}` STRING, `{PROJECT_LABEL}` STRING
+"""
+DICTIONARY_SCHEMA = "dt DATE, obj_id STRING, obj_type STRING, vm_id STRING, cluster_id STRING"
+
+
+def read_billing(spark: SparkSession, path: str) -> DataFrame:
+    """Billing export: CSV with a header. Columns are found by name, as an export may hold
+    more of them in any order; a label no resource has is absent and reads as NULL."""
+    raw = spark.read.option("header", "true").csv(path)
+    fields = StructType.fromDDL(BILLING_SCHEMA)
+    return raw.select(
+        *[
+            (quoted(field.name) if field.name in raw.columns else F.lit(None)).cast(field.dataType).alias(field.name)
+            for field in fields
+        ]
+    )
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """Daily dictionary written by the inventory extract."""
+    return read_csv(spark, path, DICTIONARY_SCHEMA)
 
 
 def in_period(day: Column, start: str, end: str) -> Column:
@@ -102,11 +131,11 @@ def attribute_costs(
 def line_fan_out(attributed: DataFrame, line_key: Sequence[str]) -> DataFrame:
     """Add ``fan_out``, the number of rows a cost line became, by counting its key.
 
-    For frames attributed elsewhere; it shuffles every line. ``attribute_costs`` with
-    ``with_fan_out`` gives the same from the labels alone.
+    For frames attributed elsewhere: every line is shuffled once by its key, which must be
+    unique among the cost lines. ``attribute_costs`` with ``with_fan_out`` gives the same
+    from the labels alone.
     """
-    counts = attributed.groupBy(*line_key).agg(F.count("*").alias("fan_out"))
-    return attributed.join(counts, list(line_key))
+    return attributed.withColumn("fan_out", F.count("*").over(Window.partitionBy(*line_key)))
 
 
 def cost_rollup(
@@ -118,16 +147,22 @@ def cost_rollup(
     """Decimal sums by the given columns, the number of rows, and the number of rows that
     are one of several copies of a cost line (0 when nothing is counted twice).
 
-    ``line_key`` is only needed when ``attributed`` has no ``fan_out`` column.
+    ``line_key`` is only needed when ``attributed`` has no ``fan_out`` column. Decimal
+    columns are summed as they are, others as DECIMAL(28,6).
     """
     rows = line_fan_out(attributed, line_key) if line_key else attributed
     return rows.groupBy(*by).agg(
-        *[F.sum(F.col(name).cast("decimal(18,2)")).cast(DECIMAL_SUM).alias(name) for name in sums],
+        *[F.sum(_exact(rows, name)).alias(name) for name in sums],
         F.count("*").alias("n_lines"),
         F.count_if(F.col("fan_out") > 1).alias("fan_out"),
     )
 
 
+def _exact(df: DataFrame, name: str) -> Column:
+    is_decimal = isinstance(df.schema[name].dataType, DecimalType)
+    return quoted(name) if is_decimal else quoted(name).cast("decimal(28,6)")
+
+
 def map_projects(costs: DataFrame, mapping: DataFrame, name: str = "project_id") -> DataFrame:
     """Add the project of ``cluster_id`` on ``date``.
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.logs import read_event_log
+
 # Patterns of the log lines.
 LOST_TASK = (
     r"Lost task (\d+)\.\d+ in stage (\d+)\.\d+ \(TID (\d+)\).*?executor (\w+)\): "
@@ -17,20 +19,6 @@ TIMED_OUT = r"heartbeat timed out after (\d+) ms"
 BATCH_SIZE = r"total partitions to be created: (\d+)"
 BATCH_TIMES = r"total method time: (\d+), push=(\d+), fetch=(\d+), addParts=(\d+)"
 
-# The fields of a Spark event log that the report uses.
-EVENT_SCHEMA = """
-    `Event` STRING,
-    `Job ID` BIGINT, `Submission Time` BIGINT, `Completion Time` BIGINT,
-    `Job Result` STRUCT<`Result`: STRING>,
-    `Stage ID` BIGINT, `Stage Attempt ID` BIGINT,
-    `Stage Info` STRUCT<`Stage ID`: BIGINT, `Stage Attempt ID`: BIGINT, `Stage Name`: STRING,
-        `Number of Tasks`: BIGINT, `Submission Time`: BIGINT, `Completion Time`: BIGINT>,
-    `Task Info` STRUCT<`Executor ID`: STRING, `Host`: STRING, `Failed`: BOOLEAN>,
-    `Task Metrics` STRUCT<`Executor Run Time`: BIGINT, `JVM GC Time`: BIGINT>,
-    `executionId` BIGINT, `description` STRING, `time` BIGINT
-"""
-APPLICATION_ID = r"((?:application|app|local)[-_]\d+(?:[-_]\d+)?)"
-
 
 def search_logs(
     logs: DataFrame,
@@ -124,16 +112,6 @@ def registration_batches(lines: DataFrame, line: str = "value", by: Sequence[str
     )
 
 
-def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Events of one log, or of a whole directory of logs, with the application they are from.
-
-    Declared fields only, so one parse and no inference pass. Uncompressed logs are split
-    over tasks by blocks.
-    """
-    events = spark.read.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true").json(path)
-    return events.withColumn("app", F.regexp_extract(F.col("_metadata.file_path"), APPLICATION_ID, 1))
-
-
 def _of_kind(events: DataFrame, *kinds: str) -> DataFrame:
     name = F.substring_index("Event", ".", -1)
     return events.where(name.isin(list(kinds)))

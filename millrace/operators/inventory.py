@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import day_text
+from millrace.functions.scalars import BUSINESS_ZONE, day_text
 from millrace.sinks.partitions import write_partitions
 from millrace.workspace import fresh_path
 
@@ -165,12 +167,24 @@ def write_extract(extract: DataFrame, path: str, tasks: int | None = None) -> st
     return path
 
 
-def extract_changed(spark: SparkSession, state: DataFrame, marks_path: str, path: str) -> str:
+def recent_days(now_utc: dt.datetime | None = None) -> list[int]:
+    """Yesterday and today as the business counts days, the days a regular extract looks at."""
+    now = (now_utc or dt.datetime.now(dt.timezone.utc)).replace(tzinfo=dt.timezone.utc)
+    local = now.astimezone(ZoneInfo(BUSINESS_ZONE))
+    return [int((local - dt.timedelta(days=back)).strftime("%Y%m%d")) for back in (1, 0)]
+
+
+def extract_changed(
+    spark: SparkSession, state: DataFrame, marks_path: str, path: str, only: Sequence[int] | None = None
+) -> str:
     """Extract the changed days, then save their marks.
 
-    The days and stamps are fixed before the extract starts and saved after it ends: a job
+    ``only`` limits the run to some days, such as ``recent_days()``; on a state partitioned
+    by ``crdate`` nothing else is read. The days and stamps are fixed before the extract starts and saved after it ends: a job
     that dies in between extracts the same days again and overwrites them.
     """
+    if only is not None:
+        state = state.where(F.col("crdate").isin(list(only)))
     staged = fresh_path(spark, "days")
     found = changed_days(state, read_marks(spark, marks_path), with_rows=True)
     found.coalesce(1).write.parquet(staged)

@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A run with more rows than this is cut into time slices; at most this many slices and runs.
+from millrace.workspace import fresh_path
+
+# A run with more rows than this is spread over several tasks. At most this many runs are;
+# any other run then holds less than one part in 10,000 of the rows.
 ROWS_PER_TASK = 5_000_000
-MAX_SLICES = 200
-MAX_HOT_RUNS = 1000
+MAX_HOT_RUNS = 10_000
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -20,30 +22,14 @@ def micros_between(start: Column, end: Column) -> Column:
     return (seconds * F.lit(1_000_000)).cast("bigint")
 
 
-def hot_runs(events: DataFrame, run: str, ts: str, rows_per_task: int = ROWS_PER_TASK) -> list[tuple]:
-    """Runs too large for one task, each with cut points of its time axis.
+def hot_runs(events: DataFrame, run: str, rows_per_task: int = ROWS_PER_TASK) -> dict:
+    """Runs too large for one task, with their row counts, largest first.
 
-    Counting is a map-side-combined aggregate over one column. A run is hot when it exceeds
-    both ``rows_per_task`` and a 1/1000 share of the rows, so there are fewer than 1000.
+    A map-side-combined count over one column; the driver receives at most MAX_HOT_RUNS rows.
     """
     counts = events.where(F.col(run).isNotNull()).groupBy(run).agg(F.count("*").alias("n"))
-    # One pass over the per-run counts gives the total; the share bounds the result size.
-    large = counts.where(F.col("n") > rows_per_task)
-    total = events.count() if not large.isEmpty() else 0
-    if not total:
-        return []
-    hot = large.where(F.col("n") > F.lit(total / MAX_HOT_RUNS)).select(run, "n").collect()
-    if not hot:
-        return []
-    slices = min(MAX_SLICES, max(2, -(-max(row["n"] for row in hot) // rows_per_task)))
-    shares = [i / slices for i in range(1, slices)]
-    origin = F.lit("1970-01-01 00:00:00").cast(events.schema[ts].dataType)
-    cuts = (
-        events.where(F.col(run).isin([row[run] for row in hot]) & F.col(ts).isNotNull())
-        .groupBy(run)
-        .agg(F.percentile_approx(micros_between(origin, F.col(ts)), shares, 10_000).alias("cuts"))
-    )
-    return [(row[run], sorted(set(row["cuts"]))) for row in cuts.collect()]
+    largest = counts.where(F.col("n") > rows_per_task).orderBy(F.desc("n")).limit(MAX_HOT_RUNS)
+    return {row[run]: row["n"] for row in largest.collect()}
 
 
 def phase_durations(
@@ -56,38 +42,43 @@ def phase_durations(
 ) -> DataFrame:
     """Add the time to the next event of the same run, in microseconds; NULL for the last.
 
-    ``order`` breaks ties between equal timestamps. Usual runs are one window per run. Runs
-    that would overload a task are cut at quantiles of their time axis: each slice is a
-    window of its own, and the last event of a slice takes its successor from a small table
-    of first events per slice. Rows without a timestamp have no duration and take no part.
+    ``order`` breaks ties between equal timestamps. Usual runs are one window per run; runs
+    that would overload a task are cut along their order. Rows without a run or a timestamp
+    belong to no sequence and have no duration.
     """
-    timed = events.where(F.col(ts).isNotNull())
-    untimed = events.where(F.col(ts).isNull()).withColumn(name, F.lit(None).cast("bigint"))
-    hot = hot_runs(timed, run, ts, rows_per_task)
+    in_sequence = F.col(run).isNotNull() & F.col(ts).isNotNull()
+    timed = events.where(in_sequence)
+    untimed = events.where(~in_sequence).withColumn(name, F.lit(None).cast("bigint"))
+    hot = hot_runs(timed, run, rows_per_task)
+    usual = timed.where(~F.col(run).isin(list(hot))) if hot else timed
     following = F.lead(ts).over(Window.partitionBy(run).orderBy(ts, *order))
     duration = micros_between(F.col(ts), F.col("next_ts")).alias(name)
-    if not hot:
-        usual = timed.withColumn("next_ts", following)
-        return usual.select(*events.columns, duration).unionByName(untimed)
+    parts = [usual.withColumn("next_ts", following).select(*events.columns, duration)]
+    if hot:
+        cut = _cut(timed.where(F.col(run).isin(list(hot))), run, ts, order, -(-sum(hot.values()) // rows_per_task))
+        parts.append(_linked(cut, run, ts, order).select(*events.columns, duration))
+    return reduce(DataFrame.unionByName, [*parts, untimed])
+
+
+def _cut(events: DataFrame, run: str, ts: str, order: Sequence[str], slices: int) -> DataFrame:
+    """Number the events by slices of about equal size along (run, time, tie-break).
+
+    Spark's range partitioning draws the cuts, so bursts and equal timestamps are divided as
+    well. The slice is a property of that shuffle and is read twice below: it is written out
+    once, so that both readers, and any task that runs again, see the same slices.
+    """
+    path = fresh_path(events.sparkSession, "slices")
+    ranged = events.repartitionByRange(max(1, slices), run, ts, *order)
+    ranged.withColumn("slice", F.spark_partition_id()).write.parquet(path)
+    return events.sparkSession.read.parquet(path)
+
 
-    is_hot = F.coalesce(F.col(run).isin([key for key, _ in hot]), F.lit(False))
-    usual = timed.where(~is_hot).withColumn("next_ts", following)
-    sliced = timed.where(is_hot).withColumn("slice", _slice_number(events, run, ts, hot))
+def _linked(cut: DataFrame, run: str, ts: str, order: Sequence[str]) -> DataFrame:
+    """Add ``next_ts``: within a slice by a window, and for the last event of a slice from
+    the table of slice starts, which has one row per slice and run."""
     inside = Window.partitionBy(run, "slice").orderBy(ts, *order)
-    linked = sliced.withColumn("inner_ts", F.lead(ts).over(inside))
-    # First timestamp of every slice, and of the slice after it: at most MAX_SLICES rows per run.
-    starts = sliced.groupBy(run, "slice").agg(F.min(ts).alias("first_ts"))
-    after = starts.select(run, "slice", F.lead("first_ts").over(Window.partitionBy(run).orderBy("slice")).alias("outer_ts"))
-    joined = linked.join(after, [run, "slice"], "left").withColumn("next_ts", F.coalesce("inner_ts", "outer_ts"))
-    parts = [usual.select(*events.columns, duration), joined.select(*events.columns, duration), untimed]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _slice_number(events: DataFrame, run: str, ts: str, hot: list[tuple]) -> Column:
-    """How many cut points of its run an event has reached."""
-    origin = F.lit("1970-01-01 00:00:00").cast(events.schema[ts].dataType)
-    position = micros_between(origin, F.col(ts))
-    cuts = F.create_map(
-        *[part for key, points in hot for part in (F.lit(key), F.array(*[F.lit(p).cast("bigint") for p in points]))]
-    )
-    return F.size(F.filter(F.element_at(cuts, F.col(run)), lambda point: point <= position))
+    starts = cut.groupBy(run, "slice").agg(F.min(ts).alias("first_ts"))
+    later = F.lead("first_ts").over(Window.partitionBy(run).orderBy("slice")).alias("later_ts")
+    linked = cut.withColumn("inner_ts", F.lead(ts).over(inside))
+    joined = linked.join(starts.select(run, "slice", later), [run, "slice"], "left")
+    return joined.withColumn("next_ts", F.coalesce("inner_ts", "later_ts"))

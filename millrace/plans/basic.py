@@ -9,7 +9,7 @@ from millrace.functions.scalars import date_parts
 from millrace.operators import aggregates
 from millrace.plans.tools import TABLES, catalog_name, directory_database
 from millrace.sinks.catalog import create_table_as, list_tables
-from millrace.sources.tables import external_table, first_rows, table
+from millrace.sources.tables import external_table, first_rows, table, temp_views
 
 STORED_LINE_COLUMNS = """
     l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE,
@@ -43,6 +43,14 @@ def topk_count(spark: SparkSession, directory: str) -> DataFrame:
     return aggregates.top_keys(table(spark, directory, "lineitem"), "l_partkey", 10)
 
 
+def topk_sql(spark: SparkSession, directory: str) -> DataFrame:
+    """The same report as a user types it, over a temporary view."""
+    (lines,) = temp_views(spark, directory, ["lineitem"], "millrace_")
+    return spark.sql(f"""
+        SELECT l_suppkey, COUNT(*) AS n FROM {lines} GROUP BY l_suppkey
+        ORDER BY COUNT(*) DESC, l_suppkey LIMIT 10""")
+
+
 def sum_by_key(spark: SparkSession, directory: str) -> DataFrame:
     price = F.col("l_extendedprice").cast("decimal(18,2)")
     sums = aggregates.sum_by_key(table(spark, directory, "lineitem"), "l_suppkey", price, "total")
@@ -95,6 +103,7 @@ QUERIES = {
     "count_all": count_all,
     "external_table_scan": external_table_scan,
     "topk_count": topk_count,
+    "topk_sql": topk_sql,
     "sum_by_key": sum_by_key,
     "distinct_count": distinct_count,
     "ctas_rename": ctas_rename,
@@ -111,6 +120,9 @@ ORACLES = {
     "topk_count": """
         SELECT l_partkey, COUNT(*) AS n FROM lineitem GROUP BY l_partkey
         ORDER BY n DESC, l_partkey LIMIT 10""",
+    "topk_sql": """
+        SELECT l_suppkey, COUNT(*) AS n FROM lineitem GROUP BY l_suppkey
+        ORDER BY n DESC, l_suppkey LIMIT 10""",
     "sum_by_key": """
         SELECT l_suppkey, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total
         FROM lineitem GROUP BY l_suppkey""",

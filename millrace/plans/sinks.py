@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.diagnostics import dataset_inventory
-from millrace.plans.series import orders_by_day
+from millrace.plans.series import orders_by_day, wide_datagen
 from millrace.plans.tools import catalog_name
 from millrace.sinks.catalog import insert_rows, register_partitions
 from millrace.sinks.files import append, content_sums, overwrite, recompress, write_csv, write_once
@@ -28,6 +28,14 @@ def _line_sums(lines: DataFrame) -> DataFrame:
     return sums.withColumn("price_sum", F.col("price_sum").cast("decimal(28,2)"))
 
 
+def wide_write(spark: SparkSession, directory: str) -> DataFrame:
+    """The wide table written with gzip, then summed from the files."""
+    path = overwrite(wide_datagen(spark, directory), fresh_path(spark, "wide"), codec="gzip")
+    columns = {name: F.col(name) for name in ("int_6", "long_6", "decimal_1", "decimal_3")}
+    sums = content_sums(spark.read.parquet(path), columns)
+    return sums.select("n_rows", "int_6", "long_6", *[F.col(d).cast("decimal(28,2)").alias(d) for d in ("decimal_1", "decimal_3")])
+
+
 def recompress_copy(spark: SparkSession, directory: str) -> DataFrame:
     target = recompress(spark, f"{directory}/lineitem.parquet", fresh_path(spark, "gzip"))
     return _line_sums(read_glob(spark, target, "part-*"))
@@ -108,6 +116,7 @@ def orc_varchar_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {
+    "wide_write": wide_write,
     "recompress_copy": recompress_copy,
     "overwrite_copy": overwrite_copy,
     "append_copy": append_copy,
@@ -140,6 +149,12 @@ def _by_year_sql(times_1998: int) -> str:
 
 
 ORACLES = {
+    "wide_write": """
+        SELECT COUNT(*) AS n_rows, CAST(SUM(val + 2000000000) AS BIGINT) AS int_6,
+               CAST(SUM(val + 4500000000) AS BIGINT) AS long_6,
+               CAST(SUM(CAST((val + 2000000000) / 100 AS DECIMAL(10,2))) AS DECIMAL(28,2)) AS decimal_1,
+               CAST(SUM(CAST((val + 30) / 100 AS DECIMAL(10,2))) AS DECIMAL(28,2)) AS decimal_3
+        FROM (SELECT CAST(unnest(range((SELECT COUNT(*) FROM customer))) AS BIGINT) AS val) v, nation""",
     "recompress_copy": _line_sums_sql(1),
     "overwrite_copy": _line_sums_sql(1),
     "append_copy": _line_sums_sql(2),

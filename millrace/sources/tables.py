@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -11,6 +13,18 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
+def temp_views(spark: SparkSession, directory: str, names: Sequence[str], prefix: str = "") -> list[str]:
+    """Register tables of a directory as temporary views, for queries in SQL."""
+    for name in names:
+        table(spark, directory, name).createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in names]
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: StructType | str) -> DataFrame:
+    """A few rows given as values, as a table with a declared schema."""
+    return spark.createDataFrame(list(rows), schema)
+
+
 def first_rows(spark: SparkSession, path: str, count: int) -> DataFrame:
     """SQL straight over a Parquet path, any ``count`` rows."""
     return spark.sql(f"SELECT * FROM parquet.`{path}` LIMIT {int(count)}")

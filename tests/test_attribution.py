@@ -122,6 +122,21 @@ def test_hot_resource_is_split(spark, conf, inventory):
     assert "SortMergeJoin(skew=true)" in plan_text(result)
 
 
+def test_billing_export(spark, tmp_path):
+    header = "resource_id,date,extra,cost,label.user_labels.project_id,currency"
+    (tmp_path / "b.csv").write_text(header + "\nd1,2022-11-10,x,1.2345678901,p1,RUB\nd2,2022-11-11,,,,\n")
+    billing = attribution.read_billing(spark, str(tmp_path))
+    assert billing.columns[:3] == ["cloud_name", "folder_name", "resource_id"] and len(billing.columns) == 17
+    first, second = billing.orderBy("resource_id").collect()
+    assert first.cost == Decimal("1.2345678901") and first.date == DAY and first["label.user_labels.project_id"] == "p1"
+    assert first["label.user_labels.cluster_id"] is None and second.cost is None
+    labels = attribution.project_labels(billing, START, END)
+    inventory = spark.createDataFrame([(DAY, "d1", "cA")], "dt DATE, obj_id STRING, cluster_id STRING")
+    made = attribution.attribute_costs(billing, inventory, labels, START, END, with_fan_out=True)
+    totals = attribution.cost_rollup(made, ["cluster_id"], sums=["cost", "credit"])
+    assert rows(totals, "cluster_id") == [("-", None, None, 1, 0), ("cA", Decimal("1.2345678901"), None, 1, 0)]
+
+
 def test_mapping(spark):
     costs = spark.createDataFrame(
         [(1, "a", DAY), (2, "a", dt.date(2022, 11, 11)), (3, "b", DAY), (4, "c", DAY), (5, None, DAY)],

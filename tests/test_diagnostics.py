@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_text, rows
 from millrace.operators import diagnostics
+from millrace.sources.logs import read_logs
 from millrace.operators.phases import hot_runs, phase_durations
 
 # Batch size, total, push, fetch and add times (ms) of two measured loads.
@@ -97,6 +98,13 @@ def test_service_limit_comes_before_attributes(logs):
     assert [r.message for r in found.orderBy("ts").collect()] == ["m3", "m5"]
 
 
+def test_log_source(spark, tmp_path):
+    record = '{"ts": "2024-01-23T10:00:00Z", "log_type": "syslog", "hostname": "h1", "message": "m", "other": 1}'
+    (tmp_path / "logs.json").write_text(record + "\n")
+    found = diagnostics.search_logs(read_logs(spark, str(tmp_path)), {"hostname": "h1"}, since="2024-01-23 10:00:00Z")
+    assert found.count() == 1 and found.first().message == "m"
+
+
 def test_log_search_is_pushed_down(spark, logs, tmp_path):
     path = str(tmp_path / "logs")
     logs.write.parquet(path)
@@ -167,8 +175,7 @@ def test_sliced_runs_give_the_same(spark, kind):
     )
     usual = phase_durations(df, order=["id"])
     sliced = phase_durations(df, order=["id"], rows_per_task=1000)
-    cuts = dict(hot_runs(df, "run", "ts", 1000))
-    assert set(cuts) == {"hot"} and len(cuts["hot"]) >= 5
+    assert hot_runs(df, "run", 1000) == {"hot": 10000}
     assert sliced.columns == usual.columns
     assert rows(sliced, "id") == rows(usual, "id")
     assert sliced.count() == 20000

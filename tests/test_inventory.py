@@ -1,8 +1,10 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_text, rows
-from millrace.operators import inventory
+from millrace.operators import attribution, inventory
 from millrace.sinks.partitions import write_partitions
 
 STATE = "crdate INT, obj_id STRING, vm_id STRING, cluster_id STRING, otype STRING, upd_tv BIGINT"
@@ -158,6 +160,20 @@ def test_extract_cycle(spark, tmp_path):
     assert inventory.changed_days(later, inventory.read_marks(spark, marks)).isEmpty()
 
 
+def test_recent_days():
+    assert inventory.recent_days(dt.datetime(2022, 12, 31, 21, 30)) == [20221231, 20230101]
+    assert inventory.recent_days(dt.datetime(2022, 12, 31, 20, 30)) == [20221230, 20221231]
+
+
+def test_extract_of_some_days(spark, tmp_path):
+    marks, out = str(tmp_path / "marks"), str(tmp_path / "out")
+    inventory.create_marks(spark, marks)
+    current = state(spark, (20240102, "b", "v", "c", "vm", 5), (20240103, "a", "v", None, "vm", 2))
+    inventory.extract_changed(spark, current, marks, out, only=[20240103])
+    assert rows(inventory.read_marks(spark, marks)) == [(20240103, 2)]
+    assert attribution.read_dictionary(spark, f"{out}/*").count() == 1
+
+
 def test_extract_prunes_days(spark, tmp_path):
     path = str(tmp_path / "state")
     write_partitions(state(spark, *[(d, "a", "v", "c", "vm", d) for d in range(1, 6)]), path, ["crdate"])
