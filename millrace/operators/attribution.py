@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructType
 
 from millrace.functions.scalars import non_empty, quoted
+from millrace.operators.joins import salted_join
 from millrace.sources.tables import read_csv
 
 # Names of the label columns in a billing export, the text for "no match",
@@ -105,16 +106,17 @@ def attribute_costs(
 
     Two left joins in a row would shuffle the cost lines twice, the second time with every
     unmatched line in one partition under a NULL key. The second join depends on the
-    inventory only, so inventory and labels are joined first and the cost lines are shuffled
-    once, by (date, resource). Both inputs of that join are plain shuffles, which is the
-    shape adaptive execution can split when one resource holds a large share of the lines.
+    inventory only, so inventory and labels are joined first (salted, as one cluster may have
+    most of the resources) and the cost lines are shuffled once, by (date, resource). Both
+    inputs of that join are plain shuffles, which is the shape adaptive execution can split
+    when one resource holds a large share of the lines.
     """
     names = labels
     if with_fan_out:
         per_cluster = labels.groupBy("dt", "cluster_id").agg(F.count("*").alias("fan_out"))
-        names = labels.join(per_cluster, ["dt", "cluster_id"])
+        names = salted_join(labels, per_cluster, ["dt", "cluster_id"], spread=F.col("project_id"))
     wanted = inventory.where(in_period(F.col("dt"), start, end)).select("dt", "obj_id", "cluster_id")
-    resources = wanted.join(names, ["dt", "cluster_id"], "left")
+    resources = salted_join(wanted, names, ["dt", "cluster_id"], spread=F.col("obj_id"), how="left")
     lines = costs.where(in_period(F.col("date"), start, end)).select(*[quoted(name) for name in keep])
     matched = lines.join(
         resources, (lines["date"] == resources["dt"]) & (lines["resource_id"] == resources["obj_id"]), "left"
@@ -134,8 +136,12 @@ def line_fan_out(attributed: DataFrame, line_key: Sequence[str]) -> DataFrame:
     For frames attributed elsewhere: every line is shuffled once by its key, which must be
     unique among the cost lines. ``attribute_costs`` with ``with_fan_out`` gives the same
     from the labels alone.
+
+    The shuffle is explicit. Left to itself, Spark would count within the coarser partitions
+    of the attribution's join, and then could not split that join for a hot resource.
     """
-    return attributed.withColumn("fan_out", F.count("*").over(Window.partitionBy(*line_key)))
+    by_line = attributed.repartition(*line_key)
+    return by_line.withColumn("fan_out", F.count("*").over(Window.partitionBy(*line_key)))
 
 
 def cost_rollup(
@@ -166,9 +172,10 @@ def _exact(df: DataFrame, name: str) -> Column:
 def map_projects(costs: DataFrame, mapping: DataFrame, name: str = "project_id") -> DataFrame:
     """Add the project of ``cluster_id`` on ``date``.
 
-    ``mapping`` is ``valid_on, cluster_id, project_id``; a row without a date is valid
-    always, and a row for the very day wins over it. Spark broadcasts a mapping below its
-    size threshold, and shuffles a larger one.
+    ``mapping`` is a table of ``valid_on, cluster_id, project_id``; a row without a date is
+    valid always, and a row for the very day wins over it. Spark broadcasts a mapping below
+    its size threshold, and shuffles a larger one; all join inputs are then plain shuffles of
+    table rows, so a cluster with a large share of the costs can be split.
     """
     daily = mapping.where(F.col("valid_on").isNotNull()).select(
         F.col("cluster_id"), F.col("valid_on").cast("date").alias("date"), F.col("project_id").alias("daily_project")

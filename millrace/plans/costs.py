@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import attribution
-from millrace.sources.tables import table
+from millrace.sinks.files import write_csv
+from millrace.sources.tables import read_csv, table
+from millrace.workspace import fresh_path
 
 START, END = "1995-02-01", "2001-11-01"
 LINE_COLUMNS = ("resource_id", "date", "order_id", "line_no", "supplier_id", "quantity", "cost")
@@ -66,7 +68,7 @@ def cost_rollup_by_day(spark: SparkSession, directory: str) -> DataFrame:
 
 def project_mapping(spark: SparkSession, directory: str) -> DataFrame:
     """Customers as clusters: a nation's customers map to their segment, on the date of an
-    urgent order to that order's status instead."""
+    urgent order to that order's status instead. The mapping is an external table."""
     customers = table(spark, directory, "customer")
     orders = table(spark, directory, "orders")
     cluster = F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("cluster_id")
@@ -77,8 +79,10 @@ def project_mapping(spark: SparkSession, directory: str) -> DataFrame:
     )
     urgent = orders.where("o_orderpriority = '1-URGENT'").groupBy(order_date.alias("valid_on"), order_cluster)
     daily = urgent.agg(F.max("o_orderstatus").alias("project_id"))
+    rows = usual.unionByName(daily)
+    mapping = read_csv(spark, write_csv(rows, fresh_path(spark, "mapping")), rows.schema)
     costs = orders.select("o_orderkey", order_cluster, order_date.alias("date"), "o_totalprice")
-    return attribution.map_projects(costs, usual.unionByName(daily))
+    return attribution.map_projects(costs, mapping)
 
 
 QUERIES = {

@@ -64,9 +64,9 @@ def registration_batches(spark: SparkSession, directory: str) -> DataFrame:
     """Orders as registration batches: one line for the size and one for the times, per status."""
     line = F.explode(
         F.array(
-            _text("INFO MVZ total partitions to be created: ", F.col("o_custkey")),
+            _text("INFO total partitions to be created: ", F.col("o_custkey")),
             _text(
-                "INFO MVZ total method time: ", F.col("o_orderkey") * 6, ", push=", F.col("o_orderkey"),
+                "INFO total method time: ", F.col("o_orderkey") * 6, ", push=", F.col("o_orderkey"),
                 ", fetch=", F.col("o_orderkey") * 2, ", addParts=", F.col("o_orderkey") * 3,
             ),
             _text("INFO order ", F.col("o_orderkey")),
