@@ -19,6 +19,9 @@ TIMED_OUT = r"heartbeat timed out after (\d+) ms"
 BATCH_SIZE = r"total partitions to be created: (\d+)"
 BATCH_TIMES = r"total method time: (\d+), push=(\d+), fetch=(\d+), addParts=(\d+)"
 
+# Fixed value: how event logs name the start and end of SQL executions.
+SQL_EVENTS = "org.apache.spark.sql.execution.ui.SparkListenerSQLExecution"
+
 
 def search_logs(
     logs: DataFrame,
@@ -113,8 +116,8 @@ def registration_batches(lines: DataFrame, line: str = "value", by: Sequence[str
 
 
 def _of_kind(events: DataFrame, *kinds: str) -> DataFrame:
-    name = F.substring_index("Event", ".", -1)
-    return events.where(name.isin(list(kinds)))
+    """Compared by full name, so the JSON reader drops other events before it converts them."""
+    return events.where(F.col("Event").isin(list(kinds)))
 
 
 def job_report(events: DataFrame) -> DataFrame:
@@ -167,7 +170,7 @@ def stage_task_report(events: DataFrame) -> DataFrame:
 
 def sql_report(events: DataFrame) -> DataFrame:
     """Description and duration (ms) of each SQL execution."""
-    ends = _of_kind(events, "SparkListenerSQLExecutionStart", "SparkListenerSQLExecutionEnd")
+    ends = _of_kind(events, f"{SQL_EVENTS}Start", f"{SQL_EVENTS}End")
     return ends.groupBy("app", F.col("executionId").alias("execution_id")).agg(
         F.max("description").alias("description"),
         (F.max("time") - F.min("time")).alias("duration_ms"),

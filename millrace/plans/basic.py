@@ -21,6 +21,11 @@ def scan_limit(spark: SparkSession, directory: str) -> DataFrame:
     return first_rows(spark, f"{directory}/lineitem.parquet", 100)
 
 
+def scan_limit_count(spark: SparkSession, directory: str) -> DataFrame:
+    """Which rows a limit without an order gives is undefined; how many is not."""
+    return aggregates.row_count(scan_limit(spark, directory))
+
+
 def count_all(spark: SparkSession, directory: str) -> DataFrame:
     return aggregates.row_count(table(spark, directory, "lineitem"))
 
@@ -100,6 +105,7 @@ def catalog_list(spark: SparkSession, directory: str) -> DataFrame:
 
 QUERIES = {
     "scan_limit": scan_limit,
+    "scan_limit_count": scan_limit_count,
     "count_all": count_all,
     "external_table_scan": external_table_scan,
     "topk_count": topk_count,
@@ -112,6 +118,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "scan_limit_count": "SELECT COUNT(*) AS n FROM (SELECT * FROM lineitem LIMIT 100) x",
     "count_all": "SELECT COUNT(*) AS n FROM lineitem",
     "external_table_scan": """
         SELECT l_orderkey, l_partkey, l_linenumber, CAST(l_quantity AS DECIMAL(10,2)) AS quantity,

@@ -78,7 +78,6 @@ def registration_batches(spark: SparkSession, directory: str) -> DataFrame:
 
 def _write_event_log(spark: SparkSession, directory: str) -> str:
     """Line items as finished tasks and orders as jobs, stages and SQL runs, in the event-log form."""
-    sql_event = "org.apache.spark.sql.execution.ui.SparkListenerSQLExecution"
     lines = table(spark, directory, "lineitem")
     tasks = lines.select(
         F.lit("SparkListenerTaskEnd").alias("Event"),
@@ -119,12 +118,12 @@ def _write_event_log(spark: SparkSession, directory: str) -> str:
         ).alias("Stage Info"),
     )
     sql_start = orders.select(
-        F.lit(f"{sql_event}Start").alias("Event"),
+        F.lit(f"{diagnostics.SQL_EVENTS}Start").alias("Event"),
         key.alias("executionId"),
         F.col("o_orderpriority").alias("description"),
         started.alias("time"),
     )
-    sql_end = orders.select(F.lit(f"{sql_event}End").alias("Event"), key.alias("executionId"), ended.alias("time"))
+    sql_end = orders.select(F.lit(f"{diagnostics.SQL_EVENTS}End").alias("Event"), key.alias("executionId"), ended.alias("time"))
     path = f"{fresh_path(spark, 'events')}/application_1700000000000_0001"
     kinds = [tasks, job_start, job_end, stages, sql_start, sql_end]
     reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), kinds).write.json(path)
