@@ -117,7 +117,7 @@ def merge_day(spark: SparkSession, path: str, incoming: DataFrame, crdate: int,
     batch = incoming.where(F.col("crdate") == crdate)
     staged = fresh_path(spark, "state")
     upsert_changed(state, batch, stamp, **options).write.parquet(staged)
-    return write_partitions(spark.read.parquet(staged), path, ["crdate"], conflict="replace")
+    return write_partitions(spark.read.parquet(staged), path, ["crdate"], conflict="replace", cluster=False)
 
 
 def state_schema(inventory: DataFrame, stamp_column: str = "upd_tv") -> str:

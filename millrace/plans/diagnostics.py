@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import diagnostics
-from millrace.operators.phases import phase_durations
+from millrace.operators.phases import ROWS_PER_TASK, phase_durations
 from millrace.sources.tables import table
 from millrace.workspace import fresh_path
 
@@ -34,10 +34,11 @@ def event_durations(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def event_durations_sliced(spark: SparkSession, directory: str) -> DataFrame:
-    """The same with runs being event types: each is far larger than the rows allowed per
-    task, so all are cut into time slices."""
+    """The same with runs being event types: each has a fifth of all rows, more than is
+    allowed per task here, so all are cut into slices."""
     events = table(spark, directory, "events").select("event_type", "event_id", "ts")
-    return phase_durations(events, run="event_type", order=["event_id"], rows_per_task=1000)
+    rows_per_task = min(ROWS_PER_TASK, max(1, events.count() // 40))
+    return phase_durations(events, run="event_type", order=["event_id"], rows_per_task=rows_per_task)
 
 
 def _text(*parts: Column | str) -> Column:
@@ -47,7 +48,7 @@ def _text(*parts: Column | str) -> Column:
 def lost_executors(spark: SparkSession, directory: str) -> DataFrame:
     """Error events as lost-executor messages among other lines."""
     lost = _text(
-        "24/01/01 00:00:00 WARN TaskSetManager: Lost task ", F.col("event_id"), ".0 in stage ", F.col("user_id"),
+        "24/01/01 00:00:00 WARN TaskSetManager: Lost task ", F.col("event_id") % 5000, ".0 in stage ", F.col("user_id") % 1000,
         ".0 (TID ", F.col("event_id") + 1000, ") (host-", F.col("user_id"), " executor ", F.col("user_id") % 40,
         "): ExecutorLostFailure (executor ", F.col("user_id") % 40,
         " exited caused by one of the running tasks) Reason: Executor heartbeat timed out after ",

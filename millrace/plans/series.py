@@ -31,17 +31,21 @@ def uuid_distinct(spark: SparkSession, directory: str) -> DataFrame:
     return generate.uuid_columns(numbers, ("d",)).select("d").distinct().agg(F.count("*").alias("n"))
 
 
+def _wide_size(spark: SparkSession, directory: str, total: str) -> tuple[int, int]:
+    """Parts and rows per part: as many running numbers as customers, at most a million to a
+    part (one task), and enough parts for about the rows of a table."""
+    rows_per_part = min(1_000_000, table(spark, directory, "customer").count())
+    return -(-table(spark, directory, total).count() // rows_per_part), rows_per_part
+
+
 def wide_datagen(spark: SparkSession, directory: str) -> DataFrame:
-    """One part per nation, one running number per customer."""
-    parts = table(spark, directory, "nation").count()
-    return generate.wide_rows(spark, parts, table(spark, directory, "customer").count())
+    return generate.wide_rows(spark, *_wide_size(spark, directory, "lineitem"))
 
 
 def wide_datagen_overflow(spark: SparkSession, directory: str) -> DataFrame:
     """The variant that starts at 1 and whose first decimal overflows to NULL."""
-    parts = table(spark, directory, "region").count()
-    rows = table(spark, directory, "orders").count()
-    return generate.wide_rows(spark, parts, rows, start=1, decimal_divisor=10)
+    parts, rows_per_part = _wide_size(spark, directory, "orders")
+    return generate.wide_rows(spark, parts, rows_per_part, start=1, decimal_divisor=10)
 
 
 def array_column(spark: SparkSession, directory: str) -> DataFrame:
@@ -101,7 +105,16 @@ QUERIES = {
 }
 
 
-def _wide_sql(parts: str, rows: str, start: int, divisor: int) -> str:
+def wide_numbers_sql(total: str, start: int = 0) -> str:
+    """Part number and running number of the wide table."""
+    return f"""
+        SELECT CAST(p AS INTEGER) AS part_id, CAST(r + {start} AS BIGINT) AS val
+        FROM (SELECT unnest(range(1, 1 + CAST(ceil((SELECT COUNT(*) FROM {total}) / n) AS BIGINT))) AS p, n
+              FROM (SELECT least(1000000, COUNT(*)) AS n FROM customer) s) parts,
+             (SELECT unnest(range(least(1000000, (SELECT COUNT(*) FROM customer)))) AS r) numbers"""
+
+
+def _wide_sql(total: str, start: int, divisor: int) -> str:
     ints = ", ".join(f"CAST(val + {by} AS INTEGER) AS {name}" for name, by in generate.INT_OFFSETS.items())
     longs = ", ".join(f"CAST(val + {by} AS BIGINT) AS {name}" for name, by in generate.LONG_OFFSETS.items())
     offsets = generate.INT_OFFSETS
@@ -116,10 +129,8 @@ def _wide_sql(parts: str, rows: str, start: int, divisor: int) -> str:
     digest = f"md5(unhex(lpad(to_hex(val + {offsets['int_1']}), 8, '0')))"
     texts = ", ".join(f"{digest} AS {name}" for name in generate.TEXT_COLUMNS)
     return f"""
-        WITH p AS (SELECT CAST(unnest(range(1, 1 + (SELECT COUNT(*) FROM {parts}))) AS INTEGER) AS part_id),
-        v AS (SELECT CAST(unnest(range({start}, {start} + (SELECT COUNT(*) FROM {rows}))) AS BIGINT) AS val)
         SELECT part_id, CAST(val AS INTEGER) AS val, {ints}, {longs}, {doubles}, {decimals}, {texts}
-        FROM p, v"""
+        FROM ({wide_numbers_sql(total, start)}) v"""
 
 
 _ERRORS_SQL = """
@@ -135,8 +146,8 @@ ORACLES = {
         FROM (SELECT num, (SELECT MAX(ts) FROM events) - to_seconds(num) AS tv
               FROM (SELECT unnest(range(1, 1 + (SELECT COUNT(*) FROM events))) AS num) n) x""",
     "uuid_distinct": "SELECT COUNT(*) AS n FROM lineitem",
-    "wide_datagen": _wide_sql("nation", "customer", 0, 100),
-    "wide_datagen_overflow": _wide_sql("region", "orders", 1, 10),
+    "wide_datagen": _wide_sql("lineitem", 0, 100),
+    "wide_datagen_overflow": _wide_sql("orders", 1, 10),
     "array_column": "SELECT o_orderkey, unnest([o_orderkey + 1, o_orderkey + 2, o_orderkey + 3]) AS id FROM orders",
     "business_day": """
         SELECT event_id,

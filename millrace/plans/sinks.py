@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.diagnostics import dataset_inventory
-from millrace.plans.series import orders_by_day, wide_datagen
+from millrace.plans.series import orders_by_day, wide_datagen, wide_numbers_sql
 from millrace.plans.tools import catalog_name
 from millrace.sinks.catalog import insert_rows, register_partitions
 from millrace.sinks.files import append, content_sums, overwrite, recompress, write_csv, write_once
@@ -149,12 +149,12 @@ def _by_year_sql(times_1998: int) -> str:
 
 
 ORACLES = {
-    "wide_write": """
+    "wide_write": f"""
         SELECT COUNT(*) AS n_rows, CAST(SUM(val + 2000000000) AS BIGINT) AS int_6,
                CAST(SUM(val + 4500000000) AS BIGINT) AS long_6,
                CAST(SUM(CAST((val + 2000000000) / 100 AS DECIMAL(10,2))) AS DECIMAL(28,2)) AS decimal_1,
                CAST(SUM(CAST((val + 30) / 100 AS DECIMAL(10,2))) AS DECIMAL(28,2)) AS decimal_3
-        FROM (SELECT CAST(unnest(range((SELECT COUNT(*) FROM customer))) AS BIGINT) AS val) v, nation""",
+        FROM ({wide_numbers_sql("lineitem")}) v""",
     "recompress_copy": _line_sums_sql(1),
     "overwrite_copy": _line_sums_sql(1),
     "append_copy": _line_sums_sql(2),

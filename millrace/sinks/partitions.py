@@ -56,10 +56,14 @@ def write_partitions(
     conflict: str = "fail",
     file_format: str = "parquet",
     tasks: int | None = None,
+    cluster: bool = True,
     **options: str,
 ) -> str:
     """Write into a dataset partitioned by ``keys``.
 
+    Rows of a partition are gathered first; ``cluster=False`` saves that shuffle when every
+    task holds few partitions anyway.
+
     ``fail``     stop before writing if any incoming partition exists (checked once, before
                  the write: two writers at the same time need their own lock);
     ``replace``  swap the content of incoming partitions, leave the others;
@@ -72,7 +76,8 @@ def write_partitions(
         if found:
             listed = "; ".join(", ".join(f"{key}={row[key]}" for key in keys) for row in found)
             raise PartitionConflict(f"{path} already has: {listed}")
-    writer = clustered(df, keys, tasks).write.partitionBy(*keys).format(file_format).options(**options)
+    rows = clustered(df, keys, tasks) if cluster else df
+    writer = rows.write.partitionBy(*keys).format(file_format).options(**options)
     if conflict == "replace":
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)
     else:

@@ -55,7 +55,8 @@ def wide_columns(df: DataFrame, decimal_divisor: int = 100, number: str = "val")
     """Add the 21 derived columns of the wide table to a frame with an INT running number.
 
     All are inlined over the number, so one projection computes them. With divisor 10 the
-    first decimal does not fit DECIMAL(10,2) and becomes NULL.
+    first decimal does not fit DECIMAL(10,2) and becomes NULL. The number must leave room
+    for the largest INT offset (below 147,483,648).
     """
     base = F.col(number)
     ints = {name: base + F.lit(offset) for name, offset in INT_OFFSETS.items()}
