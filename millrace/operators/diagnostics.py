@@ -163,6 +163,27 @@ def executor_report(events: DataFrame) -> DataFrame:
     return _task_sums(events, F.col("Task Info.Executor ID").alias("executor_id"))
 
 
+def executor_states(events: DataFrame) -> DataFrame:
+    """Host, cores, start, end and reason of the end of each executor; the end is NULL for
+    one that was there to the last event."""
+    changes = _of_kind(events, "SparkListenerExecutorAdded", "SparkListenerExecutorRemoved")
+    removed = F.col("Event") == "SparkListenerExecutorRemoved"
+    return changes.groupBy("app", F.col("Executor ID").alias("executor_id")).agg(
+        F.max("Executor Info.Host").alias("host"),
+        F.max("Executor Info.Total Cores").alias("cores"),
+        F.min(F.when(~removed, F.col("Timestamp"))).alias("added_ms"),
+        F.max(F.when(removed, F.col("Timestamp"))).alias("removed_ms"),
+        F.max("Removed Reason").alias("reason"),
+    )
+
+
+def settings_report(events: DataFrame) -> DataFrame:
+    """Spark settings of each application."""
+    return _of_kind(events, "SparkListenerEnvironmentUpdate").select(
+        "app", F.explode("Spark Properties").alias("setting", "value")
+    )
+
+
 def stage_task_report(events: DataFrame) -> DataFrame:
     """Tasks, run time and share of garbage collection by stage."""
     return _task_sums(events, F.col("Stage ID").alias("stage_id"))
@@ -177,6 +198,13 @@ def sql_report(events: DataFrame) -> DataFrame:
     )
 
 
+def sql_plans(events: DataFrame) -> DataFrame:
+    """Physical plan, as text, that each SQL execution started with."""
+    return _of_kind(events, f"{SQL_EVENTS}Start").select(
+        "app", F.col("executionId").alias("execution_id"), F.col("physicalPlanDescription").alias("plan")
+    )
+
+
 def event_log_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All reports over an event log or a directory of logs."""
     events = read_event_log(spark, path)
@@ -185,7 +213,10 @@ def event_log_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "stages": stage_report(events),
         "stage_tasks": stage_task_report(events),
         "executors": executor_report(events),
+        "executor_states": executor_states(events),
         "sql": sql_report(events),
+        "sql_plans": sql_plans(events),
+        "settings": settings_report(events),
     }
 
 

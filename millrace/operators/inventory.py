@@ -20,6 +20,7 @@ from millrace.workspace import fresh_path
 STATE_KEYS = ("crdate", "obj_id")
 STATE_VALUES = ("vm_id", "cluster_id", "otype")
 NULL_MARKER = "-"
+STATE_SCHEMA = "crdate INT, obj_id STRING, vm_id STRING, cluster_id STRING, otype STRING, upd_tv BIGINT"
 MARK_SCHEMA = "crdate INT, upd_tv BIGINT"
 
 # How much of an extract one task writes.
@@ -120,6 +121,12 @@ def merge_day(spark: SparkSession, path: str, incoming: DataFrame, crdate: int,
     return write_partitions(spark.read.parquet(staged), path, ["crdate"], conflict="replace", cluster=False)
 
 
+def create_state(spark: SparkSession, path: str, schema: str = STATE_SCHEMA) -> str:
+    """An empty state, before the first batch."""
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("crdate").parquet(path)
+    return path
+
+
 def state_schema(inventory: DataFrame, stamp_column: str = "upd_tv") -> str:
     """Declared columns of a stored state that holds such inventory rows."""
     columns = [f"{name} {inventory.schema[name].dataType.simpleString()}" for name in (*STATE_KEYS, *STATE_VALUES)]

@@ -78,7 +78,8 @@ def registration_batches(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _write_event_log(spark: SparkSession, directory: str) -> str:
-    """Line items as finished tasks and orders as jobs, stages and SQL runs, in the event-log form."""
+    """Line items as finished tasks, orders as jobs, stages and SQL runs, suppliers as
+    executors and parts as settings, in the event-log form."""
     lines = table(spark, directory, "lineitem")
     tasks = lines.select(
         F.lit("SparkListenerTaskEnd").alias("Event"),
@@ -122,11 +123,30 @@ def _write_event_log(spark: SparkSession, directory: str) -> str:
         F.lit(f"{diagnostics.SQL_EVENTS}Start").alias("Event"),
         key.alias("executionId"),
         F.col("o_orderpriority").alias("description"),
+        _text("== Physical Plan ==\n", F.col("o_orderstatus")).alias("physicalPlanDescription"),
         started.alias("time"),
     )
     sql_end = orders.select(F.lit(f"{diagnostics.SQL_EVENTS}End").alias("Event"), key.alias("executionId"), ended.alias("time"))
+    suppliers = table(spark, directory, "supplier")
+    executor, balance = F.col("s_suppkey").cast("string").alias("Executor ID"), F.col("s_acctbal")
+    added = suppliers.select(
+        F.lit("SparkListenerExecutorAdded").alias("Event"),
+        executor,
+        (F.col("s_suppkey") * 10).alias("Timestamp"),
+        F.struct(F.col("s_name").alias("Host"), F.col("s_nationkey").alias("Total Cores")).alias("Executor Info"),
+    )
+    removed = suppliers.where(balance < 0).select(
+        F.lit("SparkListenerExecutorRemoved").alias("Event"),
+        executor,
+        (F.col("s_suppkey") * 10 + 5).alias("Timestamp"),
+        F.lit("lost").alias("Removed Reason"),
+    )
+    settings = table(spark, directory, "part").select(
+        F.lit("SparkListenerEnvironmentUpdate").alias("Event"),
+        F.create_map(_text("spark.part.", F.col("p_partkey")), F.col("p_brand")).alias("Spark Properties"),
+    )
     path = f"{fresh_path(spark, 'events')}/application_1700000000000_0001"
-    kinds = [tasks, job_start, job_end, stages, sql_start, sql_end]
+    kinds = [tasks, job_start, job_end, stages, sql_start, sql_end, added, removed, settings]
     reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), kinds).write.json(path)
     return path
 
@@ -157,7 +177,10 @@ QUERIES = {
     "event_log_stages": _report("stages"),
     "event_log_stage_tasks": _report("stage_tasks"),
     "event_log_executors": _report("executors"),
+    "event_log_executor_states": _report("executor_states"),
+    "event_log_settings": _report("settings"),
     "event_log_sql": _report("sql"),
+    "event_log_sql_plans": _report("sql_plans"),
     "throughput_report": throughput,
 }
 
@@ -202,6 +225,16 @@ ORACLES = {
         FROM orders""",
     "event_log_stage_tasks": _task_sums_sql("CAST(l_linenumber AS BIGINT)", "stage_id"),
     "event_log_executors": _task_sums_sql("CAST(l_suppkey AS VARCHAR)", "executor_id"),
+    "event_log_executor_states": f"""
+        SELECT {_APP}, CAST(s_suppkey AS VARCHAR) AS executor_id, s_name AS host, s_nationkey AS cores,
+               s_suppkey * 10 AS added_ms, CASE WHEN s_acctbal < 0 THEN s_suppkey * 10 + 5 END AS removed_ms,
+               CASE WHEN s_acctbal < 0 THEN 'lost' END AS reason
+        FROM supplier""",
+    "event_log_settings": f"""
+        SELECT {_APP}, 'spark.part.' || p_partkey AS setting, p_brand AS value FROM part""",
+    "event_log_sql_plans": f"""
+        SELECT {_APP}, o_orderkey AS execution_id, '== Physical Plan ==' || chr(10) || o_orderstatus AS plan
+        FROM orders""",
     "event_log_sql": f"""
         SELECT {_APP}, o_orderkey AS execution_id, o_orderpriority AS description, o_custkey AS duration_ms
         FROM orders""",

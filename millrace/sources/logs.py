@@ -21,7 +21,10 @@ EVENT_SCHEMA = """
         `Number of Tasks`: BIGINT, `Submission Time`: BIGINT, `Completion Time`: BIGINT>,
     `Task Info` STRUCT<`Executor ID`: STRING, `Host`: STRING, `Failed`: BOOLEAN>,
     `Task Metrics` STRUCT<`Executor Run Time`: BIGINT, `JVM GC Time`: BIGINT>,
-    `executionId` BIGINT, `description` STRING, `time` BIGINT
+    `executionId` BIGINT, `description` STRING, `time` BIGINT, `physicalPlanDescription` STRING,
+    `Timestamp` BIGINT, `Executor ID` STRING, `Removed Reason` STRING,
+    `Executor Info` STRUCT<`Host`: STRING, `Total Cores`: INT>,
+    `Spark Properties` MAP<STRING, STRING>
 """
 APPLICATION_ID = r"((?:application|app|local)[-_]\d+(?:[-_]\d+)?)"
 

@@ -138,6 +138,11 @@ def test_real_event_log(spark, tmp_path):
     assert executors[0].n_tasks == sum(s.n_tasks for s in stages.values())
     assert executors[0].gc_share is None or 0 <= executors[0].gc_share <= 1
     assert sum(t.n_tasks for t in report["stage_tasks"].collect()) == executors[0].n_tasks
+    states = report["executor_states"].collect()
+    assert [(e.executor_id, e.cores, e.removed_ms) for e in states] == [("driver", 2, None)] and states[0].added_ms > 0
+    settings = {r.setting: r.value for r in report["settings"].collect()}
+    assert settings["spark.app.name"] == "logged" and settings["spark.master"] == "local[2]"
+    assert "HashAggregate" in report["sql_plans"].first().plan
     assert all(q.duration_ms >= 0 for q in report["sql"].collect()) and report["sql"].count() == 1
 
 

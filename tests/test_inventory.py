@@ -118,6 +118,14 @@ def test_merge_day_rewrites_one_partition(spark, tmp_path):
     assert spark.read.schema(STATE).parquet(path).count() == 4
 
 
+def test_first_merge(spark, tmp_path):
+    path = inventory.create_state(spark, str(tmp_path / "state"))
+    inventory.merge_day(spark, path, batch(spark, (1, "a", "v", "c", "vm")), 1, 5)
+    inventory.create_state(spark, path)
+    inventory.merge_day(spark, path, batch(spark, (1, "a", "v", "c", "vm")), 1, 6)
+    assert [r.upd_tv for r in spark.read.schema(STATE).parquet(path).collect()] == [5]
+
+
 def test_changed_days(spark):
     current = state(
         spark,
