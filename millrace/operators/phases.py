@@ -27,7 +27,7 @@ def hot_runs(events: DataFrame, run: str, rows_per_task: int = ROWS_PER_TASK) ->
 
     A map-side-combined count over one column; the driver receives at most MAX_HOT_RUNS rows.
     """
-    counts = events.where(F.col(run).isNotNull()).groupBy(run).agg(F.count("*").alias("n"))
+    counts = events.groupBy(run).agg(F.count("*").alias("n"))
     largest = counts.where(F.col("n") > rows_per_task).orderBy(F.desc("n")).limit(MAX_HOT_RUNS)
     return {row[run]: row["n"] for row in largest.collect()}
 
@@ -43,23 +43,30 @@ def phase_durations(
     """Add the time to the next event of the same run, in microseconds; NULL for the last.
 
     ``order`` breaks ties between equal timestamps. Usual runs are one window per run; runs
-    that would overload a task are cut along their order. Rows without a run or a timestamp
-    belong to no sequence and have no duration.
+    that would overload a task are cut along their order. NULL is a run like any other; rows
+    without a timestamp have no duration and no place in the order.
     """
-    in_sequence = F.col(run).isNotNull() & F.col(ts).isNotNull()
-    timed = events.where(in_sequence)
-    untimed = events.where(~in_sequence).withColumn(name, F.lit(None).cast("bigint"))
+    timed = events.where(F.col(ts).isNotNull())
+    untimed = events.where(F.col(ts).isNull()).withColumn(name, F.lit(None).cast("bigint"))
     hot = hot_runs(timed, run, rows_per_task)
-    usual = timed.where(~F.col(run).isin(list(hot))) if hot else timed
+    is_hot = _is_one_of(F.col(run), list(hot))
+    usual = timed.where(~is_hot) if hot else timed
     following = F.lead(ts).over(Window.partitionBy(run).orderBy(ts, *order))
     duration = micros_between(F.col(ts), F.col("next_ts")).alias(name)
     parts = [usual.withColumn("next_ts", following).select(*events.columns, duration)]
     if hot:
-        cut = _cut(timed.where(F.col(run).isin(list(hot))), run, ts, order, -(-sum(hot.values()) // rows_per_task))
+        slices = -(-sum(hot.values()) // rows_per_task)
+        cut = _cut(timed.where(is_hot), run, ts, order, slices).repartition(slices, "slice")
         parts.append(_linked(cut, run, ts, order).select(*events.columns, duration))
     return reduce(DataFrame.unionByName, [*parts, untimed])
 
 
+def _is_one_of(column: Column, values: list) -> Column:
+    """Membership that treats NULL as a value."""
+    known = F.coalesce(column.isin([value for value in values if value is not None]), F.lit(False))
+    return known | column.isNull() if None in values else known
+
+
 def _cut(events: DataFrame, run: str, ts: str, order: Sequence[str], slices: int) -> DataFrame:
     """Number the events by slices of about equal size along (run, time, tie-break).
 
@@ -68,17 +75,24 @@ def _cut(events: DataFrame, run: str, ts: str, order: Sequence[str], slices: int
     once, so that both readers, and any task that runs again, see the same slices.
     """
     path = fresh_path(events.sparkSession, "slices")
-    ranged = events.repartitionByRange(max(1, slices), run, ts, *order)
+    ranged = events.repartitionByRange(slices, run, ts, *order)
     ranged.withColumn("slice", F.spark_partition_id()).write.parquet(path)
     return events.sparkSession.read.parquet(path)
 
 
 def _linked(cut: DataFrame, run: str, ts: str, order: Sequence[str]) -> DataFrame:
     """Add ``next_ts``: within a slice by a window, and for the last event of a slice from
-    the table of slice starts, which has one row per slice and run."""
-    inside = Window.partitionBy(run, "slice").orderBy(ts, *order)
+    the table of slice starts, which has one row per slice and run.
+
+    Slices follow the order of the runs, so only the last run of a slice goes on in a later
+    one. Window and join thus both go by slice, and the events are shuffled once.
+    """
+    inside = Window.partitionBy("slice").orderBy(run, ts, *order)
+    following = F.lead(F.struct(F.col(run).alias("run"), F.col(ts).alias("ts"))).over(inside)
     starts = cut.groupBy(run, "slice").agg(F.min(ts).alias("first_ts"))
     later = F.lead("first_ts").over(Window.partitionBy(run).orderBy("slice")).alias("later_ts")
-    linked = cut.withColumn("inner_ts", F.lead(ts).over(inside))
-    joined = linked.join(starts.select(run, "slice", later), [run, "slice"], "left")
-    return joined.withColumn("next_ts", F.coalesce("inner_ts", "later_ts"))
+    going_on = starts.select("slice", F.col(run).alias("_run"), later).where("later_ts IS NOT NULL")
+    joined = cut.withColumn("_next", following).join(going_on, "slice", "left")
+    inner_ts = F.when(F.col("_next.run").eqNullSafe(F.col(run)), F.col("_next.ts"))
+    outer_ts = F.when(F.col("_run").eqNullSafe(F.col(run)), F.col("later_ts"))
+    return joined.withColumn("next_ts", F.coalesce(inner_ts, outer_ts))

@@ -28,9 +28,31 @@ SETTINGS = {
 }
 
 
-def build_session(app_name: str, extra: dict[str, str] | None = None) -> SparkSession:
-    """A session with the settings above; ``extra`` overrides them."""
+# Bytes of shuffled data that one task should sort without spilling much.
+SHUFFLE_BYTES_PER_TASK = 256 * 1024**2
+
+
+def shuffle_settings(shuffle_bytes: int) -> dict[str, str]:
+    """How many pieces a shuffle of this size starts with.
+
+    Adaptive execution merges pieces that turn out small but does not cut all of them
+    smaller, so the number must suit the largest shuffle of the job: the default of 200 would
+    put 500 GB of a 100 TB shuffle into each task.
+    """
+    pieces = min(200_000, max(200, -(-shuffle_bytes // SHUFFLE_BYTES_PER_TASK)))
+    return {
+        "spark.sql.shuffle.partitions": str(pieces),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(pieces),
+    }
+
+
+def build_session(
+    app_name: str, extra: dict[str, str] | None = None, shuffle_bytes: int | None = None
+) -> SparkSession:
+    """A session with the settings above, sized for the largest shuffle if that is known;
+    ``extra`` overrides everything."""
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**SETTINGS, **(extra or {})}.items():
+    sized = shuffle_settings(shuffle_bytes) if shuffle_bytes else {}
+    for key, value in {**SETTINGS, **sized, **(extra or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -35,6 +35,25 @@ def test_build(spark):
     ]
 
 
+def test_hot_host_is_split(spark, conf):
+    """Most disks hang on one host; the lookup runs as a skew join and stays whole."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64k")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
+    conf("spark.sql.shuffle.partitions", "64")
+    hosts = spark.range(1000).select(F.format_string("v%d", "id").alias("vm_id"), F.lit("c").alias("cluster_id"))
+    host = F.when(F.col("id") % 3 > 0, "v0").otherwise(F.format_string("v%d", F.col("id") % 1000))
+    disks = spark.range(0, 200000, numPartitions=16).select(
+        F.md5(F.col("id").cast("string")).alias("disk_id"), F.array(host).alias("instance_ids")
+    )
+    built = inventory.build_inventory(hosts, disks, 1)
+    assert built.count() == 201000
+    built.collect()
+    assert "SortMergeJoin(skew=true)" in plan_text(built)
+
+
 def test_upsert_rules(spark):
     old = state(
         spark,
