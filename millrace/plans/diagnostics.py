@@ -77,6 +77,17 @@ def registration_batches(spark: SparkSession, directory: str) -> DataFrame:
     return diagnostics.registration_batches(lines, by=["run"])
 
 
+_EVENT_LOGS: dict[tuple[str, str], str] = {}
+
+
+def _event_log(spark: SparkSession, directory: str) -> str:
+    """The event log of a directory of tables, written once per application."""
+    known = (spark.sparkContext.applicationId, directory)
+    if known not in _EVENT_LOGS:
+        _EVENT_LOGS[known] = _write_event_log(spark, directory)
+    return _EVENT_LOGS[known]
+
+
 def _write_event_log(spark: SparkSession, directory: str) -> str:
     """Line items as finished tasks, orders as jobs, stages and SQL runs, suppliers as
     executors and parts as settings, in the event-log form."""
@@ -153,8 +164,7 @@ def _write_event_log(spark: SparkSession, directory: str) -> str:
 
 def _report(name: str):
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        path = _write_event_log(spark, directory)
-        return diagnostics.event_log_report(spark, path)[name]
+        return diagnostics.event_log_report(spark, _event_log(spark, directory))[name]
 
     return query
 

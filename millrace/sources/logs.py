@@ -38,7 +38,8 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of one log, or of a whole directory of logs, with the application they are from.
 
     Declared fields only, so one parse and no inference pass. Uncompressed logs are split
-    over tasks by blocks.
+    over tasks by blocks. The application is in the name of the file or of its folder.
     """
     events = spark.read.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true").json(path)
-    return events.withColumn("app", F.regexp_extract(F.col("_metadata.file_path"), APPLICATION_ID, 1))
+    name = F.substring_index(F.col("_metadata.file_path"), "/", -2)
+    return events.withColumn("app", F.regexp_extract(name, APPLICATION_ID, 1))
