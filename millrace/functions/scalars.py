@@ -64,7 +64,7 @@ def check_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fail the job when one of the columns is NULL.
 
     File tables do not enforce NOT NULL. The check is part of the row expression, so it
-    costs no extra pass over the data.
+    costs no extra pass over the data. A column that is dropped later is not checked.
     """
     checked = {
         name: F.coalesce(

@@ -174,17 +174,17 @@ def map_projects(costs: DataFrame, mapping: DataFrame, name: str = "project_id")
 
     ``mapping`` is a table of ``valid_on, cluster_id, project_id``; a row without a date is
     valid always, and a row for the very day wins over it. Spark broadcasts a mapping below
-    its size threshold, and shuffles a larger one; all join inputs are then plain shuffles of
-    table rows, so a cluster with a large share of the costs can be split.
+    its size threshold, and shuffles a larger one. Both joins are salted, as one cluster may
+    have a large share of the costs; without the salt Spark would also run both in one stage
+    when the costs are of a single day, and could then split neither.
     """
-    daily = mapping.where(F.col("valid_on").isNotNull()).select(
-        F.col("cluster_id"), F.col("valid_on").cast("date").alias("date"), F.col("project_id").alias("daily_project")
-    )
-    always = mapping.where(F.col("valid_on").isNull()).select(
-        "cluster_id", F.col("project_id").alias("usual_project")
-    )
-    return (
-        costs.join(daily, ["cluster_id", "date"], "left")
-        .join(always, "cluster_id", "left")
-        .select(*[costs[c] for c in costs.columns], F.coalesce("daily_project", "usual_project").alias(name))
+    dated = F.col("valid_on").isNotNull()
+    daily = mapping.where(dated).select(
+        "cluster_id", F.col("valid_on").cast("date").alias("date"), F.col("project_id").alias("daily_project")
     )
+    always = mapping.where(~dated).select("cluster_id", F.col("project_id").alias("usual_project"))
+    line = F.struct(*[quoted(column) for column in costs.columns])
+    by_day = salted_join(costs, daily, ["cluster_id", "date"], spread=line, how="left")
+    found = salted_join(by_day, always, ["cluster_id"], spread=line, how="left")
+    project = F.coalesce("daily_project", "usual_project").alias(name)
+    return found.select(*[quoted(column) for column in costs.columns], project)

@@ -197,7 +197,7 @@ def extract_changed(
         state = state.where(F.col("crdate").isin(list(only)))
     staged = fresh_path(spark, "days")
     found = changed_days(state, read_marks(spark, marks_path), with_rows=True)
-    found.coalesce(1).write.parquet(staged)
+    found.repartition(1).write.parquet(staged)
     days = spark.read.schema(f"{MARK_SCHEMA}, n_rows BIGINT").parquet(staged)
     # Enough tasks for the rows, and for the files, as opening a file costs time too.
     size = days.agg(F.count("*").alias("days"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")).first()
@@ -210,7 +210,7 @@ def extract_changed(
 def save_marks(marks: DataFrame, path: str) -> str:
     """Add marks to the store. Stamps only grow and readers take the greatest per day, so a
     new row replaces the earlier one; one small file per extract."""
-    marks.select("crdate", "upd_tv").coalesce(1).write.mode("append").parquet(path)
+    marks.select("crdate", "upd_tv").repartition(1).write.mode("append").parquet(path)
     return path
 
 

@@ -14,8 +14,7 @@ def jdbc_options(
     partitions: int = 45,
     batch_size: int = 10_000,
 ) -> dict[str, str]:
-    """Writer options. ``partitions`` bounds the connections open at once: Spark merges
-    tasks down to it and never splits up to it."""
+    """Writer options. ``partitions`` bounds the connections open at once."""
     options = {"url": url, "dbtable": dbtable, "numPartitions": str(partitions), "batchsize": str(batch_size)}
     optional = {"user": user, "password": password, "driver": driver}
     return {**options, **{name: value for name, value in optional.items() if value is not None}}
@@ -24,9 +23,11 @@ def jdbc_options(
 def export_jdbc(df: DataFrame, mode: str = "overwrite", **options) -> str:
     """Write a frame into a database table. The JDBC driver must be on the class path.
 
-    A task that is retried inserts its rows again, as JDBC writes have no job commit; load
+    The rows are dealt out to the writing tasks by a shuffle. Without it Spark would merge the
+    tasks of the query itself down to that number, and scan with as few. A task that is retried inserts its rows again, as JDBC writes have no job commit; load
     into a staging table and rename it when the target must never show duplicates.
     """
     settings = jdbc_options(**options)
-    df.write.format("jdbc").options(**settings).mode(mode).save()
+    rows = df.repartition(int(settings["numPartitions"]))
+    rows.write.format("jdbc").options(**settings).mode(mode).save()
     return settings["dbtable"]

@@ -81,6 +81,7 @@ def wide_rows(
     rows_per_part: int,
     start: int = 0,
     decimal_divisor: int = 100,
+    number: str = "val",
 ) -> DataFrame:
     """The wide table: ``rows_per_part`` running numbers from ``start``, once per part.
 
@@ -90,9 +91,9 @@ def wide_rows(
     rows = spark.range(0, parts * rows_per_part, numPartitions=parts)
     numbered = rows.select(
         (F.expr(f"id div {rows_per_part}") + 1).cast("int").alias("part_id"),
-        (F.col("id") % rows_per_part + start).cast("int").alias("val"),
+        (F.col("id") % rows_per_part + start).cast("int").alias(number),
     )
-    return wide_columns(numbered, decimal_divisor)
+    return wide_columns(numbered, decimal_divisor, number)
 
 
 def with_partition_id(df: DataFrame, name: str = "spark_partition_id") -> DataFrame:

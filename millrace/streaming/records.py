@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from millrace.sinks.files import write_once
+from millrace.workspace import dated_path
 
 # The record's fields, and the setting that selects the mode.
 RECORD_SCHEMA = "a STRING, b BIGINT, c INT, d STRING"
@@ -88,13 +89,19 @@ def run_records(
     schema: StructType | str = RECORD_SCHEMA,
     source: str = "kafka",
 ) -> StreamingQuery | str:
-    """The whole job; the session setting chooses BATCH (default) or STREAM."""
+    """The whole job; the session setting chooses BATCH (default) or STREAM.
+
+    A batch run writes to a new dated directory under ``path`` and returns its name. A stream
+    always writes to ``path`` itself, as its checkpoint refers to it.
+    """
     mode = spark.conf.get(MODE_SETTING, "BATCH").upper()
     if mode not in MODES:
         raise ValueError(f"{MODE_SETTING} must be one of {MODES}, not {mode!r}")
     stream = mode == "STREAM"
     incoming = read_queue(spark, options, stream=stream, source=source)
-    return run_stream(incoming, path, checkpoint, schema) if stream else run_batch(incoming, path, schema)
+    if stream:
+        return run_stream(incoming, path, checkpoint, schema)
+    return run_batch(incoming, dated_path(f"{path}/"), schema)
 
 
 def record_rows(df: DataFrame, counter: Column, key: Column | None = None, extra: Column | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
@@ -28,3 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
     return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+
+
+def dated_path(prefix: str, now: dt.datetime | None = None) -> str:
+    """A new output path for one run: prefix, day, time and a random part."""
+    moment = now or dt.datetime.now(dt.timezone.utc)
+    return f"{prefix}{moment:%Y-%m-%d/%H-%M-%S}_{uuid.uuid4()}"

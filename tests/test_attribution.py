@@ -176,3 +176,23 @@ def test_mapping(spark):
     )
     found = rows(attribution.map_projects(costs, mapping).select("line", "project_id"), "line")
     assert found == [(1, "dated"), (2, "always"), (3, "only-dated"), (4, None), (5, None)]
+
+
+def test_hot_cluster_in_mapping_is_split(spark, conf, tmp_path):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "128k")
+    conf("spark.sql.shuffle.partitions", "64")
+    spark.range(1000).selectExpr("IF(id % 2 = 0, NULL, DATE '2022-11-10') AS valid_on", "concat('c', id) AS cluster_id",
+                                 "concat('p', id) AS project_id").write.parquet(str(tmp_path / "m"))
+    costs = spark.range(0, 100000, numPartitions=16).select(
+        F.col("id").alias("line"),
+        F.when(F.col("id") % 2 == 0, "c0").otherwise(F.concat(F.lit("c"), F.col("id") % 1000)).alias("cluster_id"),
+        F.lit(DAY).alias("date"),
+        F.md5(F.col("id").cast("string")).alias("sku_name"),
+    )
+    mapped = attribution.map_projects(costs, spark.read.parquet(str(tmp_path / "m")))
+    assert mapped.where("project_id = 'p0'").count() == 50000 and mapped.where("project_id IS NULL").count() == 0
+    mapped.collect()
+    assert plan_text(mapped).split("Initial Plan")[0].count("SortMergeJoin(skew=true)") == 2

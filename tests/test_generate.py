@@ -28,6 +28,8 @@ def test_variants(spark):
     assert [r.val for r in second.orderBy("val").collect()] == [1, 2, 3]
     assert [r.decimal_1 for r in second.collect()] == [None] * 3
     assert second.first().decimal_2 == Decimal("3.40")
+    named = generate.wide_rows(spark, 1, 1, start=1, number="value")
+    assert named.first().value == 1 and named.first().int_1 == 21
 
 
 def test_one_task_per_part_and_no_python(spark):

@@ -59,8 +59,8 @@ def test_mode_by_setting(spark, conf, messages, tmp_path):
     source = str(tmp_path / "in")
     messages.write.parquet(source)
     options = {"path": source}
-    out = records.run_records(spark, options, str(tmp_path / "b"), str(tmp_path / "c"), source="parquet")
-    assert spark.read.parquet(out).count() == 6
+    out = [records.run_records(spark, options, str(tmp_path / "b"), str(tmp_path / "c"), source="parquet") for _ in "ab"]
+    assert [spark.read.parquet(path).count() for path in out] == [6, 6] and out[0] != out[1]
     conf(records.MODE_SETTING, "STREAM")
     conf("spark.sql.streaming.schemaInference", "true")
     query = records.run_records(spark, options, str(tmp_path / "s"), str(tmp_path / "c"), source="parquet")
@@ -69,7 +69,7 @@ def test_mode_by_setting(spark, conf, messages, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 6
     conf(records.MODE_SETTING, "OTHER")
     with pytest.raises(ValueError):
-        records.run_records(spark, options, out, out)
+        records.run_records(spark, options, out[0], out[1])
 
 
 def test_generated_stream(spark, tmp_path):
@@ -104,6 +104,10 @@ class FakeWriter:
     def write(self):
         return self
 
+    def repartition(self, number):
+        self.calls["tasks"] = number
+        return self
+
     def format(self, name):
         self.calls["format"] = name
         return self
@@ -124,6 +128,7 @@ def test_jdbc_export_settings():
     """No database is started here: this checks what the writer is told."""
     writer = FakeWriter()
     assert jdbc.export_jdbc(writer, url="jdbc:x", dbtable="t", user="u", password="p", driver="d") == "t"
+    assert writer.calls["tasks"] == 45
     assert writer.calls["mode"] == "overwrite" and writer.calls["format"] == "jdbc" and writer.calls["saved"]
     assert writer.calls["options"] == {
         "url": "jdbc:x", "dbtable": "t", "numPartitions": "45", "batchsize": "10000",
