@@ -36,11 +36,22 @@ def sketch_cardinality(sketch: Column | str) -> Column:
 # takes longer to compile than the query to run; a sketch holds the same state in one value.
 SMALLEST_BUILTIN_ERROR = 0.01
 
+# Tasks that merge sketches before the last one does.
+MERGE_TASKS = 256
 
-def _estimate(column: str, error: float, method: str) -> Column:
-    if method == "sketch" or error < SMALLEST_BUILTIN_ERROR:
-        return sketch_cardinality(sketch_init_agg(column, error))
-    return F.approx_count_distinct(column, error)
+
+def merged_sketches(df: DataFrame, column: str, errors: Sequence[float]) -> DataFrame:
+    """One row with a sketch of the column for each error: ``s0``, ``s1`` …
+
+    Each scan task makes one sketch of up to 64 KiB. With hundreds of thousands of scan tasks
+    a single task should not merge them all: they are merged in groups of scan tasks first.
+    """
+    grouped = df.select(F.col(column).alias("value"), F.pmod(F.spark_partition_id(), F.lit(MERGE_TASKS)).alias("part"))
+    names = [f"s{i}" for i in range(len(errors))]
+    partial = grouped.groupBy("part").agg(
+        *[sketch_init_agg("value", error).alias(name) for name, error in zip(names, errors)]
+    )
+    return partial.agg(*[F.hll_union_agg(name).alias(name) for name in names])
 
 
 def distinct_report(
@@ -51,23 +62,32 @@ def distinct_report(
 ) -> DataFrame:
     """One row: exact count, default estimates, and a map from error to estimate.
 
-    Exact and approximate counts are separate aggregates joined as one-row results: in a
-    single aggregate the exact count would expand every input row once more and push the
-    sketches through the de-duplicating shuffle.
+    Exact count, built-in estimates and sketches are separate aggregates over the one column,
+    put together as scalars. In a single aggregate each distinct value would carry the buffers
+    of all estimates through the de-duplicating shuffle. Spark merges scalar subqueries of
+    equal shape into one aggregate; the exact count is therefore written as a count of
+    distinct rows.
     """
+    by_sketch = [error for error in errors if method == "sketch" or error < SMALLEST_BUILTIN_ERROR]
+    built_in = [error for error in errors if error not in by_sketch]
+    sketches = merged_sketches(df, column, [DEFAULT_ERROR, *by_sketch])
+    estimates = {error: sketch_cardinality(f"s{i}") for i, error in enumerate(by_sketch, 1)}
     approx = df.agg(
-        F.approx_count_distinct(column).alias("approx_default"),
-        sketch_cardinality(sketch_init_agg(column)).alias("sketch_default"),
-        F.create_map(
-            *[
-                part
-                for error in errors
-                for part in (F.lit(error).cast("decimal(5,3)"), _estimate(column, error, method))
-            ]
-        ).alias("by_error"),
+        F.struct(
+            F.approx_count_distinct(column).alias("default"),
+            *[F.approx_count_distinct(column, error).alias(f"e{i}") for i, error in enumerate(built_in)],
+        )
+    )
+    exact = df.select(column).where(F.col(column).isNotNull()).distinct().agg(F.count("*"))
+    joined = sketches.withColumns({"exact": exact.scalar(), "approx": approx.scalar()})
+    estimates |= {error: F.col(f"approx.e{i}") for i, error in enumerate(built_in)}
+    by_error = [part for error in errors for part in (F.lit(error).cast("decimal(5,3)"), estimates[error])]
+    return joined.select(
+        "exact",
+        F.col("approx.default").alias("approx_default"),
+        sketch_cardinality("s0").alias("sketch_default"),
+        F.create_map(*by_error).alias("by_error"),
     )
-    exact = df.agg(F.count_distinct(F.col(column)).alias("exact"))
-    return approx.withColumn("exact", exact.scalar()).select("exact", "approx_default", "sketch_default", "by_error")
 
 
 def error_check(report: DataFrame, factor: float = 3.0) -> DataFrame:

@@ -89,6 +89,14 @@ def test_distinct_report(spark):
         assert all(r.within_bound for r in error_check(report).collect())
 
 
+def test_estimates_stay_out_of_the_exact_count(spark, tables):
+    orders = spark.read.parquet(f"{tables}/orders.parquet")
+    for method in ("builtin", "sketch"):
+        text = plan_text(distinct_report(orders, "o_custkey", method=method))
+        by_value = [line for line in text.splitlines() if "Aggregate(keys=[o_custkey" in line]
+        assert by_value and all("functions=[]" in line for line in by_value)
+
+
 def test_sketch_wrappers(spark):
     ids = spark.range(1000)
     estimate = ids.agg(sketch_cardinality(sketch_init_agg("id", 0.02)).alias("n")).first().n
