@@ -41,6 +41,16 @@ def day_text(day: Column) -> Column:
     return F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2))
 
 
+def timestamp_text(moment: Column) -> Column:
+    """TIMESTAMP_NTZ -> text with six decimals.
+
+    The plain cast drops trailing zeros, and ``date_format`` would go through the session's
+    time zone, where some wall-clock times do not exist.
+    """
+    text = moment.cast("string")
+    return F.rpad(F.when(F.length(text) == 19, F.concat(text, F.lit("."))).otherwise(text), 26, "0")
+
+
 def date_parts(moment: Column, prefix: str) -> list[Column]:
     """Year, month and day of a timestamp as three INT columns."""
     return [

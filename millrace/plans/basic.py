@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import date_parts
+from millrace.functions.scalars import date_parts, timestamp_text
 from millrace.operators import aggregates
 from millrace.plans.tools import TABLES, catalog_name, directory_database
 from millrace.sinks.catalog import create_table_as, list_tables
@@ -82,7 +82,7 @@ def export_rows(spark: SparkSession, directory: str) -> DataFrame:
     wanted = events.where((F.col("ts") >= start) & (F.col("ts") < end) & F.col("event_type").startswith("p"))
     return wanted.select(
         "event_id",
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("tv"),
+        timestamp_text(F.col("ts")).alias("tv"),
         "user_id",
         "event_type",
         "props",

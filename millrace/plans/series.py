@@ -76,7 +76,9 @@ def partitioned_load(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def prefix_avg_range(spark: SparkSession, directory: str) -> DataFrame:
-    orders = table(spark, directory, "orders").where(F.year("o_orderdate").between(1995, 2010))
+    """Years 1995 to 2010, as a range of the stored column that the scan can use."""
+    start, end = F.expr("TIMESTAMP_NTZ '1995-01-01'"), F.expr("TIMESTAMP_NTZ '2011-01-01'")
+    orders = table(spark, directory, "orders").where((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end))
     digest = F.md5(F.col("o_orderkey").cast("string"))
     spread = prefix_average_range(orders, digest, 2, F.col("o_orderkey"))
     return spread.select(F.round("rng", 6).alias("rng"))

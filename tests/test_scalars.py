@@ -32,6 +32,17 @@ def test_day_text_and_number(spark):
     assert df.select(scalars.day_number(F.col("d"))).first()[0] == 20240105
 
 
+def test_timestamp_text_ignores_session_zone(spark, conf):
+    conf("spark.sql.session.timeZone", "America/New_York")
+    moments = ["2024-03-10 02:30:00", "2024-03-10 02:30:00.5", "2024-01-01 00:00:07.179575"]
+    df = spark.createDataFrame([(m,) for m in moments], "m STRING").select(F.col("m").cast("timestamp_ntz").alias("m"))
+    assert [row[0] for row in df.select(scalars.timestamp_text(F.col("m"))).collect()] == [
+        "2024-03-10 02:30:00.000000",
+        "2024-03-10 02:30:00.500000",
+        "2024-01-01 00:00:07.179575",
+    ]
+
+
 def test_check_not_null(spark):
     good = spark.createDataFrame([(1, "a")], "x INT, `dotted.name` STRING")
     assert rows(scalars.check_not_null(good, ["x", "dotted.name"])) == [(1, "a")]
