@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
 
 from millrace.sources.logs import read_event_log
 
@@ -35,14 +37,14 @@ def search_logs(
 ) -> DataFrame:
     """Log records by attribute values and UTC time range (``since`` <= time < ``until``).
 
-    All conditions are plain comparisons and are pushed into the scan. ``limit`` bounds the
+    The bounds are columns or ISO texts, with a date or for today. All conditions are plain comparisons and are pushed into the scan. ``limit`` bounds the
     result. ``scan_limit`` is the logging service's own rule: only the first so many records
     of the time range are looked at, before the attributes are compared.
     """
     ts_type = logs.schema[ts].dataType
 
     def moment(value: Column | str) -> Column:
-        return F.lit(value).cast(ts_type)
+        return _utc_literal(value, ts_type) if isinstance(value, str) else value
 
     def every(conditions: list[Column]) -> Column:
         return reduce(Column.__and__, conditions, F.lit(True))
@@ -62,6 +64,18 @@ def search_logs(
     return found if limit is None else found.limit(limit)
 
 
+def _utc_literal(text: str, ts_type: DataType) -> Column:
+    """A moment given in UTC, as a literal of either timestamp type in any session zone."""
+    utc = dt.timezone.utc
+    try:
+        moment = dt.datetime.combine(dt.datetime.now(utc).date(), dt.time.fromisoformat(text))
+    except ValueError:
+        moment = dt.datetime.fromisoformat(text)
+    moment = moment.astimezone(utc) if moment.tzinfo else moment.replace(tzinfo=utc)
+    without_zone = isinstance(ts_type, TimestampNTZType)
+    return F.lit((moment.replace(tzinfo=None) if without_zone else moment).isoformat(" ")).cast(ts_type)
+
+
 def _matched(text: Column, pattern: str, group: int) -> Column:
     """A group of a pattern, NULL where it does not match. Casting the empty string with
     ``try_cast`` instead would raise and catch an exception per line."""

@@ -177,10 +177,10 @@ def write_extract(extract: DataFrame, path: str, tasks: int | None = None) -> st
     return path
 
 
-def recent_days(now_utc: dt.datetime | None = None) -> list[int]:
+def recent_days(now: dt.datetime | None = None) -> list[int]:
     """Yesterday and today as the business counts days, the days a regular extract looks at."""
-    now = (now_utc or dt.datetime.now(dt.timezone.utc)).replace(tzinfo=dt.timezone.utc)
-    local = now.astimezone(ZoneInfo(BUSINESS_ZONE))
+    now = now or dt.datetime.now(dt.timezone.utc)
+    local = (now if now.tzinfo else now.replace(tzinfo=dt.timezone.utc)).astimezone(ZoneInfo(BUSINESS_ZONE))
     return [int((local - dt.timedelta(days=back)).strftime("%Y%m%d")) for back in (1, 0)]
 
 

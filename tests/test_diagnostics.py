@@ -93,6 +93,23 @@ def test_log_search(logs):
     assert diagnostics.search_logs(logs).count() == 10
 
 
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp"])
+@pytest.mark.parametrize("since", ["2024-01-23 10:07:00", "2024-01-23T10:07:00Z", "2024-01-23T13:07:00+03:00"])
+def test_log_times_are_utc(spark, conf, logs, kind, since):
+    if kind == "timestamp":
+        logs = logs.withColumn("ts", F.col("ts").cast("timestamp"))
+        instants = logs.select((F.unix_micros("ts")).alias("us"), "message").collect()
+        logs = spark.createDataFrame(instants, "us BIGINT, message STRING").select(F.timestamp_micros("us").alias("ts"), "message")
+    conf("spark.sql.session.timeZone", "Asia/Tokyo")
+    assert diagnostics.search_logs(logs, since=since).count() == 3
+
+
+def test_log_time_of_today(spark):
+    now = spark.sql("SELECT to_utc_timestamp(current_timestamp(), current_timezone())::timestamp_ntz AS ts")
+    assert diagnostics.search_logs(now, since="00:00:00").count() == 1
+    assert diagnostics.search_logs(now, until="00:00:00").count() == 0
+
+
 def test_service_limit_comes_before_attributes(logs):
     found = diagnostics.search_logs(logs, {"log_type": "containers"}, since="2024-01-23 10:02:00", scan_limit=4)
     assert [r.message for r in found.orderBy("ts").collect()] == ["m3", "m5"]
