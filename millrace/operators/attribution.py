@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructType
 
 from millrace.functions.scalars import non_empty, quoted
-from millrace.operators.joins import salted_join
+from millrace.operators.joins import splittable_join
 from millrace.sources.tables import read_csv
 
 # Names of the label columns in a billing export, the text for "no match",
@@ -106,17 +106,17 @@ def attribute_costs(
 
     Two left joins in a row would shuffle the cost lines twice, the second time with every
     unmatched line in one partition under a NULL key. The second join depends on the
-    inventory only, so inventory and labels are joined first (salted, as one cluster may have
-    most of the resources) and the cost lines are shuffled once, by (date, resource). Both
+    inventory only, so inventory and labels are joined first (one cluster may have most of the
+    resources) and the cost lines are shuffled once, by (date, resource). Both
     inputs of that join are plain shuffles, which is the shape adaptive execution can split
     when one resource holds a large share of the lines.
     """
     names = labels
     if with_fan_out:
         per_cluster = labels.groupBy("dt", "cluster_id").agg(F.count("*").alias("fan_out"))
-        names = salted_join(labels, per_cluster, ["dt", "cluster_id"], spread=F.col("project_id"))
+        names = splittable_join(labels, per_cluster, ["dt", "cluster_id"])
     wanted = inventory.where(in_period(F.col("dt"), start, end)).select("dt", "obj_id", "cluster_id")
-    resources = salted_join(wanted, names, ["dt", "cluster_id"], spread=F.col("obj_id"), how="left")
+    resources = splittable_join(wanted, names, ["dt", "cluster_id"], "left")
     lines = costs.where(in_period(F.col("date"), start, end)).select(*[quoted(name) for name in keep])
     matched = lines.join(
         resources, (lines["date"] == resources["dt"]) & (lines["resource_id"] == resources["obj_id"]), "left"
@@ -174,17 +174,16 @@ def map_projects(costs: DataFrame, mapping: DataFrame, name: str = "project_id")
 
     ``mapping`` is a table of ``valid_on, cluster_id, project_id``; a row without a date is
     valid always, and a row for the very day wins over it. Spark broadcasts a mapping below
-    its size threshold, and shuffles a larger one. Both joins are salted, as one cluster may
-    have a large share of the costs; without the salt Spark would also run both in one stage
-    when the costs are of a single day, and could then split neither.
+    its size threshold, and shuffles a larger one. One cluster may have a large share of the
+    costs: both joins can be split, which they could not if Spark ran them in one stage, as it
+    would for the costs of a single day.
     """
     dated = F.col("valid_on").isNotNull()
     daily = mapping.where(dated).select(
         "cluster_id", F.col("valid_on").cast("date").alias("date"), F.col("project_id").alias("daily_project")
     )
     always = mapping.where(~dated).select("cluster_id", F.col("project_id").alias("usual_project"))
-    line = F.struct(*[quoted(column) for column in costs.columns])
-    by_day = salted_join(costs, daily, ["cluster_id", "date"], spread=line, how="left")
-    found = salted_join(by_day, always, ["cluster_id"], spread=line, how="left")
+    by_day = splittable_join(costs, daily, ["cluster_id", "date"], "left")
+    found = splittable_join(by_day, always, ["cluster_id"], "left")
     project = F.coalesce("daily_project", "usual_project").alias(name)
     return found.select(*[quoted(column) for column in costs.columns], project)

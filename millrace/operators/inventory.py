@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import BUSINESS_ZONE, day_text
-from millrace.operators.joins import salted_join
+from millrace.operators.joins import splittable_join
 from millrace.sinks.partitions import write_partitions
 from millrace.workspace import fresh_path
 
@@ -50,7 +50,7 @@ def build_inventory(hosts: DataFrame, disks: DataFrame, crdate: Column | int) ->
     attached = disks.select(F.col("disk_id").alias("obj_id"), F.explode("instance_ids").alias("vm_id"))
     # Repeated attachments are dropped on the map side before the lookup shuffles them, and
     # one host may have a large share of the disks.
-    found = salted_join(attached.distinct(), known, ["vm_id"], spread=F.col("obj_id"))
+    found = splittable_join(attached.distinct(), known, ["vm_id"])
     disk_rows = found.withColumn("otype", F.lit("disk"))
     day = F.lit(crdate) if isinstance(crdate, int) else crdate
     listed = host_rows.unionByName(disk_rows).withColumn("crdate", day)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import plan_text, rows
 from millrace.operators import attribution
-from millrace.operators.joins import salted_join
+from millrace.operators.joins import splittable_join
 
 DAY = dt.date(2022, 11, 10)
 COSTS = (
@@ -129,23 +129,26 @@ def test_hot_resource_is_split(spark, conf, inventory):
     assert "SortMergeJoin(skew=true)" in plan_text(totals)
 
 
-def test_salted_join(spark):
+def test_splittable_join(spark):
     left = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 1), (None, 2)], "k STRING, v INT")
     right = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z")], "k STRING, w STRING")
     for how in ("inner", "left"):
-        made = salted_join(left, right, ["k"], F.col("v"), how)
-        assert sorted(map(str, made.collect())) == sorted(map(str, left.join(right, "k", how).collect()))
+        expected = sorted(map(str, left.join(right, "k", how).collect()))
+        assert sorted(map(str, splittable_join(left, right, ["k"], how).collect())) == expected
+        assert sorted(map(str, splittable_join(left, right, ["k"], how, 16, F.col("v")).collect())) == expected
     with pytest.raises(ValueError):
-        salted_join(left, right, ["k"], F.col("v"), "full")
+        splittable_join(left, right, ["k"], "full")
+    with pytest.raises(ValueError):
+        splittable_join(left, right, ["k"], salts=2)
 
 
-def test_hot_cluster_is_salted(spark, conf):
+def test_hot_key_is_salted(spark, conf):
     """Rows of one key are in several partitions after the join."""
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     conf("spark.sql.adaptive.enabled", "false")
     left = spark.range(1000).select(F.lit("hot").alias("k"), F.col("id").alias("v"))
     right = spark.createDataFrame([("hot", 1)], "k STRING, w INT").groupBy("k").agg(F.max("w").alias("w"))
-    made = salted_join(left, right, ["k"], F.col("v"))
+    made = splittable_join(left, right, ["k"], salts=16, spread=F.col("v"))
     assert made.select(F.spark_partition_id()).distinct().count() > 3
     assert made.count() == 1000
 
