@@ -48,9 +48,9 @@ def build_inventory(hosts: DataFrame, disks: DataFrame, crdate: Column | int) ->
     known = hosts.groupBy("vm_id").agg(F.max("cluster_id").alias("cluster_id"))
     host_rows = known.select(F.col("vm_id").alias("obj_id"), "vm_id", "cluster_id", F.lit("vm").alias("otype"))
     attached = disks.select(F.col("disk_id").alias("obj_id"), F.explode("instance_ids").alias("vm_id"))
-    # Repeated attachments are dropped on the map side before the lookup shuffles them, and
-    # one host may have a large share of the disks.
-    found = splittable_join(attached.distinct(), known, ["vm_id"])
+    # One host may have a large share of the disks. Repeated attachments need no step of their
+    # own: the aggregate below merges them before its shuffle.
+    found = splittable_join(attached, known, ["vm_id"])
     disk_rows = found.withColumn("otype", F.lit("disk"))
     day = F.lit(crdate) if isinstance(crdate, int) else crdate
     listed = host_rows.unionByName(disk_rows).withColumn("crdate", day)
