@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, sharding, simhash
+from millrace.llm import chat, sharding, simhash, substring
 from millrace.llm.common import table
 
 SHARDS = 8
@@ -16,6 +16,10 @@ def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, directory, "documents"))
 
 
+def op4_substring(spark: SparkSession, directory: str) -> DataFrame:
+    return substring.digests(table(spark, directory, "documents"))
+
+
 def op7_chat(spark: SparkSession, directory: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -60,5 +64,5 @@ def op9_shards(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op7_chat": op7_chat, "op9_shards": op9_shards}
+QUERIES = {"op2_simhash": op2_simhash, "op4_substring": op4_substring, "op7_chat": op7_chat, "op9_shards": op9_shards}
 ORACLES = {"op7_chat": OP7_SQL}

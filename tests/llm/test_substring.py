@@ -1,0 +1,75 @@
+"""Substring dedup against brute force."""
+
+import hashlib
+import random
+import re
+
+import pytest
+
+from millrace.llm import substring
+
+
+def brute(rows, window=13):
+    """rows: (doc_id, text) -> sorted (doc_id, n_words, n_removed, sha256 of what stays)."""
+    split = [(doc, re.findall(r"[^\x20\x09-\x0D]+", text or "")) for doc, text in rows]
+    first = {}
+    for doc, words in split:
+        if doc is not None:
+            for i in range(len(words) - window + 1):
+                key = tuple(words[i : i + window])
+                first[key] = min(first.get(key, doc), doc)
+    out = []
+    for doc, words in split:
+        gone = set()
+        if doc is not None:
+            for i in range(len(words) - window + 1):
+                if first[tuple(words[i : i + window])] < doc:
+                    gone |= set(range(i, i + window))
+        kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+        out.append((doc, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def found(df, window=13):
+    return sorted((tuple(row) for row in substring.digests(df, window).collect()), key=repr)
+
+
+def corpus(seed):
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for doc in range(60):
+        words = [f"w{rng.randrange(12)}" if doc % 3 else f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 120))]
+        if doc % 2:
+            begin = rng.randrange(0, 40)
+            at = rng.randrange(0, len(words) + 1)
+            words[at:at] = passage[begin : begin + rng.randrange(10, 30)]
+        rows.append((doc, rng.choice([" ", "\n", " \t"]).join(words)))
+    long = [f"l{i}" for i in range(3000)]
+    rows += [(100, " ".join(long)), (101, " ".join(long)), (102, " ".join(long[:1500] + ["x"] + long[1500:]))]
+    rows += [(30, " ".join(long[5:60])), (200, rows[7][1]), (200, rows[7][1]), (200, " ".join(long[100:140]))]
+    rows += [(None, " ".join(long)), (300, None), (301, ""), (302, "x " * 12), (303, "x " * 13), (304, "x " * 14)]
+    rows += [(305, "a b c d e f g h i j k l m\x1cn"), (306, "a b c d e f g h i j k l m")]
+    return rows
+
+
+@pytest.mark.parametrize("window", [13, 5, 30])
+def test_against_brute_force(spark, window):
+    rows = corpus(window)
+    docs = spark.createDataFrame([(d, t, 1, 2, 3) for d, t in rows], "doc_id long, text string, doc int, tag int, places int")
+    assert found(docs, window) == brute(rows, window)
+
+
+def test_empty_table(spark):
+    assert found(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_levels_double():
+    assert substring.lengths(13) == [7, 13]
+    assert substring.lengths(50) == [7, 13, 25, 50]
+    assert all(b <= 2 * a for a, b in zip(substring.lengths(1000), substring.lengths(1000)[1:]))
+
+
+def test_query_on_documents(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    assert found(docs) == brute([(row.doc_id, row.text) for row in docs.collect()])
