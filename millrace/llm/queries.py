@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, sharding, simhash, substring
+from millrace.llm import chat, decontaminate, langid, sharding, simhash, substring
 from millrace.llm.common import table
 
 SHARDS = 8
@@ -16,6 +16,10 @@ def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, directory, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
+    return decontaminate.matches(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 def op4_substring(spark: SparkSession, directory: str) -> DataFrame:
     return substring.digests(table(spark, directory, "documents"))
 
@@ -51,6 +55,17 @@ FROM shown GROUP BY conv_id
 """
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """A model learned from the documents that are not held out."""
+    return langid.train(docs.where(F.col("doc_id").isNotNull() & ~langid.held_out(F.col("doc_id"))))
+
+
+def op8_langid(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    predicted = langid.predictions(docs, language_model(docs))
+    return predicted.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_shards(spark: SparkSession, directory: str) -> DataFrame:
     sharded = sharding.shard(table(spark, directory, "documents"), SHARDS)
     return sharded.select(
@@ -64,5 +79,5 @@ def op9_shards(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op4_substring": op4_substring, "op7_chat": op7_chat, "op9_shards": op9_shards}
+QUERIES = {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards}
 ORACLES = {"op7_chat": OP7_SQL}
