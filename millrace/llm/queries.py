@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, langid, sharding, simhash, substring
+from millrace.llm import chat, decontaminate, langid, packing, sharding, simhash, substring
 from millrace.llm.common import table
 
 SHARDS = 8
@@ -79,5 +80,9 @@ def op9_shards(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards}
+def op10_packing(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack_documents(table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards, "op10_packing": op10_packing}
 ORACLES = {"op7_chat": OP7_SQL}
