@@ -6,13 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, langid, packing, sharding, simhash, substring
+from millrace.llm import chat, decontaminate, langid, packing, sharding, simhash, substring, topk
 from millrace.llm.common import table
 
 SHARDS = 8
 CLASH = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_topk(spark: SparkSession, directory: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, directory, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP1_SQL = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM usable AS q JOIN usable AS c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
 def op2_simhash(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, directory, "documents"))
 
@@ -84,5 +104,5 @@ def op10_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards, "op10_packing": op10_packing}
-ORACLES = {"op7_chat": OP7_SQL}
+QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards, "op10_packing": op10_packing}
+ORACLES = {"op1_topk": OP1_SQL, "op7_chat": OP7_SQL}
