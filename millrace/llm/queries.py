@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, langid, packing, sharding, simhash, substring, topk
+from millrace.llm import chat, decontaminate, langid, licenses, packing, sharding, simhash, substring, topk, urlfilter
 from millrace.llm.common import table
 
 SHARDS = 8
@@ -45,6 +45,21 @@ def op4_substring(spark: SparkSession, directory: str) -> DataFrame:
     return substring.digests(table(spark, directory, "documents"))
 
 
+def op5_licenses(spark: SparkSession, directory: str) -> DataFrame:
+    """Every document as a file of its source, language and thousand of ids."""
+    docs = table(spark, directory, "documents")
+    thousand = F.floor(F.col("doc_id") / 1000)
+    path = F.concat_ws("/", "source", "lang", thousand.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    return licenses.scan(docs.select(path.alias("path"), "text"))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op6_urls(spark: SparkSession, directory: str) -> DataFrame:
+    return urlfilter.judge(table(spark, directory, "pages"), URL_RULES)
+
+
 def op7_chat(spark: SparkSession, directory: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -104,5 +119,5 @@ def op10_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards, "op10_packing": op10_packing}
+QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op5_licenses": op5_licenses, "op6_urls": op6_urls, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards, "op10_packing": op10_packing}
 ORACLES = {"op1_topk": OP1_SQL, "op7_chat": OP7_SQL}
