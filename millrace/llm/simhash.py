@@ -52,14 +52,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row of ``docs``."""
+    """doc_id, tag (a hash that tells the texts of a repeated doc_id apart) and fp (the fingerprint
+    as a signed long) of every row of ``docs``."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(text, shingle) for text in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("tag"), pa.array(values.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "fp"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(compute, "doc_id long, fp long")
+    marked = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
+    return marked.mapInArrow(compute, "doc_id long, tag long, fp long")
 
 
 def build_tree(nodes: np.ndarray) -> np.ndarray:
@@ -164,6 +167,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, capacity: int = CAPACITY) -
     )
 
     order = ["piece", "value", "tree", "asker"]
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fp, is_node, is_query in _runs(batches, order, ["fp", "is_node", "is_query"]):
@@ -172,7 +176,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, capacity: int = CAPACITY) -
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    dealt = met.repartition(*order).sortWithinPartitions(*order, "fp")
+    # A number, as the work in a row is far more than its bytes tell adaptive execution.
+    dealt = met.repartition(tasks, *order).sortWithinPartitions(*order, "fp")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -196,6 +201,24 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]
         yield [np.concatenate(parts) for parts in zip(*held)]
 
 
+def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, tag, fp, label, component_id of every row of ``docs``: label is equal for the rows
+    whose fingerprints are reached over links, component_id their smallest doc_id."""
+    marked = staged(fingerprints(docs, shingle), "simhash-fingerprints")
+    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "simhash-distinct")
+    linked = connected(staged(links(distinct.select("fp"), radius, capacity), "simhash-links"))
+    # Only linked fingerprints get a row: (fp, label), and the smallest document per label.
+    labelled = distinct.join(linked, distinct["fp"] == linked["node"]).select("fp", "label", "smallest")
+    named = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
+    renamed = labelled.join(named, "label").select(F.col("fp").alias("linked_fp"), "label", "component_id")
+    all_classes = distinct.join(renamed, distinct["fp"] == renamed["linked_fp"], "left").select(
+        F.col("fp").alias("class_fp"),
+        F.coalesce("label", "fp").alias("label"),
+        F.when(F.col("label").isNull(), F.col("smallest")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+    return marked.join(all_classes, marked["fp"] == all_classes["class_fp"], "left").drop("class_fp")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, capacity: int = CAPACITY
 ) -> DataFrame:
@@ -207,19 +230,28 @@ def near_duplicates(
     component: one of such rows alone has a null component_id. Repeated rows are kept. No
     rows give no rows. Other columns are ignored.
 
-    Copies collapse into one fingerprint before anything is compared; what moves is 16 bytes a
+    Copies collapse into one fingerprint before anything is compared; what moves is 24 bytes a
     document, and texts are read once where they lie.
     """
-    marked = staged(fingerprints(docs, shingle), "simhash-fingerprints")
-    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "simhash-distinct")
-    linked = connected(staged(links(distinct.select("fp"), radius, capacity), "simhash-links"))
-    # Only linked fingerprints get a row: (fp, label), and the smallest document per label.
-    labelled = distinct.join(linked, distinct["fp"] == linked["node"]).select("fp", "label", "smallest")
-    named = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-    renamed = labelled.join(named, "label").select(F.col("fp").alias("linked_fp"), "component_id")
-    alone = distinct.join(renamed, distinct["fp"] == renamed["linked_fp"], "left").select(
-        F.col("fp").alias("class_fp"), F.coalesce("component_id", "smallest").alias("component_id")
-    )
-    return marked.join(alone, marked["fp"] == alone["class_fp"], "left").select(
+    return classes(docs, shingle, radius, capacity).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs``, with all its columns, of every component: that with the smallest
+    doc_id (null only if all are), of several the one with the smallest hash of its text."""
+    found = staged(classes(docs, shingle, radius), "simhash-classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tag")).alias("first")
+    winners = found.groupBy("label").agg(first).select(F.col("first.doc_id").alias("_doc"), F.col("first.tag").alias("_tag"))
+    # Rows of one doc_id and text are told apart by nothing: of these, usually none, one stays.
+    repeated = staged(
+        found.groupBy("doc_id", "tag").count().where("count > 1").select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")),
+        "simhash-repeated",
+    )
+    record = F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("record")
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("tag"), record)
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))
+    won = rows.join(winners, same, "left_semi")
+    several = won.join(repeated, same, "left_semi").groupBy("doc", "tag").agg(F.first("record").alias("record"))
+    return won.join(repeated, same, "left_anti").union(several.select("doc", "tag", "record")).select("record.*")
