@@ -6,8 +6,8 @@ first level does not look at every short window: of the short windows inside a w
 the one with the smallest hash is taken, which is the same one in every place where the wanted
 window stands. So about a quarter of the positions move, and no repeat is missed.
 
-Short windows are compared by 64 bits, which can only add candidates; windows of the wanted
-length by 128 bits.
+Windows of the first level are compared by 64 bits, which can only add candidates; longer ones,
+and so those of the wanted length, by 96 bits.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,18 +27,63 @@ from millrace.llm.common import staged
 WINDOW = 13
 # No first level is longer than this many words.
 FIRST = 8
-# Words whose hashes a task keeps at hand, and rows it sends at a time.
-_KNOWN, _ROWS = 400_000, 500_000
-
-
-class _WordHashes(dict):
-    """Hashes of the words met so far; forgets all when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+# Bytes of text looked at together, and words hashed together.
+_BYTES, _WORDS = 2 << 20, 1 << 15
+# A word up to this many bytes is hashed by a random number for each byte in each place.
+_SHORT = 64
+_rng = np.random.default_rng(0)
+_LETTERS = _rng.integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = _rng.integers(0, 2**63, _SHORT, np.uint64) * np.uint64(2) + np.uint64(1)
+_SOLID = np.ones(256, bool)
+_SOLID[[9, 10, 11, 12, 13, 32]] = False
+_LETTERS[~_SOLID] = 0
+
+
+class Words:
+    """The words of some texts, one after the other: hash, number of the text, place in it."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        data = np.frombuffer(b" ".join(texts), np.uint8)
+        ends = np.cumsum([len(text) + 1 for text in texts])
+        solid = _SOLID[data]
+        begin = solid.copy()
+        begin[1:] &= ~solid[:-1]
+        at = np.flatnonzero(begin)
+        self.text = np.searchsorted(ends, at, side="right")
+        self.first = np.searchsorted(at, ends - [len(text) + 1 for text in texts])
+        self.hashes = np.empty(len(at), np.uint64)
+        for low in range(0, len(at), _WORDS):
+            part = at[low : low + _WORDS]
+            stop = at[low + _WORDS] if low + _WORDS < len(at) else len(data)
+            self.hashes[low : low + _WORDS] = self._hashed(data[part[0] : stop], part - part[0], solid[part[0] : stop])
+
+    @staticmethod
+    def _hashed(data: np.ndarray, at: np.ndarray, solid: np.ndarray) -> np.ndarray:
+        sizes = np.add.reduceat(solid, at, dtype=np.int64)
+        place = np.arange(len(data)) - np.repeat(at, np.diff(at, append=len(data)))
+        hashes = np.add.reduceat(_LETTERS[data] * _PLACES[np.minimum(place, _SHORT - 1)], at)
+        hashes += sizes.astype(np.uint64) * _PLACES[0]
+        for k in np.flatnonzero(sizes > _SHORT):
+            hashes[k] = xxhash.xxh64_intdigest(data[at[k] : at[k] + sizes[k]].tobytes())
+        hashes ^= hashes >> np.uint64(32)
+        return hashes * _PLACES[1]
+
+    def whole(self, places: np.ndarray, length: int) -> np.ndarray:
+        """Those of ``places`` at which ``length`` words of one text begin."""
+        places = places[places + length <= len(self.text)]
+        return places[self.text[places] == self.text[places + length - 1]]
+
+
+def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``_BYTES`` bytes."""
+    begin, size = 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= _BYTES:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def lengths(window: int) -> list[int]:
@@ -64,9 +110,23 @@ def _hashes(words: np.ndarray, length: int, seed: int) -> np.ndarray:
 
 def _least(hashes: np.ndarray, width: int) -> np.ndarray:
     """For every run of ``width`` hashes the place of the smallest, the leftmost of equals."""
-    if len(hashes) < width:
+    n = len(hashes) - width + 1
+    if n <= 0:
         return np.zeros(0, np.int64)
-    return np.lib.stride_tricks.sliding_window_view(hashes, width).argmin(axis=1) + np.arange(len(hashes) - width + 1)
+    least, place = hashes[:n].copy(), np.arange(n)
+    for k in range(1, width):
+        less = hashes[k : k + n] < least
+        least[less] = hashes[k : k + n][less]
+        place[less] = np.flatnonzero(less) + k
+    return place
+
+
+def _chosen(words: Words, length: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the short windows, places of the wanted windows, the place of the short window
+    that stands for each of them)."""
+    hashes = _hashes(words.hashes, length, 1)
+    places = words.whole(np.arange(max(0, len(words.hashes) - window + 1)), window)
+    return hashes, places, _least(hashes, window - length + 1)[places]
 
 
 def _sent(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
@@ -76,24 +136,17 @@ def _sent(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 def _first_windows(docs: DataFrame, length: int, window: int) -> DataFrame:
     """h, doc, at: the windows of the first level."""
+    names = ["h", "doc", "at"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts, rows = _WordHashes(), [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
-                words = text.split()
-                if len(words) < window:
-                    continue
-                hashes = _hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), length, 1)
-                at = _least(hashes, window - length + 1)
+            docs, texts = batch.column("doc").to_numpy(), batch.column("text").to_pylist()
+            for low, high in _portions(texts):
+                words = Words(texts[low:high])
+                hashes, _, at = _chosen(words, length, window)
                 at = at[np.diff(at, prepend=-1) != 0]
-                parts.append((hashes[at], np.full(len(at), doc, np.int64), at.astype(np.int32)))
-                rows += len(at)
-                if rows >= _ROWS:
-                    yield _sent(parts, ["h", "doc", "at"])
-                    parts, rows = [], 0
-        if parts:
-            yield _sent(parts, ["h", "doc", "at"])
+                text = words.text[at]
+                yield _sent([(hashes[at], docs[low:high][text], (at - words.first[text]).astype(np.int32))], names)
 
     return docs.mapInArrow(cut, "h long, doc long, at int")
 
@@ -102,35 +155,42 @@ def _longer_windows(packed: DataFrame, length: int, before: int, window: int, fi
     """h, g, doc, tag, at: windows of ``length`` that candidates of length ``before`` (places) allow."""
     names = ["h", "g", "doc", "tag", "at"]
 
+    def allowed_windows(words: Words, allowed: np.ndarray) -> np.ndarray:
+        if first and length == window:  # a window stands or falls with the short one chosen in it
+            _, places, at = _chosen(words, before, window)
+            return places[allowed[at]]
+        if first:  # not all short windows were looked at: take what is near one that repeats
+            near = np.cumsum(np.concatenate([np.zeros(window, int), allowed, np.zeros(window + 1, int)]))
+            at = np.flatnonzero(near[2 * window : 2 * window + len(allowed)] > np.concatenate([[0], near])[: len(allowed)])
+        else:
+            at = np.flatnonzero(allowed[: len(allowed) - length + before] & allowed[length - before :])
+        return words.whole(at, length)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts, rows, open_text = _WordHashes(), [], 0, zstandard.ZstdDecompressor().decompress
+        open_text = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            columns = (batch.column(name).to_pylist() for name in ("doc", "tag", "packed", "places"))
-            for doc, tag, data, places in zip(*columns):
-                words = open_text(data).split()
-                values = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                allowed = np.zeros(len(words) + 1, bool)
-                allowed[[p for p in places if p <= len(words)]] = True
-                if first and length == window:  # a window stands or falls with its smallest short window
-                    at = np.flatnonzero(allowed[_least(_hashes(values, before, 1), length - before + 1)])
-                elif first:  # not all short windows were looked at: take what overlaps one that repeats
-                    near = np.flatnonzero(allowed)
-                    at = np.unique((near[:, None] + np.arange(-window, window)).ravel())
-                    at = at[(at >= 0) & (at <= len(words) - length)]
-                else:
-                    n = len(words) - length + 1
-                    at = np.flatnonzero(allowed[:n] & allowed[length - before :][:n]) if n > 0 else np.zeros(0, np.int64)
+            docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
+            held = batch.column("places")
+            counts, starts = pa.compute.list_value_length(held).to_numpy(), np.asarray(held.offsets)[:-1]
+            flat = held.values.to_numpy()
+            texts = [open_text(data) for data in batch.column("packed").to_pylist()]
+            for low, high in _portions(texts):
+                words = Words(texts[low:high])
+                allowed = np.zeros(len(words.hashes) + 1, bool)
+                places = flat[starts[low] : starts[high - 1] + counts[high - 1]]
+                at = places + np.repeat(words.first, counts[low:high])
+                # Texts of a repeated doc_id share their places: some lie outside this text.
+                at = np.minimum(at, len(words.hashes))
+                allowed[at] = True
+                at = allowed_windows(words, allowed[:-1])
                 if len(at):
-                    h, g = _hashes(values, length, 2)[at], _hashes(values, length, 3)[at]
-                    parts.append((h, g, np.full(len(at), doc), np.full(len(at), tag), at.astype(np.int32)))
-                    rows += len(at)
-                if rows >= _ROWS:
-                    yield _sent(parts, names)
-                    parts, rows = [], 0
-        if parts:
-            yield _sent(parts, names)
-
-    return packed.mapInArrow(cut, "h long, g long, doc long, tag long, at int")
+                    text = words.text[at]
+                    h = _hashes(words.hashes, length, 2)[at]
+                    g = (_hashes(words.hashes, length, 3)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    inside = (at - words.first[text]).astype(np.int32)
+                    yield _sent([(h, g, docs[low:high][text], tags[low:high][text], inside)], names)
+
+    return packed.mapInArrow(cut, "h long, g int, doc long, tag long, at int")
 
 
 def _repeated(windows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
