@@ -55,7 +55,8 @@ def shard(records: DataFrame, shards: int, seed: int = 42, bucket_bytes: int = B
     written = staged(shuffled(records, seed, bucket_bytes), "shard-buckets")
     sizes = written.groupBy("bucket").count()
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    # Written, so that its size is known and the records need not move to meet it.
+    offsets = staged(sizes.select("bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset")), "shard-offsets")
     at = F.col("offset") + F.col("place")
     return written.join(offsets, "bucket").select(
         F.pmod(at, F.lit(shards)).cast("int").alias("shard"), F.floor(at / shards).cast("long").alias("slot"), "record"
