@@ -20,14 +20,18 @@ from pyspark.sql import functions as F
 from millrace.operators import attribution, diagnostics, inventory
 from millrace.operators.aggregates import top_keys
 from millrace.session import build_session
-from millrace.sinks.files import overwrite, recompress, write_once
+from millrace.sinks.files import overwrite, recompress
 from millrace.sinks.jdbc import export_jdbc
 from millrace.sinks.partitions import CONFLICT_MODES, write_partitions
 from millrace.sources import generate
+from millrace.sources.logs import read_event_log
 from millrace.streaming import records
 
 Args = argparse.Namespace
 
+# The shuffle that commands are made for unless told otherwise: 2,000 pieces of 256 MiB.
+SHUFFLE_BYTES = 500 * 1024**3
+
 
 def generate_wide(spark: SparkSession, args: Args) -> None:
     rows = generate.wide_rows(spark, args.parts, args.rows_per_part, args.start, args.decimal_divisor)
@@ -98,20 +102,24 @@ def costs(spark: SparkSession, args: Args) -> None:
     dictionary = attribution.read_dictionary(spark, args.dictionary)
     labels = attribution.project_labels(billing, args.start, args.end)
     lines = attribution.attribute_costs(billing, dictionary, labels, args.start, args.end, with_fan_out=True)
-    write_once(lines, f"{args.path}/lines")
+    # Both replace what an earlier run left, so that one that died can run again.
+    overwrite(lines, f"{args.path}/lines")
     stored = spark.read.parquet(f"{args.path}/lines")
-    write_once(attribution.cost_rollup(stored, ["date", "cluster_id", "project_id"]), f"{args.path}/rollup")
+    overwrite(attribution.cost_rollup(stored, ["date", "cluster_id", "project_id"]), f"{args.path}/rollup")
 
 
 def event_log(spark: SparkSession, args: Args) -> None:
-    """All event-log reports as Parquet."""
-    for name, report in diagnostics.event_log_report(spark, args.log).items():
+    """All event-log reports as Parquet, and the events they are made from, parsed once."""
+    overwrite(read_event_log(spark, args.log), f"{args.path}/events")
+    for name, report in diagnostics.event_reports(spark.read.parquet(f"{args.path}/events")).items():
         overwrite(report, f"{args.path}/{name}")
 
 
 def layout(spark: SparkSession, args: Args) -> None:
-    """Files, bytes and rows per partition."""
-    diagnostics.dataset_inventory(spark, args.source, args.keys).orderBy(*args.keys).show(1000, truncate=False)
+    """Files, bytes and rows per partition as Parquet; their totals are printed."""
+    overwrite(diagnostics.dataset_inventory(spark, args.source, args.keys), args.path)
+    totals = [F.sum(name).alias(name) for name in ("n_files", "n_bytes", "n_rows")]
+    spark.read.parquet(args.path).agg(F.count("*").alias("n_partitions"), *totals).show()
 
 
 def _secret(variable: str | None) -> str | None:
@@ -120,6 +128,9 @@ def _secret(variable: str | None) -> str | None:
 
 def parser() -> argparse.ArgumentParser:
     top_level = argparse.ArgumentParser(prog="millrace")
+    top_level.add_argument(
+        "--shuffle-bytes", type=int, default=SHUFFLE_BYTES, help="size of the largest shuffle; adaptive execution merges pieces that turn out small"
+    )
     commands = top_level.add_subparsers(required=True)
 
     def command(name: str, job, *positional: str) -> argparse.ArgumentParser:
@@ -173,13 +184,13 @@ def parser() -> argparse.ArgumentParser:
 
     command("costs", costs, "billing", "dictionary", "start", "end", "path")
     command("event-log", event_log, "log", "path")
-    command("layout", layout, "source").add_argument("keys", nargs="+")
+    command("layout", layout, "source", "path").add_argument("keys", nargs="+")
     return top_level
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
     args = parser().parse_args(arguments)
-    args.job(build_session("millrace"), args)
+    args.job(build_session("millrace", shuffle_bytes=args.shuffle_bytes), args)
 
 
 if __name__ == "__main__":

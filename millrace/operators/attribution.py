@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql.types import DecimalType, StructType
 
 from millrace.functions.scalars import non_empty, quoted
 from millrace.operators.joins import splittable_join
-from millrace.sources.tables import read_csv
+from millrace.sources.tables import read_csv, read_declared
 
 # Names of the label columns in a billing export, the text for "no match",
 # and the columns of a cost line that the attributed output keeps.
@@ -47,16 +49,36 @@ DICTIONARY_SCHEMA = "dt DATE, obj_id STRING, obj_type STRING, vm_id STRING, clus
 
 
 def read_billing(spark: SparkSession, path: str) -> DataFrame:
-    """Billing export: CSV with a header. Columns are found by name, as an export may hold
-    more of them in any order; a label no resource has is absent and reads as NULL."""
-    raw = spark.read.option("header", "true").csv(path)
-    fields = StructType.fromDDL(BILLING_SCHEMA)
-    return raw.select(
-        *[
-            (quoted(field.name) if field.name in raw.columns else F.lit(None)).cast(field.dataType).alias(field.name)
-            for field in fields
-        ]
+    """Billing exports: CSV files with a header. Columns are found by name in each file, as an
+    export may hold more of them in any order; a label no resource has is absent and reads as NULL.
+
+    Files of one header are read together. Finding the headers is a pass over the text of which
+    one line per file is kept; the driver receives the names of the files, as it does to plan any
+    scan.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.monotonically_increasing_id().alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("begin"),
     )
+    first = lines.where("begin = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    headers = first.groupBy("header").agg(F.collect_list("file").alias("files"))
+    fields = StructType.fromDDL(BILLING_SCHEMA)
+    parts = []
+    for row in headers.orderBy("header").collect():
+        names = next(csv.reader([row.header.removeprefix("\ufeff")]))
+        declared = ", ".join(f"`{place}` STRING" for place in range(len(names)))
+        raw = read_declared(spark, row.files, declared, "csv", header="true", enforceSchema="true")
+        parts.append(
+            raw.select(
+                *[
+                    (F.col(f"`{names.index(field.name)}`") if field.name in names else F.lit(None)).cast(field.dataType).alias(field.name)
+                    for field in fields
+                ]
+            )
+        )
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], fields)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -113,8 +135,8 @@ def attribute_costs(
     """
     names = labels
     if with_fan_out:
-        per_cluster = labels.groupBy("dt", "cluster_id").agg(F.count("*").alias("fan_out"))
-        names = splittable_join(labels, per_cluster, ["dt", "cluster_id"])
+        # The projects of one cluster and day, not its cost lines.
+        names = labels.withColumn("fan_out", F.count("*").over(Window.partitionBy("dt", "cluster_id")))
     wanted = inventory.where(in_period(F.col("dt"), start, end)).select("dt", "obj_id", "cluster_id")
     resources = splittable_join(wanted, names, ["dt", "cluster_id"], "left")
     lines = costs.where(in_period(F.col("date"), start, end)).select(*[quoted(name) for name in keep])

@@ -32,14 +32,13 @@ def search_logs(
     since: Column | str | None = None,
     until: Column | str | None = None,
     limit: int | None = None,
-    scan_limit: int | None = None,
     ts: str = "ts",
 ) -> DataFrame:
     """Log records by attribute values and UTC time range (``since`` <= time < ``until``).
 
-    The bounds are columns or ISO texts, with a date or for today. All conditions are plain comparisons and are pushed into the scan. ``limit`` bounds the
-    result. ``scan_limit`` is the logging service's own rule: only the first so many records
-    of the time range are looked at, before the attributes are compared.
+    The bounds are columns or ISO texts: a date with or without a time, or a time of day
+    (with a colon), which is today's. All conditions are plain comparisons and are pushed into
+    the scan. ``limit`` gives the earliest records that match; of equally late ones any.
     """
     ts_type = logs.schema[ts].dataType
 
@@ -57,19 +56,17 @@ def search_logs(
     attributes = [F.col(name) == value for name, value in (equals or {}).items()]
     attributes += [F.col(name).isin(list(values)) for name, values in (any_of or {}).items()]
 
-    found = logs.where(every(period))
-    if scan_limit is not None:
-        found = found.orderBy(ts).limit(scan_limit)
-    found = found.where(every(attributes))
-    return found if limit is None else found.limit(limit)
+    found = logs.where(every(period)).where(every(attributes))
+    return found if limit is None else found.orderBy(ts).limit(limit)
 
 
 def _utc_literal(text: str, ts_type: DataType) -> Column:
     """A moment given in UTC, as a literal of either timestamp type in any session zone."""
     utc = dt.timezone.utc
-    try:
+    # Without a colon, eight digits are a date, though they could be a time of day.
+    if ":" in text and "-" not in text.split(":")[0] and len(text.split(":")[0]) <= 3:
         moment = dt.datetime.combine(dt.datetime.now(utc).date(), dt.time.fromisoformat(text))
-    except ValueError:
+    else:
         moment = dt.datetime.fromisoformat(text)
     moment = moment.astimezone(utc) if moment.tzinfo else moment.replace(tzinfo=utc)
     without_zone = isinstance(ts_type, TimestampNTZType)
@@ -83,8 +80,9 @@ def _matched(text: Column, pattern: str, group: int) -> Column:
 
 
 def lost_executors(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Task, stage, task attempt, executor, reason and time-out (ms) of each lost-executor
-    line; other lines are dropped. A record broken over several lines must come as one value."""
+    """Task, stage, task attempt, executor, reason and time-out (ms) of each line that names a
+    lost executor; all columns but ``unread`` are NULL for one that cannot be parsed. Other lines
+    are left out. A record broken over several lines must come as one value."""
     def group(number: int) -> Column:
         return _matched(F.col(line), f"(?s){LOST_TASK}", number)
 
@@ -97,14 +95,19 @@ def lost_executors(lines: DataFrame, line: str = "value") -> DataFrame:
             group(4).alias("executor"),
             F.trim(group(5)).alias("reason"),
         )
-        .where(F.col("task").isNotNull())
         .withColumn("timeout_ms", _matched(F.col("reason"), TIMED_OUT, 1).cast("bigint"))
+        .withColumn("unread", F.col("task").isNull())
     )
 
 
 def losses_by_executor(losses: DataFrame) -> DataFrame:
-    """Number of losses and longest time-out per executor."""
-    return losses.groupBy("executor").agg(F.count("*").alias("n_lost"), F.max("timeout_ms").alias("max_timeout_ms"))
+    """Number of losses, longest time-out and number of lines that could not be parsed, per
+    executor; such lines are under the NULL executor."""
+    return losses.groupBy("executor").agg(
+        F.count_if(~F.col("unread")).alias("n_lost"),
+        F.max("timeout_ms").alias("max_timeout_ms"),
+        F.count_if("unread").alias("n_unread"),
+    )
 
 
 def registration_batches(lines: DataFrame, line: str = "value", by: Sequence[str] = ()) -> DataFrame:
@@ -221,7 +224,11 @@ def sql_plans(events: DataFrame) -> DataFrame:
 
 def event_log_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """All reports over an event log or a directory of logs."""
-    events = read_event_log(spark, path)
+    return event_reports(read_event_log(spark, path))
+
+
+def event_reports(events: DataFrame) -> dict[str, DataFrame]:
+    """All reports over events that are read already."""
     return {
         "jobs": job_report(events),
         "stages": stage_report(events),

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import BUSINESS_ZONE, day_text
 from millrace.operators.joins import splittable_join
-from millrace.sinks.partitions import write_partitions
-from millrace.workspace import fresh_path
+from millrace.sinks.partitions import clustered, write_partitions
+from millrace.workspace import discard, fresh_path
 
 # Names of the state's columns, the marker for a NULL stored value, the header
 # of the daily extract.
@@ -23,9 +23,6 @@ NULL_MARKER = "-"
 STATE_SCHEMA = "crdate INT, obj_id STRING, vm_id STRING, cluster_id STRING, otype STRING, upd_tv BIGINT"
 MARK_SCHEMA = "crdate INT, upd_tv BIGINT"
 
-# How much of an extract one task writes.
-ROWS_PER_TASK = 5_000_000
-DAYS_PER_TASK = 20
 EXTRACT_COLUMNS = ("dt", "obj_id", "obj_type", "vm_id", "cluster_id")
 
 
@@ -118,7 +115,9 @@ def merge_day(spark: SparkSession, path: str, incoming: DataFrame, crdate: int,
     batch = incoming.where(F.col("crdate") == crdate)
     staged = fresh_path(spark, "state")
     upsert_changed(state, batch, stamp, **options).write.parquet(staged)
-    return write_partitions(spark.read.parquet(staged), path, ["crdate"], conflict="replace", cluster=False)
+    write_partitions(spark.read.parquet(staged), path, ["crdate"], conflict="replace", cluster=False)
+    discard(spark, staged)
+    return path
 
 
 def create_state(spark: SparkSession, path: str, schema: str = STATE_SCHEMA) -> str:
@@ -133,18 +132,17 @@ def state_schema(inventory: DataFrame, stamp_column: str = "upd_tv") -> str:
     return ", ".join([*columns, f"{stamp_column} bigint"])
 
 
-def changed_days(state: DataFrame, marks: DataFrame, with_rows: bool = False) -> DataFrame:
+def changed_days(state: DataFrame, marks: DataFrame) -> DataFrame:
     """Days whose newest stamp is later than the mark saved by the last extract.
 
-    Both sides are one row per day before they meet. ``with_rows`` adds the number of rows
-    of the day as ``n_rows``.
+    Both sides are one row per day before they meet.
     """
-    newest = state.groupBy("crdate").agg(F.max("upd_tv").alias("upd_tv"), F.count("*").alias("n_rows"))
+    newest = state.groupBy("crdate").agg(F.max("upd_tv").alias("upd_tv"))
     saved = marks.groupBy("crdate").agg(F.max("upd_tv").alias("mark"))
     return (
         newest.join(saved, "crdate", "left")
         .where(F.coalesce("mark", F.lit(0)) < F.coalesce("upd_tv", F.lit(0)))
-        .select("crdate", "upd_tv", *(["n_rows"] if with_rows else []))
+        .select("crdate", "upd_tv")
     )
 
 
@@ -159,19 +157,17 @@ def daily_extract(state: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
-def write_extract(extract: DataFrame, path: str, tasks: int | None = None) -> str:
+def write_extract(extract: DataFrame, path: str) -> str:
     """Replace the days of an extract under ``path``: one folder per day, CSV with a header,
-    ordered by object.
+    each file ordered by object.
 
-    Rows are dealt out by ranges of (day, object): a task writes whole small days, and a day
-    that holds most of the objects gets several files in order. The folder is named by a
-    copy of the day, as partition columns are not written into the files and ``dt`` is part
-    of the format.
+    Days are gathered and, where one holds most of the objects, split by adaptive execution; so
+    the extract is computed once, with no sample for ranges. The folder is named by a copy of
+    the day, as partition columns are not written into the files and ``dt`` is part of the format.
     """
-    order = ["dt", "obj_id"]
-    ranged = extract.repartitionByRange(tasks, *order) if tasks else extract.repartitionByRange(*order)
+    dated = clustered(extract.withColumn("day", F.regexp_replace("dt", "-", "")), ["day"])
     # The sort starts with the folder, as a partitioned write asks for and would sort by again.
-    dated = ranged.withColumn("day", F.regexp_replace("dt", "-", "")).sortWithinPartitions("day", *order)
+    dated = dated.sortWithinPartitions("day", "dt", "obj_id")
     writer = dated.write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.option("header", "true").csv(path)
     return path
@@ -196,30 +192,25 @@ def extract_changed(
     if only is not None:
         state = state.where(F.col("crdate").isin(list(only)))
     staged = fresh_path(spark, "days")
-    found = changed_days(state, read_marks(spark, marks_path), with_rows=True)
-    found.repartition(1).write.parquet(staged)
-    days = spark.read.schema(f"{MARK_SCHEMA}, n_rows BIGINT").parquet(staged)
-    # Enough tasks for the rows, and for the files, as opening a file costs time too.
-    size = days.agg(F.count("*").alias("days"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")).first()
-    tasks = -(-size["days"] // DAYS_PER_TASK) + size["n_rows"] // ROWS_PER_TASK
-    write_extract(daily_extract(state, days), path, max(1, tasks))
+    changed_days(state, read_marks(spark, marks_path)).repartition(1).write.parquet(staged)
+    days = spark.read.schema(MARK_SCHEMA).parquet(staged)
+    write_extract(daily_extract(state, days), path)
     save_marks(days, marks_path)
+    discard(spark, staged)
     return path
 
 
 def save_marks(marks: DataFrame, path: str) -> str:
-    """Add marks to the store. Stamps only grow and readers take the greatest per day, so a
-    new row replaces the earlier one; one small file per extract."""
-    marks.select("crdate", "upd_tv").repartition(1).write.mode("append").parquet(path)
-    return path
+    """Replace the marks of the given days, one row each, in a store that is partitioned by day."""
+    return write_partitions(marks.select("crdate", "upd_tv"), path, ["crdate"], conflict="replace")
 
 
 def read_marks(spark: SparkSession, path: str) -> DataFrame:
     """The saved marks, ``crdate`` and ``upd_tv``. Create the store with ``create_marks``."""
-    return spark.read.schema(MARK_SCHEMA).parquet(path)
+    return spark.read.schema(MARK_SCHEMA).parquet(path).select("crdate", "upd_tv")
 
 
 def create_marks(spark: SparkSession, path: str) -> str:
     """An empty store of marks, before the first extract."""
-    spark.createDataFrame([], MARK_SCHEMA).write.mode("ignore").parquet(path)
+    spark.createDataFrame([], MARK_SCHEMA).write.mode("ignore").partitionBy("crdate").parquet(path)
     return path

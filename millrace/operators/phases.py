@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.workspace import fresh_path
 
-# A run with more rows than this is spread over several tasks. At most this many runs are;
-# any other run then holds less than one part in 10,000 of the rows.
-ROWS_PER_TASK = 5_000_000
-MAX_HOT_RUNS = 10_000
+# Seconds of a run that are ordered together.
+SLICE_SECONDS = 3600
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -22,77 +19,60 @@ def micros_between(start: Column, end: Column) -> Column:
     return (seconds * F.lit(1_000_000)).cast("bigint")
 
 
-def hot_runs(events: DataFrame, run: str, rows_per_task: int = ROWS_PER_TASK) -> dict:
-    """Runs too large for one task, with their row counts, largest first.
-
-    A map-side-combined count over one column; the driver receives at most MAX_HOT_RUNS rows.
-    """
-    counts = events.groupBy(run).agg(F.count("*").alias("n"))
-    largest = counts.where(F.col("n") > rows_per_task).orderBy(F.desc("n")).limit(MAX_HOT_RUNS)
-    return {row[run]: row["n"] for row in largest.collect()}
-
-
 def phase_durations(
     events: DataFrame,
     run: str = "run",
     ts: str = "ts",
     order: Sequence[str] = (),
     name: str = "micros",
-    rows_per_task: int = ROWS_PER_TASK,
+    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Add the time to the next event of the same run, in microseconds; NULL for the last.
 
-    ``order`` breaks ties between equal timestamps. Usual runs are one window per run; runs
-    that would overload a task are cut along their order. NULL is a run like any other; rows
-    without a timestamp have no duration and no place in the order.
-    """
-    timed = events.where(F.col(ts).isNotNull())
-    untimed = events.where(F.col(ts).isNull()).withColumn(name, F.lit(None).cast("bigint"))
-    hot = hot_runs(timed, run, rows_per_task)
-    is_hot = _is_one_of(F.col(run), list(hot))
-    usual = timed.where(~is_hot) if hot else timed
-    following = F.lead(ts).over(Window.partitionBy(run).orderBy(ts, *order))
-    duration = micros_between(F.col(ts), F.col("next_ts")).alias(name)
-    parts = [usual.withColumn("next_ts", following).select(*events.columns, duration)]
-    if hot:
-        slices = -(-sum(hot.values()) // rows_per_task)
-        cut = _cut(timed.where(is_hot), run, ts, order, slices).repartition(slices, "slice")
-        parts.append(_linked(cut, run, ts, order).select(*events.columns, duration))
-    return reduce(DataFrame.unionByName, [*parts, untimed])
-
+    ``order`` breaks ties between equal timestamps; of events it leaves equal any may be the
+    last. NULL is a run like any other; rows without a timestamp have no duration and no place
+    in the order.
 
-def _is_one_of(column: Column, values: list) -> Column:
-    """Membership that treats NULL as a value."""
-    known = F.coalesce(column.isin([value for value in values if value is not None]), F.lit(False))
-    return known | column.isNull() if None in values else known
-
-
-def _cut(events: DataFrame, run: str, ts: str, order: Sequence[str], slices: int) -> DataFrame:
-    """Number the events by slices of about equal size along (run, time, tie-break).
-
-    Spark's range partitioning draws the cuts, so bursts and equal timestamps are divided as
-    well. The slice is a property of that shuffle and is read twice below: it is written out
-    once, so that both readers, and any task that runs again, see the same slices.
+    An event is followed by its own timestamp unless it is the last of those at that moment, and
+    then by the next moment of the run. So only moments are put in order, one row for each run
+    and timestamp, counted together before they are shuffled; and not whole runs, but slices of
+    ``slice_seconds``, which one row per run and slice links to the next. The events meet the
+    moments in a join that adaptive execution can split, so neither a run nor a moment that holds
+    most of the events is one task. Events are written once, with a number that tells the last.
     """
-    path = fresh_path(events.sparkSession, "slices")
-    ranged = events.repartitionByRange(slices, run, ts, *order)
-    ranged.withColumn("slice", F.spark_partition_id()).write.parquet(path)
+    numbered = _numbered(events)
+    timed = numbered.where(F.col(f"event.{ts}").isNotNull())
+    last = F.struct(*[F.col(f"event.`{column}`") for column in order], "number")
+    moments = timed.groupBy(F.col(f"event.`{run}`").alias("run"), F.col(f"event.`{ts}`").alias("ts")).agg(F.max(last).alias("last"))
+    following = _linked(moments, slice_seconds)
+    event_run, event_ts = F.col(f"event.`{run}`"), F.col(f"event.`{ts}`")
+    joined = numbered.join(following, event_run.eqNullSafe(F.col("run")) & (event_ts == F.col("ts")), "left")
+    is_last = F.col("number") == F.col("last.number")
+    next_ts = F.when(is_last, F.col("next_ts")).when(event_ts.isNotNull(), event_ts)
+    return joined.select("event.*", micros_between(event_ts, next_ts).alias(name))
+
+
+def _numbered(events: DataFrame) -> DataFrame:
+    """event (a struct of all columns) and number, different for every row. Numbers are read
+    twice, and depend on how the rows came: so they are written out once."""
+    path = fresh_path(events.sparkSession, "events")
+    record = F.struct(*[F.col(f"`{column}`") for column in events.columns]).alias("event")
+    events.select(record, F.monotonically_increasing_id().alias("number")).write.parquet(path)
     return events.sparkSession.read.parquet(path)
 
 
-def _linked(cut: DataFrame, run: str, ts: str, order: Sequence[str]) -> DataFrame:
-    """Add ``next_ts``: within a slice by a window, and for the last event of a slice from
-    the table of slice starts, which has one row per slice and run.
-
-    Slices follow the order of the runs, so only the last run of a slice goes on in a later
-    one. Window and join thus both go by slice, and the events are shuffled once.
-    """
-    inside = Window.partitionBy("slice").orderBy(run, ts, *order)
-    following = F.lead(F.struct(F.col(run).alias("run"), F.col(ts).alias("ts"))).over(inside)
-    starts = cut.groupBy(run, "slice").agg(F.min(ts).alias("first_ts"))
-    later = F.lead("first_ts").over(Window.partitionBy(run).orderBy("slice")).alias("later_ts")
-    going_on = starts.select("slice", F.col(run).alias("_run"), later).where("later_ts IS NOT NULL")
-    joined = cut.withColumn("_next", following).join(going_on, "slice", "left")
-    inner_ts = F.when(F.col("_next.run").eqNullSafe(F.col(run)), F.col("_next.ts"))
-    outer_ts = F.when(F.col("_run").eqNullSafe(F.col(run)), F.col("later_ts"))
-    return joined.withColumn("next_ts", F.coalesce(inner_ts, outer_ts))
+def _linked(moments: DataFrame, slice_seconds: int) -> DataFrame:
+    """run, ts, last, next_ts of every moment: within a slice by a window, and for its last
+    moment from the table of slice starts."""
+    epoch = F.lit("1970-01-01 00:00:00").cast(moments.schema["ts"].dataType)
+    sliced = moments.withColumn("slice", F.floor(micros_between(epoch, F.col("ts")) / (slice_seconds * 1_000_000)))
+    inside = F.lead("ts").over(Window.partitionBy("run", "slice").orderBy("ts"))
+    starts = sliced.groupBy("run", "slice").agg(F.min("ts").alias("first_ts"))
+    later = F.lead("first_ts").over(Window.partitionBy("run").orderBy("slice")).alias("later_ts")
+    going_on = starts.select(F.col("run").alias("_run"), F.col("slice").alias("_slice"), later)
+    same = F.col("run").eqNullSafe(F.col("_run")) & (F.col("slice") == F.col("_slice"))
+    return (
+        sliced.withColumn("inside", inside)
+        .join(going_on, same, "left")
+        .select("run", "ts", "last", F.coalesce("inside", "later_ts").alias("next_ts"))
+    )

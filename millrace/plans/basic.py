@@ -18,12 +18,16 @@ STORED_LINE_COLUMNS = """
 
 
 def scan_limit(spark: SparkSession, directory: str) -> DataFrame:
-    return first_rows(spark, f"{directory}/lineitem.parquet", 100)
+    """Which rows a limit without an order gives is undefined; their number is not, nor that all
+    of them are in the table."""
+    path = f"{directory}/lineitem.parquet"
+    some = first_rows(spark, path, 100)
+    strangers = some.exceptAll(table(spark, directory, "lineitem"))
+    return aggregates.row_count(some).withColumn("strangers", aggregates.row_count(strangers).scalar())
 
 
 def scan_limit_count(spark: SparkSession, directory: str) -> DataFrame:
-    """Which rows a limit without an order gives is undefined; how many is not."""
-    return aggregates.row_count(scan_limit(spark, directory))
+    return aggregates.row_count(first_rows(spark, f"{directory}/lineitem.parquet", 100))
 
 
 def count_all(spark: SparkSession, directory: str) -> DataFrame:
@@ -118,6 +122,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "scan_limit": "SELECT COUNT(*) AS n, CAST(0 AS BIGINT) AS strangers FROM (SELECT * FROM lineitem LIMIT 100) x",
     "scan_limit_count": "SELECT COUNT(*) AS n FROM (SELECT * FROM lineitem LIMIT 100) x",
     "count_all": "SELECT COUNT(*) AS n FROM lineitem",
     "external_table_scan": """

@@ -53,7 +53,23 @@ def _attributed(spark: SparkSession, directory: str, with_fan_out: bool = False)
 
 
 def cost_attribution(spark: SparkSession, directory: str) -> DataFrame:
-    return _attributed(spark, directory)
+    """Costs and dictionary go out as CSV, in the columns of an export, and are read back."""
+    exported = _costs(spark, directory).select(
+        "resource_id", "date", "cost", F.col("quantity").alias("pricing_quantity"), F.col("order_id").alias("cloud_name"),
+        F.col("line_no").alias("folder_name"), F.col("supplier_id").alias("service_name"),
+        F.col(f"`{attribution.CLUSTER_LABEL}`"), F.col(f"`{attribution.PROJECT_LABEL}`"),
+    )
+    costs = attribution.read_billing(spark, write_csv(exported, fresh_path(spark, "billing")))
+    known = _dictionary(spark, directory).select("dt", "obj_id", F.lit("vm").alias("obj_type"), F.col("obj_id").alias("vm_id"), "cluster_id")
+    dictionary = attribution.read_dictionary(spark, write_csv(known, fresh_path(spark, "dictionary")))
+    labels = attribution.project_labels(costs, START, END)
+    keep = ["resource_id", "date", "cloud_name", "folder_name", "service_name", "pricing_quantity", "cost"]
+    lines = attribution.attribute_costs(costs, dictionary, labels, START, END, keep)
+    kinds = _costs(spark, directory).select(*LINE_COLUMNS).schema
+    return lines.select(
+        "cluster_id", "project_id",
+        *[F.col(name).cast(field.dataType).alias(field.name) for name, field in zip(keep, kinds)],
+    )
 
 
 def cost_rollup(spark: SparkSession, directory: str) -> DataFrame:
@@ -67,18 +83,20 @@ def cost_rollup_by_day(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def project_mapping(spark: SparkSession, directory: str) -> DataFrame:
-    """Customers as clusters: a nation's customers map to their segment, on the date of an
-    urgent order to that order's status instead. The mapping is an external table."""
+    """Customers as clusters: a customer maps to their segment, on the date of an urgent order to
+    that order's status instead, and one customer in three by date only. The mapping is an
+    external table."""
     customers = table(spark, directory, "customer")
     orders = table(spark, directory, "orders")
     cluster = F.concat(F.lit("c-"), F.col("c_custkey").cast("string")).alias("cluster_id")
     order_cluster = F.concat(F.lit("c-"), F.col("o_custkey").cast("string")).alias("cluster_id")
     order_date = F.col("o_orderdate").cast("date")
-    usual = customers.where("c_nationkey < 20").select(
-        F.lit(None).cast("date").alias("valid_on"), cluster, F.col("c_mktsegment").alias("project_id")
+    by_date_only = F.col("c_custkey") % 3 == 0
+    usual = customers.select(
+        F.when(by_date_only, F.lit("1995-01-01").cast("date")).alias("valid_on"), cluster, F.col("c_mktsegment").alias("project_id")
     )
     urgent = orders.where("o_orderpriority = '1-URGENT'").groupBy(order_date.alias("valid_on"), order_cluster)
-    daily = urgent.agg(F.max("o_orderstatus").alias("project_id"))
+    daily = urgent.agg(F.max("o_orderstatus").alias("project_id")).where("valid_on <> DATE '1995-01-01'")
     rows = usual.unionByName(daily)
     mapping = read_csv(spark, write_csv(rows, fresh_path(spark, "mapping")), rows.schema)
     costs = orders.select("o_orderkey", order_cluster, order_date.alias("date"), "o_totalprice")
@@ -92,29 +110,28 @@ QUERIES = {
     "project_mapping": project_mapping,
 }
 
+# A line's cluster is that of its part on its day; its projects are those that labelled lines
+# name for that cluster and day, and the line is repeated for each.
+_PERIOD = f"l_shipdate >= DATE '{START}' AND l_shipdate < DATE '{END}'"
 _ATTRIBUTED = f"""
-    costs AS (
-        SELECT row_number() OVER () AS line_id, 'part-' || l_partkey AS resource_id,
-               CAST(l_shipdate AS DATE) AS date, l_orderkey AS order_id, l_linenumber AS line_no,
-               l_suppkey AS supplier_id, l_quantity AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS cost,
-               CASE WHEN l_returnflag = 'A' THEN 'c-' || l_suppkey END AS cluster_label,
-               CASE WHEN l_returnflag = 'A' AND l_linenumber = 7 THEN ''
-                    WHEN l_returnflag = 'A' THEN 'p-' || l_linenumber END AS project_label
-        FROM lineitem),
-    dictionary AS (
-        SELECT CAST(l_shipdate AS DATE) AS dt, 'part-' || l_partkey AS obj_id, 'c-' || MAX(l_suppkey) AS cluster_id
-        FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
-    labels AS (
-        SELECT DISTINCT date AS dt, cluster_label AS cluster_id, project_label AS project_id FROM costs
-        WHERE cluster_label IS NOT NULL AND cluster_label <> '' AND project_label IS NOT NULL
-          AND project_label <> '' AND date >= DATE '{START}' AND date < DATE '{END}'),
+    owners AS (
+        SELECT l_shipdate::DATE AS day, l_partkey AS part, max(l_suppkey) AS supplier
+        FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
+    projects AS (
+        SELECT l_shipdate::DATE AS day, l_suppkey AS supplier, list(DISTINCT 'p-' || l_linenumber) AS names
+        FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber <> 7 AND {_PERIOD} GROUP BY ALL),
+    placed AS (
+        SELECT l.*, 'c-' || o.supplier AS cluster, coalesce(p.names, ['-']) AS names
+        FROM lineitem AS l
+        LEFT JOIN owners AS o ON (o.day, o.part) = (l.l_shipdate::DATE, l.l_partkey)
+        LEFT JOIN projects AS p USING (day, supplier)
+        WHERE {_PERIOD}),
     attributed AS (
-        SELECT COALESCE(z.cluster_id, '-') AS cluster_id, COALESCE(y.project_id, '-') AS project_id, x.*
-        FROM costs x
-        LEFT JOIN dictionary z ON z.dt = x.date AND z.obj_id = x.resource_id
-        LEFT JOIN labels y ON y.dt = z.dt AND y.cluster_id = z.cluster_id
-        WHERE x.date >= DATE '{START}' AND x.date < DATE '{END}'),
-    counted AS (SELECT *, COUNT(*) OVER (PARTITION BY line_id) AS copies FROM attributed)"""
+        SELECT coalesce(cluster, '-') AS cluster_id, unnest(names) AS project_id, len(names) AS copies,
+               'part-' || l_partkey AS resource_id, l_shipdate::DATE AS date, l_orderkey AS order_id,
+               l_linenumber AS line_no, l_suppkey AS supplier_id, l_quantity AS quantity,
+               l_extendedprice::DECIMAL(18,2) AS cost
+        FROM placed)"""
 
 
 def _rollup_sql(by: str) -> str:
@@ -122,7 +139,7 @@ def _rollup_sql(by: str) -> str:
         WITH {_ATTRIBUTED}
         SELECT {by}, CAST(SUM(cost) AS DECIMAL(28,2)) AS cost, COUNT(*) AS n_lines,
                COUNT(*) FILTER (WHERE copies > 1) AS fan_out
-        FROM counted GROUP BY {by}"""
+        FROM attributed GROUP BY {by}"""
 
 
 ORACLES = {
@@ -136,7 +153,9 @@ ORACLES = {
                COALESCE(d.project_id, c.c_mktsegment) AS project_id
         FROM orders o
         LEFT JOIN (SELECT o_custkey, CAST(o_orderdate AS DATE) AS day, MAX(o_orderstatus) AS project_id
-                   FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2) d
+                   FROM orders WHERE o_orderpriority = '1-URGENT' AND CAST(o_orderdate AS DATE) <> DATE '1995-01-01'
+                   GROUP BY 1, 2
+                   UNION ALL SELECT c_custkey, DATE '1995-01-01', c_mktsegment FROM customer WHERE c_custkey % 3 = 0) d
           ON d.o_custkey = o.o_custkey AND d.day = CAST(o.o_orderdate AS DATE)
-        LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_nationkey < 20""",
+        LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_custkey % 3 <> 0""",
 }

@@ -1,15 +1,13 @@
-"""Diagnostics over the given tables: events as log records, log lines and event logs that
-Spark writes from events, line items and orders."""
+"""Diagnostics over the given tables: events as log records, events and orders as log lines."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import diagnostics
-from millrace.operators.phases import ROWS_PER_TASK, phase_durations
+from millrace.operators.phases import phase_durations
+from millrace.sources.logs import read_logs
 from millrace.sources.tables import table
 from millrace.workspace import fresh_path
 
@@ -18,13 +16,30 @@ CONFIGS = ("A", "N", "R")
 
 
 def log_filter(spark: SparkSession, directory: str) -> DataFrame:
-    logs = table(spark, directory, "events")
-    return diagnostics.search_logs(
-        logs,
-        any_of={"event_type": ["error", "view"]},
+    """Events exported as log records, JSON lines, and searched there."""
+    events = table(spark, directory, "events")
+    exported = events.select(
+        _text(F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")), "Z").alias("ts"),
+        F.col("event_type").alias("log_type"),
+        F.col("user_id").cast("string").alias("application_id"),
+        F.col("event_id").cast("string").alias("container_id"),
+        F.col("props").alias("message"),
+    )
+    path = fresh_path(spark, "logs")
+    exported.write.json(path)
+    found = diagnostics.search_logs(
+        read_logs(spark, path),
+        any_of={"log_type": ["error", "view"]},
         since="2024-01-05 00:00:00",
         until="2024-01-25 00:00:00",
     )
+    return found.select(
+        F.col("container_id").cast("bigint").alias("event_id"),
+        F.col("application_id").cast("bigint").alias("user_id"),
+        F.col("log_type").alias("event_type"),
+        F.unix_micros("ts").alias("micros"),
+        F.col("message").alias("props"),
+    )
 
 
 def event_durations(spark: SparkSession, directory: str) -> DataFrame:
@@ -34,11 +49,9 @@ def event_durations(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def event_durations_sliced(spark: SparkSession, directory: str) -> DataFrame:
-    """The same with runs being event types: each has a fifth of all rows, more than is
-    allowed per task here, so all are cut into slices."""
+    """The same with runs being event types, each of which has a fifth of all rows."""
     events = table(spark, directory, "events").select("event_type", "event_id", "ts")
-    rows_per_task = min(ROWS_PER_TASK, max(1, events.count() // 40))
-    return phase_durations(events, run="event_type", order=["event_id"], rows_per_task=rows_per_task)
+    return phase_durations(events, run="event_type", order=["event_id"])
 
 
 def _text(*parts: Column | str) -> Column:
@@ -77,98 +90,6 @@ def registration_batches(spark: SparkSession, directory: str) -> DataFrame:
     return diagnostics.registration_batches(lines, by=["run"])
 
 
-_EVENT_LOGS: dict[tuple[str, str], str] = {}
-
-
-def _event_log(spark: SparkSession, directory: str) -> str:
-    """The event log of a directory of tables, written once per application."""
-    known = (spark.sparkContext.applicationId, directory)
-    if known not in _EVENT_LOGS:
-        _EVENT_LOGS[known] = _write_event_log(spark, directory)
-    return _EVENT_LOGS[known]
-
-
-def _write_event_log(spark: SparkSession, directory: str) -> str:
-    """Line items as finished tasks, orders as jobs, stages and SQL runs, suppliers as
-    executors and parts as settings, in the event-log form."""
-    lines = table(spark, directory, "lineitem")
-    tasks = lines.select(
-        F.lit("SparkListenerTaskEnd").alias("Event"),
-        F.col("l_linenumber").alias("Stage ID"),
-        F.lit(0).alias("Stage Attempt ID"),
-        F.struct(
-            F.col("l_suppkey").cast("string").alias("Executor ID"),
-            F.lit("host").alias("Host"),
-            (F.col("l_returnflag") == "R").alias("Failed"),
-        ).alias("Task Info"),
-        F.struct(
-            (F.col("l_partkey") + 1000).alias("Executor Run Time"), F.col("l_partkey").alias("JVM GC Time")
-        ).alias("Task Metrics"),
-    )
-    orders = table(spark, directory, "orders")
-    key, spent = F.col("o_orderkey"), F.col("o_custkey")
-    started, ended = key * 1000, key * 1000 + spent
-    job_start = orders.select(
-        F.lit("SparkListenerJobStart").alias("Event"), key.alias("Job ID"), started.alias("Submission Time")
-    )
-    job_end = orders.select(
-        F.lit("SparkListenerJobEnd").alias("Event"),
-        key.alias("Job ID"),
-        ended.alias("Completion Time"),
-        F.struct(F.when(F.col("o_orderstatus") == "F", "JobSucceeded").otherwise("JobFailed").alias("Result")).alias(
-            "Job Result"
-        ),
-    )
-    stages = orders.select(
-        F.lit("SparkListenerStageCompleted").alias("Event"),
-        F.struct(
-            key.alias("Stage ID"),
-            F.lit(0).alias("Stage Attempt ID"),
-            F.col("o_orderpriority").alias("Stage Name"),
-            F.lit(8).alias("Number of Tasks"),
-            started.alias("Submission Time"),
-            ended.alias("Completion Time"),
-        ).alias("Stage Info"),
-    )
-    sql_start = orders.select(
-        F.lit(f"{diagnostics.SQL_EVENTS}Start").alias("Event"),
-        key.alias("executionId"),
-        F.col("o_orderpriority").alias("description"),
-        _text("== Physical Plan ==\n", F.col("o_orderstatus")).alias("physicalPlanDescription"),
-        started.alias("time"),
-    )
-    sql_end = orders.select(F.lit(f"{diagnostics.SQL_EVENTS}End").alias("Event"), key.alias("executionId"), ended.alias("time"))
-    suppliers = table(spark, directory, "supplier")
-    executor, balance = F.col("s_suppkey").cast("string").alias("Executor ID"), F.col("s_acctbal")
-    added = suppliers.select(
-        F.lit("SparkListenerExecutorAdded").alias("Event"),
-        executor,
-        (F.col("s_suppkey") * 10).alias("Timestamp"),
-        F.struct(F.col("s_name").alias("Host"), F.col("s_nationkey").alias("Total Cores")).alias("Executor Info"),
-    )
-    removed = suppliers.where(balance < 0).select(
-        F.lit("SparkListenerExecutorRemoved").alias("Event"),
-        executor,
-        (F.col("s_suppkey") * 10 + 5).alias("Timestamp"),
-        F.lit("lost").alias("Removed Reason"),
-    )
-    settings = table(spark, directory, "part").select(
-        F.lit("SparkListenerEnvironmentUpdate").alias("Event"),
-        F.create_map(_text("spark.part.", F.col("p_partkey")), F.col("p_brand")).alias("Spark Properties"),
-    )
-    path = f"{fresh_path(spark, 'events')}/application_1700000000000_0001"
-    kinds = [tasks, job_start, job_end, stages, sql_start, sql_end, added, removed, settings]
-    reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), kinds).write.json(path)
-    return path
-
-
-def _report(name: str):
-    def query(spark: SparkSession, directory: str) -> DataFrame:
-        return diagnostics.event_log_report(spark, _event_log(spark, directory))[name]
-
-    return query
-
-
 def throughput(spark: SparkSession, directory: str) -> DataFrame:
     """Line status as test and return flag as configuration; quantity stands for the time."""
     runs = table(spark, directory, "lineitem").select(
@@ -183,28 +104,9 @@ QUERIES = {
     "phase_durations_sliced": event_durations_sliced,
     "lost_executors": lost_executors,
     "registration_batches": registration_batches,
-    "event_log_jobs": _report("jobs"),
-    "event_log_stages": _report("stages"),
-    "event_log_stage_tasks": _report("stage_tasks"),
-    "event_log_executors": _report("executors"),
-    "event_log_executor_states": _report("executor_states"),
-    "event_log_settings": _report("settings"),
-    "event_log_sql": _report("sql"),
-    "event_log_sql_plans": _report("sql_plans"),
     "throughput_report": throughput,
 }
 
-_APP = "'application_1700000000000_0001' AS app"
-
-
-def _task_sums_sql(key: str, name: str) -> str:
-    return f"""
-        SELECT {_APP}, {key} AS {name}, COUNT(*) AS n_tasks, COUNT(*) FILTER (WHERE l_returnflag = 'R') AS n_failed,
-               CAST(SUM(l_partkey + 1000) AS BIGINT) AS run_ms, CAST(SUM(l_partkey) AS BIGINT) AS gc_ms,
-               CAST(SUM(l_partkey) AS DOUBLE) / CAST(SUM(l_partkey + 1000) AS DOUBLE) AS gc_share
-        FROM lineitem GROUP BY ALL"""
-
-
 def _durations_sql(run: str, columns: str) -> str:
     following = f"lead(ts) OVER (PARTITION BY {run} ORDER BY ts, event_id)"
     return f"SELECT {columns}, date_diff('microsecond', ts, {following}) AS micros FROM events"
@@ -212,12 +114,14 @@ def _durations_sql(run: str, columns: str) -> str:
 
 ORACLES = {
     "log_filter": """
-        SELECT * FROM events WHERE event_type IN ('error', 'view')
+        SELECT event_id, user_id, event_type, epoch_us(ts) AS micros, props
+        FROM events WHERE event_type IN ('error', 'view')
           AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-25 00:00:00'""",
     "phase_durations": _durations_sql("user_id", "user_id, event_id, event_type, ts"),
     "phase_durations_sliced": _durations_sql("event_type", "event_type, event_id, ts"),
     "lost_executors": """
-        SELECT CAST(user_id % 40 AS VARCHAR) AS executor, COUNT(*) AS n_lost, MAX(event_id + 120000) AS max_timeout_ms
+        SELECT CAST(user_id % 40 AS VARCHAR) AS executor, COUNT(*) AS n_lost, MAX(event_id + 120000) AS max_timeout_ms,
+               CAST(0 AS BIGINT) AS n_unread
         FROM events WHERE event_type = 'error' GROUP BY 1""",
     "registration_batches": """
         SELECT o_orderstatus AS run, COUNT(*) AS batches, CAST(SUM(o_custkey) AS BIGINT) AS partitions,
@@ -225,29 +129,6 @@ ORACLES = {
                CAST(SUM(o_orderkey) * 2 AS BIGINT) AS fetch_ms, CAST(SUM(o_orderkey) * 3 AS BIGINT) AS add_ms,
                COUNT(*) AS n_other
         FROM orders GROUP BY 1""",
-    "event_log_jobs": f"""
-        SELECT {_APP}, o_orderkey AS job_id, o_custkey AS duration_ms,
-               CASE WHEN o_orderstatus = 'F' THEN 'JobSucceeded' ELSE 'JobFailed' END AS result
-        FROM orders""",
-    "event_log_stages": f"""
-        SELECT {_APP}, o_orderkey AS stage_id, CAST(0 AS BIGINT) AS attempt, o_orderpriority AS stage_name,
-               CAST(8 AS BIGINT) AS n_tasks, o_custkey AS duration_ms
-        FROM orders""",
-    "event_log_stage_tasks": _task_sums_sql("CAST(l_linenumber AS BIGINT)", "stage_id"),
-    "event_log_executors": _task_sums_sql("CAST(l_suppkey AS VARCHAR)", "executor_id"),
-    "event_log_executor_states": f"""
-        SELECT {_APP}, CAST(s_suppkey AS VARCHAR) AS executor_id, s_name AS host, s_nationkey AS cores,
-               s_suppkey * 10 AS added_ms, CASE WHEN s_acctbal < 0 THEN s_suppkey * 10 + 5 END AS removed_ms,
-               CASE WHEN s_acctbal < 0 THEN 'lost' END AS reason
-        FROM supplier""",
-    "event_log_settings": f"""
-        SELECT {_APP}, 'spark.part.' || p_partkey AS setting, p_brand AS value FROM part""",
-    "event_log_sql_plans": f"""
-        SELECT {_APP}, o_orderkey AS execution_id, '== Physical Plan ==' || chr(10) || o_orderstatus AS plan
-        FROM orders""",
-    "event_log_sql": f"""
-        SELECT {_APP}, o_orderkey AS execution_id, o_orderpriority AS description, o_custkey AS duration_ms
-        FROM orders""",
     "throughput_report": """
         SELECT l_linestatus AS test, MIN(l_extendedprice) FILTER (WHERE l_returnflag = 'A') AS "A",
                MIN(l_extendedprice) FILTER (WHERE l_returnflag = 'N') AS "N",

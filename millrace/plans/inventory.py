@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import day_number
 from millrace.operators import inventory
-from millrace.sources.tables import read_csv, table
+from millrace.sinks.partitions import write_partitions
+from millrace.sources.tables import literal_rows, read_csv, table
 from millrace.workspace import fresh_path
 
 
 def inventory_build(spark: SparkSession, directory: str) -> DataFrame:
-    """Suppliers of the first 20 nations are hosts; each line item attaches a part, as a
-    disk, to its supplier and the next one."""
-    hosts = table(spark, directory, "supplier").where("s_nationkey < 20").select(
+    """Suppliers are hosts; each line item attaches a part, as a disk, to its supplier and the
+    next one, which for the last supplier is no known host."""
+    hosts = table(spark, directory, "supplier").select(
         F.concat(F.lit("vm-"), F.col("s_suppkey").cast("string")).alias("vm_id"),
         F.concat(F.lit("c-"), F.col("s_nationkey").cast("string")).alias("cluster_id"),
     )
@@ -62,6 +63,22 @@ def inventory_upsert_null_safe(spark: SparkSession, directory: str) -> DataFrame
     return inventory.upsert_changed(_state(spark, directory), incoming, 2, null_safe=True)
 
 
+# A day that the stored upsert below merges, and rows that come in as values.
+MERGED_DAY = 19950315
+LITERAL_ROWS = [(MERGED_DAY, "new-1", "vm-new", "c-new", "vm"), (MERGED_DAY, "new-2", "vm-new", None, "disk"), (1, "x", "vm-new", "c", "vm")]
+
+
+def inventory_merge(spark: SparkSession, directory: str) -> DataFrame:
+    """One day's orders and some literal rows merged into the stored state, all of it read back."""
+    state = _state(spark, directory)
+    path = write_partitions(state, fresh_path(spark, "state"), ["crdate"], "append")
+    seen = _observations(spark, directory).select(*inventory.STATE_KEYS, *inventory.STATE_VALUES)
+    incoming = seen.unionByName(literal_rows(spark, LITERAL_ROWS, seen.schema))
+    inventory.merge_day(spark, path, incoming, MERGED_DAY, 2)
+    stored = spark.read.schema(inventory.state_schema(seen)).parquet(path)
+    return stored.select(*inventory.STATE_KEYS, *inventory.STATE_VALUES, "upd_tv")
+
+
 def _days(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
     """State, and the marks an extract would have saved before the open orders arrived."""
     state = _observations(spark, directory)
@@ -74,12 +91,13 @@ def changed_days(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def daily_extract(spark: SparkSession, directory: str) -> DataFrame:
-    """The extract of the changed days, written as CSV by day and read back."""
+    """The extract of the changed days of a stored state, written as CSV by day and read back."""
     state, marks = _days(spark, directory)
     latest = inventory.one_per_key(state, inventory.STATE_KEYS, ("upd_tv", "vm_id", "cluster_id", "otype"))
-    marks_path = fresh_path(spark, "marks")
-    inventory.save_marks(marks, marks_path)
-    path = inventory.extract_changed(spark, latest, marks_path, fresh_path(spark, "extract"))
+    state_path = write_partitions(latest, fresh_path(spark, "state"), ["crdate"], "append")
+    stored = spark.read.schema(inventory.state_schema(latest)).parquet(state_path)
+    marks_path = inventory.save_marks(marks, fresh_path(spark, "marks"))
+    path = inventory.extract_changed(spark, stored, marks_path, fresh_path(spark, "extract"))
     columns = ", ".join(f"{name} STRING" for name in inventory.EXTRACT_COLUMNS)
     return read_csv(spark, path, columns).select(*inventory.EXTRACT_COLUMNS)
 
@@ -88,6 +106,7 @@ QUERIES = {
     "inventory_build": inventory_build,
     "inventory_upsert": inventory_upsert,
     "inventory_upsert_null_safe": inventory_upsert_null_safe,
+    "inventory_merge": inventory_merge,
     "changed_days": changed_days,
     "daily_extract": daily_extract,
 }
@@ -99,7 +118,8 @@ _OBSERVATIONS = """
     FROM orders"""
 
 
-def _upsert_sql(differs: str) -> str:
+def _upsert_sql(differs: str, more: str = "", listed: str = "TRUE") -> str:
+    """``more`` rows come in besides the orders, and only those that ``listed`` names."""
     return f"""
         WITH seen AS ({_OBSERVATIONS}),
         base AS (
@@ -111,7 +131,8 @@ def _upsert_sql(differs: str) -> str:
             WHERE rn = 1),
         inc AS (
             SELECT * FROM (
-                SELECT *, row_number() OVER (PARTITION BY crdate, obj_id ORDER BY vm_id DESC) AS rn FROM seen) x
+                SELECT *, row_number() OVER (PARTITION BY crdate, obj_id ORDER BY vm_id DESC) AS rn
+                FROM (SELECT crdate, obj_id, vm_id, cluster_id, otype FROM seen {more}) y WHERE {listed}) x
             WHERE rn = 1),
         chg AS (
             SELECT i.* FROM inc i LEFT JOIN base r ON r.crdate = i.crdate AND r.obj_id = i.obj_id
@@ -132,11 +153,17 @@ _CHANGED = f"""
         LEFT JOIN marks m ON m.crdate = s.crdate
         WHERE COALESCE(m.mark, 0) < COALESCE(s.upd_tv, 0))"""
 
+# Something came in, and it is not what is stored or the marker for nothing stored.
+_MARKED = " OR ".join(
+    f"i.{name} IS NOT NULL AND i.{name} <> COALESCE(r.{name}, '{inventory.NULL_MARKER}')" for name in inventory.STATE_VALUES
+)
+_LITERALS = ", ".join(f"({', '.join('NULL' if v is None else repr(v) for v in row)})" for row in LITERAL_ROWS)
+
 ORACLES = {
     "inventory_build": """
         WITH hosts AS (
             SELECT 'vm-' || s_suppkey AS vm_id, 'c-' || s_nationkey AS cluster_id
-            FROM supplier WHERE s_nationkey < 20),
+            FROM supplier),
         disks AS (
             SELECT 'disk-' || l_partkey AS obj_id, unnest(['vm-' || l_suppkey, 'vm-' || (l_suppkey + 1)]) AS vm_id
             FROM lineitem),
@@ -146,14 +173,9 @@ ORACLES = {
         UNION ALL
         SELECT CAST(20240131 AS INTEGER), b.obj_id, b.vm_id, h.cluster_id, 'disk'
         FROM best b JOIN hosts h ON h.vm_id = b.vm_id""",
-    "inventory_upsert": _upsert_sql(
-        "COALESCE(r.vm_id, '-') <> i.vm_id OR COALESCE(r.cluster_id, '-') <> i.cluster_id"
-        " OR COALESCE(r.otype, '-') <> i.otype"
-    ),
-    "inventory_upsert_null_safe": _upsert_sql(
-        "r.vm_id IS DISTINCT FROM i.vm_id OR r.cluster_id IS DISTINCT FROM i.cluster_id"
-        " OR r.otype IS DISTINCT FROM i.otype"
-    ),
+    "inventory_upsert": _upsert_sql(_MARKED),
+    "inventory_upsert_null_safe": _upsert_sql(" OR ".join(f"i.{name} IS DISTINCT FROM r.{name}" for name in inventory.STATE_VALUES)),
+    "inventory_merge": _upsert_sql(_MARKED, f"UNION ALL VALUES {_LITERALS}", f"crdate = {MERGED_DAY}"),
     "changed_days": f"WITH {_CHANGED} SELECT crdate, upd_tv FROM changed",
     "daily_extract": f"""
         WITH {_CHANGED}

@@ -15,37 +15,40 @@ from millrace.sources.tables import table
 from millrace.workspace import fresh_path
 
 
+# Rows that one part of a generated table holds.
+ROWS_PER_PART = 10_000
+
+
 def number_series(spark: SparkSession, directory: str) -> DataFrame:
-    return generate.number_series(spark, table(spark, directory, "lineitem").count())
+    """Each order's line numbers, and from them numbers that run on from its key."""
+    lines = table(spark, directory, "lineitem")
+    return generate.numbers_from(lines, "l_orderkey", F.col("l_linenumber"))
 
 
 def time_series(spark: SparkSession, directory: str) -> DataFrame:
     events = table(spark, directory, "events")
-    numbers = generate.number_series(spark, events.count())
-    return generate.time_series(numbers, events.agg(F.max("ts")).scalar())
+    return generate.time_series(events.select(F.col("event_id").alias("num")), events.agg(F.max("ts")).scalar())
 
 
 def uuid_distinct(spark: SparkSession, directory: str) -> DataFrame:
-    """Every generated identifier is different."""
-    numbers = generate.number_series(spark, table(spark, directory, "lineitem").count())
-    return generate.uuid_columns(numbers, ("d",)).select("d").distinct().agg(F.count("*").alias("n"))
-
-
-def _wide_size(spark: SparkSession, directory: str, total: str) -> tuple[int, int]:
-    """Parts and rows per part: as many running numbers as customers, at most a million to a
-    part (one task), and enough parts for about the rows of a table."""
-    rows_per_part = min(1_000_000, table(spark, directory, "customer").count())
-    return -(-table(spark, directory, total).count() // rows_per_part), rows_per_part
+    """Every identifier given to an order is different."""
+    orders = table(spark, directory, "orders").select("o_orderkey")
+    return generate.uuid_columns(orders, ("d",)).select("d").distinct().agg(F.count("*").alias("n"))
 
 
 def wide_datagen(spark: SparkSession, directory: str) -> DataFrame:
-    return generate.wide_rows(spark, *_wide_size(spark, directory, "lineitem"))
+    """The wide table over the keys of the line items."""
+    return generate.wide_rows_of(table(spark, directory, "lineitem"), "l_orderkey", ROWS_PER_PART)
 
 
 def wide_datagen_overflow(spark: SparkSession, directory: str) -> DataFrame:
     """The variant that starts at 1 and whose first decimal overflows to NULL."""
-    parts, rows_per_part = _wide_size(spark, directory, "orders")
-    return generate.wide_rows(spark, parts, rows_per_part, start=1, decimal_divisor=10)
+    return generate.wide_rows_of(table(spark, directory, "orders"), "o_orderkey", ROWS_PER_PART, start=1, decimal_divisor=10)
+
+
+def wide_datagen_tenths(spark: SparkSession, directory: str) -> DataFrame:
+    """The variant that starts at 0 and divides by 10."""
+    return generate.wide_rows_of(table(spark, directory, "customer"), "c_custkey", ROWS_PER_PART, decimal_divisor=10)
 
 
 def array_column(spark: SparkSession, directory: str) -> DataFrame:
@@ -65,14 +68,11 @@ def orders_by_day(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def partitioned_load(spark: SparkSession, directory: str) -> DataFrame:
-    """Load orders into a table partitioned by year and month, count rows by partition."""
-    rows = orders_by_day(spark, directory).drop("o_day")
-    columns = rows.schema.toDDL()
-    name = create_partitioned_table(
-        spark, catalog_name(spark, "orders"), columns, ["o_year", "o_month"], fresh_path(spark, "orders")
-    )
-    loaded = insert_rows(rows, name, cluster_by=["o_year", "o_month"])
-    return loaded.groupBy("o_year", "o_month").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
+    """Load orders into a table partitioned by year, month and day, count rows by partition."""
+    rows, keys = orders_by_day(spark, directory), ["o_year", "o_month", "o_day"]
+    name = create_partitioned_table(spark, catalog_name(spark, "orders"), rows.schema.toDDL(), keys, fresh_path(spark, "orders"))
+    loaded = insert_rows(rows, name, cluster_by=keys)
+    return loaded.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
 
 
 def prefix_avg_range(spark: SparkSession, directory: str) -> DataFrame:
@@ -85,7 +85,7 @@ def prefix_avg_range(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def approx_distinct(spark: SparkSession, directory: str) -> DataFrame:
-    return error_check(distinct_report(table(spark, directory, "orders"), "o_custkey", method="builtin"))
+    return error_check(distinct_report(table(spark, directory, "orders"), "o_custkey", method="builtin", sketched=[0.005]))
 
 
 def sketch_distinct(spark: SparkSession, directory: str) -> DataFrame:
@@ -98,6 +98,7 @@ QUERIES = {
     "uuid_distinct": uuid_distinct,
     "wide_datagen": wide_datagen,
     "wide_datagen_overflow": wide_datagen_overflow,
+    "wide_datagen_tenths": wide_datagen_tenths,
     "array_column": array_column,
     "business_day": business_days,
     "partitioned_load": partitioned_load,
@@ -107,16 +108,7 @@ QUERIES = {
 }
 
 
-def wide_numbers_sql(total: str, start: int = 0) -> str:
-    """Part number and running number of the wide table."""
-    return f"""
-        SELECT CAST(p AS INTEGER) AS part_id, CAST(r + {start} AS BIGINT) AS val
-        FROM (SELECT unnest(range(1, 1 + CAST(ceil((SELECT COUNT(*) FROM {total}) / n) AS BIGINT))) AS p, n
-              FROM (SELECT least(1000000, COUNT(*)) AS n FROM customer) s) parts,
-             (SELECT unnest(range(least(1000000, (SELECT COUNT(*) FROM customer)))) AS r) numbers"""
-
-
-def _wide_sql(total: str, start: int, divisor: int) -> str:
+def _wide_sql(total: str, key: str, start: int, divisor: int) -> str:
     ints = ", ".join(f"CAST(val + {by} AS INTEGER) AS {name}" for name, by in generate.INT_OFFSETS.items())
     longs = ", ".join(f"CAST(val + {by} AS BIGINT) AS {name}" for name, by in generate.LONG_OFFSETS.items())
     offsets = generate.INT_OFFSETS
@@ -132,24 +124,26 @@ def _wide_sql(total: str, start: int, divisor: int) -> str:
     texts = ", ".join(f"{digest} AS {name}" for name in generate.TEXT_COLUMNS)
     return f"""
         SELECT part_id, CAST(val AS INTEGER) AS val, {ints}, {longs}, {doubles}, {decimals}, {texts}
-        FROM ({wide_numbers_sql(total, start)}) v"""
+        FROM (SELECT CAST({key} // {ROWS_PER_PART} + 1 AS INTEGER) AS part_id, {key} + {start} AS val FROM {total}) v"""
 
 
 _ERRORS_SQL = """
-    SELECT CAST(e AS DECIMAL(5,3)) AS error, (SELECT COUNT(DISTINCT o_custkey) FROM orders) AS exact,
-           TRUE AS within_bound
-    FROM (VALUES (0.005), (0.02), (0.05), (0.1)) t(e)"""
+    SELECT name, CAST(e AS DECIMAL(5,3)) AS error, (SELECT COUNT(DISTINCT o_custkey) FROM orders) AS exact,
+           TRUE AS estimated, TRUE AS within_bound
+    FROM (VALUES ('0.005', 0.005), ('0.020', 0.02), ('0.050', 0.05), ('0.100', 0.1),
+                 ('approx_default', 0.05), ('sketch_default', 0.05)) t(name, e)"""
 
 ORACLES = {
-    "number_series": "SELECT unnest(range(1, 1 + (SELECT COUNT(*) FROM lineitem))) AS num",
+    "number_series": """
+        SELECT l_orderkey + unnest(range(1, 1 + l_linenumber)) AS num FROM lineitem""",
     "time_series": """
         SELECT num, tv, CAST(year(tv) AS INTEGER) AS tv_year, CAST(month(tv) AS INTEGER) AS tv_month,
                CAST(day(tv) AS INTEGER) AS tv_day
-        FROM (SELECT num, (SELECT MAX(ts) FROM events) - to_seconds(num) AS tv
-              FROM (SELECT unnest(range(1, 1 + (SELECT COUNT(*) FROM events))) AS num) n) x""",
-    "uuid_distinct": "SELECT COUNT(*) AS n FROM lineitem",
-    "wide_datagen": _wide_sql("lineitem", 0, 100),
-    "wide_datagen_overflow": _wide_sql("orders", 1, 10),
+        FROM (SELECT event_id AS num, (SELECT MAX(ts) FROM events) - to_seconds(event_id) AS tv FROM events) x""",
+    "uuid_distinct": "SELECT COUNT(*) AS n FROM orders",
+    "wide_datagen": _wide_sql("lineitem", "l_orderkey", 0, 100),
+    "wide_datagen_overflow": _wide_sql("orders", "o_orderkey", 1, 10),
+    "wide_datagen_tenths": _wide_sql("customer", "c_custkey", 0, 10),
     "array_column": "SELECT o_orderkey, unnest([o_orderkey + 1, o_orderkey + 2, o_orderkey + 3]) AS id FROM orders",
     "business_day": """
         SELECT event_id,
@@ -157,7 +151,7 @@ ORACLES = {
         FROM events""",
     "partitioned_load": """
         SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, CAST(month(o_orderdate) AS INTEGER) AS o_month,
-               COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS key_sum
+               CAST(day(o_orderdate) AS INTEGER) AS o_day, COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS key_sum
         FROM orders GROUP BY ALL""",
     "prefix_avg_range": """
         SELECT ROUND(MAX(a) - MIN(a), 6) AS rng FROM (

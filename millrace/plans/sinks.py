@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.diagnostics import dataset_inventory
-from millrace.plans.series import orders_by_day, wide_datagen, wide_numbers_sql
+from millrace.plans.series import orders_by_day, wide_datagen
 from millrace.plans.tools import catalog_name
-from millrace.sinks.catalog import insert_rows, register_partitions
+from millrace.sinks.catalog import insert_rows, insert_values, register_partitions
 from millrace.sinks.files import append, content_sums, overwrite, recompress, write_csv, write_once
-from millrace.sinks.partitions import conflicting_partitions, write_partitions
+from millrace.sinks.partitions import PartitionConflict, conflicting_partitions, write_partitions
 from millrace.sources.tables import external_table, read_csv, read_glob, table
 from millrace.workspace import fresh_path
 
@@ -37,8 +37,12 @@ def wide_write(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def recompress_copy(spark: SparkSession, directory: str) -> DataFrame:
-    target = recompress(spark, f"{directory}/lineitem.parquet", fresh_path(spark, "gzip"))
-    return _line_sums(read_glob(spark, target, "part-*"))
+    """Two copies: each scan task writes what it read, and the rows dealt out to four files."""
+    source = f"{directory}/lineitem.parquet"
+    plain = read_glob(spark, recompress(spark, source, fresh_path(spark, "gzip")), "part-*")
+    dealt = read_glob(spark, recompress(spark, source, fresh_path(spark, "gzip"), files=4), "part-*")
+    files = dealt.agg(F.count_distinct(F.col("_metadata.file_path"))).scalar()
+    return _line_sums(plain).withColumn("files", F.lit(None).cast("bigint")).unionByName(_line_sums(dealt).withColumn("files", files))
 
 
 def overwrite_copy(spark: SparkSession, directory: str) -> DataFrame:
@@ -71,9 +75,16 @@ def _by_year(spark: SparkSession, path: str) -> DataFrame:
 
 
 def partition_fail(spark: SparkSession, directory: str) -> DataFrame:
-    """The partitions that make mode ``fail`` stop."""
+    """The partitions that make mode ``fail`` stop, and that it wrote none of the others."""
     path, incoming = _stored_and_incoming(spark, directory)
-    return conflicting_partitions(incoming, path, ["o_year"])
+    try:
+        write_partitions(incoming, path, ["o_year"], "fail")
+        refused = False
+    except PartitionConflict:
+        refused = True
+    years = _by_year(spark, path).agg(F.max("o_year")).scalar()
+    conflicts = conflicting_partitions(incoming, path, ["o_year"])
+    return conflicts.select("o_year", F.lit(refused).alias("refused"), years.alias("last_stored"))
 
 
 def partition_replace(spark: SparkSession, directory: str) -> DataFrame:
@@ -112,9 +123,13 @@ def orc_varchar_roundtrip(spark: SparkSession, directory: str) -> DataFrame:
     name = catalog_name(spark, "customers")
     spark.sql(f"CREATE TABLE {name} (a BIGINT NOT NULL, b VARCHAR(100)) USING orc")
     rows = table(spark, directory, "customer").select(F.col("c_custkey").alias("a"), F.col("c_name").alias("b"))
-    return insert_rows(rows, name)
+    insert_rows(rows, name)
+    return insert_values(spark, name, VALUES)
 
 
+# Rows that are inserted as values.
+VALUES = [(-1, "One"), (-2, "Two"), (-3, None)]
+
 QUERIES = {
     "wide_write": wide_write,
     "recompress_copy": recompress_copy,
@@ -154,12 +169,15 @@ ORACLES = {
                CAST(SUM(val + 4500000000) AS BIGINT) AS long_6,
                CAST(SUM(CAST((val + 2000000000) / 100 AS DECIMAL(10,2))) AS DECIMAL(28,2)) AS decimal_1,
                CAST(SUM(CAST((val + 30) / 100 AS DECIMAL(10,2))) AS DECIMAL(28,2)) AS decimal_3
-        FROM ({wide_numbers_sql("lineitem")}) v""",
-    "recompress_copy": _line_sums_sql(1),
+        FROM (SELECT l_orderkey AS val FROM lineitem) v""",
+    "recompress_copy": f"""
+        SELECT *, CAST(NULL AS BIGINT) AS files FROM ({_line_sums_sql(1)}) a
+        UNION ALL SELECT *, CAST(4 AS BIGINT) FROM ({_line_sums_sql(1)}) b""",
     "overwrite_copy": _line_sums_sql(1),
     "append_copy": _line_sums_sql(2),
     "partition_fail": """
-        SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS o_year FROM orders WHERE year(o_orderdate) = 1998""",
+        SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS o_year, TRUE AS refused, CAST(1998 AS INTEGER) AS last_stored
+        FROM orders WHERE year(o_orderdate) = 1998""",
     "partition_replace": _by_year_sql(1),
     "partition_append": _by_year_sql(2),
     "partition_registration": """
@@ -170,5 +188,6 @@ ORACLES = {
                TRUE AS has_bytes
         FROM orders GROUP BY 1""",
     "csv_roundtrip": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
-    "orc_varchar_roundtrip": "SELECT c_custkey AS a, c_name AS b FROM customer",
+    "orc_varchar_roundtrip": "SELECT c_custkey AS a, c_name AS b FROM customer UNION ALL VALUES "
+    + ", ".join(f"({a}, {'NULL' if b is None else repr(b)})" for a, b in VALUES),
 }

@@ -39,7 +39,7 @@ def shuffle_settings(shuffle_bytes: int) -> dict[str, str]:
     smaller, so the number must suit the largest shuffle of the job: the default of 200 would
     put 500 GB of a 100 TB shuffle into each task.
     """
-    pieces = min(200_000, max(200, -(-shuffle_bytes // SHUFFLE_BYTES_PER_TASK)))
+    pieces = max(200, -(-shuffle_bytes // SHUFFLE_BYTES_PER_TASK))
     return {
         "spark.sql.shuffle.partitions": str(pieces),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(pieces),

@@ -51,16 +51,10 @@ def create_series_views(spark: SparkSession, database: str, count: int = 1_000_0
     """
     thousand = create_view(spark, f"{database}.numbers_1k", "SELECT id AS num FROM range(0, 1000)")
     numbers = create_view(spark, f"{database}.numbers", f"SELECT id AS num FROM range(1, {count + 1})")
-    moments = create_view(
-        spark,
-        f"{database}.uuid_series",
-        f"""
-        SELECT num, tv, year(tv) AS tv_year, month(tv) AS tv_month, day(tv) AS tv_day, a, b, c, d
-        FROM (SELECT num, now() - make_interval(0, 0, 0, 0, 0, 0, num) AS tv,
-                     uuid() AS a, uuid() AS b, uuid() AS c, uuid() AS d
-              FROM {numbers})
-        """,
-    )
+    dated = [f"{part}(tv) AS tv_{part}" for part in ("year", "month", "day")]
+    random = [f"uuid() AS {name}" for name in ("a", "b", "c", "d")]
+    times = f"SELECT num, now() - make_dt_interval(0, 0, 0, num) AS tv FROM {numbers}"
+    moments = create_view(spark, f"{database}.uuid_series", f"SELECT {', '.join(['num', 'tv', *dated, *random])} FROM ({times})")
     return [thousand, numbers, moments]
 
 
@@ -91,13 +85,15 @@ def create_partitioned_table(
     return name
 
 
-def insert_rows(df: DataFrame, name: str, cluster_by: Sequence[str] = (), tasks: int | None = None) -> DataFrame:
+def insert_rows(
+    df: DataFrame, name: str, cluster_by: Sequence[str] = (), tasks: int | None = None, spread: int = 1
+) -> DataFrame:
     """INSERT INTO … SELECT, columns matched by name. ``cluster_by`` gathers rows of a
-    partition before the write. Returns the table."""
+    partition before the write, as ``clustered`` does. Returns the table."""
     table = df.sparkSession.table(name)
     rows = df.select(*table.columns)
     if cluster_by:
-        rows = clustered(rows, cluster_by, tasks)
+        rows = clustered(rows, cluster_by, tasks, spread)
     rows.write.insertInto(name)
     return df.sparkSession.table(name)
 

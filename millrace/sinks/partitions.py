@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from millrace.workspace import discard, fresh_path
+
 CONFLICT_MODES = ("fail", "replace", "append")
 
 
@@ -17,36 +19,52 @@ class PartitionConflict(RuntimeError):
     """Raised by mode ``fail``; nothing was written."""
 
 
-def clustered(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
+def clustered(df: DataFrame, keys: Sequence[str], tasks: int | None = None, spread: int = 1) -> DataFrame:
     """Bring rows of a partition together before a partitioned write, to avoid a small file
     per task and partition.
 
     By default the REBALANCE hint: adaptive execution merges small partitions and splits a
     partition that is far larger than the others, so a month that holds a third of all rows
-    is written by many tasks. With ``tasks`` it is a plain REPARTITION by the keys.
+    is written by many tasks. With ``tasks`` it is a plain REPARTITION by the keys; ``spread``
+    is how many of these tasks a partition is dealt to, so that a hot one is not written by one.
     """
     if tasks is not None:
-        return df.repartition(tasks, *keys)
+        dealt = [F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]), F.lit(spread))] if spread > 1 else []
+        return df.repartition(tasks, *keys, *dealt)
     return df.hint("rebalance", *keys)
 
 
 def conflicting_partitions(df: DataFrame, path: str, keys: Sequence[str], file_format: str = "parquet") -> DataFrame:
     """Partition keys of ``df`` that already exist under ``path``.
 
-    Both sides are reduced to distinct keys first. The stored side reads partition values
-    and row counts only, no data column. NULL is a partition like any other.
+    Both sides are reduced to distinct keys first. The stored side is the listing of the
+    directory: no file is opened. NULL is a partition like any other.
     """
-    spark = df.sparkSession
     incoming = df.select(*keys).distinct()
+    existing = _listed_partitions(df, path, keys)
+    if existing is None:
+        return incoming.where(F.lit(False))
+    same = reduce(Column.__and__, [incoming[key].eqNullSafe(existing[f"_{key}"]) for key in keys])
+    return incoming.join(existing, same, "left_semi")
+
+
+def _listed_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """The partitions under ``path`` as ``_key`` columns of the types they have in ``df``; None
+    if there is no such directory or nothing in it."""
+    spark, inference = df.sparkSession, "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(inference)
+    spark.conf.set(inference, "false")  # or a text such as 01 would be listed as a number
     try:
-        stored = spark.read.schema(df.schema).format(file_format).load(path)
+        listed = spark.read.format("binaryFile").load(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return incoming.where(F.lit(False))
+            return None
         raise
-    existing = stored.select(*keys).distinct()
-    same = reduce(Column.__and__, [incoming[key].eqNullSafe(existing[key]) for key in keys])
-    return incoming.join(existing, same, "left_semi")
+    finally:
+        spark.conf.set(inference, before)
+    if not set(keys) <= set(listed.columns):
+        return None
+    return listed.select(*[F.col(key).cast(df.schema[key].dataType).alias(f"_{key}") for key in keys]).distinct()
 
 
 def write_partitions(
@@ -57,6 +75,7 @@ def write_partitions(
     file_format: str = "parquet",
     tasks: int | None = None,
     cluster: bool = True,
+    spread: int = 1,
     **options: str,
 ) -> str:
     """Write into a dataset partitioned by ``keys``.
@@ -65,21 +84,35 @@ def write_partitions(
     task holds few partitions anyway.
 
     ``fail``     stop before writing if any incoming partition exists (checked once, before
-                 the write: two writers at the same time need their own lock);
+                 the write: two writers at the same time need their own lock); incoming rows
+                 are computed once, into the shared folder, and checked and written from there;
     ``replace``  swap the content of incoming partitions, leave the others;
     ``append``   add to whatever is there.
     """
     if conflict not in CONFLICT_MODES:
         raise ValueError(f"conflict must be one of {CONFLICT_MODES}, not {conflict!r}")
     if conflict == "fail":
-        found = conflicting_partitions(df, path, keys, file_format).limit(20).collect()
-        if found:
-            listed = "; ".join(", ".join(f"{key}={row[key]}" for key in keys) for row in found)
-            raise PartitionConflict(f"{path} already has: {listed}")
-    rows = clustered(df, keys, tasks) if cluster else df
+        staged = fresh_path(df.sparkSession, "incoming")
+        df.write.parquet(staged)
+        try:
+            stored = df.sparkSession.read.schema(df.schema).parquet(staged)
+            _refuse_conflicts(stored, path, keys, file_format)
+            return write_partitions(stored, path, keys, "append", file_format, tasks, cluster, spread, **options)
+        finally:
+            discard(df.sparkSession, staged)
+    rows = clustered(df, keys, tasks, spread) if cluster else df
     writer = rows.write.partitionBy(*keys).format(file_format).options(**options)
     if conflict == "replace":
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").save(path)
     else:
         writer.mode("append").save(path)
     return path
+
+
+def _refuse_conflicts(df: DataFrame, path: str, keys: Sequence[str], file_format: str) -> None:
+    """Raise if partitions of ``df`` exist: how many, and which come first."""
+    found = conflicting_partitions(df, path, keys, file_format)
+    names = F.concat_ws(", ", *[F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))) for key in keys])
+    row = found.select(names.alias("name")).agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last")).first()
+    if row.n:
+        raise PartitionConflict(f"{path} already has {row.n} of the incoming partitions, from {row.first} to {row.last}")

@@ -96,6 +96,23 @@ def wide_rows(
     return wide_columns(numbered, decimal_divisor, number)
 
 
+def wide_rows_of(
+    df: DataFrame, key: str, rows_per_part: int, start: int = 0, decimal_divisor: int = 100, number: str = "val"
+) -> DataFrame:
+    """The wide table over the keys of a table, which are running numbers from 0: one row for
+    each of its rows, in parts of ``rows_per_part`` keys."""
+    numbered = df.select(
+        (F.floor(F.col(key) / rows_per_part) + 1).cast("int").alias("part_id"),
+        (F.col(key) + start).cast("int").alias(number),
+    )
+    return wide_columns(numbered, decimal_divisor, number)
+
+
+def numbers_from(df: DataFrame, key: str, count: Column) -> DataFrame:
+    """``num``: for each row the ``count`` numbers (a small one) that follow its key."""
+    return df.select(F.explode(F.sequence(F.col(key) + 1, F.col(key) + count)).alias("num"))
+
+
 def with_partition_id(df: DataFrame, name: str = "spark_partition_id") -> DataFrame:
     """Add the number of the physical partition a row is in. Not stable across runs."""
     return df.withColumn(name, F.spark_partition_id())

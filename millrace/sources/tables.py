@@ -37,7 +37,7 @@ def read_glob(spark: SparkSession, directory: str, pattern: str) -> DataFrame:
 
 def read_declared(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: StructType | str,
     file_format: str = "parquet",
     **options: str,
@@ -62,9 +62,14 @@ def external_table(
     """Declare a catalog table over existing files and open it.
 
     The declared columns may be fewer than the stored ones; without them they are inferred
-    from the files. Dropping the table leaves the files.
+    from the files. Dropping the table leaves the files. An external table of that name is
+    declared anew; anything else of that name is left alone, and refused.
     """
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if spark.catalog.tableExists(name):
+        kind = spark.catalog.getTable(name).tableType
+        if kind != "EXTERNAL":
+            raise ValueError(f"{name} exists and is {kind}, not EXTERNAL")
+        spark.sql(f"DROP TABLE {name}")
     partitions = f"PARTITIONED BY ({partitioned_by})" if partitioned_by else ""
     declared = f"({columns})" if columns else ""
     spark.sql(f"CREATE TABLE {name} {declared} USING {file_format} {partitions} LOCATION '{path}'")

@@ -31,6 +31,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a dataset that ``fresh_path`` named, once nothing reads it any more."""
+    if "/millrace/" not in path:
+        raise ValueError(f"{path} is not under the shared folder")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dated_path(prefix: str, now: dt.datetime | None = None) -> str:
     """A new output path for one run: prefix, day, time and a random part."""
     moment = now or dt.datetime.now(dt.timezone.utc)

@@ -199,3 +199,23 @@ def test_hot_cluster_in_mapping_is_split(spark, conf, tmp_path):
     assert mapped.where("project_id = 'p0'").count() == 50000 and mapped.where("project_id IS NULL").count() == 0
     mapped.collect()
     assert plan_text(mapped).split("Initial Plan")[0].count("SortMergeJoin(skew=true)") == 2
+
+
+def test_billing_columns_go_by_name_in_each_file(spark, tmp_path):
+    """Exports whose labels are swapped, missing, quoted or joined by further columns."""
+    cluster, project = attribution.CLUSTER_LABEL, attribution.PROJECT_LABEL
+    (tmp_path / "1.csv").write_text(f"resource_id,date,{cluster},{project}\na,2022-11-10,CL1,PR1\n")
+    (tmp_path / "2.csv").write_text(f"resource_id,date,{project},{cluster}\nb,2022-11-10,PR2,CL2\n")
+    (tmp_path / "3.csv").write_text(f'"{project}",resource_id,date,"other, label"\nPR3,c,2022-11-10,x\n')
+    (tmp_path / "4.csv").write_text(f"resource_id,date,{cluster},{project}\nd,2022-11-10,CL4,PR4\n")
+    found = attribution.read_billing(spark, str(tmp_path)).orderBy("resource_id").collect()
+    assert [(r.resource_id, r.date, r[cluster], r[project]) for r in found] == [
+        ("a", DAY, "CL1", "PR1"), ("b", DAY, "CL2", "PR2"), ("c", DAY, None, "PR3"), ("d", DAY, "CL4", "PR4"),
+    ]
+
+
+def test_fan_out_reads_the_labels_once(spark, conf, tmp_path, costs, inventory):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    costs.write.parquet(str(tmp_path / "costs"))
+    lines = spark.read.parquet(str(tmp_path / "costs"))
+    assert plan_text(attributed(lines, inventory, with_fan_out=True)).count("FileScan parquet") == 2

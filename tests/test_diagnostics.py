@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import plan_text, rows
 from millrace.operators import diagnostics
-from millrace.sources.logs import read_logs
-from millrace.operators.phases import hot_runs, phase_durations
+from millrace.sources.logs import EVENT_SCHEMA, read_logs
+from millrace.operators.phases import phase_durations
 
 # Batch size, total, push, fetch and add times (ms) of two measured loads.
 RUNS = {
@@ -72,10 +72,11 @@ def test_lost_executor_line(spark):
     df = spark.createDataFrame([(text,), (killed,), ("ExecutorLostFailure but no task",), ("fine",), (None,)], "value STRING")
     found = diagnostics.lost_executors(df)
     assert rows(found, "task") == [
-        (1, 2, 3, "6", "Container killed", None),
-        (28, 13, 242, "5", "Executor heartbeat timed out after 138218 ms", 138218),
+        (None, None, None, None, None, None, True),
+        (1, 2, 3, "6", "Container killed", None, False),
+        (28, 13, 242, "5", "Executor heartbeat timed out after 138218 ms", 138218, False),
     ]
-    assert rows(diagnostics.losses_by_executor(found), "executor") == [("5", 1, 138218), ("6", 1, None)]
+    assert rows(diagnostics.losses_by_executor(found), "executor") == [(None, 0, None, 1), ("5", 1, 138218, 0), ("6", 1, None, 0)]
 
 
 @pytest.fixture
@@ -110,11 +111,17 @@ def test_log_time_of_today(spark):
     assert diagnostics.search_logs(now, until="00:00:00").count() == 0
 
 
-def test_service_limit_comes_before_attributes(logs):
-    found = diagnostics.search_logs(logs, {"log_type": "containers"}, since="2024-01-23 10:02:00", scan_limit=4)
+def test_limit_gives_the_earliest(logs):
+    found = diagnostics.search_logs(logs, {"log_type": "containers"}, since="2024-01-23 10:02:00", limit=2)
     assert [r.message for r in found.orderBy("ts").collect()] == ["m3", "m5"]
 
 
+@pytest.mark.parametrize("day", ["20240123", "2024-01-23", "20240123T000000", "2024-W04-2"])
+def test_dates_are_not_times_of_today(logs, day):
+    assert diagnostics.search_logs(logs, since=day).count() == logs.count()
+    assert diagnostics.search_logs(logs, until=day).count() == 0
+
+
 def test_log_source(spark, tmp_path):
     record = '{"ts": "2024-01-23T10:00:00Z", "log_type": "syslog", "hostname": "h1", "message": "m", "other": 1}'
     (tmp_path / "logs.json").write_text(record + "\n")
@@ -196,8 +203,7 @@ def test_sliced_runs_give_the_same(spark, kind):
         ).alias("ts"),
     )
     usual = phase_durations(df, order=["id"])
-    sliced = phase_durations(df, order=["id"], rows_per_task=1000)
-    assert hot_runs(df, "run", 1000) == {"hot": 10000, None: 6000}
+    sliced = phase_durations(df, order=["id"], slice_seconds=60)
     by_window = df.where("ts IS NOT NULL").selectExpr(
         "id", "CAST(lead(ts) OVER (PARTITION BY run ORDER BY ts, id) - ts AS INTERVAL SECOND) AS gap"
     )
@@ -207,3 +213,34 @@ def test_sliced_runs_give_the_same(spark, kind):
     assert sliced.columns == usual.columns
     assert rows(sliced, "id") == rows(usual, "id")
     assert sliced.count() == 20000
+
+
+def test_equal_timestamps_without_order(spark):
+    """Of many events at one moment exactly one is followed by the next moment."""
+    moment = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
+    df = spark.range(0, 50000, numPartitions=8).selectExpr("'r' AS run", f"{moment} AS ts")
+    df = df.unionByName(spark.sql(f"SELECT 'r' AS run, {moment} + INTERVAL '2' DAY AS ts"))
+    found = phase_durations(df).groupBy("micros").count()
+    assert sorted(rows(found), key=str) == [(0, 49999), (172800000000, 1), (None, 1)]
+
+
+def test_moments_not_events_are_ordered(spark, conf, tmp_path):
+    """A run of all rows, most of them at one moment: what is ordered is one row per moment."""
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    conf("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "128k")
+    conf("spark.sql.shuffle.partitions", "64")
+    df = spark.range(0, 200000, numPartitions=16).selectExpr(
+        "'r' AS run", "id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, IF(id % 3 = 0, 0, id)) AS ts"
+    )
+    found = phase_durations(df, order=["id"])
+    assert found.where("micros IS NULL").count() == 1
+    found.collect()
+    assert "SortMergeJoin(skew=true)" in plan_text(found)
+
+
+def test_event_log_is_parsed_once(spark, tmp_path):
+    assert set(diagnostics.event_reports(spark.createDataFrame([], EVENT_SCHEMA).withColumn("app", F.lit("a")))) == {
+        "jobs", "stages", "stage_tasks", "executors", "executor_states", "sql", "sql_plans", "settings"
+    }

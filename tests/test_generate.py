@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_text
@@ -81,20 +82,31 @@ def test_sketch_sizes():
 def test_distinct_report(spark):
     ids = spark.range(100000)
     for method in ("builtin", "sketch"):
-        report = distinct_report(ids, "id", method=method)
+        report = distinct_report(ids, "id", method=method, sketched=[0.005])
         row = report.first()
         assert row.exact == 100000
         assert abs(row.approx_default - 100000) < 15000 and abs(row.sketch_default - 100000) < 15000
         assert [str(e) for e in sorted(row.by_error)] == ["0.005", "0.020", "0.050", "0.100"]
-        assert all(r.within_bound for r in error_check(report).collect())
+        checks = error_check(report).collect()
+        assert len(checks) == 6 and all(r.within_bound and r.estimated for r in checks)
 
 
-def test_estimates_stay_out_of_the_exact_count(spark, tables):
+def test_the_column_is_read_once(spark, tables):
     orders = spark.read.parquet(f"{tables}/orders.parquet")
     for method in ("builtin", "sketch"):
-        text = plan_text(distinct_report(orders, "o_custkey", method=method))
-        by_value = [line for line in text.splitlines() if "Aggregate(keys=[o_custkey" in line]
+        report = distinct_report(orders, "o_custkey", method=method, sketched=[0.005])
+        report.collect()
+        final = plan_text(report).split("Initial Plan")[0]
+        by_value = [line for line in plan_text(report).splitlines() if "Aggregate(keys=[o_custkey" in line]
         assert by_value and all("functions=[]" in line for line in by_value)
+        assert "ReusedExchange" in plan_text(report) or final.count("FileScan parquet") == 1
+
+
+def test_errors_are_as_asked_or_refused(spark):
+    with pytest.raises(ValueError):
+        sketch_size(0.0001)
+    report = distinct_report(spark.range(100), "id", errors=[0.3], method="builtin").first()
+    assert report.exact == 100 and list(report.by_error) == [Decimal("0.300")]
 
 
 def test_sketch_wrappers(spark):

@@ -10,7 +10,10 @@ from millrace.sinks.jdbc import jdbc_options
 
 
 @pytest.fixture
-def run(spark):
+def run(spark, conf):
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"):
+        conf(key, "8")  # set back after the test
+
     def call(*arguments):
         jobs.main([str(argument) for argument in arguments])
 
@@ -33,9 +36,23 @@ def test_load_series_top_and_layout(spark, run, tmp_path, capsys):
         run("load-series", tmp_path / "mega", "--count", 10, "--anchor", "2022-12-17 12:00:00")
     run("load-series", tmp_path / "mega", "--count", 10, "--anchor", "2022-12-17 12:00:00", "--conflict", "append")
     run("top", tmp_path / "mega", "tv_day", "--k", 1)
-    run("layout", tmp_path / "mega", "tv_month", "tv_day")
-    shown = capsys.readouterr().out
-    assert "56810" in shown or "56809" in shown or "43210" in shown
+    run("layout", tmp_path / "mega", tmp_path / "layout", "tv_month", "tv_day")
+    assert spark.read.parquet(str(tmp_path / "layout")).agg({"n_rows": "sum"}).first()[0] == 100010
+    assert "100010" in capsys.readouterr().out
+
+
+def test_layout_lists_every_partition(spark, run, tmp_path):
+    spark.range(1200).selectExpr("id AS x", "id AS k").coalesce(1).write.partitionBy("k").parquet(str(tmp_path / "many"))
+    run("layout", tmp_path / "many", tmp_path / "layout", "k")
+    assert spark.read.parquet(str(tmp_path / "layout")).count() == 1200
+
+
+def test_commands_start_with_many_pieces(spark, run, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "x"))
+    run("top", tmp_path / "x", "id")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "2000"
+    run("--shuffle-bytes", 10**14, "top", tmp_path / "x", "id")
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "372530"
 
 
 def test_inventory_to_costs(spark, run, tmp_path):
@@ -59,6 +76,8 @@ def test_inventory_to_costs(spark, run, tmp_path):
         (today, "cA", "p1", 1.25, 0),
         (today, "cB", "-", 2.0, 0),
     ]
+    run("costs", tmp_path / "billing", tmp_path / "dictionary", "2022-11-05", "2022-11-20", tmp_path / "report")
+    assert spark.read.parquet(str(tmp_path / "report" / "rollup")).count() == 3
 
 
 def test_event_log_reports(spark, run, tmp_path):

@@ -11,7 +11,7 @@ def test_settings_apply(spark):
 
 def test_shuffle_pieces_follow_the_data():
     pieces = [int(shuffle_settings(size)["spark.sql.shuffle.partitions"]) for size in (1, 10**12, 10**14)]
-    assert pieces == [200, 3726, 200_000]
+    assert pieces == [200, 3726, 372_530]
 
 
 def test_shared_folder_is_the_configured_one(spark):
