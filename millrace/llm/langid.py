@@ -24,6 +24,8 @@ BUCKETS = 1 << BUCKET_BITS
 # The bounded sample: rows per language, rows in all, characters per row (from a place that the
 # hash of the row decides; predictions read whole texts).
 ROWS_PER_LANGUAGE, ROWS, EXCERPT = 400, 20_000, 1_500
+# Parts of a language that the sample is first taken from.
+PARTS = 256
 EPOCHS, HELD_BACK, SEED = 4, 4, 17
 EMBEDDING_RATE, LAYER_RATE, BIAS_RATE = 60.0, 1.0, 0.1
 # A text is rejected if it scores this much below the worst row held back, in log odds, and is
@@ -139,14 +141,12 @@ def train(labelled: DataFrame) -> Model:
     room = F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1
     excerpt = F.substr("text", F.pmod(order, room.cast("long")).cast("int") + 1, F.lit(EXCERPT))
     usable = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    first = Window.partitionBy("lang").orderBy("order", "excerpt")
-    sample = (
-        usable.select("lang", order.alias("order"), excerpt.alias("excerpt"))
-        .withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= ROWS_PER_LANGUAGE)
-        .orderBy("place", "lang")
-        .limit(ROWS)
-    )
+    # In two steps, or a language that most tasks hold would send one task rows from all of them.
+    rows = usable.select("lang", F.pmod(order, F.lit(PARTS)).alias("part"), order.alias("order"), excerpt.alias("excerpt"))
+    for keys in (["lang", "part"], ["lang"]):
+        first = Window.partitionBy(*keys).orderBy("order", "excerpt")
+        rows = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= ROWS_PER_LANGUAGE)
+    sample = rows.orderBy("place", "lang").limit(ROWS)
     return fit([(row.lang, row.excerpt) for row in sample.collect()])
 
 
