@@ -157,15 +157,16 @@ def daily_extract(state: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
-def write_extract(extract: DataFrame, path: str) -> str:
+def write_extract(extract: DataFrame, path: str, tasks: int | None = None) -> str:
     """Replace the days of an extract under ``path``: one folder per day, CSV with a header,
     each file ordered by object.
 
     Days are gathered and, where one holds most of the objects, split by adaptive execution; so
-    the extract is computed once, with no sample for ranges. The folder is named by a copy of
+    the extract is computed once, with no sample for ranges. ``tasks`` deals the days to that
+    many instead, for many small days, whose files take longer to open than to fill. The folder is named by a copy of
     the day, as partition columns are not written into the files and ``dt`` is part of the format.
     """
-    dated = clustered(extract.withColumn("day", F.regexp_replace("dt", "-", "")), ["day"])
+    dated = clustered(extract.withColumn("day", F.regexp_replace("dt", "-", "")), ["day"], tasks)
     # The sort starts with the folder, as a partitioned write asks for and would sort by again.
     dated = dated.sortWithinPartitions("day", "dt", "obj_id")
     writer = dated.write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -181,12 +182,17 @@ def recent_days(now: dt.datetime | None = None) -> list[int]:
 
 
 def extract_changed(
-    spark: SparkSession, state: DataFrame, marks_path: str, path: str, only: Sequence[int] | None = None
+    spark: SparkSession,
+    state: DataFrame,
+    marks_path: str,
+    path: str,
+    only: Sequence[int] | None = None,
+    tasks: int | None = None,
 ) -> str:
     """Extract the changed days, then save their marks.
 
     ``only`` limits the run to some days, such as ``recent_days()``; on a state partitioned
-    by ``crdate`` nothing else is read. The days and stamps are fixed before the extract starts and saved after it ends: a job
+    by ``crdate`` nothing else is read. ``tasks`` is as in ``write_extract``. The days and stamps are fixed before the extract starts and saved after it ends: a job
     that dies in between extracts the same days again and overwrites them.
     """
     if only is not None:
@@ -194,15 +200,15 @@ def extract_changed(
     staged = fresh_path(spark, "days")
     changed_days(state, read_marks(spark, marks_path)).repartition(1).write.parquet(staged)
     days = spark.read.schema(MARK_SCHEMA).parquet(staged)
-    write_extract(daily_extract(state, days), path)
-    save_marks(days, marks_path)
+    write_extract(daily_extract(state, days), path, tasks)
+    save_marks(days, marks_path, tasks)
     discard(spark, staged)
     return path
 
 
-def save_marks(marks: DataFrame, path: str) -> str:
+def save_marks(marks: DataFrame, path: str, tasks: int | None = None) -> str:
     """Replace the marks of the given days, one row each, in a store that is partitioned by day."""
-    return write_partitions(marks.select("crdate", "upd_tv"), path, ["crdate"], conflict="replace")
+    return write_partitions(marks.select("crdate", "upd_tv"), path, ["crdate"], conflict="replace", tasks=tasks)
 
 
 def read_marks(spark: SparkSession, path: str) -> DataFrame:

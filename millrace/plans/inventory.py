@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import day_number
 from millrace.operators import inventory
+from millrace.plans.tools import file_tasks
 from millrace.sinks.partitions import write_partitions
 from millrace.sources.tables import literal_rows, read_csv, table
 from millrace.workspace import fresh_path
@@ -71,7 +72,7 @@ LITERAL_ROWS = [(MERGED_DAY, "new-1", "vm-new", "c-new", "vm"), (MERGED_DAY, "ne
 def inventory_merge(spark: SparkSession, directory: str) -> DataFrame:
     """One day's orders and some literal rows merged into the stored state, all of it read back."""
     state = _state(spark, directory)
-    path = write_partitions(state, fresh_path(spark, "state"), ["crdate"], "append")
+    path = write_partitions(state, fresh_path(spark, "state"), ["crdate"], "append", tasks=file_tasks(spark))
     seen = _observations(spark, directory).select(*inventory.STATE_KEYS, *inventory.STATE_VALUES)
     incoming = seen.unionByName(literal_rows(spark, LITERAL_ROWS, seen.schema))
     inventory.merge_day(spark, path, incoming, MERGED_DAY, 2)
@@ -94,10 +95,11 @@ def daily_extract(spark: SparkSession, directory: str) -> DataFrame:
     """The extract of the changed days of a stored state, written as CSV by day and read back."""
     state, marks = _days(spark, directory)
     latest = inventory.one_per_key(state, inventory.STATE_KEYS, ("upd_tv", "vm_id", "cluster_id", "otype"))
-    state_path = write_partitions(latest, fresh_path(spark, "state"), ["crdate"], "append")
+    tasks = file_tasks(spark)
+    state_path = write_partitions(latest, fresh_path(spark, "state"), ["crdate"], "append", tasks=tasks)
     stored = spark.read.schema(inventory.state_schema(latest)).parquet(state_path)
-    marks_path = inventory.save_marks(marks, fresh_path(spark, "marks"))
-    path = inventory.extract_changed(spark, stored, marks_path, fresh_path(spark, "extract"))
+    marks_path = inventory.save_marks(marks, fresh_path(spark, "marks"), tasks)
+    path = inventory.extract_changed(spark, stored, marks_path, fresh_path(spark, "extract"), tasks=tasks)
     columns = ", ".join(f"{name} STRING" for name in inventory.EXTRACT_COLUMNS)
     return read_csv(spark, path, columns).select(*inventory.EXTRACT_COLUMNS)
 

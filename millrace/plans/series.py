@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.distinct import distinct_report, error_check
 from millrace.functions.scalars import business_day, check_not_null, date_parts
 from millrace.operators.aggregates import prefix_average_range
-from millrace.plans.tools import catalog_name
+from millrace.plans.tools import catalog_name, file_tasks
 from millrace.sinks.catalog import create_partitioned_table, insert_rows
 from millrace.sources import generate
 from millrace.sources.tables import table
@@ -71,7 +71,7 @@ def partitioned_load(spark: SparkSession, directory: str) -> DataFrame:
     """Load orders into a table partitioned by year, month and day, count rows by partition."""
     rows, keys = orders_by_day(spark, directory), ["o_year", "o_month", "o_day"]
     name = create_partitioned_table(spark, catalog_name(spark, "orders"), rows.schema.toDDL(), keys, fresh_path(spark, "orders"))
-    loaded = insert_rows(rows, name, cluster_by=keys)
+    loaded = insert_rows(rows, name, cluster_by=keys, tasks=file_tasks(spark))
     return loaded.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
 
 

@@ -22,6 +22,11 @@ def database(spark: SparkSession) -> str:
     return create_database(spark, DATABASE, f"{shared_dir(spark)}/millrace/{DATABASE}.db")
 
 
+def file_tasks(spark: SparkSession) -> int:
+    """Tasks that write many small partitions: as many as a shuffle of the session has."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def catalog_name(spark: SparkSession, label: str) -> str:
     """A new table name."""
     return f"{database(spark)}.{label}_{uuid.uuid4().hex}"
