@@ -33,15 +33,15 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("Proprietary", "All rights reserved"),
 ]
-_TERM = r"([a-z0-9]+(?:[.\-][a-z0-9]+)*)"
+TERM = r"([a-z0-9]+(?:[.\-][a-z0-9]+)*)"
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(1))
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(1))
 
 
 def _words(text: str) -> list[str]:
-    return re.findall(_TERM, text.lower())
+    return re.findall(TERM, text.lower())
 
 
 def inverse_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, float], float]:

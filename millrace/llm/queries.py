@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,76 @@ def op5_licenses(spark: SparkSession, directory: str) -> DataFrame:
     return licenses.scan(docs.select(path.alias("path"), "text"))
 
 
+_REST = substring.WINDOW - 1
+OP4_SQL = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT id, doc_id, words, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM split
+), keyed AS (
+  SELECT id, doc_id, word, i, if(i + {_REST} <= len(words), md5(array_to_string(words[i:i + {_REST}], ' ')), NULL) AS k FROM placed
+), first AS (SELECT k, min(doc_id) AS least FROM keyed WHERE k IS NOT NULL GROUP BY k
+), covered AS (
+  SELECT id, word, i, max(coalesce(least < doc_id, FALSE)::INT) OVER (PARTITION BY id ORDER BY i ROWS {_REST} PRECEDING) AS gone
+  FROM keyed LEFT JOIN first USING (k)
+), left_over AS (
+  SELECT id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM covered GROUP BY id
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN left_over USING (id)
+"""
+
+_TERMS = f"regexp_extract_all(lower(%s), '{licenses.TERM}', 1)"
+_NOTICES = ", ".join(f"('{name}', '{body}')" for name, body in licenses.TEMPLATES)
+
+OP5_SQL = f"""
+WITH templates(license, body) AS (VALUES {_NOTICES}), files AS (
+  SELECT row_number() OVER () AS id, text,
+         concat_ws('/', source, lang, (doc_id // 1000)::VARCHAR, coalesce(doc_id::VARCHAR, '')) AS path
+  FROM documents
+), placed AS (
+  SELECT *, if(contains(path, '/'), regexp_replace(path, '/[^/]*$', ''), '') AS directory FROM files
+), words AS (SELECT license, unnest({_TERMS % 'body'}) AS term FROM templates
+), total AS (SELECT count(text) AS n FROM files
+), held AS (
+  SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest({_TERMS % 'text'}) AS term FROM files) GROUP BY term
+), weights AS (
+  SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS weight
+  FROM (SELECT DISTINCT term FROM words) LEFT JOIN held USING (term), total
+), shapes AS (
+  SELECT license, term, x / sqrt(sum(x * x) OVER (PARTITION BY license)) AS share
+  FROM (SELECT license, term, count(*) * any_value(weight) AS x FROM words JOIN weights USING (term) GROUP BY ALL)
+), units AS (
+  SELECT id, 0 AS unit, text AS body FROM files
+  UNION ALL SELECT id, generate_subscripts(string_split(text, chr(10)), 1), unnest(string_split(text, chr(10))) FROM files
+), counted AS (
+  SELECT id, unit, term, count(*) AS tf FROM (SELECT id, unit, unnest({_TERMS % 'body'}) AS term FROM units) GROUP BY ALL
+), weighed AS (
+  SELECT id, unit, term, tf * coalesce(weight, ln(n + 1) + 1) AS x FROM counted LEFT JOIN weights USING (term), total
+), lengths AS (SELECT id, unit, sqrt(sum(x * x)) AS length FROM weighed GROUP BY ALL
+), cosines AS (
+  SELECT id, unit, license, round(sum(x * share) / any_value(length), 6) AS cosine
+  FROM weighed JOIN shapes USING (term) JOIN lengths USING (id, unit) GROUP BY ALL
+), best AS (
+  SELECT path, directory, unit, license, cosine FROM cosines JOIN placed USING (id)
+  QUALIFY row_number() OVER (PARTITION BY id, unit ORDER BY cosine DESC, license) = 1
+), headers AS (
+  SELECT path, license, cosine FROM best WHERE unit > 0 AND cosine >= {licenses.HEADER}
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1
+), holders AS (
+  SELECT directory AS holder, license, cosine FROM best WHERE unit = 0 AND cosine >= {licenses.FILE}
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY cosine DESC, license) = 1
+), inherited AS (
+  SELECT directory, holder, license, cosine FROM (SELECT DISTINCT directory FROM placed)
+  JOIN holders ON holder IN ('', directory) OR starts_with(directory, holder || '/')
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(holder) DESC) = 1
+)
+SELECT path, coalesce(h.license, i.license) AS license,
+       CASE WHEN h.path IS NOT NULL THEN 'header' WHEN holder IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       coalesce(h.cosine, i.cosine) AS cosine, CASE WHEN h.path IS NULL THEN holder END AS directory
+FROM (SELECT DISTINCT path, directory FROM placed) AS p LEFT JOIN headers AS h USING (path) LEFT JOIN inherited AS i USING (directory)
+"""
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -60,6 +132,52 @@ def op6_urls(spark: SparkSession, directory: str) -> DataFrame:
     return urlfilter.judge(table(spark, directory, "pages"), URL_RULES)
 
 
+def _url_sql() -> str:
+    """The rules as a list, longest first, and the rounds of the propagation written out."""
+    order = sorted(URL_RULES, key=lambda rule: (-len(rule[1]), -rule[1].index("/")))
+    fits = [
+        f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN %s"
+        for name, rest in (text.split("/", 1) for _, text in order)
+    ]
+    rule = " ".join(fit % f"'{text}'" for fit, (_, text) in zip(fits, order))
+    verdict = " ".join(fit % f"'{kind}'" for fit, (kind, _) in zip(fits, order))
+    lower = f"translate(%s, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    spread = urlfilter.DAMPING
+    rounds = "".join(
+        f""", s{k + 1} AS MATERIALIZED (
+  SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
+    FROM s0 UNION ALL
+    SELECT target, {spread} * trust * forth, 0 FROM links JOIN s{k} ON host = source UNION ALL
+    SELECT source, 0, {spread} * distrust * back FROM links JOIN s{k} ON host = target) GROUP BY host)"""
+        for k in range(urlfilter.ROUNDS)
+    )
+    parts, link = urlfilter.PARTS.replace("'", "''"), urlfilter.LINK.replace("'", "''")
+    return f"""
+WITH parsed AS (
+  SELECT page_id, html, {lower % f"coalesce(regexp_extract(url, '{parts}', 1), '')"} AS host,
+         coalesce(regexp_extract(url, '{parts}', 2), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS verdict FROM parsed
+), s0 AS MATERIALIZED (
+  SELECT host, {1 - spread} * avg((verdict IS NOT DISTINCT FROM 'allow')::INT) AS trust,
+         {1 - spread} * avg((verdict IS NOT DISTINCT FROM 'block')::INT) AS distrust
+  FROM ruled WHERE host <> '' GROUP BY host
+), found AS (
+  SELECT host AS source, {lower % "regexp_replace(t, '^[^@]*@', '')"} AS target
+  FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS t FROM parsed WHERE host <> '')
+), links AS MATERIALIZED (
+  SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS forth, n / sum(n) OVER (PARTITION BY target) AS back
+  FROM (SELECT source, target, count(*) AS n FROM found WHERE target <> '' AND source <> target GROUP BY ALL)
+){rounds}
+SELECT page_id, host, path, rule, coalesce(verdict, if(distrust - trust > {urlfilter.MARGIN * (1 - spread)}, 'block', 'allow')) AS verdict
+FROM ruled LEFT JOIN s{urlfilter.ROUNDS} USING (host)
+"""
+
+
+OP6_SQL = _url_sql()
+
+
 def op7_chat(spark: SparkSession, directory: str) -> DataFrame:
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -120,4 +238,4 @@ def op10_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op5_licenses": op5_licenses, "op6_urls": op6_urls, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards, "op10_packing": op10_packing}
-ORACLES = {"op1_topk": OP1_SQL, "op7_chat": OP7_SQL}
+ORACLES = {"op1_topk": OP1_SQL, "op4_substring": OP4_SQL, "op5_licenses": OP5_SQL, "op6_urls": OP6_SQL, "op7_chat": OP7_SQL}

@@ -17,14 +17,14 @@ DAMPING, ROUNDS, STILL = 0.85, 12, 1e-9
 # links has whose every page is blocked.
 MARGIN = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]*)"
+PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+LINK = r"(?i)href\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s>]*)"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z in lower case) and path of a URL; both empty if it is null or has no ``://``."""
-    host = F.translate(F.regexp_extract(url, _PARTS, 1), _UPPER, _LOWER)
-    return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
+    host = F.translate(F.regexp_extract(url, PARTS, 1), _UPPER, _LOWER)
+    return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -42,7 +42,7 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
 
 def host_links(pages: DataFrame) -> DataFrame:
     """source, target, n: links from host to other host in the HTML of ``pages`` (host, html)."""
-    found = F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)))
+    found = F.explode(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)))
     links = pages.where("host <> ''").select(F.col("host").alias("source"), found.alias("target"))
     target = F.translate(F.regexp_replace("target", r"^[^@]*@", ""), _UPPER, _LOWER).alias("target")
     return (
