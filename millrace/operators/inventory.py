@@ -201,22 +201,38 @@ def extract_changed(
     changed_days(state, read_marks(spark, marks_path)).repartition(1).write.parquet(staged)
     days = spark.read.schema(MARK_SCHEMA).parquet(staged)
     write_extract(daily_extract(state, days), path, tasks)
-    save_marks(days, marks_path, tasks)
+    save_marks(days, marks_path)
     discard(spark, staged)
     return path
 
 
-def save_marks(marks: DataFrame, path: str, tasks: int | None = None) -> str:
-    """Replace the marks of the given days, one row each, in a store that is partitioned by day."""
-    return write_partitions(marks.select("crdate", "upd_tv"), path, ["crdate"], conflict="replace", tasks=tasks)
+def save_marks(marks: DataFrame, path: str) -> str:
+    """Replace the marks of the given days, one row each, and keep those of other days.
+
+    The store is one small dataset, written anew under the next version and freed of the earlier
+    ones; a run that dies in between leaves both, which say the same, as stamps only grow.
+    """
+    spark = marks.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    known = [entry.getPath() for entry in files.listStatus(folder)] if files.exists(folder) else []
+    earlier = {int(entry.getName().removeprefix("version=")): entry for entry in known if entry.getName().startswith("version=")}
+    new = marks.select("crdate", "upd_tv")
+    merged = read_marks(spark, path).unionByName(new) if earlier else new
+    latest = merged.groupBy("crdate").agg(F.max("upd_tv").alias("upd_tv"))
+    latest.coalesce(1).write.parquet(f"{path}/version={max(earlier, default=0) + 1}")
+    for entry in earlier.values():
+        files.delete(entry, True)
+    return path
 
 
 def read_marks(spark: SparkSession, path: str) -> DataFrame:
     """The saved marks, ``crdate`` and ``upd_tv``. Create the store with ``create_marks``."""
-    return spark.read.schema(MARK_SCHEMA).parquet(path).select("crdate", "upd_tv")
+    stored = spark.read.schema(f"{MARK_SCHEMA}, version INT").parquet(path)
+    return stored.groupBy("crdate").agg(F.max("upd_tv").alias("upd_tv"))
 
 
 def create_marks(spark: SparkSession, path: str) -> str:
     """An empty store of marks, before the first extract."""
-    spark.createDataFrame([], MARK_SCHEMA).write.mode("ignore").partitionBy("crdate").parquet(path)
+    spark.createDataFrame([], MARK_SCHEMA).coalesce(1).write.mode("ignore").parquet(f"{path}/version=0")
     return path

@@ -187,6 +187,23 @@ def test_extract_cycle(spark, tmp_path):
     assert inventory.changed_days(later, inventory.read_marks(spark, marks)).isEmpty()
 
 
+def test_marks_are_replaced(spark, tmp_path):
+    marks = inventory.create_marks(spark, str(tmp_path / "marks"))
+    for stamp in range(1, 6):
+        days = spark.createDataFrame([(1, stamp), (stamp, stamp)], "crdate INT, upd_tv BIGINT").distinct()
+        inventory.save_marks(days, marks)
+    assert rows(inventory.read_marks(spark, marks), "crdate") == [(1, 5), (2, 2), (3, 3), (4, 4), (5, 5)]
+    assert len(spark.read.parquet(marks).inputFiles()) == 1
+
+
+def test_extract_scans_the_state_once_for_the_write(spark, tmp_path):
+    path = str(tmp_path / "state")
+    write_partitions(state(spark, *[(d, "a", "v", "c", "vm", d) for d in range(20240101, 20240106)]), path, ["crdate"])
+    days = spark.createDataFrame([(20240105, 5)], "crdate INT, upd_tv BIGINT").where("upd_tv > 4")
+    text = plan_text(inventory.daily_extract(spark.read.schema(STATE).parquet(path), days))
+    assert text.count("FileScan parquet") == 1 and "rangepartitioning" not in text
+
+
 def test_recent_days():
     assert inventory.recent_days(dt.datetime(2022, 12, 31, 21, 30)) == [20221231, 20230101]
     assert inventory.recent_days(dt.datetime(2022, 12, 31, 20, 30)) == [20221230, 20221231]
