@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.workspace import fresh_path
+from millrace.workspace import discard, fresh_path
 
 # Words of the corpus operators: runs of bytes that are none of these six.
 SPACES = r"\x20\x09-\x0D"
@@ -20,3 +20,10 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete what ``staged`` wrote for ``frames``, once nothing reads it any more."""
+    for frame in frames:
+        for folder in {path.rpartition("/")[0] for path in frame.inputFiles()}:
+            discard(frame.sparkSession, folder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import drop_staged, staged
 
 
 def _smallest(links: DataFrame) -> DataFrame:
@@ -45,11 +45,13 @@ def connected(links: DataFrame) -> DataFrame:
     longer change, which takes a number logarithmic in the longest path. Minima are combined
     before the shuffle, so a node with very many links is no hot key; the joins are left to
     adaptive execution, which splits them. Every round ends as files in the shared folder; the
-    driver sees one count and one checksum a round.
+    driver sees one count and one checksum a round. ``links`` is read in the first round alone.
     """
-    now, before = links.select("a", "b").where("a <> b"), None
+    now, before, earlier = links.select("a", "b").where("a <> b"), None, []
     while True:
         now = staged(_small_star(_large_star(now)), "components")
+        drop_staged(*earlier)
+        earlier = [now]
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break

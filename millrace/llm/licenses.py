@@ -14,7 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import drop_staged, staged
 
 # Cosines from which a line is a header and a file is a licence file.
 HEADER, FILE = 0.7, 0.4
@@ -121,6 +121,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Data
         near.select("id", "path", F.lit(0), terms(F.col("text")))
     )
     best = staged(_best(units, vectors, weights, rare), "license-best")
+    drop_staged(near)
     closest = F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best")
     headers = best.where((F.col("unit") > 0) & (F.col("cosine") >= HEADER)).groupBy("path").agg(closest)
     directory = F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import staged
+from millrace.llm.common import drop_staged, staged
 
 CAPACITY, END = 1024, 2
 ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 6, 20
@@ -216,8 +216,11 @@ def _solved(blocked: DataFrame, capacity: int) -> DataFrame:
         "block", islands.alias("island"), "key", F.col("length").cast("int").alias("length"),
         F.lit(0).alias("bin"), F.lit(-1).alias("settler"),
     )
+    earlier = []
     for epoch in range(EPOCHS):
         packed = staged(_epoch(state, capacity, epoch), "packing-epoch")
+        drop_staged(*earlier)
+        earlier = [packed]
         stay = packed.select("block", "island", "key", "length", "bin", F.col("island").alias("settler"))
         move = packed.select(
             "block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), "key", "length", "bin",
@@ -225,7 +228,9 @@ def _solved(blocked: DataFrame, capacity: int) -> DataFrame:
         )
         state = stay.union(move)
     best = packed.groupBy("block").agg(F.max_by("island", F.struct("score", -F.col("island"))).alias("island"))
-    return packed.join(best, ["block", "island"]).select("block", "key", "length", "bin")
+    result = staged(packed.join(best, ["block", "island"]).select("block", "key", "length", "bin"), "packing-solved")
+    drop_staged(packed)
+    return result
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -238,11 +243,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     number = lambda turn: -1 - ((F.col("block") * 2**_BIN_BITS + F.col("bin")) * 2 + turn)
     small = items.where(F.col("length") < capacity).select("key", "length")
-    first = staged(_solved(_blocks(small, small.count(), 1), capacity), "packing-first")
+    first = _solved(_blocks(small, small.count(), 1), capacity)
     fills = first.groupBy("block", "bin").agg(F.sum("length").alias("fill"))
     poor = first.join(fills.where(F.col("fill") < POOR * capacity), ["block", "bin"]).select("key", "length")
     poor = staged(poor, "packing-poor")
     again = _solved(_blocks(poor, poor.count(), 2), capacity)
+    drop_staged(poor)
     kept = first.join(fills.where(F.col("fill") >= POOR * capacity), ["block", "bin"])
     placed = kept.select("key", "length", number(0).alias("sequence_id")).union(
         again.select("key", "length", number(1).alias("sequence_id"))

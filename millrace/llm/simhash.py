@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import drop_staged, staged
 from millrace.llm.components import connected
 
 BITS = 64
@@ -206,7 +206,9 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, capac
     whose fingerprints are reached over links, component_id their smallest doc_id."""
     marked = staged(fingerprints(docs, shingle), "simhash-fingerprints")
     distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")), "simhash-distinct")
-    linked = connected(staged(links(distinct.select("fp"), radius, capacity), "simhash-links"))
+    found = staged(links(distinct.select("fp"), radius, capacity), "simhash-links")
+    linked = connected(found)
+    drop_staged(found)
     # Only linked fingerprints get a row: (fp, label), and the smallest document per label.
     labelled = distinct.join(linked, distinct["fp"] == linked["node"]).select("fp", "label", "smallest")
     named = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import drop_staged, staged
 
 WINDOW = 13
 # No first level is longer than this many words.
@@ -233,7 +233,9 @@ def _copies(texts: DataFrame) -> DataFrame:
     marked = texts.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", "tag", F.md5("text").alias("digest"))
     marked = staged(marked.select("doc", "tag", F.unhex("digest").alias("digest")).distinct(), "substring-digests")
     least = marked.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    return staged(marked.join(least, "digest").where("doc > least").select("doc", "tag"), "substring-copies")
+    copies = staged(marked.join(least, "digest").where("doc > least").select("doc", "tag"), "substring-copies")
+    drop_staged(marked)
+    return copies
 
 
 def _covered(places: list[int], window: int, words: int) -> np.ndarray:
@@ -263,15 +265,20 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     chain = lengths(window)
     places = _repeated(_first_windows(texts.select("doc", "text"), chain[0], window), ["h"], ["doc"])
     places = places.join(only_copies, "doc", "left_anti")
-    first = True
+    found = None
     for before, length in zip(chain, [*chain[1:], window]):
-        packed = _packed(texts).join(staged(places, "substring-places"), "doc").select("doc", "tag", "packed", "places")
-        found = staged(_longer_windows(packed, length, before, window, first), "substring-windows")
-        places, first = _repeated(found, ["h", "g"], ["doc", "tag"] if length == window else ["doc"]), False
+        known = staged(places, "substring-places")
+        packed = _packed(texts).join(known, "doc").select("doc", "tag", "packed", "places")
+        longer = staged(_longer_windows(packed, length, before, window, found is None), "substring-windows")
+        drop_staged(known, *([found] if found else []))
+        found = longer
+        places = _repeated(found, ["h", "g"], ["doc", "tag"] if length == window else ["doc"])
         if length == window:
             break
     alone = places.join(copies, ["doc", "tag"], "left_anti").select("doc", "tag", F.lit(False).alias("whole"), "places")
-    return alone.union(copies.select("doc", "tag", F.lit(True), F.lit(None).cast("array<int>")))
+    result = staged(alone.union(copies.select("doc", "tag", F.lit(True), F.lit(None).cast("array<int>"))), "substring-found")
+    drop_staged(found, copies)
+    return result
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -285,7 +292,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``kept`` is empty. Rows without doc_id lose nothing and are no earlier document. Of equal
     doc_ids neither is the smaller. No rows give no rows.
     """
-    found = staged(repeats(docs, window), "substring-found")
+    found = repeats(docs, window)
     others = [F.col(f"`{name}`") for name in docs.columns if name != "text"]
     rows = docs.select(
         F.col("doc_id").alias("doc"),

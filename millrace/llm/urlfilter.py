@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import staged
+from millrace.llm.common import drop_staged, staged
 
 DAMPING, ROUNDS, STILL = 0.85, 12, 1e-9
 # A host is blocked if its distrust exceeds its trust by this share of what a host without
@@ -77,9 +77,11 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
         after, before = staged(after, "url-round"), now.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
         change = F.abs(F.col("trust") - F.coalesce("t", F.lit(0.0))) + F.abs(F.col("distrust") - F.coalesce("d", F.lit(0.0)))
         moved_most = after.join(before, "host", "left").agg(F.max(change)).first()[0]
+        drop_staged(*([now] if now is not base else []))
         now = after
         if not moved_most or moved_most < STILL:
             break
+    drop_staged(flows, base)
     return now
 
 
