@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import day_number
 from millrace.operators import inventory
-from millrace.plans.tools import file_tasks
 from millrace.sinks.partitions import write_partitions
 from millrace.sources.tables import literal_rows, read_csv, table
 from millrace.workspace import fresh_path
@@ -44,9 +43,23 @@ def _observations(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def _state(spark: SparkSession, directory: str) -> DataFrame:
+def _event_observations(spark: SparkSession, directory: str) -> DataFrame:
+    """Events as resources seen on a day, in the form of the above: users, whose kind of event
+    stands for the cluster. Few days, for jobs that keep a folder for each."""
+    return table(spark, directory, "events").select(
+        day_number(F.col("ts")).alias("crdate"),
+        F.col("user_id").cast("string").alias("obj_id"),
+        F.concat(F.lit("vm-"), F.col("event_id").cast("string")).alias("vm_id"),
+        F.nullif(F.col("event_type"), F.lit("view")).alias("cluster_id"),
+        F.lit("vm").alias("otype"),
+        F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("event_id") % 3 + 1).cast("int")).alias("o_orderstatus"),
+        F.col("event_id").alias("upd_tv"),
+    )
+
+
+def _state(spark: SparkSession, directory: str, observations=_observations) -> DataFrame:
     """What an earlier run stored: finished and pending orders, clusters unknown for the latter."""
-    seen = _observations(spark, directory).where("o_orderstatus <> 'O'")
+    seen = observations(spark, directory).where("o_orderstatus <> 'O'")
     stored = seen.withColumn("cluster_id", F.when(F.col("o_orderstatus") == "F", F.col("cluster_id")))
     return inventory.one_per_key(stored, inventory.STATE_KEYS, inventory.STATE_VALUES).withColumn(
         "upd_tv", F.lit(1).cast("bigint")
@@ -65,24 +78,24 @@ def inventory_upsert_null_safe(spark: SparkSession, directory: str) -> DataFrame
 
 
 # A day that the stored upsert below merges, and rows that come in as values.
-MERGED_DAY = 19950315
+MERGED_DAY = 20240115
 LITERAL_ROWS = [(MERGED_DAY, "new-1", "vm-new", "c-new", "vm"), (MERGED_DAY, "new-2", "vm-new", None, "disk"), (1, "x", "vm-new", "c", "vm")]
 
 
 def inventory_merge(spark: SparkSession, directory: str) -> DataFrame:
-    """One day's orders and some literal rows merged into the stored state, all of it read back."""
-    state = _state(spark, directory)
-    path = write_partitions(state, fresh_path(spark, "state"), ["crdate"], "append", tasks=file_tasks(spark))
-    seen = _observations(spark, directory).select(*inventory.STATE_KEYS, *inventory.STATE_VALUES)
+    """One day's events and some literal rows merged into the stored state, all of it read back."""
+    state = _state(spark, directory, _event_observations)
+    path = write_partitions(state, fresh_path(spark, "state"), ["crdate"], "append")
+    seen = _event_observations(spark, directory).select(*inventory.STATE_KEYS, *inventory.STATE_VALUES)
     incoming = seen.unionByName(literal_rows(spark, LITERAL_ROWS, seen.schema))
     inventory.merge_day(spark, path, incoming, MERGED_DAY, 2)
     stored = spark.read.schema(inventory.state_schema(seen)).parquet(path)
     return stored.select(*inventory.STATE_KEYS, *inventory.STATE_VALUES, "upd_tv")
 
 
-def _days(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+def _days(spark: SparkSession, directory: str, observations=_observations) -> tuple[DataFrame, DataFrame]:
     """State, and the marks an extract would have saved before the open orders arrived."""
-    state = _observations(spark, directory)
+    state = observations(spark, directory)
     marks = state.where("o_orderstatus <> 'O'").groupBy("crdate").agg(F.max("upd_tv").alias("upd_tv"))
     return state, marks
 
@@ -93,13 +106,13 @@ def changed_days(spark: SparkSession, directory: str) -> DataFrame:
 
 def daily_extract(spark: SparkSession, directory: str) -> DataFrame:
     """The extract of the changed days of a stored state, written as CSV by day and read back."""
-    state, marks = _days(spark, directory)
+    state, marks = _days(spark, directory, _event_observations)
+    marks = marks.where("crdate % 2 = 0").unionByName(state.groupBy("crdate").agg(F.max("upd_tv").alias("upd_tv")).where("crdate % 2 = 1"))
     latest = inventory.one_per_key(state, inventory.STATE_KEYS, ("upd_tv", "vm_id", "cluster_id", "otype"))
-    tasks = file_tasks(spark)
-    state_path = write_partitions(latest, fresh_path(spark, "state"), ["crdate"], "append", tasks=tasks)
+    state_path = write_partitions(latest, fresh_path(spark, "state"), ["crdate"], "append")
     stored = spark.read.schema(inventory.state_schema(latest)).parquet(state_path)
     marks_path = inventory.save_marks(marks, fresh_path(spark, "marks"))
-    path = inventory.extract_changed(spark, stored, marks_path, fresh_path(spark, "extract"), tasks=tasks)
+    path = inventory.extract_changed(spark, stored, marks_path, fresh_path(spark, "extract"))
     columns = ", ".join(f"{name} STRING" for name in inventory.EXTRACT_COLUMNS)
     return read_csv(spark, path, columns).select(*inventory.EXTRACT_COLUMNS)
 
@@ -120,10 +133,17 @@ _OBSERVATIONS = """
     FROM orders"""
 
 
-def _upsert_sql(differs: str, more: str = "", listed: str = "TRUE") -> str:
-    """``more`` rows come in besides the orders, and only those that ``listed`` names."""
+_EVENT_OBSERVATIONS = """
+    SELECT CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS crdate, CAST(user_id AS VARCHAR) AS obj_id,
+           'vm-' || event_id AS vm_id, nullif(event_type, 'view') AS cluster_id, 'vm' AS otype,
+           ['F', 'O', 'P'][event_id % 3 + 1] AS o_orderstatus, event_id AS upd_tv
+    FROM events"""
+
+
+def _upsert_sql(differs: str, more: str = "", listed: str = "TRUE", observations: str = _OBSERVATIONS) -> str:
+    """``more`` rows come in besides the observations, and only those that ``listed`` names."""
     return f"""
-        WITH seen AS ({_OBSERVATIONS}),
+        WITH seen AS ({observations}),
         base AS (
             SELECT crdate, obj_id, vm_id, cluster_id, otype, 1 AS upd_tv FROM (
                 SELECT crdate, obj_id, vm_id, otype,
@@ -147,14 +167,17 @@ def _upsert_sql(differs: str, more: str = "", listed: str = "TRUE") -> str:
         FROM base b FULL OUTER JOIN chg c ON b.crdate = c.crdate AND b.obj_id = c.obj_id"""
 
 
-_CHANGED = f"""
-    seen AS ({_OBSERVATIONS}),
-    marks AS (SELECT crdate, MAX(upd_tv) AS mark FROM seen WHERE o_orderstatus <> 'O' GROUP BY crdate),
+def _changed_sql(observations: str, marked: str = "o_orderstatus <> 'O'") -> str:
+    """``marked`` rows were there before the last extract."""
+    return f"""
+    seen AS ({observations}),
+    marks AS (SELECT crdate, MAX(upd_tv) AS mark FROM seen WHERE {marked} GROUP BY crdate),
     changed AS (
         SELECT s.crdate, s.upd_tv FROM (SELECT crdate, MAX(upd_tv) AS upd_tv FROM seen GROUP BY crdate) s
         LEFT JOIN marks m ON m.crdate = s.crdate
         WHERE COALESCE(m.mark, 0) < COALESCE(s.upd_tv, 0))"""
 
+
 # Something came in, and it is not what is stored or the marker for nothing stored.
 _MARKED = " OR ".join(
     f"i.{name} IS NOT NULL AND i.{name} <> COALESCE(r.{name}, '{inventory.NULL_MARKER}')" for name in inventory.STATE_VALUES
@@ -177,10 +200,10 @@ ORACLES = {
         FROM best b JOIN hosts h ON h.vm_id = b.vm_id""",
     "inventory_upsert": _upsert_sql(_MARKED),
     "inventory_upsert_null_safe": _upsert_sql(" OR ".join(f"i.{name} IS DISTINCT FROM r.{name}" for name in inventory.STATE_VALUES)),
-    "inventory_merge": _upsert_sql(_MARKED, f"UNION ALL VALUES {_LITERALS}", f"crdate = {MERGED_DAY}"),
-    "changed_days": f"WITH {_CHANGED} SELECT crdate, upd_tv FROM changed",
+    "inventory_merge": _upsert_sql(_MARKED, f"UNION ALL VALUES {_LITERALS}", f"crdate = {MERGED_DAY}", _EVENT_OBSERVATIONS),
+    "changed_days": f"WITH {_changed_sql(_OBSERVATIONS)} SELECT crdate, upd_tv FROM changed",
     "daily_extract": f"""
-        WITH {_CHANGED}
+        WITH {_changed_sql(_EVENT_OBSERVATIONS, "o_orderstatus <> 'O' OR crdate % 2 = 1")}
         SELECT dt, obj_id, obj_type, vm_id, cluster_id FROM (
             SELECT strftime(strptime(CAST(s.crdate AS VARCHAR), '%Y%m%d'), '%Y-%m-%d') AS dt, s.obj_id,
                    s.otype AS obj_type, s.vm_id, s.cluster_id,

@@ -38,7 +38,8 @@ def uuid_distinct(spark: SparkSession, directory: str) -> DataFrame:
 
 def wide_datagen(spark: SparkSession, directory: str) -> DataFrame:
     """The wide table over the keys of the line items."""
-    return generate.wide_rows_of(table(spark, directory, "lineitem"), "l_orderkey", ROWS_PER_PART)
+    lines = table(spark, directory, "lineitem")
+    return generate.wide_rows_of(lines, "l_orderkey", ROWS_PER_PART, tasks=file_tasks(spark))
 
 
 def wide_datagen_overflow(spark: SparkSession, directory: str) -> DataFrame:
@@ -67,12 +68,24 @@ def orders_by_day(spark: SparkSession, directory: str) -> DataFrame:
     return checked.select("*", *date_parts(F.col("o_orderdate"), "o"))
 
 
+def events_by_day(spark: SparkSession, directory: str) -> DataFrame:
+    events = table(spark, directory, "events")
+    return events.select("event_id", "user_id", "ts", *date_parts(F.col("ts"), "e"))
+
+
 def partitioned_load(spark: SparkSession, directory: str) -> DataFrame:
-    """Load orders into a table partitioned by year, month and day, count rows by partition."""
-    rows, keys = orders_by_day(spark, directory), ["o_year", "o_month", "o_day"]
-    name = create_partitioned_table(spark, catalog_name(spark, "orders"), rows.schema.toDDL(), keys, fresh_path(spark, "orders"))
-    loaded = insert_rows(rows, name, cluster_by=keys, tasks=file_tasks(spark))
-    return loaded.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
+    """Load orders into a table partitioned by year and month, and events into one partitioned by
+    day as well; count rows by partition."""
+    counts = []
+    dated = [(orders_by_day(spark, directory).drop("o_day"), "o", "o_orderkey"), (events_by_day(spark, directory), "e", "event_id")]
+    for rows, prefix, key in dated:
+        keys = [f"{prefix}_{part}" for part in ("year", "month", "day") if f"{prefix}_{part}" in rows.columns]
+        name = create_partitioned_table(spark, catalog_name(spark, "dated"), rows.schema.toDDL(), keys, fresh_path(spark, "dated"))
+        loaded = insert_rows(rows, name, cluster_by=keys)
+        parts = [F.col(k) for k in keys] + [F.lit(None).cast("int")] * (3 - len(keys))
+        named = [part.alias(name) for part, name in zip(parts, ("year", "month", "day"))]
+        counts.append(loaded.groupBy(*named).agg(F.count("*").alias("n"), F.sum(key).alias("key_sum")))
+    return counts[0].unionByName(counts[1])
 
 
 def prefix_avg_range(spark: SparkSession, directory: str) -> DataFrame:
@@ -150,9 +163,13 @@ ORACLES = {
                CAST(strftime((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Moscow', '%Y%m%d') AS INTEGER) AS crdate
         FROM events""",
     "partitioned_load": """
-        SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, CAST(month(o_orderdate) AS INTEGER) AS o_month,
-               CAST(day(o_orderdate) AS INTEGER) AS o_day, COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS key_sum
-        FROM orders GROUP BY ALL""",
+        SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+               CAST(NULL AS INTEGER) AS day, COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS key_sum
+        FROM orders GROUP BY ALL
+        UNION ALL
+        SELECT CAST(year(ts) AS INTEGER), CAST(month(ts) AS INTEGER), CAST(day(ts) AS INTEGER), COUNT(*),
+               CAST(SUM(event_id) AS BIGINT)
+        FROM events GROUP BY ALL""",
     "prefix_avg_range": """
         SELECT ROUND(MAX(a) - MIN(a), 6) AS rng FROM (
           SELECT substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 2) AS p, AVG(o_orderkey) AS a
