@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import drop_staged, staged
+from millrace.operators.joins import splittable_join
 
 
 def _smallest(links: DataFrame) -> DataFrame:
@@ -16,22 +17,16 @@ def _smallest(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the smallest neighbour of that node."""
     both = links.union(links.select("b", "a"))
-    least = _smallest(both)
-    return (
-        both.join(least, both["a"] == least["node"])
-        .where("b > a")
-        .select(F.col("b").alias("a"), F.col("least").alias("b"))
-        .distinct()
-    )
+    joined = splittable_join(both.withColumnRenamed("a", "node"), _smallest(both), ["node"])
+    return joined.where("b > node").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node and its neighbours below it are linked to the smallest of them."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = _smallest(down)
-    joined = down.join(least, down["a"] == least["node"])
+    joined = splittable_join(down.withColumnRenamed("a", "node"), _smallest(down), ["node"])
     return (
-        joined.select("b", "least").union(joined.select("a", "least"))
+        joined.select("b", "least").union(joined.select("node", "least"))
         .where("b <> least")
         .select(F.col("b").alias("a"), F.col("least").alias("b"))
         .distinct()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import drop_staged, staged
+from millrace.operators.joins import splittable_join
 
 # Cosines from which a line is a header and a file is a licence file.
 HEADER, FILE = 0.7, 0.4
@@ -143,7 +144,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> Data
         .groupBy("directory")
         .agg(F.max_by(F.struct("holder", "held_license", "held_cosine"), "depth").alias("from"))
     )
-    found = paths.join(headers, "path", "left").join(inherited, "directory", "left")
+    found = splittable_join(paths.join(headers, "path", "left"), inherited, ["directory"], "left")
     own = F.col("best").isNotNull()
     return found.select(
         "path",

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import drop_staged, staged
 from millrace.llm.components import connected
+from millrace.operators.joins import splittable_join
 
 BITS = 64
 SHINGLE = 3
@@ -214,11 +215,12 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, capac
     named = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
     renamed = labelled.join(named, "label").select(F.col("fp").alias("linked_fp"), "label", "component_id")
     all_classes = distinct.join(renamed, distinct["fp"] == renamed["linked_fp"], "left").select(
-        F.col("fp").alias("class_fp"),
+        "fp",
         F.coalesce("label", "fp").alias("label"),
         F.when(F.col("label").isNull(), F.col("smallest")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    return marked.join(all_classes, marked["fp"] == all_classes["class_fp"], "left").drop("class_fp")
+    # Copies of one text may be a third of all rows.
+    return splittable_join(marked, all_classes, ["fp"], "left")
 
 
 def near_duplicates(

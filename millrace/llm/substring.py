@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import drop_staged, staged
+from millrace.operators.joins import splittable_join
 
 WINDOW = 13
 # No first level is longer than this many words.
@@ -201,10 +202,11 @@ def _repeated(windows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
     execution, which splits it.
     """
     ends = windows.groupBy(*keys).agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most")
-    met = windows.join(ends, keys)
+    met = splittable_join(windows, ends, keys)
     if "tag" in by:  # the last level: only what stands in a document before
         met = met.where("doc > least")
-    return met.groupBy(*by).agg(F.collect_list("at").alias("places"))
+    # A set, as rows of a repeated doc_id send the same places: no more than its longest text has words.
+    return met.groupBy(*by).agg(F.collect_set("at").alias("places"))
 
 
 def _packed(texts: DataFrame) -> DataFrame:

@@ -150,6 +150,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     buckets = sized.groupBy("width", "bucket").agg(
         F.max("norm").alias("most"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")
     )
+    # Written, so that its size is known: a few rows, which Spark then sends to the vectors.
+    buckets = staged(buckets, "topk-buckets")
     parts = max(1, -(-queries.count() // BLOCK))
     asked = queries.select("vec_id", "vector", "norm", "least", width)
     # A query goes to the buckets that can reach its floor: one row per block of these.
