@@ -34,7 +34,7 @@ def clustered(df: DataFrame, keys: Sequence[str], tasks: int | None = None, spre
     return df.hint("rebalance", *keys)
 
 
-def conflicting_partitions(df: DataFrame, path: str, keys: Sequence[str], file_format: str = "parquet") -> DataFrame:
+def conflicting_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
     """Partition keys of ``df`` that already exist under ``path``.
 
     Both sides are reduced to distinct keys first. The stored side is the listing of the
@@ -62,6 +62,7 @@ def _listed_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> DataFra
         raise
     finally:
         spark.conf.set(inference, before)
+    # Without a partition there is no folder to take the keys from.
     if not set(keys) <= set(listed.columns):
         return None
     return listed.select(*[F.col(key).cast(df.schema[key].dataType).alias(f"_{key}") for key in keys]).distinct()
@@ -84,19 +85,20 @@ def write_partitions(
     task holds few partitions anyway.
 
     ``fail``     stop before writing if any incoming partition exists (checked once, before
-                 the write: two writers at the same time need their own lock); incoming rows
-                 are computed once, into the shared folder, and checked and written from there;
+                 the write: two writers at the same time need their own lock); if there is any
+                 partition yet, incoming rows are computed once, into the shared folder, and
+                 checked and written from there;
     ``replace``  swap the content of incoming partitions, leave the others;
     ``append``   add to whatever is there.
     """
     if conflict not in CONFLICT_MODES:
         raise ValueError(f"conflict must be one of {CONFLICT_MODES}, not {conflict!r}")
-    if conflict == "fail":
+    if conflict == "fail" and _listed_partitions(df, path, keys) is not None:
         staged = fresh_path(df.sparkSession, "incoming")
         df.write.parquet(staged)
         try:
             stored = df.sparkSession.read.schema(df.schema).parquet(staged)
-            _refuse_conflicts(stored, path, keys, file_format)
+            _refuse_conflicts(stored, path, keys)
             return write_partitions(stored, path, keys, "append", file_format, tasks, cluster, spread, **options)
         finally:
             discard(df.sparkSession, staged)
@@ -109,9 +111,9 @@ def write_partitions(
     return path
 
 
-def _refuse_conflicts(df: DataFrame, path: str, keys: Sequence[str], file_format: str) -> None:
-    """Raise if partitions of ``df`` exist: how many, and which come first."""
-    found = conflicting_partitions(df, path, keys, file_format)
+def _refuse_conflicts(df: DataFrame, path: str, keys: Sequence[str]) -> None:
+    """Raise if partitions of ``df`` exist: how many, and from which to which."""
+    found = conflicting_partitions(df, path, keys)
     names = F.concat_ws(", ", *[F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("NULL"))) for key in keys])
     row = found.select(names.alias("name")).agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last")).first()
     if row.n:

@@ -228,8 +228,10 @@ def test_fail_runs_the_incoming_query_once(spark, tmp_path):
             yield batch
 
     incoming = spark.range(20).selectExpr("id AS x", "id % 3 AS k").mapInArrow(count, "x long, k long")
-    partitions.write_partitions(incoming, str(tmp_path / "once"), ["k"])
+    path = partitions.write_partitions(incoming, str(tmp_path / "once"), ["k"])
     assert ran.value == 20
+    partitions.write_partitions(incoming.withColumn("k", F.col("k") + 10), path, ["k"])
+    assert ran.value == 40 and spark.read.parquet(path).count() == 40
 
 
 def test_hot_partition_by_number_is_spread(spark, tmp_path):
