@@ -52,7 +52,8 @@ def op5_licenses(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
     thousand = F.floor(F.col("doc_id") / 1000)
     path = F.concat_ws("/", "source", "lang", thousand.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return licenses.scan(docs.select(path.alias("path"), "text"))
+    doc_id = F.substring_index("path", "/", -1).try_cast("long").alias("doc_id")
+    return licenses.scan(docs.select(path.alias("path"), "text")).select(doc_id, "*")
 
 
 _REST = substring.WINDOW - 1
@@ -119,7 +120,7 @@ WITH templates(license, body) AS (VALUES {_NOTICES}), files AS (
   JOIN holders ON holder IN ('', directory) OR starts_with(directory, holder || '/')
   QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(holder) DESC) = 1
 )
-SELECT path, coalesce(h.license, i.license) AS license,
+SELECT TRY_CAST(string_split(path, '/')[-1] AS BIGINT) AS doc_id, path, coalesce(h.license, i.license) AS license,
        CASE WHEN h.path IS NOT NULL THEN 'header' WHEN holder IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
        coalesce(h.cosine, i.cosine) AS cosine, CASE WHEN h.path IS NULL THEN holder END AS directory
 FROM (SELECT DISTINCT path, directory FROM placed) AS p LEFT JOIN headers AS h USING (path) LEFT JOIN inherited AS i USING (directory)
