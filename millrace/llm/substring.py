@@ -75,16 +75,19 @@ class Words:
         return places[self.text[places] == self.text[places + length - 1]]
 
 
-def _portions(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``_BYTES`` bytes."""
-    begin, size = 0, 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= _BYTES:
-            yield begin, k + 1
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _portions(batches: Iterator[pa.RecordBatch], name: str, limit: int = _BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of about ``limit`` bytes of the column ``name``, so that
+    few texts are Python objects at a time; a longer text is a piece by itself."""
+    for batch in batches:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(name)), 0).to_numpy()
+        begin, size = 0, 0
+        for k, length in enumerate(sizes.tolist()):
+            size += length
+            if size >= limit:
+                yield batch.slice(begin, k + 1 - begin)
+                begin, size = k + 1, 0
+        if begin < len(sizes):
+            yield batch.slice(begin)
 
 
 def lengths(window: int) -> list[int]:
@@ -130,8 +133,7 @@ def _chosen(words: Words, length: int, window: int) -> tuple[np.ndarray, np.ndar
     return hashes, places, _least(hashes, window - length + 1)[places]
 
 
-def _sent(parts: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = [np.concatenate(column) for column in zip(*parts)]
+def _sent(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names)
 
 
@@ -140,14 +142,13 @@ def _first_windows(docs: DataFrame, length: int, window: int) -> DataFrame:
     names = ["h", "doc", "at"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs, texts = batch.column("doc").to_numpy(), batch.column("text").to_pylist()
-            for low, high in _portions(texts):
-                words = Words(texts[low:high])
-                hashes, _, at = _chosen(words, length, window)
-                at = at[np.diff(at, prepend=-1) != 0]
-                text = words.text[at]
-                yield _sent([(hashes[at], docs[low:high][text], (at - words.first[text]).astype(np.int32))], names)
+        for part in _portions(batches, "text"):
+            words = Words(part.column("text").to_pylist())
+            hashes, _, at = _chosen(words, length, window)
+            at = at[np.diff(at, prepend=-1) != 0]
+            text = words.text[at]
+            inside = (at - words.first[text]).astype(np.int32)
+            yield _sent([hashes[at], part.column("doc").to_numpy()[text], inside], names)
 
     return docs.mapInArrow(cut, "h long, doc long, at int")
 
@@ -169,27 +170,20 @@ def _longer_windows(packed: DataFrame, length: int, before: int, window: int, fi
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_text = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            docs, tags = batch.column("doc").to_numpy(), batch.column("tag").to_numpy()
-            held = batch.column("places")
-            counts, starts = pa.compute.list_value_length(held).to_numpy(), np.asarray(held.offsets)[:-1]
-            flat = held.values.to_numpy()
-            texts = [open_text(data) for data in batch.column("packed").to_pylist()]
-            for low, high in _portions(texts):
-                words = Words(texts[low:high])
-                allowed = np.zeros(len(words.hashes) + 1, bool)
-                places = flat[starts[low] : starts[high - 1] + counts[high - 1]]
-                at = places + np.repeat(words.first, counts[low:high])
-                # Texts of a repeated doc_id share their places: some lie outside this text.
-                at = np.minimum(at, len(words.hashes))
-                allowed[at] = True
-                at = allowed_windows(words, allowed[:-1])
-                if len(at):
-                    text = words.text[at]
-                    h = _hashes(words.hashes, length, 2)[at]
-                    g = (_hashes(words.hashes, length, 3)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    inside = (at - words.first[text]).astype(np.int32)
-                    yield _sent([(h, g, docs[low:high][text], tags[low:high][text], inside)], names)
+        for part in _portions(batches, "packed", _BYTES // 3):
+            words = Words([open_text(data) for data in part.column("packed").to_pylist()])
+            held = part.column("places")
+            at = held.flatten().to_numpy() + np.repeat(words.first, pa.compute.list_value_length(held).to_numpy())
+            # Texts of a repeated doc_id share their places: some lie outside this text.
+            allowed = np.zeros(len(words.hashes) + 1, bool)
+            allowed[np.minimum(at, len(words.hashes))] = True
+            at = allowed_windows(words, allowed[:-1])
+            if len(at):
+                text = words.text[at]
+                docs, tags = part.column("doc").to_numpy()[text], part.column("tag").to_numpy()[text]
+                h = _hashes(words.hashes, length, 2)[at]
+                g = (_hashes(words.hashes, length, 3)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield _sent([h, g, docs, tags, (at - words.first[text]).astype(np.int32)], names)
 
     return packed.mapInArrow(cut, "h long, g int, doc long, tag long, at int")
 
@@ -215,9 +209,9 @@ def _packed(texts: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            data = [None if text is None else press(text) for text in batch.column("text").to_pylist()]
-            columns = [batch.column(name) for name in others]
+        for part in _portions(batches, "text"):
+            data = [None if text is None else press(text) for text in part.column("text").to_pylist()]
+            columns = [part.column(name) for name in others]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(data, pa.binary())], [*others, "packed"])
 
     kinds = [f"{name} {texts.schema[name].dataType.simpleString()}" for name in others]
@@ -306,9 +300,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_text = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for part in _portions(batches, "packed", _BYTES // 3):
             rows = []
-            for data, whole, places in zip(*(batch.column(name).to_pylist() for name in ("packed", "whole", "places"))):
+            for data, whole, places in zip(*(part.column(name).to_pylist() for name in ("packed", "whole", "places"))):
                 text = None if data is None else open_text(data)
                 words = text.split() if text else []
                 left = words
@@ -319,7 +313,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     left = [word for word, out in zip(words, covered) if not out]
                 rows.append((b" ".join(left), len(words), len(words) - len(left), text if len(left) == len(words) else None))
             kept, sizes, gone, same = zip(*rows) if rows else ((), (), (), ())
-            columns = [batch.column("record"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64())]
+            columns = [part.column("record"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(sizes, pa.int64())]
             columns += [pa.array(gone, pa.int64()), pa.array(same, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["record", "kept", "n_words", "n_removed", "whole_text"])
 
