@@ -261,19 +261,18 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     chain = lengths(window)
     places = _repeated(_first_windows(texts.select("doc", "text"), chain[0], window), ["h"], ["doc"])
     places = places.join(only_copies, "doc", "left_anti")
-    found = None
+    known: list[DataFrame] = []
     for before, length in zip(chain, [*chain[1:], window]):
-        known = staged(places, "substring-places")
-        packed = _packed(texts).join(known, "doc").select("doc", "tag", "packed", "places")
-        longer = staged(_longer_windows(packed, length, before, window, found is None), "substring-windows")
-        drop_staged(known, *([found] if found else []))
-        found = longer
+        # Places are written, windows are not: they are many, and soon cut from the texts again.
+        known.append(staged(places, "substring-places"))
+        packed = _packed(texts).join(known[-1], "doc").select("doc", "tag", "packed", "places")
+        found = _longer_windows(packed, length, before, window, len(known) == 1)
         places = _repeated(found, ["h", "g"], ["doc", "tag"] if length == window else ["doc"])
         if length == window:
             break
     alone = places.join(copies, ["doc", "tag"], "left_anti").select("doc", "tag", F.lit(False).alias("whole"), "places")
     result = staged(alone.union(copies.select("doc", "tag", F.lit(True), F.lit(None).cast("array<int>"))), "substring-found")
-    drop_staged(found, copies)
+    drop_staged(copies, *known)
     return result
 
 
