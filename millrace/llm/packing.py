@@ -24,9 +24,9 @@ from pyspark.sql.window import Window
 from millrace.llm.common import drop_staged, staged
 
 CAPACITY, END = 1024, 2
-ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 6, 20
+ISLANDS, EPOCHS, POPULATION, OFFSPRING = 2, 2, 5, 10
 # Pieces of one block, and the fill under which a bin is dissolved once.
-BLOCK, POOR = 8000, 0.999
+BLOCK, POOR = 24_000, 0.999
 _SPECIAL = "<|endoftext|>"
 # Pieces of one partition and bins of one block are numbered below 2 to these powers.
 _KEY_BITS, _BIN_BITS = 36, 20
@@ -149,10 +149,24 @@ def crossover(lengths: np.ndarray, base: np.ndarray, donor: np.ndarray, capacity
     return child
 
 
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """A lower bound on the bins (Martello and Toth): no two large pieces share one, and what small
+    ones hold beyond the room beside the middle ones needs more."""
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    number = np.append(np.cumsum(counts[::-1])[::-1], 0)
+    amount = np.append(np.cumsum((counts * np.arange(capacity + 1))[::-1])[::-1], 0)
+    half, best = capacity // 2, 0
+    for small in range(half + 1):
+        room = (number[half + 1] - number[capacity - small + 1]) * capacity - (amount[half + 1] - amount[capacity - small + 1])
+        rest = amount[small] - amount[half + 1]
+        best = max(best, int(number[half + 1]) + max(0, -(-int(rest - room) // capacity)))
+    return best
+
+
 def evolve(lengths: np.ndarray, settlers: list[np.ndarray], capacity: int, seed: tuple, offspring: int = OFFSPRING) -> np.ndarray:
     """The best packing after some generations on an island that starts with ``settlers``."""
     rng = np.random.default_rng(seed)
-    least = -(-int(lengths.sum()) // capacity)
+    least = least_bins(lengths, capacity)
     people = [*settlers, *([] if settlers else [_fresh(lengths, capacity, None)])]
     people += [_fresh(lengths, capacity, rng) for _ in range(POPULATION - len(people))]
     scored = sorted(((_fitness(lengths, p, capacity), k, p) for k, p in enumerate(people)), key=lambda x: (-x[0], x[1]))

@@ -58,8 +58,7 @@ def test_empty_table(spark):
     assert packing.pack_documents(none, VOCABULARY).collect() == []
 
 
-def least_bins(lengths, capacity=1024):
-    """Martello and Toth's lower bound: of large pieces no two share a bin, and small ones fill up."""
+def brute_bound(lengths, capacity=1024):
     lengths, best = np.array(lengths, np.int64), 0
     for small in range(capacity // 2 + 1):
         large = lengths > capacity - small
@@ -70,6 +69,14 @@ def least_bins(lengths, capacity=1024):
     return best
 
 
+def test_lower_bound():
+    rng = np.random.default_rng(6)
+    for high in (50, 300, 1024):
+        lengths = rng.integers(1, high + 1, 400)
+        assert packing.least_bins(lengths, 1024) == brute_bound(lengths)
+        assert packing.least_bins(lengths, 1024) <= len(np.unique(packing.evolve(lengths, [], 1024, (1,))))
+
+
 @pytest.mark.parametrize("count", [0, 1, 3000])
 def test_pack_is_near_the_bound(spark, count):
     rng = np.random.default_rng(count)
@@ -79,7 +86,7 @@ def test_pack_is_near_the_bound(spark, count):
     assert sorted(packed.key) == list(range(count))
     fill = packed.groupby("sequence_id").length.sum()
     assert (fill <= 1024).all()
-    assert len(fill) <= 1.01 * least_bins(lengths)
+    assert len(fill) <= 1.01 * brute_bound(lengths)
 
 
 def test_crossover_keeps_pieces_and_capacity():
