@@ -245,7 +245,11 @@ def near_duplicates(
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs``, with all its columns, of every component: that with the smallest
     doc_id (null only if all are), of several the one with the smallest hash of its text."""
-    found = staged(classes(docs, shingle, radius), "simhash-classes")
+    return first_rows(docs, staged(classes(docs, shingle, radius), "simhash-classes"))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of ``docs`` that ``first_of_each`` takes of every label of ``found`` (doc_id, tag, label)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tag")).alias("first")
     winners = found.groupBy("label").agg(first).select(F.col("first.doc_id").alias("_doc"), F.col("first.tag").alias("_tag"))
     # Rows of one doc_id and text are told apart by nothing: of these, usually none, one stays.
