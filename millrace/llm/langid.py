@@ -4,13 +4,15 @@ A text is the mean of the embeddings of its subwords (runs of 3 and 4 bytes insi
 its two boundaries, in lower case, hashed into ``BUCKETS``); a linear layer and a softmax turn
 the mean into probabilities. Both are trained by stochastic gradient descent in numpy on a
 bounded sample of labelled rows. A temperature fitted on rows held back from training makes the
-probabilities calibrated; texts below a threshold learned from the same rows are rejected.
+probabilities calibrated. A text is rejected if its probability, or the share of its subwords
+that training has seen, is below what the same rows show for the language predicted; the second
+also tells foreign texts where one or two languages are learned.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,12 @@ ROWS_PER_LANGUAGE, ROWS, EXCERPT = 400, 20_000, 1_500
 PARTS = 256
 EPOCHS, HELD_BACK, SEED = 4, 4, 17
 EMBEDDING_RATE, LAYER_RATE, BIAS_RATE = 60.0, 1.0, 0.1
-# A text is rejected if it scores this much below the worst row held back, in log odds, and is
-# less likely than not to be in the language predicted.
-MARGIN, LIKELY = 1.0, 0.5
+# A text is rejected if it scores this much below the low quantile of the rows held back that were
+# predicted rightly as its language, in log odds, and is less likely than not to be in it.
+MARGIN, LIKELY, LOW = 1.0, 0.5, 0.05
+# It is rejected too if it has this many times the share of unseen subwords of the rows at that
+# quantile (at least UNSEEN), and DEVIATIONS standard deviations of a text of its length.
+TIMES, UNSEEN, DEVIATIONS = 2.0, 0.05, 3.0
 # Bytes of a text that are looked at together.
 _SLICE = 1 << 20
 
@@ -60,19 +65,35 @@ class Model:
     table: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
-
-    def logits(self, text: str) -> np.ndarray:
-        total, count = np.zeros(len(self.languages)), 0
+    # Least probability and largest share of unseen subwords by language.
+    threshold: dict[str, float] = field(default_factory=dict)
+    unseen: dict[str, float] = field(default_factory=dict)
+    seen: np.ndarray | None = None
+
+    def _sums(self, text: str) -> tuple[np.ndarray, int, int]:
+        """Logits, number of subwords, and how many of them training has not seen."""
+        total, count, new = np.zeros(len(self.languages)), 0, 0
         for buckets in subwords(text):
             total += self.table[buckets].sum(axis=0, dtype=np.float64)
             count += len(buckets)
-        return total / max(count, 1) + self.bias
+            new += 0 if self.seen is None else len(buckets) - int(np.count_nonzero(self.seen[buckets]))
+        return total / max(count, 1) + self.bias, count, new
+
+    def logits(self, text: str) -> np.ndarray:
+        return self._sums(text)[0]
 
     def predict(self, text: str) -> tuple[str, float]:
         """The likeliest language (the first in order of equals) and its probability."""
-        best, chance = _softmax_top(self.logits(text) / self.temperature)
-        return self.languages[best], chance
+        return self.judge(text)[:2]
+
+    def judge(self, text: str) -> tuple[str, float, bool]:
+        """Language and probability as ``predict`` has them, and whether the text is rejected."""
+        logits, count, new = self._sums(text)
+        best, chance = _softmax_top(logits / self.temperature)
+        language = self.languages[best]
+        share = self.unseen.get(language, 1.0)
+        most = share * count + DEVIATIONS * np.sqrt(count * share * (1 - share))
+        return language, chance, bool(chance < self.threshold.get(language, 0.0) or new > most)
 
 
 def _softmax_top(logits: np.ndarray) -> tuple[int, float]:
@@ -88,8 +109,11 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     rng = np.random.default_rng(SEED)
     known = [(languages.index(language), np.concatenate(list(subwords(text)))) for language, text in rows]
     known = [row for row in known if len(row[1])]
-    learn = [row for k, row in enumerate(known) if k % HELD_BACK] or known
-    held = [row for k, row in enumerate(known) if not k % HELD_BACK]
+    # Of each language, as the sample may have them in turns.
+    order, learn, held = [0] * len(languages), [], []
+    for row in known:
+        order[row[0]] += 1
+        (learn if order[row[0]] % HELD_BACK else held).append(row)
     embedding = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     layer, bias = rng.normal(0, 0.1, (WIDTH, len(languages))), np.zeros(len(languages))
     steps, step = EPOCHS * len(learn), 0
@@ -109,11 +133,14 @@ def fit(rows: list[tuple[str, str]]) -> Model:
             places, counts = np.unique(buckets, return_counts=True)
             embedding[places] -= rate * EMBEDDING_RATE * np.outer(counts / len(buckets), back)
     model = Model(languages, (embedding @ layer).astype(np.float32), bias)
+    model.seen = np.zeros(BUCKETS, bool)
+    for _, buckets in learn:
+        model.seen[buckets] = True
     return _calibrated(model, held)
 
 
 def _calibrated(model: Model, held: list[tuple[int, np.ndarray]]) -> Model:
-    """``model`` with the temperature that makes the rows held back likeliest, and a threshold."""
+    """``model`` with the temperature that makes the rows held back likeliest, and the thresholds."""
     if not held:
         return model
     logits = np.array([model.table[b].sum(axis=0, dtype=np.float64) / len(b) + model.bias for _, b in held])
@@ -125,9 +152,17 @@ def _calibrated(model: Model, held: list[tuple[int, np.ndarray]]) -> Model:
         return float((np.log(np.exp(scaled).sum(axis=1)) - scaled[np.arange(len(target)), target]).mean())
 
     model.temperature = min(np.geomspace(0.5, 20, 121), key=loss)
-    worst = min(_softmax_top(row / model.temperature)[1] for row in logits)
-    odds = np.log(worst / max(1 - worst, 1e-12)) - MARGIN
-    model.threshold = min(LIKELY, float(1 / (1 + np.exp(-odds))))
+    tops = [_softmax_top(row / model.temperature) for row in logits]
+    for number, language in enumerate(model.languages):
+        right = [k for k, (best, _) in enumerate(tops) if best == number == target[k]]
+        if not right:
+            model.threshold[language] = LIKELY
+            continue
+        low = float(np.quantile([tops[k][1] for k in right], LOW))
+        odds = np.log(low / max(1 - low, 1e-12)) - MARGIN
+        model.threshold[language] = min(LIKELY, float(1 / (1 + np.exp(-odds))))
+        new = float(np.quantile([1 - model.seen[held[k][1]].mean() for k in right], 1 - LOW))
+        model.unseen[language] = min(1.0, TIMES * max(new, UNSEEN))
     return model
 
 
@@ -166,12 +201,12 @@ def predictions(docs: DataFrame, model: Model) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            languages, scores = [], []
+            languages, scores, rejected = [], [], []
             for text, readable in zip(batch.column("text").to_pylist(), batch.column("readable").to_pylist()):
-                language, score = model.predict(text) if readable and model.languages else (UNKNOWN, 0.0)
+                language, score, out = model.judge(text) if readable and model.languages else (UNKNOWN, 0.0, True)
                 languages.append(language)
                 scores.append(score)
-            rejected = [name == UNKNOWN or score < model.threshold for name, score in zip(languages, scores)]
+                rejected.append(out)
             columns = [batch.column("doc_id"), pa.array(languages, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "rejected"])
 
@@ -186,7 +221,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            sure = [model.predict(text)[1] >= model.threshold for text in batch.column("text").to_pylist()]
+            sure = [not model.judge(text)[2] for text in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(sure, pa.bool_()))
 
     readable = docs.where(has_letter(F.col("text")))
