@@ -35,7 +35,7 @@ EMBEDDING_RATE, LAYER_RATE, BIAS_RATE = 60.0, 1.0, 0.1
 MARGIN, LIKELY, LOW = 1.0, 0.5, 0.05
 # It is rejected too if it has this many times the share of unseen subwords of the rows at that
 # quantile (at least UNSEEN), and DEVIATIONS standard deviations of a text of its length.
-TIMES, UNSEEN, DEVIATIONS = 2.0, 0.05, 3.0
+TIMES, UNSEEN, DEVIATIONS = 2.0, 0.08, 3.0
 # Bytes of a text that are looked at together.
 _SLICE = 1 << 20
 
