@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, langid, licenses, packing, sharding, simhash, substring, topk, urlfilter
+from millrace.llm import (
+    chat,
+    decontaminate,
+    langid,
+    licenses,
+    negatives,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    topk,
+    urlfilter,
+)
 from millrace.llm.common import table
 
 SHARDS = 8
@@ -238,5 +251,42 @@ def op10_packing(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op5_licenses": op5_licenses, "op6_urls": op6_urls, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards, "op10_packing": op10_packing}
-ORACLES = {"op1_topk": OP1_SQL, "op4_substring": OP4_SQL, "op5_licenses": OP5_SQL, "op6_urls": OP6_SQL, "op7_chat": OP7_SQL}
+def op11_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    """Labels of some rows are moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.labelled_vectors(table(spark, directory, "embeddings"), moved)
+    return negatives.hard_negatives(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+OP11_SQL = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), single AS (
+  SELECT vec_id, label, v FROM usable QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM single AS a JOIN single AS r ON a.vec_id <> r.vec_id AND len(a.v) = len(r.v) WHERE a.vec_id % 100 = 0
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positive JOIN scored USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+) WHERE rank <= 5
+"""
+
+
+def op13_quality(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    return quality.judged(docs, quality.train(docs, table(spark, directory, "labels")))
+
+
+QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op5_licenses": op5_licenses, "op6_urls": op6_urls, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards, "op10_packing": op10_packing, "op11_negatives": op11_negatives, "op13_quality": op13_quality}
+ORACLES = {"op1_topk": OP1_SQL, "op4_substring": OP4_SQL, "op5_licenses": OP5_SQL, "op6_urls": OP6_SQL, "op7_chat": OP7_SQL, "op11_negatives": OP11_SQL}
