@@ -15,6 +15,7 @@ from millrace.llm import (
     licenses,
     negatives,
     packing,
+    prefixtrie,
     quality,
     sharding,
     simhash,
@@ -283,10 +284,57 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 """
 
 
+def op12_trie(spark: SparkSession, directory: str) -> DataFrame:
+    own = prefixtrie.turn_sequences(table(spark, directory, "conversations"))
+    return prefixtrie.prefix_trie(prefixtrie.shared_openings(own))
+
+
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), digested AS (
+  SELECT conv_id, turn, role, sha256(length(role) || ':' || role || text) AS digest,
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM turns
+), own AS (
+  SELECT conv_id, list({'digest': digest, 'words': words} ORDER BY turn NULLS FIRST, role, digest) AS l,
+         -- CRC-32, bit by bit
+         xor(4294967295::BIGINT, list_reduce([ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')],
+           lambda c, byte: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT), xor(c, byte)),
+           4294967295::BIGINT)) % 4 AS h
+  FROM digested GROUP BY conv_id
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.l[1:o.h], []), o.l[o.h + 1:]) AS l
+  FROM own AS o LEFT JOIN own AS b ON b.conv_id = o.conv_id - o.conv_id % 20
+), members AS (
+  SELECT conv_id, len(l) AS n, unnest(range(len(l) + 1)) AS depth, l FROM rebuilt
+), named AS (
+  SELECT conv_id, n, depth, array_to_string([x.digest FOR x IN l[1:depth]], '') AS node,
+         CASE WHEN depth > 0 THEN l[depth].words ELSE 0 END AS words
+  FROM members
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM named GROUP BY node, depth
+), children AS (
+  SELECT left(node, 64 * (depth - 1)) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), counted AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)
+), above AS (
+  SELECT left(node, 64 * k) AS node, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS k FROM counted) GROUP BY 1
+)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, a.n_leaves::BIGINT AS n_leaves,
+       a.saved_tokens::BIGINT AS saved_tokens, c.ends_sha256
+FROM counted AS c JOIN above AS a USING (node)
+LEFT JOIN nodes AS p ON c.depth > 0 AND p.node = left(c.node, 64 * (c.depth - 1))
+"""
+
+
 def op13_quality(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
     return quality.judged(docs, quality.train(docs, table(spark, directory, "labels")))
 
 
-QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op5_licenses": op5_licenses, "op6_urls": op6_urls, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards, "op10_packing": op10_packing, "op11_negatives": op11_negatives, "op13_quality": op13_quality}
-ORACLES = {"op1_topk": OP1_SQL, "op4_substring": OP4_SQL, "op5_licenses": OP5_SQL, "op6_urls": OP6_SQL, "op7_chat": OP7_SQL, "op11_negatives": OP11_SQL}
+QUERIES = {"op1_topk": op1_topk, "op2_simhash": op2_simhash, "op3_decontaminate": op3_decontaminate, "op4_substring": op4_substring, "op5_licenses": op5_licenses, "op6_urls": op6_urls, "op7_chat": op7_chat, "op8_langid": op8_langid, "op9_shards": op9_shards, "op10_packing": op10_packing, "op11_negatives": op11_negatives, "op12_trie": op12_trie, "op13_quality": op13_quality}
+ORACLES = {"op1_topk": OP1_SQL, "op4_substring": OP4_SQL, "op5_licenses": OP5_SQL, "op6_urls": OP6_SQL, "op7_chat": OP7_SQL, "op11_negatives": OP11_SQL, "op12_trie": OP12_SQL}
