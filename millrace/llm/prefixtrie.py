@@ -60,7 +60,8 @@ def turn_sequences(conversations: DataFrame) -> DataFrame:
 
 def shared_openings(sequences: DataFrame, group: int = 20, longest: int = 4) -> DataFrame:
     """``sequences`` rebuilt: the first h turns of conversation c - c % ``group``, then those of c
-    after its own first h, where h is the CRC-32 of the decimal c modulo ``longest``."""
+    after its own first h, where h is the CRC-32 of the decimal c modulo ``longest``. A remainder
+    has the sign of c, as in SQL."""
     h = (F.crc32(F.col("conv_id").cast("string")) % longest).cast("int")
     base = F.col("conv_id") - F.col("conv_id") % group
     opening = [F.slice(name, 1, longest - 1).alias(f"opening_{name}") for name in ("ids", "words")]
