@@ -54,6 +54,21 @@ def merged_sketches(df: DataFrame, column: str, errors: Sequence[float]) -> Data
     return partial.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.hll_union_agg(name).alias(name) for name in names])
 
 
+def sketches_by(df: DataFrame, by: Sequence[str], column: str, error: float = DEFAULT_ERROR) -> DataFrame:
+    """One mergeable sketch of ``column`` for each group, with its number of rows: what is stored by day
+    to answer for any period later. Each task hands on one sketch per group it has seen."""
+    return df.groupBy(*by).agg(F.count("*").alias("n_rows"), sketch_init_agg(column, error).alias("sketch"))
+
+
+def merged_estimate(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows and estimated distinct values of stored sketches together, by some of their columns or
+    over all; only sketches are read. Sketches must be of one size. Nothing to merge: 0."""
+    return sketches.groupBy(*by).agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+        F.coalesce(sketch_cardinality(F.hll_union_agg("sketch")), F.lit(0)).alias("estimate"),
+    )
+
+
 def distinct_report(
     df: DataFrame,
     column: str,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from functools import reduce
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import BUSINESS_ZONE, day_text
@@ -62,6 +62,7 @@ def upsert_changed(
     compare: Sequence[str] = STATE_VALUES,
     stamp_column: str = "upd_tv",
     null_safe: bool = False,
+    flag: str | None = None,
 ) -> DataFrame:
     """Merge a batch into the state and stamp what is new or changed; returns the new state.
 
@@ -72,7 +73,8 @@ def upsert_changed(
     State and batch are stacked and grouped by key: one shuffle removes duplicates within
     the batch, finds the partner in the state and decides, where a join for the comparison
     and another for the merge would take three. At most two rows per key and map task are
-    shuffled. Of several rows for one key in a batch the greatest wins.
+    shuffled. Of several rows for one key in a batch the greatest wins. ``flag`` names a further
+    column that tells which rows are new or changed.
     """
     stored = state.select(
         *keys, F.struct(*compare, stamp_column).alias("old"), F.lit(None).cast(_struct_type(state, compare)).alias("new")
@@ -96,6 +98,7 @@ def upsert_changed(
         *keys,
         *[F.when(changed, F.col(f"new.{name}")).otherwise(F.col(f"old.{name}")).alias(name) for name in compare],
         F.when(changed, F.lit(stamp).cast(stamp_type)).otherwise(F.col(f"old.{stamp_column}")).alias(stamp_column),
+        *([changed.alias(flag)] if flag else []),
     )
 
 
@@ -120,6 +123,45 @@ def merge_day(spark: SparkSession, path: str, incoming: DataFrame, crdate: int,
     return path
 
 
+def merge_days(
+    spark: SparkSession, path: str, incoming: DataFrame, stamp: int, tasks: int | None = None, **options
+) -> DataFrame:
+    """Merge a batch of any number of days into the state stored under ``path``, partitioned by
+    ``crdate``; returns the days that were replaced, with ``n_changed`` rows each.
+
+    Of the state only the days of the batch are read: they are a small table that prunes the
+    partitions when the scan starts, whatever their number. Of these only days with a new or
+    changed row are replaced, so a batch that says what is known already rewrites nothing. The
+    new content is staged first, as partitions cannot be replaced by a plan that reads them; a
+    run that dies leaves every day either old or new, and can be run again. Rows without a day
+    belong to none and take no part. ``tasks`` deals many small days to that many tasks.
+    """
+    columns = [*STATE_KEYS, *STATE_VALUES]
+    listed, staged, counted = (fresh_path(spark, label) for label in ("days", "state", "changed-days"))
+    batch = incoming.where("crdate IS NOT NULL").select(*columns)
+    batch.select("crdate").distinct().coalesce(1).write.parquet(listed)
+    days = spark.read.schema(batch.select("crdate").schema).parquet(listed)
+    state = days_of(spark.read.schema(state_schema(incoming)).parquet(path), days)
+    upsert_changed(state, batch, stamp, flag="changed", **options).write.parquet(staged)
+    merged = spark.read.parquet(staged)
+    changes = merged.groupBy("crdate").agg(F.count_if("changed").alias("n_changed"))
+    changes.where("n_changed > 0").coalesce(1).write.parquet(counted)
+    replaced = spark.read.schema("crdate INT, n_changed BIGINT").parquet(counted)
+    # One day may hold most of the state.
+    rows = splittable_join(merged.drop("changed"), replaced.select("crdate"), ["crdate"])
+    write_partitions(rows, path, ["crdate"], conflict="replace", tasks=tasks)
+    for path_of_copy in (listed, staged):
+        discard(spark, path_of_copy)
+    return replaced
+
+
+def days_of(state: DataFrame, days: DataFrame) -> DataFrame:
+    """Rows of ``state`` on the given days, one row each. On a state partitioned by ``crdate`` the
+    days prune the partitions read; stating their range tells Spark that it is worth it."""
+    first, last = days.agg(F.min("crdate")).scalar(), days.agg(F.max("crdate")).scalar()
+    return state.join(days.where((F.col("crdate") >= first) & (F.col("crdate") <= last)), "crdate", "left_semi")
+
+
 def create_state(spark: SparkSession, path: str, schema: str = STATE_SCHEMA) -> str:
     """An empty state, before the first batch."""
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy("crdate").parquet(path)
@@ -174,6 +216,32 @@ def write_extract(extract: DataFrame, path: str, tasks: int | None = None) -> st
     return path
 
 
+def order_inside_files(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows of each file of a dataset that is read with CSV or text, and how many of them are less by
+    ``order`` than the row before them in the file.
+
+    The place of a row is the split of its file, and how many rows the task has read before it.
+    Rows are compared within splits; between splits, one row each, the last key is carried on.
+    """
+    placed = rows.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("begin"),
+        F.monotonically_increasing_id().alias("place"),
+        F.struct(*order).alias("key"),
+    )
+    inside = Window.partitionBy("file", "begin").orderBy("place")
+    steps = placed.withColumn("less", F.col("key") < F.lag("key").over(inside))
+    splits = steps.groupBy("file", "begin").agg(
+        F.count("*").alias("n_rows"), F.count_if("less").alias("less"),
+        F.min_by("key", "place").alias("first"), F.max_by("key", "place").alias("last"),
+    )
+    along = Window.partitionBy("file").orderBy("begin")
+    joint = F.coalesce((F.col("first") < F.lag("last").over(along)).cast("bigint"), F.lit(0))
+    return splits.withColumn("joint", joint).groupBy("file").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum(F.col("less") + F.col("joint")).alias("out_of_order")
+    )
+
+
 def recent_days(now: dt.datetime | None = None) -> list[int]:
     """Yesterday and today as the business counts days, the days a regular extract looks at."""
     now = now or dt.datetime.now(dt.timezone.utc)

@@ -7,10 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.workspace import fresh_path
-
-# Seconds of a run that are ordered together.
-SLICE_SECONDS = 3600
+from millrace.workspace import discard, fresh_path
 
 
 def micros_between(start: Column, end: Column) -> Column:
@@ -25,7 +22,6 @@ def phase_durations(
     ts: str = "ts",
     order: Sequence[str] = (),
     name: str = "micros",
-    slice_seconds: int = SLICE_SECONDS,
 ) -> DataFrame:
     """Add the time to the next event of the same run, in microseconds; NULL for the last.
 
@@ -35,16 +31,17 @@ def phase_durations(
 
     An event is followed by its own timestamp unless it is the last of those at that moment, and
     then by the next moment of the run. So only moments are put in order, one row for each run
-    and timestamp, counted together before they are shuffled; and not whole runs, but slices of
-    ``slice_seconds``, which one row per run and slice links to the next. The events meet the
-    moments in a join that adaptive execution can split, so neither a run nor a moment that holds
-    most of the events is one task. Events are written once, with a number that tells the last.
+    and timestamp, counted together before they are shuffled. They are cut into ranges of equal
+    size by run and moment, wherever a run begins or ends, and the first moment of each range is
+    carried to the range before. The events meet the moments in a join that adaptive execution
+    can split, so neither a run nor a moment that holds most of the events is one task, however
+    dense it is. Events are written once, with a number that tells the last.
     """
     numbered = _numbered(events)
     timed = numbered.where(F.col(f"event.{ts}").isNotNull())
     last = F.struct(*[F.col(f"event.`{column}`") for column in order], "number")
     moments = timed.groupBy(F.col(f"event.`{run}`").alias("run"), F.col(f"event.`{ts}`").alias("ts")).agg(F.max(last).alias("last"))
-    following = _linked(moments, slice_seconds)
+    following = followed_moments(moments)
     event_run, event_ts = F.col(f"event.`{run}`"), F.col(f"event.`{ts}`")
     joined = numbered.join(following, event_run.eqNullSafe(F.col("run")) & (event_ts == F.col("ts")), "left")
     is_last = F.col("number") == F.col("last.number")
@@ -61,18 +58,31 @@ def _numbered(events: DataFrame) -> DataFrame:
     return events.sparkSession.read.parquet(path)
 
 
-def _linked(moments: DataFrame, slice_seconds: int) -> DataFrame:
-    """run, ts, last, next_ts of every moment: within a slice by a window, and for its last
-    moment from the table of slice starts."""
-    epoch = F.lit("1970-01-01 00:00:00").cast(moments.schema["ts"].dataType)
-    sliced = moments.withColumn("slice", F.floor(micros_between(epoch, F.col("ts")) / (slice_seconds * 1_000_000)))
-    inside = F.lead("ts").over(Window.partitionBy("run", "slice").orderBy("ts"))
-    starts = sliced.groupBy("run", "slice").agg(F.min("ts").alias("first_ts"))
-    later = F.lead("first_ts").over(Window.partitionBy("run").orderBy("slice")).alias("later_ts")
-    going_on = starts.select(F.col("run").alias("_run"), F.col("slice").alias("_slice"), later)
-    same = F.col("run").eqNullSafe(F.col("_run")) & (F.col("slice") == F.col("_slice"))
-    return (
-        sliced.withColumn("inside", inside)
-        .join(going_on, same, "left")
-        .select("run", "ts", "last", F.coalesce("inside", "later_ts").alias("next_ts"))
-    )
+def in_ranges(moments: DataFrame) -> DataFrame:
+    """``moments`` with piece, the number of the range by (run, ts) a row is in, as a stored dataset.
+
+    Ranges are made by Spark from a sample of the moments. Each but the last ends with a moment of
+    the sample and so is not empty: what follows a range is in the range with the next number.
+    """
+    spark = moments.sparkSession
+    plain, ranged = fresh_path(spark, "moments"), fresh_path(spark, "moment-ranges")
+    moments.write.parquet(plain)  # taking the sample reads them once more
+    stored = spark.read.schema(moments.schema).parquet(plain)
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored.repartitionByRange(pieces, "run", "ts").withColumn("piece", F.spark_partition_id())
+    dealt.write.parquet(ranged)
+    discard(spark, plain)
+    return spark.read.schema(dealt.schema).parquet(ranged)
+
+
+def followed_moments(moments: DataFrame) -> DataFrame:
+    """run, ts, last, next_ts of every moment (run and ts are unique)."""
+    placed = in_ranges(moments)
+    following = F.lead(F.struct("run", "ts")).over(Window.partitionBy("piece").orderBy("run", "ts"))
+    # One row per range, so small that Spark sends it to the moments.
+    first = placed.groupBy("piece").agg(F.min(F.struct("run", "ts")).alias("carried"))
+    carried = first.select((F.col("piece") - 1).alias("piece"), "carried")
+    joined = placed.withColumn("following", following).join(carried, "piece", "left")
+    after = F.coalesce("following", "carried")
+    next_ts = F.when(after["run"].eqNullSafe(F.col("run")), after["ts"]).alias("next_ts")
+    return joined.select("run", "ts", "last", next_ts)

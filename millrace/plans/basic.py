@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import date_parts, timestamp_text
@@ -19,10 +21,13 @@ STORED_LINE_COLUMNS = """
 
 def scan_limit(spark: SparkSession, directory: str) -> DataFrame:
     """Which rows a limit without an order gives is undefined; their number is not, nor that all
-    of them are in the table."""
+    of them are in the table. The rows are few, and so are sent to the table instead of moving it."""
     path = f"{directory}/lineitem.parquet"
-    some = first_rows(spark, path, 100)
-    strangers = some.exceptAll(table(spark, directory, "lineitem"))
+    some = spark.createDataFrame(first_rows(spark, path, 100).toArrow())
+    lines = table(spark, directory, "lineitem")
+    same = [F.col(f"l.`{name}`").eqNullSafe(F.col(f"s.`{name}`")) for name in lines.columns]
+    known = lines.alias("l").join(F.broadcast(some.distinct().alias("s")), reduce(Column.__and__, same)).select("s.*").distinct()
+    strangers = some.distinct().exceptAll(known)
     return aggregates.row_count(some).withColumn("strangers", aggregates.row_count(strangers).scalar())
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import diagnostics
 from millrace.operators.phases import phase_durations
-from millrace.sources.logs import read_logs
+from millrace.sources.logs import read_logs, read_records
 from millrace.sources.tables import table
 from millrace.workspace import fresh_path
 
@@ -48,7 +48,7 @@ def event_durations(spark: SparkSession, directory: str) -> DataFrame:
     return phase_durations(events, run="user_id", order=["event_id"])
 
 
-def event_durations_sliced(spark: SparkSession, directory: str) -> DataFrame:
+def event_durations_dense(spark: SparkSession, directory: str) -> DataFrame:
     """The same with runs being event types, each of which has a fifth of all rows."""
     events = table(spark, directory, "events").select("event_type", "event_id", "ts")
     return phase_durations(events, run="event_type", order=["event_id"])
@@ -58,7 +58,7 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(part) if isinstance(part, str) else part.cast("string") for part in parts])
 
 
-def lost_executors(spark: SparkSession, directory: str) -> DataFrame:
+def _task_lines(spark: SparkSession, directory: str) -> DataFrame:
     """Error events as lost-executor messages among other lines."""
     lost = _text(
         "24/01/01 00:00:00 WARN TaskSetManager: Lost task ", F.col("event_id") % 5000, ".0 in stage ", F.col("user_id") % 1000,
@@ -68,10 +68,25 @@ def lost_executors(spark: SparkSession, directory: str) -> DataFrame:
         F.col("event_id") + 120000, " ms",
     )
     other = _text("24/01/01 00:00:00 INFO TaskSetManager: Finished task ", F.col("event_id"), ".0")
-    lines = table(spark, directory, "events").select(
+    return table(spark, directory, "events").select(
         F.when(F.col("event_type") == "error", lost).otherwise(other).alias("value")
     )
-    return diagnostics.losses_by_executor(diagnostics.lost_executors(lines))
+
+
+def lost_executors(spark: SparkSession, directory: str) -> DataFrame:
+    return diagnostics.losses_by_executor(diagnostics.lost_executors(_task_lines(spark, directory)))
+
+
+def lost_executors_wrapped(spark: SparkSession, directory: str) -> DataFrame:
+    """The same from log files in which each message goes over three lines; with the number of records."""
+    path = fresh_path(spark, "wrapped")
+    wrapped = F.regexp_replace("value", r" (executor|Reason:|task) ", "\n$1\n")
+    _task_lines(spark, directory).select(wrapped.alias("value")).write.text(path)
+    records = read_records(spark, path)
+    # The pattern of a loss is of one line.
+    lines = records.select(F.replace("value", F.lit("\n"), F.lit(" ")).alias("value"))
+    losses = diagnostics.losses_by_executor(diagnostics.lost_executors(lines))
+    return losses.withColumn("n_records", records.agg(F.count("*")).scalar())
 
 
 def registration_batches(spark: SparkSession, directory: str) -> DataFrame:
@@ -101,8 +116,9 @@ def throughput(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES = {
     "log_filter": log_filter,
     "phase_durations": event_durations,
-    "phase_durations_sliced": event_durations_sliced,
+    "phase_durations_sliced": event_durations_dense,
     "lost_executors": lost_executors,
+    "lost_executors_wrapped": lost_executors_wrapped,
     "registration_batches": registration_batches,
     "throughput_report": throughput,
 }
@@ -112,6 +128,11 @@ def _durations_sql(run: str, columns: str) -> str:
     return f"SELECT {columns}, date_diff('microsecond', ts, {following}) AS micros FROM events"
 
 
+_LOST_SQL = """
+        SELECT CAST(user_id % 40 AS VARCHAR) AS executor, COUNT(*) AS n_lost, MAX(event_id + 120000) AS max_timeout_ms,
+               CAST(0 AS BIGINT) AS n_unread
+        FROM events WHERE event_type = 'error' GROUP BY 1"""
+
 ORACLES = {
     "log_filter": """
         SELECT event_id, user_id, event_type, epoch_us(ts) AS micros, props
@@ -119,10 +140,8 @@ ORACLES = {
           AND ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-25 00:00:00'""",
     "phase_durations": _durations_sql("user_id", "user_id, event_id, event_type, ts"),
     "phase_durations_sliced": _durations_sql("event_type", "event_type, event_id, ts"),
-    "lost_executors": """
-        SELECT CAST(user_id % 40 AS VARCHAR) AS executor, COUNT(*) AS n_lost, MAX(event_id + 120000) AS max_timeout_ms,
-               CAST(0 AS BIGINT) AS n_unread
-        FROM events WHERE event_type = 'error' GROUP BY 1""",
+    "lost_executors": _LOST_SQL,
+    "lost_executors_wrapped": f"SELECT *, (SELECT COUNT(*) FROM events) AS n_records FROM ({_LOST_SQL}) x",
     "registration_batches": """
         SELECT o_orderstatus AS run, COUNT(*) AS batches, CAST(SUM(o_custkey) AS BIGINT) AS partitions,
                CAST(SUM(o_orderkey) * 6 AS BIGINT) AS total_ms, CAST(SUM(o_orderkey) AS BIGINT) AS push_ms,

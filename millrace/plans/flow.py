@@ -10,6 +10,7 @@ from millrace.streaming import records
 from millrace.workspace import fresh_path
 
 PROPS_SCHEMA = "k BIGINT"
+QUEUE_SCHEMA = "key BINARY, value BINARY"
 
 
 def _as_queue(events: DataFrame) -> DataFrame:
@@ -58,11 +59,58 @@ def queue_sink(spark: SparkSession, directory: str) -> DataFrame:
     return records.parse_records(received).select("key", "b", "c")
 
 
+# Files the events are split into, files of a micro-batch, and micro-batches before each stop.
+EVENT_FILES, FILES_PER_BATCH, STOPS = 12, 2, (2, 1)
+
+
+def stream_restart(spark: SparkSession, directory: str) -> DataFrame:
+    """The parsing stream over events in several files, some of them admitted at a time, stopped twice
+    and started again from its checkpoint. Every record is there once, and so is every batch."""
+    source, path, checkpoint = (fresh_path(spark, label) for label in ("events", "records", "records-checkpoint"))
+    _as_queue(table(spark, directory, "events")).repartition(EVENT_FILES, "key").write.parquet(source)
+
+    def start():
+        queue = records.read_queue(
+            spark, {"path": source, "maxFilesPerTrigger": str(FILES_PER_BATCH)}, stream=True, source="parquet", schema=QUEUE_SCHEMA
+        )
+        return records.run_stream(queue, path, checkpoint, PROPS_SCHEMA, {"availableNow": True})
+
+    for batches in STOPS:
+        records.stop_after(start(), batches)
+    start().awaitTermination()
+    found = spark.read.parquet(path)
+    return found.withColumn("batches", F.lit(records.committed_batches(spark, checkpoint)).cast("bigint"))
+
+
+# Micro-batches that all orders are sent in.
+RATE_BATCHES = 8
+
+
+def rate_stream(spark: SparkSession, directory: str) -> DataFrame:
+    """Orders sent at a limited rate, read from the queue by the parsing stream; with whether
+    the batch a record came in is within the limit."""
+    queue, sent, path, checkpoint = (fresh_path(spark, label) for label in ("queue", "sent", "records", "records-checkpoint"))
+    orders = table(spark, directory, "orders")
+    first, last = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    rate = -(-(last - first + 1) // RATE_BATCHES)
+    counter, key = F.col("o_orderkey"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))
+    records.send_stored(spark, orders, "o_orderkey", queue, sent, rate, counter, key, F.col("o_orderpriority"))
+    options, schema = {"path": queue, "recursiveFileLookup": "true"}, "key STRING, value STRING"
+    received = records.read_queue(spark, options, stream=True, source="parquet", schema=schema)
+    records.run_stream(received, path, checkpoint, trigger={"availableNow": True}).awaitTermination()
+    batches = records.read_queue(spark, options, source="parquet", schema=schema)
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    largest = batches.groupBy(folder).count().agg(F.max("count")).scalar()
+    return spark.read.parquet(path).withColumn("within_rate", largest <= rate)
+
+
 QUERIES = {
     "json_flatten_batch": json_flatten_batch,
     "json_flatten_stream": json_flatten_stream,
     "json_roundtrip": json_roundtrip,
     "queue_sink": queue_sink,
+    "stream_restart": stream_restart,
+    "rate_stream": rate_stream,
 }
 
 _FLATTEN_SQL = """
@@ -79,4 +127,9 @@ ORACLES = {
         SELECT 'order-' || o_orderkey AS key, o_orderkey % 10000 AS b,
                CAST(o_orderkey % 763 + 512 AS INTEGER) AS c
         FROM orders""",
+    "stream_restart": f"SELECT *, CAST({-(-EVENT_FILES // FILES_PER_BATCH)} AS BIGINT) AS batches FROM ({_FLATTEN_SQL}) e",
+    "rate_stream": """
+        SELECT 'order-' || o_orderkey AS key, 'order-' || o_orderkey AS a, o_orderkey % 10000 AS b,
+               CAST(o_orderkey % 763 + 512 AS INTEGER) AS c, o_orderpriority AS d, TRUE AS within_rate
+        FROM orders""",
 }

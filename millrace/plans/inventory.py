@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import day_number
 from millrace.operators import inventory
+from millrace.plans.tools import file_tasks
 from millrace.sinks.partitions import write_partitions
 from millrace.sources.tables import literal_rows, read_csv, table
 from millrace.workspace import fresh_path
@@ -45,7 +46,7 @@ def _observations(spark: SparkSession, directory: str) -> DataFrame:
 
 def _event_observations(spark: SparkSession, directory: str) -> DataFrame:
     """Events as resources seen on a day, in the form of the above: users, whose kind of event
-    stands for the cluster. Few days, for jobs that keep a folder for each."""
+    stands for the cluster. Few days with many resources each."""
     return table(spark, directory, "events").select(
         day_number(F.col("ts")).alias("crdate"),
         F.col("user_id").cast("string").alias("obj_id"),
@@ -77,22 +78,56 @@ def inventory_upsert_null_safe(spark: SparkSession, directory: str) -> DataFrame
     return inventory.upsert_changed(_state(spark, directory), incoming, 2, null_safe=True)
 
 
-# A day that the stored upsert below merges, and rows that come in as values.
-MERGED_DAY = 20240115
-LITERAL_ROWS = [(MERGED_DAY, "new-1", "vm-new", "c-new", "vm"), (MERGED_DAY, "new-2", "vm-new", None, "disk"), (1, "x", "vm-new", "c", "vm")]
+# Days that the stored upserts below merge, and rows that come in as values.
+MERGED_DAY, MERGED_EVENT_DAY = 19960115, 20240115
 
 
-def inventory_merge(spark: SparkSession, directory: str) -> DataFrame:
-    """One day's events and some literal rows merged into the stored state, all of it read back."""
-    state = _state(spark, directory, _event_observations)
-    path = write_partitions(state, fresh_path(spark, "state"), ["crdate"], "append")
-    seen = _event_observations(spark, directory).select(*inventory.STATE_KEYS, *inventory.STATE_VALUES)
-    incoming = seen.unionByName(literal_rows(spark, LITERAL_ROWS, seen.schema))
-    inventory.merge_day(spark, path, incoming, MERGED_DAY, 2)
+def _literals(day: int) -> list[tuple]:
+    return [(day, "new-1", "vm-new", "c-new", "vm"), (day, "new-2", "vm-new", None, "disk"), (1, "x", "vm-new", "c", "vm")]
+
+
+def _merged_day(spark: SparkSession, directory: str, day: int, observations) -> DataFrame:
+    """One day's observations and some literal rows merged into the stored state, all of it read back."""
+    path = _stored_state(spark, directory, observations)
+    seen = observations(spark, directory).select(*inventory.STATE_KEYS, *inventory.STATE_VALUES)
+    incoming = seen.unionByName(literal_rows(spark, _literals(day), seen.schema))
+    inventory.merge_day(spark, path, incoming, day, 2)
+    return _read_state(spark, path, seen)
+
+
+def _stored_state(spark: SparkSession, directory: str, observations=_observations) -> str:
+    state = _state(spark, directory, observations)
+    return write_partitions(state, fresh_path(spark, "state"), ["crdate"], "append", tasks=file_tasks(spark))
+
+
+def _read_state(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
     stored = spark.read.schema(inventory.state_schema(seen)).parquet(path)
     return stored.select(*inventory.STATE_KEYS, *inventory.STATE_VALUES, "upd_tv")
 
 
+def inventory_merge(spark: SparkSession, directory: str) -> DataFrame:
+    return _merged_day(spark, directory, MERGED_DAY, _observations)
+
+
+def inventory_merge_events(spark: SparkSession, directory: str) -> DataFrame:
+    return _merged_day(spark, directory, MERGED_EVENT_DAY, _event_observations)
+
+
+def merge_days(spark: SparkSession, directory: str) -> DataFrame:
+    """All orders and one new day come into the stored state at once; all of it read back, with
+    whether the files of the row's day were replaced."""
+    path = _stored_state(spark, directory)
+    seen = _observations(spark, directory).select(*inventory.STATE_KEYS, *inventory.STATE_VALUES)
+    incoming = seen.unionByName(literal_rows(spark, _literals(MERGED_DAY), seen.schema))
+    before, columns = fresh_path(spark, "files"), [F.col("crdate"), F.col("_metadata.file_name").alias("file")]
+    spark.read.schema(inventory.state_schema(seen)).parquet(path).select(*columns).distinct().write.parquet(before)
+    inventory.merge_days(spark, path, incoming, 2, tasks=file_tasks(spark))
+    old = spark.read.parquet(before).withColumn("kept", F.lit(True))
+    stored = spark.read.schema(inventory.state_schema(seen)).parquet(path).withColumn("file", F.col("_metadata.file_name"))
+    replaced = F.col("kept").isNull().alias("replaced")
+    return stored.join(old, ["crdate", "file"], "left").select(*inventory.STATE_KEYS, *inventory.STATE_VALUES, "upd_tv", replaced)
+
+
 def _days(spark: SparkSession, directory: str, observations=_observations) -> tuple[DataFrame, DataFrame]:
     """State, and the marks an extract would have saved before the open orders arrived."""
     state = observations(spark, directory)
@@ -104,17 +139,34 @@ def changed_days(spark: SparkSession, directory: str) -> DataFrame:
     return inventory.changed_days(*_days(spark, directory))
 
 
-def daily_extract(spark: SparkSession, directory: str) -> DataFrame:
+def _extracted(spark: SparkSession, state: DataFrame, marks: DataFrame) -> DataFrame:
     """The extract of the changed days of a stored state, written as CSV by day and read back."""
-    state, marks = _days(spark, directory, _event_observations)
-    marks = marks.where("crdate % 2 = 0").unionByName(state.groupBy("crdate").agg(F.max("upd_tv").alias("upd_tv")).where("crdate % 2 = 1"))
     latest = inventory.one_per_key(state, inventory.STATE_KEYS, ("upd_tv", "vm_id", "cluster_id", "otype"))
-    state_path = write_partitions(latest, fresh_path(spark, "state"), ["crdate"], "append")
+    tasks = file_tasks(spark)
+    state_path = write_partitions(latest, fresh_path(spark, "state"), ["crdate"], "append", tasks=tasks)
     stored = spark.read.schema(inventory.state_schema(latest)).parquet(state_path)
     marks_path = inventory.save_marks(marks, fresh_path(spark, "marks"))
-    path = inventory.extract_changed(spark, stored, marks_path, fresh_path(spark, "extract"))
+    path = inventory.extract_changed(spark, stored, marks_path, fresh_path(spark, "extract"), tasks=tasks)
     columns = ", ".join(f"{name} STRING" for name in inventory.EXTRACT_COLUMNS)
-    return read_csv(spark, path, columns).select(*inventory.EXTRACT_COLUMNS)
+    return read_csv(spark, path, columns)
+
+
+def daily_extract(spark: SparkSession, directory: str) -> DataFrame:
+    return _extracted(spark, *_days(spark, directory)).select(*inventory.EXTRACT_COLUMNS)
+
+
+def daily_extract_events(spark: SparkSession, directory: str) -> DataFrame:
+    """Few days, of which those with an odd number were extracted before."""
+    state, marks = _days(spark, directory, _event_observations)
+    marks = marks.where("crdate % 2 = 0").unionByName(state.groupBy("crdate").agg(F.max("upd_tv").alias("upd_tv")).where("crdate % 2 = 1"))
+    return _extracted(spark, state, marks).select(*inventory.EXTRACT_COLUMNS)
+
+
+def extract_order(spark: SparkSession, directory: str) -> DataFrame:
+    """Rows by file of the extract, and those that do not follow the row before them in the file."""
+    return inventory.order_inside_files(_extracted(spark, *_days(spark, directory)), ["dt", "obj_id"]).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("out_of_order").alias("out_of_order")
+    )
 
 
 QUERIES = {
@@ -122,8 +174,12 @@ QUERIES = {
     "inventory_upsert": inventory_upsert,
     "inventory_upsert_null_safe": inventory_upsert_null_safe,
     "inventory_merge": inventory_merge,
+    "inventory_merge_events": inventory_merge_events,
+    "merge_days": merge_days,
     "changed_days": changed_days,
     "daily_extract": daily_extract,
+    "daily_extract_events": daily_extract_events,
+    "extract_order": extract_order,
 }
 
 _OBSERVATIONS = """
@@ -182,7 +238,26 @@ def _changed_sql(observations: str, marked: str = "o_orderstatus <> 'O'") -> str
 _MARKED = " OR ".join(
     f"i.{name} IS NOT NULL AND i.{name} <> COALESCE(r.{name}, '{inventory.NULL_MARKER}')" for name in inventory.STATE_VALUES
 )
-_LITERALS = ", ".join(f"({', '.join('NULL' if v is None else repr(v) for v in row)})" for row in LITERAL_ROWS)
+
+
+def _literals_sql(day: int) -> str:
+    rows = ", ".join(f"({', '.join('NULL' if v is None else repr(v) for v in row)})" for row in _literals(day))
+    return f"UNION ALL VALUES {rows}"
+
+
+def _extract_sql(observations: str, marked: str = "o_orderstatus <> 'O'") -> str:
+    return f"""
+        WITH {_changed_sql(observations, marked)}
+        SELECT dt, obj_id, obj_type, vm_id, cluster_id FROM (
+            SELECT strftime(strptime(CAST(s.crdate AS VARCHAR), '%Y%m%d'), '%Y-%m-%d') AS dt, s.obj_id,
+                   s.otype AS obj_type, s.vm_id, s.cluster_id,
+                   row_number() OVER (PARTITION BY s.crdate, s.obj_id ORDER BY s.upd_tv DESC) AS rn
+            FROM seen s JOIN changed c ON c.crdate = s.crdate) x
+        WHERE rn = 1"""
+
+
+_MERGED_SQL = _upsert_sql(_MARKED, _literals_sql(MERGED_DAY))
+
 
 ORACLES = {
     "inventory_build": """
@@ -200,14 +275,15 @@ ORACLES = {
         FROM best b JOIN hosts h ON h.vm_id = b.vm_id""",
     "inventory_upsert": _upsert_sql(_MARKED),
     "inventory_upsert_null_safe": _upsert_sql(" OR ".join(f"i.{name} IS DISTINCT FROM r.{name}" for name in inventory.STATE_VALUES)),
-    "inventory_merge": _upsert_sql(_MARKED, f"UNION ALL VALUES {_LITERALS}", f"crdate = {MERGED_DAY}", _EVENT_OBSERVATIONS),
+    "inventory_merge": _upsert_sql(_MARKED, _literals_sql(MERGED_DAY), f"crdate = {MERGED_DAY}"),
+    "inventory_merge_events": _upsert_sql(
+        _MARKED, _literals_sql(MERGED_EVENT_DAY), f"crdate = {MERGED_EVENT_DAY}", _EVENT_OBSERVATIONS
+    ),
+    "merge_days": f"""
+        SELECT *, max(upd_tv = 2) OVER (PARTITION BY crdate) AS replaced FROM ({_MERGED_SQL}) m""",
     "changed_days": f"WITH {_changed_sql(_OBSERVATIONS)} SELECT crdate, upd_tv FROM changed",
-    "daily_extract": f"""
-        WITH {_changed_sql(_EVENT_OBSERVATIONS, "o_orderstatus <> 'O' OR crdate % 2 = 1")}
-        SELECT dt, obj_id, obj_type, vm_id, cluster_id FROM (
-            SELECT strftime(strptime(CAST(s.crdate AS VARCHAR), '%Y%m%d'), '%Y-%m-%d') AS dt, s.obj_id,
-                   s.otype AS obj_type, s.vm_id, s.cluster_id,
-                   row_number() OVER (PARTITION BY s.crdate, s.obj_id ORDER BY s.upd_tv DESC) AS rn
-            FROM seen s JOIN changed c ON c.crdate = s.crdate) x
-        WHERE rn = 1""",
+    "daily_extract": _extract_sql(_OBSERVATIONS),
+    "daily_extract_events": _extract_sql(_EVENT_OBSERVATIONS, "o_orderstatus <> 'O' OR crdate % 2 = 1"),
+    "extract_order": f"""
+        SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS out_of_order FROM ({_extract_sql(_OBSERVATIONS)}) e""",
 }

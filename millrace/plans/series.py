@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.distinct import distinct_report, error_check
+from millrace.functions.distinct import distinct_report, error_check, merged_estimate, sketches_by
 from millrace.functions.scalars import business_day, check_not_null, date_parts
 from millrace.operators.aggregates import prefix_average_range
 from millrace.plans.tools import catalog_name, file_tasks
@@ -105,6 +105,26 @@ def sketch_distinct(spark: SparkSession, directory: str) -> DataFrame:
     return error_check(distinct_report(table(spark, directory, "orders"), "o_custkey", method="sketch"))
 
 
+# Periods that are asked for, as half-open ranges of days, and the error of the stored sketches.
+PERIODS = {"all": ("1900-01-01", "2100-01-01"), "year": ("1995-01-01", "1996-01-01"), "quarter": ("1996-04-01", "1996-07-01")}
+SKETCH_ERROR = 0.02
+
+
+def stored_sketches(spark: SparkSession, directory: str) -> DataFrame:
+    """Customers of each day's orders as stored sketches, merged for three periods."""
+    orders = table(spark, directory, "orders").withColumn("day", F.to_date("o_orderdate"))
+    path = fresh_path(spark, "sketches")
+    sketches_by(orders, ["day"], "o_custkey", SKETCH_ERROR).write.parquet(path)
+    stored, answers = spark.read.schema("day DATE, n_rows BIGINT, sketch BINARY").parquet(path), []
+    for name, (start, end) in PERIODS.items():
+        within = (F.col("day") >= F.lit(start).cast("date")) & (F.col("day") < F.lit(end).cast("date"))
+        exact = orders.where(within).agg(F.count_distinct("o_custkey")).scalar()
+        merged = merged_estimate(stored.where(within)).withColumn("exact", exact)
+        off = F.abs(F.col("estimate") - F.col("exact"))
+        answers.append(merged.select(F.lit(name).alias("period"), "n_rows", "exact", (off <= 3 * SKETCH_ERROR * F.col("exact")).alias("within_bound")))
+    return answers[0].unionByName(answers[1]).unionByName(answers[2])
+
+
 QUERIES = {
     "number_series": number_series,
     "time_series": time_series,
@@ -118,6 +138,7 @@ QUERIES = {
     "prefix_avg_range": prefix_avg_range,
     "approx_distinct": approx_distinct,
     "sketch_distinct": sketch_distinct,
+    "stored_sketches": stored_sketches,
 }
 
 
@@ -137,7 +158,7 @@ def _wide_sql(total: str, key: str, start: int, divisor: int) -> str:
     texts = ", ".join(f"{digest} AS {name}" for name in generate.TEXT_COLUMNS)
     return f"""
         SELECT part_id, CAST(val AS INTEGER) AS val, {ints}, {longs}, {doubles}, {decimals}, {texts}
-        FROM (SELECT CAST({key} // {ROWS_PER_PART} + 1 AS INTEGER) AS part_id, {key} + {start} AS val FROM {total}) v"""
+        FROM (SELECT CAST({key} // {ROWS_PER_PART} + 1 AS INTEGER) AS part_id, {key} % {ROWS_PER_PART} + {start} AS val FROM {total}) v"""
 
 
 _ERRORS_SQL = """
@@ -176,4 +197,9 @@ ORACLES = {
           FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2010 GROUP BY 1) x""",
     "approx_distinct": _ERRORS_SQL,
     "sketch_distinct": _ERRORS_SQL,
+    "stored_sketches": " UNION ALL ".join(
+        f"""SELECT '{name}' AS period, COUNT(*) AS n_rows, COUNT(DISTINCT o_custkey) AS exact, TRUE AS within_bound
+        FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '{start}' AND CAST(o_orderdate AS DATE) < DATE '{end}'"""
+        for name, (start, end) in PERIODS.items()
+    ),
 }

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.diagnostics import dataset_inventory
-from millrace.plans.series import orders_by_day, wide_datagen
-from millrace.plans.tools import catalog_name
-from millrace.sinks.catalog import insert_rows, insert_values, register_partitions
+from millrace.operators.diagnostics import dataset_inventory, registration_batches
+from millrace.plans.series import ROWS_PER_PART, orders_by_day, wide_datagen
+from millrace.plans.tools import catalog_name, file_tasks
+from millrace.sinks.catalog import add_missing_partitions, insert_rows, insert_values, register_partitions
 from millrace.sinks.files import append, content_sums, overwrite, recompress, write_csv, write_once
 from millrace.sinks.partitions import PartitionConflict, conflicting_partitions, write_partitions
 from millrace.sources.tables import external_table, read_csv, read_glob, table
@@ -97,6 +99,42 @@ def partition_append(spark: SparkSession, directory: str) -> DataFrame:
     return _by_year(spark, write_partitions(incoming, path, ["o_year"], "append"))
 
 
+def partition_race(spark: SparkSession, directory: str) -> DataFrame:
+    """Two writers bring the same orders by year at the same time, in mode ``fail`` and with claims:
+    one is refused and has written nothing."""
+    orders = orders_by_day(spark, directory).select("o_orderkey", "o_totalprice", "o_year")
+    path = fresh_path(spark, "orders")
+
+    def write(_: int) -> bool:
+        try:
+            write_partitions(orders, path, ["o_year"], "fail", exclusive=True)
+            return False
+        except PartitionConflict:
+            return True
+
+    with ThreadPoolExecutor(2) as pool:
+        refused = sum(pool.map(write, range(2)))
+    return _by_year(spark, path).withColumn("refused", F.lit(refused).cast("bigint"))
+
+
+def batched_registration(spark: SparkSession, directory: str) -> DataFrame:
+    """Orders by day, written as plain files, registered in batches: a first run is broken off after two
+    batches, a second one goes on. Statistics of the batches, from their log lines."""
+    orders = table(spark, directory, "orders").select("o_orderkey", F.to_date("o_orderdate").cast("string").alias("o_day"))
+    path = write_partitions(orders, fresh_path(spark, "orders"), ["o_day"], "append", tasks=file_tasks(spark))
+    name, log = catalog_name(spark, "daily"), fresh_path(spark, "registration")
+    external_table(spark, name, "o_orderkey BIGINT, o_day STRING", path, partitioned_by="o_day")
+    add_missing_partitions(spark, name, path, ["o_day"], log, batch=REGISTERED, limit=2)
+    add_missing_partitions(spark, name, path, ["o_day"], log, batch=REGISTERED)
+    batches = registration_batches(spark.read.text(log)).select("batches", "partitions", "n_other")
+    loaded = spark.table(name).agg(F.count("*").alias("n_rows"), F.count_distinct("o_day").alias("n_days"))
+    return batches.join(loaded)
+
+
+# Partitions of a batch.
+REGISTERED = 500
+
+
 def partition_registration(spark: SparkSession, directory: str) -> DataFrame:
     """Partitions loaded as plain files become visible in the catalog once registered."""
     orders = orders_by_day(spark, directory).select("o_orderkey", "o_year", "o_month")
@@ -138,7 +176,9 @@ QUERIES = {
     "partition_fail": partition_fail,
     "partition_replace": partition_replace,
     "partition_append": partition_append,
+    "partition_race": partition_race,
     "partition_registration": partition_registration,
+    "batched_registration": batched_registration,
     "partition_inventory": partition_inventory,
     "csv_roundtrip": csv_roundtrip,
     "orc_varchar_roundtrip": orc_varchar_roundtrip,
@@ -169,7 +209,7 @@ ORACLES = {
                CAST(SUM(val + 4500000000) AS BIGINT) AS long_6,
                CAST(SUM(CAST((val + 2000000000) / 100 AS DECIMAL(10,2))) AS DECIMAL(28,2)) AS decimal_1,
                CAST(SUM(CAST((val + 30) / 100 AS DECIMAL(10,2))) AS DECIMAL(28,2)) AS decimal_3
-        FROM (SELECT l_orderkey AS val FROM lineitem) v""",
+        FROM (SELECT l_orderkey % {ROWS_PER_PART} AS val FROM lineitem) v""",
     "recompress_copy": f"""
         SELECT *, CAST(NULL AS BIGINT) AS files FROM ({_line_sums_sql(1)}) a
         UNION ALL SELECT *, CAST(4 AS BIGINT) FROM ({_line_sums_sql(1)}) b""",
@@ -180,6 +220,11 @@ ORACLES = {
         FROM orders WHERE year(o_orderdate) = 1998""",
     "partition_replace": _by_year_sql(1),
     "partition_append": _by_year_sql(2),
+    "partition_race": f"SELECT *, CAST(1 AS BIGINT) AS refused FROM ({_by_year_sql(1)}) y",
+    "batched_registration": f"""
+        SELECT CASE WHEN days <= 2 * {REGISTERED} THEN ceil(days / {REGISTERED}) ELSE 2 + ceil((days - 2 * {REGISTERED}) / {REGISTERED}) END::BIGINT AS batches,
+               days AS partitions, CAST(0 AS BIGINT) AS n_other, n_rows, days AS n_days
+        FROM (SELECT COUNT(DISTINCT CAST(o_orderdate AS DATE)) + MAX((o_orderdate IS NULL)::INT) AS days, COUNT(*) AS n_rows FROM orders) x""",
     "partition_registration": """
         SELECT DISTINCT 'o_year=' || year(o_orderdate) || '/o_month=' || month(o_orderdate) AS partition
         FROM orders""",

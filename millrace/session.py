@@ -23,6 +23,8 @@ SETTINGS = {
     "spark.sql.parquet.mergeSchema": "false",
     "spark.sql.orc.filterPushdown": "true",
     "spark.sql.hive.metastorePartitionPruning": "true",
+    # Folders are listed by tasks, each of which takes several (by default one task a folder).
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "256",
     # Partition registration after a load.
     "spark.sql.addPartitionInBatch.size": "1000",
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sinks.partitions import clustered
@@ -112,3 +113,70 @@ def register_partitions(spark: SparkSession, name: str) -> DataFrame:
     """
     spark.catalog.recoverPartitions(name)
     return spark.sql(f"SHOW PARTITIONS {name}")
+
+
+def missing_partitions(spark: SparkSession, name: str, path: str, keys: Sequence[str]) -> DataFrame:
+    """``spec``, one row for each partition folder under ``path`` that the table does not know.
+
+    Both sides are listings of names, the folders' and the catalog's; no file is opened.
+    """
+    inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(inference)
+    spark.conf.set(inference, "false")  # folder names as they are
+    try:
+        listed = spark.read.format("binaryFile").load(path)
+    finally:
+        spark.conf.set(inference, before)
+    folders = listed.select(*keys).distinct()
+    known = spark.sql(f"SHOW PARTITIONS {name}").select(F.split("partition", "/").alias("parts"))
+    values = [F.element_at("parts", place) for place in range(1, len(keys) + 1)]
+    stored = known.select(*[_unescaped(F.substr(value, F.length(F.lit(key)) + 2)).alias(key) for key, value in zip(keys, values)])
+    return folders.join(stored, list(keys), "left_anti").orderBy(*keys)
+
+
+def _unescaped(text: Column) -> Column:
+    """A value of a partition name, in which special characters are %XX. A plus sign is itself."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def add_missing_partitions(
+    spark: SparkSession, name: str, path: str, keys: Sequence[str], log: str, batch: int = 1000, limit: int | None = None
+) -> int:
+    """Register the partitions that are under ``path`` and not in the catalog, ``batch`` at a time;
+    returns how many batches were added. ``limit`` ends after so many.
+
+    Every batch is one statement, so it is in the catalog whole or not at all, and leaves the two
+    log lines that ``diagnostics.registration_batches`` reads in the text dataset ``log``. A run that breaks off has
+    registered its batches; the next one finds only the others missing. Names come to the driver
+    batch by batch.
+    """
+    names = [F.col(f"`{key}`") for key in keys]
+    done, held = 0, []
+    missing = missing_partitions(spark, name, path, keys).select(*names)
+
+    def add(rows: list) -> None:
+        specs = [", ".join(f"`{key}` = {_literal(row[key])}" for key in keys) for row in rows]
+        begin = time.monotonic_ns()
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS " + " ".join(f"PARTITION ({spec})" for spec in specs))
+        spent = (time.monotonic_ns() - begin) // 1_000_000
+        lines = [f"total partitions to be created: {len(rows)}", f"total method time: {spent}, push=0, fetch=0, addParts={spent}"]
+        spark.createDataFrame([(line,) for line in lines], "value STRING").coalesce(1).write.mode("append").text(log)
+
+    for row in missing.toLocalIterator():
+        held.append(row)
+        if len(held) == batch:
+            add(held)
+            done, held = done + 1, []
+            if done == limit:
+                return done
+    if held:
+        add(held)
+        done += 1
+    return done
+
+
+def _literal(value: str | None) -> str:
+    if value is None:
+        return "NULL"
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"

@@ -3,10 +3,12 @@ already hold data."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -15,6 +17,10 @@ from millrace.workspace import discard, fresh_path
 CONFLICT_MODES = ("fail", "replace", "append")
 
 
+# The folder of claims beside the partitions; readers skip names that begin like this.
+CLAIMS = "_claims"
+
+
 class PartitionConflict(RuntimeError):
     """Raised by mode ``fail``; nothing was written."""
 
@@ -77,6 +83,7 @@ def write_partitions(
     tasks: int | None = None,
     cluster: bool = True,
     spread: int = 1,
+    exclusive: bool = False,
     **options: str,
 ) -> str:
     """Write into a dataset partitioned by ``keys``.
@@ -85,14 +92,28 @@ def write_partitions(
     task holds few partitions anyway.
 
     ``fail``     stop before writing if any incoming partition exists (checked once, before
-                 the write: two writers at the same time need their own lock); if there is any
-                 partition yet, incoming rows are computed once, into the shared folder, and
-                 checked and written from there;
+                 the write); if there is any partition yet, incoming rows are computed once, into
+                 the shared folder, and checked and written from there;
     ``replace``  swap the content of incoming partitions, leave the others;
     ``append``   add to whatever is there.
+
+    ``exclusive`` claims the incoming partitions for the time of the check and the write, against
+    other exclusive writers: whoever finds one claimed is refused and has written nothing.
     """
     if conflict not in CONFLICT_MODES:
         raise ValueError(f"conflict must be one of {CONFLICT_MODES}, not {conflict!r}")
+    if exclusive:
+        staged = fresh_path(df.sparkSession, "incoming")
+        df.write.parquet(staged)
+        stored = df.sparkSession.read.schema(df.schema).parquet(staged)
+        try:
+            with claimed(stored, path, keys):
+                if conflict == "fail":
+                    _refuse_conflicts(stored, path, keys)
+                write = "append" if conflict == "fail" else conflict
+                return write_partitions(stored, path, keys, write, file_format, tasks, cluster, spread, **options)
+        finally:
+            discard(df.sparkSession, staged)
     if conflict == "fail" and _listed_partitions(df, path, keys) is not None:
         staged = fresh_path(df.sparkSession, "incoming")
         df.write.parquet(staged)
@@ -111,6 +132,62 @@ def write_partitions(
     return path
 
 
+@contextmanager
+def claimed(df: DataFrame, path: str, keys: Sequence[str]) -> Iterator[list[str]]:
+    """Hold a claim on every partition of ``df`` under ``path``; gives their names.
+
+    A claim is a file that is made only if there is none of its name. Claims are taken in the order of their names, so of two writers that want some of the same
+    partitions one always gets all of its own. All are given back at the end, also after a
+    failure; those of a writer that was killed stay, and ``drop_claims`` removes them. The names
+    come to the driver one by one, as they do when the write is committed.
+    """
+    spark, held = df.sparkSession, []
+    parts = [F.concat(F.lit(f"{key}="), F.coalesce(F.col(key).cast("string"), F.lit("__NULL__"))) for key in keys]
+    names = df.select(*keys).distinct().select(F.url_encode(F.concat_ws("/", *parts)).alias("name")).orderBy("name")
+    try:
+        for row in names.toLocalIterator():
+            if not _claim(spark, f"{path}/{CLAIMS}/{row.name}"):
+                raise PartitionConflict(f"{row.name} under {path} is being written by another job")
+            held.append(row.name)
+        yield held
+    finally:
+        for name in held:
+            _delete(spark, f"{path}/{CLAIMS}/{name}")
+
+
+def _files(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _claim(spark: SparkSession, path: str) -> bool:
+    """Create a claim; False if another writer holds it. Hadoop's local file system looks first and
+    creates then, which two writers can do at once; there Java's own call is used."""
+    place, files = _files(spark, path)
+    if files.getScheme() == "file":
+        file = spark._jvm.java.io.File(place.toUri().getPath())
+        file.getParentFile().mkdirs()
+        return file.createNewFile()
+    try:
+        files.create(place, False).close()
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in str(error.java_exception):
+            return False
+        raise
+    return True
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place, files = _files(spark, path)
+    files.delete(place, True)
+
+
+def drop_claims(spark: SparkSession, path: str) -> None:
+    """Remove all claims under ``path``, after a writer was killed and no other is at work."""
+    _delete(spark, f"{path}/{CLAIMS}")
+
+
 def _refuse_conflicts(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Raise if partitions of ``df`` exist: how many, and from which to which."""
     found = conflicting_partitions(df, path, keys)

@@ -106,12 +106,13 @@ def wide_rows_of(
     tasks: int | None = None,
 ) -> DataFrame:
     """The wide table over the keys of a table, which are running numbers from 0: one row for
-    each of its rows, in parts of ``rows_per_part`` keys. ``tasks`` deals the keys, which are
-    small, to that many tasks before they become wide rows, which are not."""
+    each of its rows, in parts of ``rows_per_part`` keys, numbered from ``start`` in each part, so that
+    keys of any size fit. ``tasks`` deals the keys, which are small, to that many tasks before
+    they become wide rows, which are not."""
     keys = df.select(key) if tasks is None else df.select(key).repartition(tasks)
     numbered = keys.select(
         (F.floor(F.col(key) / rows_per_part) + 1).cast("int").alias("part_id"),
-        (F.col(key) + start).cast("int").alias(number),
+        (F.col(key) % rows_per_part + start).cast("int").alias(number),
     )
     return wide_columns(numbered, decimal_divisor, number)
 

@@ -3,6 +3,8 @@ generator of such records."""
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,9 +43,16 @@ def queue_options(
     return {**options, **extra}
 
 
-def read_queue(spark: SparkSession, options: dict[str, str], stream: bool = False, source: str = "kafka") -> DataFrame:
-    """Key and value columns of a topic. Needs the Kafka connector on the class path."""
+def read_queue(
+    spark: SparkSession, options: dict[str, str], stream: bool = False, source: str = "kafka", schema: str | None = None
+) -> DataFrame:
+    """Key and value columns of a topic. Needs the Kafka connector on the class path.
+
+    A ``source`` of files needs their ``schema`` in a stream.
+    """
     reader = spark.readStream if stream else spark.read
+    if schema is not None:
+        reader = reader.schema(schema)
     return reader.format(source).options(**options).load()
 
 
@@ -81,6 +90,31 @@ def run_stream(
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+def stop_after(query: StreamingQuery, batches: int, poll_seconds: float = 0.05) -> int:
+    """Stop a running stream once it has finished so many more micro-batches, or has ended by itself;
+    returns how many it reported.
+
+    A batch that is under way is given up: its offsets are in the checkpoint without a commit, so
+    the next start runs it again, and the sink takes each batch once.
+    """
+    finished: set[int] = set()
+    ended = False
+    while not ended and len(finished) < batches:
+        ended = query.awaitTermination(poll_seconds)
+        finished |= {progress["batchId"] for progress in query.recentProgress if progress["numInputRows"]}
+    query.stop()
+    return len(finished)
+
+
+def committed_batches(spark: SparkSession, checkpoint: str) -> int:
+    """Micro-batches that a stream has committed under its checkpoint."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return 0
+    return sum(entry.getPath().getName().isdigit() for entry in files.listStatus(folder))
+
+
 def run_records(
     spark: SparkSession,
     options: dict[str, str],
@@ -131,6 +165,50 @@ def record_stream(spark: SparkSession, rows_per_second: float = 10) -> DataFrame
     return record_rows(ticks, F.col("value"))
 
 
+def send_stored(
+    spark: SparkSession,
+    stored: DataFrame,
+    position: str,
+    path: str,
+    checkpoint: str,
+    rows_per_batch: int,
+    counter: Column,
+    key: Column | None = None,
+    extra: Column | None = None,
+    seconds: float = 0,
+) -> None:
+    """Send a stored table to a queue of files at a steady rate: at most ``rows_per_batch`` rows every
+    ``seconds`` (0: without a pause), in the order of ``position``, a column of different whole numbers.
+
+    The offset of the stream is the position: a trigger admits the next ``rows_per_batch`` positions,
+    and the stored rows there, a range that the scan prunes by, become one folder of records. A
+    batch that is repeated after a failure has the same positions and replaces its folder, so
+    each record is sent once. The stream ends when a trigger finds nothing beyond the last
+    position; one that is stopped before goes on from its checkpoint.
+    """
+    first, last = stored.agg(F.min(position), F.max(position)).first()
+    if first is None:
+        return
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).load()
+    all_sent = threading.Event()
+
+    def send(batch: DataFrame, number: int) -> None:
+        begin, end = batch.agg(F.min("value"), F.max("value")).first()
+        if begin is None:
+            return
+        if first + begin > last:
+            all_sent.set()
+            return
+        due = stored.where((F.col(position) >= first + begin) & (F.col(position) <= first + end))
+        record_rows(due, counter, key, extra).write.mode("overwrite").parquet(f"{path}/{number:012}")
+
+    writer = ticks.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
+    query = writer.trigger(processingTime=f"{seconds} seconds").start()
+    while not all_sent.is_set() and not query.awaitTermination(0.05):
+        pass
+    query.stop()
+
+
 def send_records(
     records: DataFrame,
     checkpoint: str,

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import plan_text, rows
 from millrace.operators import diagnostics
-from millrace.sources.logs import EVENT_SCHEMA, read_logs
-from millrace.operators.phases import phase_durations
+from millrace.sources.logs import EVENT_SCHEMA, read_logs, read_records
+from millrace.operators.phases import followed_moments, in_ranges, phase_durations
 
 # Batch size, total, push, fetch and add times (ms) of two measured loads.
 RUNS = {
@@ -191,7 +191,7 @@ def test_phase_durations(spark):
 
 
 @pytest.mark.parametrize("kind", ["TIMESTAMP_NTZ", "TIMESTAMP"])
-def test_sliced_runs_give_the_same(spark, kind):
+def test_runs_cut_anywhere(spark, conf, kind):
     """Hot runs with bursts, equal timestamps, a NULL run and missing timestamps."""
     df = spark.range(20000).select(
         F.col("id"),
@@ -203,16 +203,32 @@ def test_sliced_runs_give_the_same(spark, kind):
         ).alias("ts"),
     )
     usual = phase_durations(df, order=["id"])
-    sliced = phase_durations(df, order=["id"], slice_seconds=60)
+    conf("spark.sql.shuffle.partitions", "61")
+    cut = phase_durations(df, order=["id"])
     by_window = df.where("ts IS NOT NULL").selectExpr(
         "id", "CAST(lead(ts) OVER (PARTITION BY run ORDER BY ts, id) - ts AS INTERVAL SECOND) AS gap"
     )
     assert usual.where("micros IS NOT NULL").count() == by_window.where("gap IS NOT NULL").count()
     total = by_window.agg(F.sum(F.col("gap").cast("decimal(18,6)"))).first()[0]
     assert usual.agg(F.sum("micros")).first()[0] == total * 1000000
-    assert sliced.columns == usual.columns
-    assert rows(sliced, "id") == rows(usual, "id")
-    assert sliced.count() == 20000
+    assert cut.columns == usual.columns
+    assert rows(cut, "id") == rows(usual, "id")
+    assert cut.count() == 20000
+
+
+def test_dense_run_is_spread_over_all_tasks(spark, conf):
+    """One run with all its moments in one second: every range gets its share of them."""
+    conf("spark.sql.shuffle.partitions", "16")
+    moments = spark.range(40000).selectExpr(
+        "'r' AS run", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id / 40000) AS ts", "id AS last"
+    )
+    moments = moments.unionByName(moments.selectExpr("CAST(NULL AS STRING) AS run", "ts", "last").limit(3))
+    sizes = [row["count"] for row in in_ranges(moments).groupBy("piece").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 2.5 * 40000 / 16
+    found = followed_moments(moments)
+    assert found.where("next_ts IS NULL").count() == 2
+    gaps = found.selectExpr("CAST(next_ts - ts AS INTERVAL SECOND) AS gap").groupBy("gap").count()
+    assert gaps.where("gap = INTERVAL '0.000025' SECOND").first()["count"] == 39999 + 2
 
 
 def test_equal_timestamps_without_order(spark):
@@ -244,3 +260,19 @@ def test_event_log_is_parsed_once(spark, tmp_path):
     assert set(diagnostics.event_reports(spark.createDataFrame([], EVENT_SCHEMA).withColumn("app", F.lit("a")))) == {
         "jobs", "stages", "stage_tasks", "executors", "executor_states", "sql", "sql_plans", "settings"
     }
+
+
+def test_records_over_several_lines(spark, conf, tmp_path):
+    """Splits of a few bytes: records begin in one and go on through others."""
+    conf("spark.sql.files.maxPartitionBytes", "100")
+    conf("spark.sql.files.openCostInBytes", "1")
+    head = "2024-01-02 03:04:05 WARN"
+    expected = [f"{head} record {i}" + "".join(f"\n  at line {j} of {i}" for j in range(i % 37)) for i in range(150)]
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text("\n".join(["left over", " from before", *expected]) + "\n")
+    (tmp_path / "logs" / "b.log").write_text("\n".join(expected[:3]))
+    found = read_records(spark, str(tmp_path / "logs"))
+    assert spark.read.text(str(tmp_path / "logs")).rdd.getNumPartitions() > 100
+    values = sorted(r.value for r in found.where("file LIKE '%a.log'").collect())
+    assert values == sorted(["left over\n from before", *expected])
+    assert sorted(r.value for r in found.where("file LIKE '%b.log'").collect()) == sorted(expected[:3])

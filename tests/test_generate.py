@@ -5,7 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_text
-from millrace.functions.distinct import distinct_report, error_check, sketch_cardinality, sketch_init_agg, sketch_size
+from millrace.functions.distinct import (
+    distinct_report,
+    error_check,
+    merged_estimate,
+    sketch_cardinality,
+    sketch_init_agg,
+    sketch_size,
+    sketches_by,
+)
 from millrace.operators.aggregates import distinct_row_count
 from millrace.sources import generate
 
@@ -113,3 +121,27 @@ def test_sketch_wrappers(spark):
     ids = spark.range(1000)
     estimate = ids.agg(sketch_cardinality(sketch_init_agg("id", 0.02)).alias("n")).first().n
     assert abs(estimate - 1000) < 60
+
+
+def test_wide_rows_of_large_keys(spark):
+    """Keys are numbered within their part, so the largest offset of an INT column still fits."""
+    keys = spark.createDataFrame([(0,), (199_999_999,), (200_000_000,), (5_000_000_001,)], "k BIGINT")
+    found = generate.wide_rows_of(keys, "k", 1_000_000, start=1).orderBy("long_1", "part_id")
+    assert [(r.part_id, r.val, r.int_6) for r in found.orderBy("part_id").collect()] == [
+        (1, 1, 2000000001), (200, 1000000, 2001000000), (201, 1, 2000000001), (5001, 2, 2000000002)
+    ]
+
+
+def test_stored_sketches_answer_for_any_period(spark, tmp_path):
+    path = str(tmp_path / "sketches")
+    seen = spark.range(40000).selectExpr("CAST(id % 10 AS INT) AS day", "id % 7000 AS user", "id AS n")
+    sketches_by(seen, ["day"], "user", 0.02).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == 10
+    for days in ([3], [1, 2, 5], list(range(10))):
+        row = merged_estimate(stored.where(F.col("day").isin(days))).first()
+        wanted = seen.where(F.col("day").isin(days))
+        exact = wanted.select("user").distinct().count()
+        assert row.n_rows == wanted.count() and abs(row.estimate - exact) <= 0.06 * exact
+    assert tuple(merged_estimate(stored.where("day > 99")).first()) == (0, 0)
+    assert merged_estimate(stored, ["day"]).count() == 10

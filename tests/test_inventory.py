@@ -137,6 +137,62 @@ def test_merge_day_rewrites_one_partition(spark, tmp_path):
     assert spark.read.schema(STATE).parquet(path).count() == 4
 
 
+def test_merge_days_rewrites_changed_days_only(spark, tmp_path):
+    """Of four stored days three come in, one of them as it is, and a new one."""
+    path = str(tmp_path / "state")
+    write_partitions(state(spark, *[(d, "a", "v", "c", "vm", 1) for d in (1, 2, 3, 4)]), path, ["crdate"])
+    before = {f for f in spark.read.parquet(path).inputFiles()}
+    incoming = batch(
+        spark, (2, "a", "v", "c2", "vm"), (3, "a", "v", "c", "vm"), (4, "b", "v", None, "vm"), (5, "a", "v", "c", "vm"), (None, "a", "v", "c", "vm")
+    )
+    replaced = inventory.merge_days(spark, path, incoming, 9)
+    assert rows(replaced, "crdate") == [(2, 1), (4, 1), (5, 1)]
+    stored = spark.read.schema(STATE).parquet(path)
+    assert rows(stored.select(*STATE.replace(",", "").split()[::2]), *ORDER) == [
+        (1, "a", "v", "c", "vm", 1),
+        (2, "a", "v", "c2", "vm", 9),
+        (3, "a", "v", "c", "vm", 1),
+        (4, "a", "v", "c", "vm", 1),
+        (4, "b", "v", None, "vm", 9),
+        (5, "a", "v", "c", "vm", 9),
+    ]
+    kept = {f for f in before if "crdate=1/" in f or "crdate=3/" in f}
+    assert before & set(stored.inputFiles()) == kept and len(kept) == 2
+    files = set(stored.inputFiles())
+    assert inventory.merge_days(spark, path, incoming, 10).count() == 0
+    assert set(spark.read.parquet(path).inputFiles()) == files
+
+
+def test_merge_days_reads_the_days_of_the_batch(spark, tmp_path):
+    path, listed = str(tmp_path / "state"), str(tmp_path / "days")
+    write_partitions(state(spark, *[(d, "a", "v", "c", "vm", 1) for d in range(1, 9)]), path, ["crdate"])
+    spark.createDataFrame([(3,), (5,)], "crdate INT").coalesce(1).write.parquet(listed)
+    wanted = inventory.days_of(spark.read.schema(STATE).parquet(path), spark.read.parquet(listed))
+    found = wanted.select("crdate", "obj_id")
+    assert rows(found, "crdate") == [(3, "a"), (5, "a")]
+    assert "dynamicpruning" in plan_text(found)
+
+
+def test_first_merge_of_days(spark, tmp_path):
+    path = inventory.create_state(spark, str(tmp_path / "state"))
+    assert inventory.merge_days(spark, path, batch(spark), 5).count() == 0
+    assert rows(inventory.merge_days(spark, path, batch(spark, (1, "a", "v", "c", "vm"), (2, "a", None, None, None)), 5), "crdate") == [(1, 1), (2, 1)]
+    assert [r.upd_tv for r in spark.read.schema(STATE).parquet(path).collect()] == [5, 5]
+
+
+def test_order_inside_files(spark, conf, tmp_path):
+    """Splits of a few lines: rows out of order are found inside them and between them."""
+    conf("spark.sql.files.maxPartitionBytes", "64")
+    conf("spark.sql.files.openCostInBytes", "1")
+    keys = [f"{i:04}" for i in range(200)]
+    for name, order in (("good", keys), ("bad", [*keys[100:], *keys[:100]]), ("back", keys[::-1])):
+        spark.createDataFrame([(k,) for k in order], "obj_id STRING").coalesce(1).write.csv(str(tmp_path / name), header=True)
+        stored = spark.read.schema("obj_id STRING").csv(str(tmp_path / name), header=True)
+        assert stored.rdd.getNumPartitions() > 8
+        ((n_rows, out_of_order),) = rows(inventory.order_inside_files(stored, ["obj_id"]).drop("file"))
+        assert (n_rows, out_of_order) == (200, {"good": 0, "bad": 1, "back": 199}[name])
+
+
 def test_first_merge(spark, tmp_path):
     path = inventory.create_state(spark, str(tmp_path / "state"))
     inventory.merge_day(spark, path, batch(spark, (1, "a", "v", "c", "vm")), 1, 5)

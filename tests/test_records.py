@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from millrace.sinks import jdbc
@@ -141,3 +142,37 @@ def test_record_rows_sorted(spark):
 
     made = records.record_rows(spark.range(10000, 10002), F.col("id"), F.lit("k"), F.lit("e"))
     assert rows(records.parse_records(made), "b") == [("k", "k", 0, 10000 % 763 + 512, "e"), ("k", "k", 1, 10001 % 763 + 512, "e")]
+
+
+def test_stopped_stream_goes_on(spark, messages, tmp_path):
+    """Files admitted one at a time, stopped after each two batches: every record once."""
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "check"))
+    messages.unionByName(messages).repartition(6, "key", "value").write.option("maxRecordsPerFile", 2).parquet(source)
+    n_files = len(list((tmp_path / "in").glob("*.parquet")))
+    options = {"path": source, "maxFilesPerTrigger": "1"}
+
+    def start():
+        queue = records.read_queue(spark, options, stream=True, source="parquet", schema="key BINARY, value BINARY")
+        return records.run_stream(queue, out, checkpoint, trigger={"availableNow": True})
+
+    assert records.committed_batches(spark, checkpoint) == 0
+    assert records.stop_after(start(), 2) >= 2
+    assert 2 <= records.committed_batches(spark, checkpoint) < n_files
+    for _ in range(2):
+        start().awaitTermination()
+        assert records.committed_batches(spark, checkpoint) == n_files
+        assert spark.read.parquet(out).count() == 12
+
+
+def test_stored_rows_are_sent_at_a_rate(spark, tmp_path):
+    """Positions with gaps, from a number other than 0; a sender that starts again sends nothing twice."""
+    queue, checkpoint = str(tmp_path / "queue"), str(tmp_path / "check")
+    stored = spark.range(100, 160).where("id % 10 < 7").selectExpr("id", "'k' || id AS name")
+    for _ in range(2):
+        records.send_stored(spark, stored, "id", queue, checkpoint, 16, F.col("id"), F.col("name"), F.lit("d"))
+        sizes = [spark.read.parquet(str(folder)).count() for folder in sorted((tmp_path / "queue").iterdir()) if folder.is_dir()]
+        assert sizes == [13, 10, 12, 7]
+    sent = spark.read.option("recursiveFileLookup", "true").parquet(queue)
+    assert sorted(rows(sent.select("key"))) == sorted((f"k{i}",) for i in range(100, 160) if i % 10 < 7)
+    records.send_stored(spark, stored.where("id < 0"), "id", str(tmp_path / "none"), str(tmp_path / "c"), 16, F.col("id"))
+    assert not (tmp_path / "none").exists()

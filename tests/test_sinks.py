@@ -1,9 +1,13 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_text, rows
 from millrace.operators.aggregates import prefix_average_range
-from millrace.operators.diagnostics import dataset_inventory
+from millrace.operators.diagnostics import dataset_inventory, registration_batches
 from millrace.sinks import catalog, files, partitions
 from millrace.sources import tables as readers
 
@@ -238,3 +242,61 @@ def test_hot_partition_by_number_is_spread(spark, tmp_path):
     df = spark.range(2000).withColumn("k", F.lit(1))
     path = partitions.write_partitions(df, str(tmp_path / "s"), ["k"], tasks=16, spread=8)
     assert dataset_inventory(spark, path, ["k"]).first().n_files > 3
+
+
+def test_two_writers_at_once(spark, tmp_path):
+    """Of two exclusive writers with some partitions in common one is refused and leaves nothing."""
+    path = str(tmp_path / "data")
+    batches = [frame(spark, *[(i, k) for k in keys]) for i, keys in enumerate(["abcd", "cdef"])]
+    for _ in range(3):
+        barrier = threading.Barrier(2)
+
+        def write(batch):
+            barrier.wait()
+            try:
+                partitions.write_partitions(batch, path, ["k"], "fail", exclusive=True)
+            except partitions.PartitionConflict:
+                return True
+            return False
+
+        with ThreadPoolExecutor(2) as pool:
+            refused = list(pool.map(write, batches))
+        assert sum(refused) == 1
+        winner = refused.index(False)
+        assert content(spark, path) == sorted(((winner, k) for k in ["abcd", "cdef"][winner]), key=str)
+        path += "x"
+
+
+def test_claims_are_given_back(spark, stored):
+    claims = Path(stored) / partitions.CLAIMS
+    with pytest.raises(partitions.PartitionConflict):
+        partitions.write_partitions(frame(spark, (9, "a")), stored, ["k"], "fail", exclusive=True)
+    assert not [f for f in claims.iterdir() if not f.name.startswith(".")]
+    with partitions.claimed(frame(spark, (9, "z/ %"), (9, None)), stored, ["k"]) as held:
+        assert len(held) == 2
+        with pytest.raises(partitions.PartitionConflict):
+            partitions.write_partitions(frame(spark, (9, "z/ %"), (9, "a")), stored, ["k"], "replace", exclusive=True)
+        partitions.write_partitions(frame(spark, (9, "b")), stored, ["k"], "replace", exclusive=True)
+    assert content(spark, stored) == [(1, "a"), (3, None), (9, "b")]
+    # A claim of a writer that was killed.
+    (claims / "k%3Da").touch()
+    with pytest.raises(partitions.PartitionConflict):
+        partitions.write_partitions(frame(spark, (9, "a")), stored, ["k"], "append", exclusive=True)
+    partitions.drop_claims(spark, stored)
+    partitions.write_partitions(frame(spark, (9, "a")), stored, ["k"], "append", exclusive=True)
+    assert (9, "a") in content(spark, stored)
+
+
+def test_registration_goes_on_where_it_broke_off(spark, database, tmp_path):
+    path, log = str(tmp_path / "data"), str(tmp_path / "log")
+    values = ["a", "b c", "d'e", "f/g", "h+i", "j\\k", "l=m", "100%", "n"]
+    partitions.write_partitions(frame(spark, *enumerate(values)), path, ["k"])
+    readers.external_table(spark, f"{database}.loaded", SCHEMA, path, partitioned_by="k")
+    assert catalog.add_missing_partitions(spark, f"{database}.loaded", path, ["k"], log, batch=2, limit=2) == 2
+    assert spark.table(f"{database}.loaded").count() == 4
+    assert catalog.missing_partitions(spark, f"{database}.loaded", path, ["k"]).count() == 5
+    assert catalog.add_missing_partitions(spark, f"{database}.loaded", path, ["k"], log, batch=2) == 3
+    assert sorted(rows(spark.table(f"{database}.loaded").select("k"))) == sorted((v,) for v in values)
+    assert catalog.add_missing_partitions(spark, f"{database}.loaded", path, ["k"], log) == 0
+    report = registration_batches(spark.read.text(log)).first()
+    assert (report.batches, report.partitions, report.n_other) == (5, 9, 0)
