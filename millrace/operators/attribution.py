@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql.types import DecimalType, StructType
 from millrace.functions.scalars import non_empty, quoted
 from millrace.operators.joins import splittable_join
 from millrace.sources.tables import read_csv, read_declared
+from millrace.workspace import fresh_path
 
 # Names of the label columns in a billing export, the text for "no match",
 # and the columns of a cost line that the attributed output keeps.
@@ -52,33 +54,63 @@ def read_billing(spark: SparkSession, path: str) -> DataFrame:
     """Billing exports: CSV files with a header. Columns are found by name in each file, as an
     export may hold more of them in any order; a label no resource has is absent and reads as NULL.
 
-    Files of one header are read together. Finding the headers is a pass over the text of which
-    one line per file is kept; the driver receives the names of the files, as it does to plan any
-    scan.
+    All files are one scan, by place of the column. Which place a field has in a file comes from the
+    table of headers, which meets the rows by file; where all files have one header nothing is
+    joined and only the columns asked for are parsed.
     """
-    lines = spark.read.text(path).select(
-        "value",
-        F.monotonically_increasing_id().alias("line"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("begin"),
-    )
-    first = lines.where("begin = 0").groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    headers = first.groupBy("header").agg(F.collect_list("file").alias("files"))
+    headers = file_headers(spark, path)
+    known = [row.header for row in headers.select("header").distinct().orderBy("header").collect()]
     fields = StructType.fromDDL(BILLING_SCHEMA)
-    parts = []
-    for row in headers.orderBy("header").collect():
-        names = next(csv.reader([row.header.removeprefix("\ufeff")]))
-        declared = ", ".join(f"`{place}` STRING" for place in range(len(names)))
-        raw = read_declared(spark, row.files, declared, "csv", header="true", enforceSchema="true")
-        parts.append(
-            raw.select(
-                *[
-                    (F.col(f"`{names.index(field.name)}`") if field.name in names else F.lit(None)).cast(field.dataType).alias(field.name)
-                    for field in fields
-                ]
-            )
-        )
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], fields)
+    if not known:
+        return spark.createDataFrame([], fields)
+    layouts = {header: next(csv.reader([header.removeprefix("\ufeff")])) for header in known}
+    width = max(map(len, layouts.values()))
+    declared = ", ".join(f"`{place}` STRING" for place in range(width))
+    raw = read_declared(spark, path, declared, "csv", header="true", enforceSchema="true")
+    places = {header: [names.index(f.name) if f.name in names else None for f in fields] for header, names in layouts.items()}
+    if len(known) == 1:
+        cells = [F.lit(None) if place is None else F.col(f"`{place}`") for place in places[known[0]]]
+        return raw.select(*[cell.cast(field.dataType).alias(field.name) for cell, field in zip(cells, fields)])
+    table = spark.createDataFrame(list(places.items()), "header STRING, places ARRAY<INT>")
+    by_file = headers.join(table, "header").select("file", "places")
+    cells = raw.select(F.array(*[F.col(f"`{place}`") for place in range(width)]).alias("cells"), F.col("_metadata.file_path").alias("file"))
+    placed = splittable_join(cells, by_file, ["file"])  # one file may hold most of the lines
+    return placed.select(
+        *[F.get("cells", F.get("places", F.lit(i))).cast(field.dataType).alias(field.name) for i, field in enumerate(fields)]
+    )
+
+
+# Files whose headers are read before they are written down, and how many at a time.
+HEADER_FILES, HEADER_THREADS = 1_000, 16
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, header: the first line of each text file under ``path`` that is not empty, as a stored table.
+
+    Of every file only its beginning is read, through Hadoop's file system: a scan would read all
+    of it. The names come to the driver some at a time, and go with the headers into the table.
+    """
+    names = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    stored, schema = fresh_path(spark, "headers"), "file STRING, header STRING"
+    spark.createDataFrame([], schema).write.parquet(stored)
+    files = (row.file for row in names.toLocalIterator())
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        while some := list(islice(files, HEADER_FILES)):
+            found = [pair for pair in zip(some, pool.map(lambda file: _first_line(spark, file), some)) if pair[1] is not None]
+            spark.createDataFrame(found, schema).coalesce(1).write.mode("append").parquet(stored)
+    return spark.read.schema(schema).parquet(stored)
+
+
+def _first_line(spark: SparkSession, file: str) -> str | None:
+    java, configuration = spark._jvm.java, spark._jsc.hadoopConfiguration()
+    place = spark._jvm.org.apache.hadoop.fs.Path(java.net.URI(file))
+    stream = place.getFileSystem(configuration).open(place)
+    try:
+        codec = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(configuration).getCodec(place)
+        plain = codec.createInputStream(stream) if codec is not None else stream
+        return java.io.BufferedReader(java.io.InputStreamReader(plain, "UTF-8")).readLine()
+    finally:
+        stream.close()
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 from decimal import Decimal
 
 import pytest
@@ -214,6 +215,31 @@ def test_billing_columns_go_by_name_in_each_file(spark, tmp_path):
     ]
 
 
+def test_headers_are_read_without_a_scan(spark, tmp_path):
+    """Files whose columns are swapped: little more is read than the files once, by one scan."""
+    def bytes_read():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics() if s.getScheme() == "file")
+
+    names = ["resource_id", "cost", "currency"]
+    folder = tmp_path / "billing exports"
+    folder.mkdir()
+    for number, order in enumerate([(0, 1, 2), (2, 0, 1), (1, 2, 0), (0, 1, 2)]):
+        lines = (f"r{number}-{i:09},{i}.5,RUB".split(",") for i in range(100_000))
+        text = "\n".join(",".join(line[place] for place in order) for line in [names, *lines])
+        if number == 3:
+            (folder / "3.csv.gz").write_bytes(gzip.compress(text.encode(), mtime=0))
+        else:
+            (folder / f"{number}.csv").write_text(text)
+    (folder / "empty.csv").write_text("")
+    size = sum(f.stat().st_size for f in folder.iterdir())
+    before = bytes_read()
+    billing = attribution.read_billing(spark, str(folder))
+    total = billing.agg(F.sum("cost"), F.count("*"), F.count_if((F.col("currency") == "RUB") & F.col("resource_id").startswith("r"))).first()
+    assert tuple(total) == (4 * (4999950000 + Decimal(50_000)), 400_000, 400_000)
+    assert bytes_read() - before < 1.1 * size
+    assert plan_text(billing).count("FileScan csv") == 1
+
+
 def test_fan_out_reads_the_labels_once(spark, conf, tmp_path, costs, inventory):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     costs.write.parquet(str(tmp_path / "costs"))
