@@ -244,7 +244,8 @@ def near_duplicates(
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs``, with all its columns, of every component: that with the smallest
-    doc_id (null only if all are), of several the one with the smallest hash of its text."""
+    doc_id (null only if all are), of several the one with the smallest hash of its text, then the
+    first by its columns as JSON."""
     return first_rows(docs, staged(classes(docs, shingle, radius), "simhash-classes"))
 
 
@@ -252,7 +253,7 @@ def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The row of ``docs`` that ``first_of_each`` takes of every label of ``found`` (doc_id, tag, label)."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tag")).alias("first")
     winners = found.groupBy("label").agg(first).select(F.col("first.doc_id").alias("_doc"), F.col("first.tag").alias("_tag"))
-    # Rows of one doc_id and text are told apart by nothing: of these, usually none, one stays.
+    # Of rows of one doc_id and text, usually none, the one stays whose columns come first as JSON.
     repeated = staged(
         found.groupBy("doc_id", "tag").count().where("count > 1").select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag")),
         "simhash-repeated",
@@ -261,5 +262,5 @@ def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("tag"), record)
     same = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag"))
     won = rows.join(winners, same, "left_semi")
-    several = won.join(repeated, same, "left_semi").groupBy("doc", "tag").agg(F.first("record").alias("record"))
+    several = won.join(repeated, same, "left_semi").groupBy("doc", "tag").agg(F.min_by("record", F.to_json("record")).alias("record"))
     return won.join(repeated, same, "left_anti").union(several.select("doc", "tag", "record")).select("record.*")

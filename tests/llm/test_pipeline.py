@@ -5,8 +5,8 @@ import hashlib
 import corpus_pipeline as pipeline
 import pytest
 from test_decontaminate import best_part
+from test_nearcopies import brute_kept
 from test_packing import check
-from test_simhash import brute_components, brute_fingerprint
 from test_substring import brute as brute_substring
 
 from millrace.llm import decontaminate as dc
@@ -38,10 +38,9 @@ def test_language_id_keeps_clean_documents(states):
 
 def test_one_of_each_group_stays(states):
     before = texts(states[1])
-    ids = sorted(before)
-    components = brute_components([(d, brute_fingerprint(before[d])) for d in ids])
-    assert texts(states[2]) == {d: before[d] for d in components}
-    assert len(set(components)) < len(ids)
+    kept, pairs = brute_kept(sorted(before.items()))
+    assert texts(states[2]) == {d: before[d] for d in kept}
+    assert pairs and len(kept) < len(before)
 
 
 def test_passages_go(states):
@@ -92,6 +91,14 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(map(tuple, pipeline.near_dedup(spark, docs, "").collect()), key=repr) == [(1, "a b c d"), (None, "e f g h")]
 
 
+def test_ties_of_repeated_rows_are_defined(spark):
+    """Of rows with one id and text the same stays, however they come."""
+    rows = [(1, "a b c d", lang, n) for lang in ("fr", None, "en") for n in (3, 1, 2)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, n_chars long").repartition(4)
+        assert list(map(tuple, pipeline.near_dedup(spark, docs, "").collect())) == [(1, "a b c d", "en", 1)]
+
+
 def test_empty_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
