@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from millrace.operators import attribution, diagnostics, inventory
 from millrace.operators.aggregates import top_keys
 from millrace.session import build_session
+from millrace.sinks.catalog import add_missing_partitions
 from millrace.sinks.files import overwrite, recompress
 from millrace.sinks.jdbc import export_jdbc
 from millrace.sinks.partitions import CONFLICT_MODES, write_partitions
 from millrace.sources import generate
-from millrace.sources.logs import read_event_log
+from millrace.sources.logs import read_event_log, read_records
 from millrace.streaming import records
 
 Args = argparse.Namespace
@@ -46,7 +47,7 @@ def load_series(spark: SparkSession, args: Args) -> None:
     """Numbers, times and random identifiers into day partitions."""
     anchor = F.lit(args.anchor).cast("timestamp_ntz") if args.anchor else None
     series = generate.uuid_columns(generate.time_series(generate.number_series(spark, args.count), anchor))
-    write_partitions(series, args.path, ["tv_year", "tv_month", "tv_day"], args.conflict)
+    write_partitions(series, args.path, ["tv_year", "tv_month", "tv_day"], args.conflict, exclusive=args.exclusive)
 
 
 def top(spark: SparkSession, args: Args) -> None:
@@ -89,6 +90,13 @@ def scan(spark: SparkSession, args: Args) -> None:
     inventory.merge_day(spark, inventory.create_state(spark, args.state), listed, day, stamp)
 
 
+def merge(spark: SparkSession, args: Args) -> None:
+    """Merge stored inventory rows of any days into the state; prints the days that were replaced."""
+    listed, stamp = spark.read.parquet(args.listed), int(time.time() * 10_000_000)
+    state = inventory.create_state(spark, args.state, inventory.state_schema(listed))
+    inventory.merge_days(spark, state, listed, stamp).orderBy("crdate").show(1_000)
+
+
 def extract(spark: SparkSession, args: Args) -> None:
     """Write the dictionary of changed days: all, some, or yesterday and today."""
     state = spark.read.schema(inventory.STATE_SCHEMA).parquet(args.state)
@@ -122,6 +130,19 @@ def layout(spark: SparkSession, args: Args) -> None:
     spark.read.parquet(args.path).agg(F.count("*").alias("n_partitions"), *totals).show()
 
 
+def register(spark: SparkSession, args: Args) -> None:
+    """Add the partitions under a path that a table does not know, in batches; statistics of all batches."""
+    add_missing_partitions(spark, args.table, args.path, args.keys, args.log, args.batch)
+    diagnostics.registration_batches(spark.read.text(args.log)).show()
+
+
+def losses(spark: SparkSession, args: Args) -> None:
+    """Executors that driver logs name as lost, as Parquet; records may go over several lines."""
+    read = read_records(spark, args.logs)
+    overwrite(diagnostics.lost_executors(read.withColumn("value", F.translate("value", "\n", " "))), args.path)
+    diagnostics.losses_by_executor(spark.read.parquet(args.path)).orderBy("executor").show(1_000)
+
+
 def _secret(variable: str | None) -> str | None:
     return os.environ[variable] if variable else None
 
@@ -159,6 +180,7 @@ def parser() -> argparse.ArgumentParser:
     series.add_argument("--count", type=int, default=1_000_000_000)
     series.add_argument("--anchor", type=dt.datetime.fromisoformat)
     series.add_argument("--conflict", choices=CONFLICT_MODES, default="fail")
+    series.add_argument("--exclusive", action="store_true", help="claim the partitions while they are written")
 
     ranked = command("top", top, "source", "key")
     ranked.add_argument("--k", type=int, default=10)
@@ -178,13 +200,20 @@ def parser() -> argparse.ArgumentParser:
     scanned = command("scan", scan, "hosts", "disks", "state")
     scanned.add_argument("--day", type=int)
 
+    command("merge", merge, "listed", "state")
+
     extracted = command("extract", extract, "state", "marks", "path")
     extracted.add_argument("--day", type=int, nargs="*")
     extracted.add_argument("--recent", action="store_true")
 
     command("costs", costs, "billing", "dictionary", "start", "end", "path")
     command("event-log", event_log, "log", "path")
+    command("losses", losses, "logs", "path")
     command("layout", layout, "source", "path").add_argument("keys", nargs="+")
+
+    registered = command("register", register, "table", "path", "log")
+    registered.add_argument("keys", nargs="+")
+    registered.add_argument("--batch", type=int, default=1_000)
     return top_level
 
 

@@ -163,8 +163,9 @@ def daily_extract_events(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def extract_order(spark: SparkSession, directory: str) -> DataFrame:
-    """Rows by file of the extract, and those that do not follow the row before them in the file."""
-    return inventory.order_inside_files(_extracted(spark, *_days(spark, directory)), ["dt", "obj_id"]).agg(
+    """Rows of the extract of days with many resources, and those that come before a smaller one in their file."""
+    extract = _extracted(spark, *_days(spark, directory, _event_observations))
+    return inventory.order_inside_files(extract, ["dt", "obj_id"]).agg(
         F.sum("n_rows").alias("n_rows"), F.sum("out_of_order").alias("out_of_order")
     )
 
@@ -285,5 +286,5 @@ ORACLES = {
     "daily_extract": _extract_sql(_OBSERVATIONS),
     "daily_extract_events": _extract_sql(_EVENT_OBSERVATIONS, "o_orderstatus <> 'O' OR crdate % 2 = 1"),
     "extract_order": f"""
-        SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS out_of_order FROM ({_extract_sql(_OBSERVATIONS)}) e""",
+        SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS out_of_order FROM ({_extract_sql(_EVENT_OBSERVATIONS)}) e""",
 }

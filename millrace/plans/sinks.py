@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 
 from millrace.operators.diagnostics import dataset_inventory, registration_batches
 from millrace.plans.series import ROWS_PER_PART, orders_by_day, wide_datagen
-from millrace.plans.tools import catalog_name, file_tasks
-from millrace.sinks.catalog import add_missing_partitions, insert_rows, insert_values, register_partitions
+from millrace.plans.tools import catalog_name, database, file_tasks
+from millrace.sinks.catalog import (
+    add_missing_partitions,
+    create_view,
+    insert_rows,
+    insert_values,
+    list_databases,
+    list_tables,
+    register_partitions,
+    use_database,
+)
 from millrace.sinks.files import append, content_sums, overwrite, recompress, write_csv, write_once
 from millrace.sinks.partitions import PartitionConflict, conflicting_partitions, write_partitions
 from millrace.sources.tables import external_table, read_csv, read_glob, table
@@ -135,6 +144,23 @@ def batched_registration(spark: SparkSession, directory: str) -> DataFrame:
 REGISTERED = 500
 
 
+def catalog_views(spark: SparkSession, directory: str) -> DataFrame:
+    """A table over the orders' file, a view of it and a view of that view, in the database in use, counted
+    by bare names; with whether database and views are listed."""
+    current, name = spark.catalog.currentDatabase(), database(spark)
+    base, dated, yearly = (catalog_name(spark, label).split(".")[1] for label in ("orders", "dated", "yearly"))
+    external_table(spark, f"{name}.{base}", None, f"{directory}/orders.parquet")
+    use_database(spark, name)
+    try:
+        create_view(spark, dated, f"SELECT o_orderkey, o_totalprice, YEAR(o_orderdate) AS o_year FROM {base}")
+        create_view(spark, yearly, f"SELECT o_year, COUNT(*) AS n, SUM(o_orderkey) AS key_sum FROM {dated} GROUP BY o_year")
+        tables = list_tables(spark, name).where(F.col("name").isin(dated, yearly)).agg(F.count("*")).scalar()
+        databases = list_databases(spark).where(F.col("name") == name).agg(F.count("*")).scalar()
+        return spark.table(yearly).select("*", tables.alias("n_views"), databases.alias("n_databases"))
+    finally:
+        use_database(spark, current)
+
+
 def partition_registration(spark: SparkSession, directory: str) -> DataFrame:
     """Partitions loaded as plain files become visible in the catalog once registered."""
     orders = orders_by_day(spark, directory).select("o_orderkey", "o_year", "o_month")
@@ -179,6 +205,7 @@ QUERIES = {
     "partition_race": partition_race,
     "partition_registration": partition_registration,
     "batched_registration": batched_registration,
+    "catalog_views": catalog_views,
     "partition_inventory": partition_inventory,
     "csv_roundtrip": csv_roundtrip,
     "orc_varchar_roundtrip": orc_varchar_roundtrip,
@@ -225,6 +252,10 @@ ORACLES = {
         SELECT CASE WHEN days <= 2 * {REGISTERED} THEN ceil(days / {REGISTERED}) ELSE 2 + ceil((days - 2 * {REGISTERED}) / {REGISTERED}) END::BIGINT AS batches,
                days AS partitions, CAST(0 AS BIGINT) AS n_other, n_rows, days AS n_days
         FROM (SELECT COUNT(DISTINCT CAST(o_orderdate AS DATE)) + MAX((o_orderdate IS NULL)::INT) AS days, COUNT(*) AS n_rows FROM orders) x""",
+    "catalog_views": """
+        SELECT CAST(year(o_orderdate) AS INTEGER) AS o_year, COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS key_sum,
+               CAST(2 AS BIGINT) AS n_views, CAST(1 AS BIGINT) AS n_databases
+        FROM orders GROUP BY 1""",
     "partition_registration": """
         SELECT DISTINCT 'o_year=' || year(o_orderdate) || '/o_month=' || month(o_orderdate) AS partition
         FROM orders""",

@@ -96,3 +96,29 @@ def test_passwords_come_from_the_environment(spark, monkeypatch):
     monkeypatch.setattr(jobs, "export_jdbc", lambda df, **options: seen.update(jdbc_options(**options), n=df.count()))
     jobs.main(["export", "SELECT 1 AS a", "jdbc:x", "t", "--user", "u", "--password-variable", "EXPORT_SECRET"])
     assert seen["password"] == "s3cret" and seen["numPartitions"] == "45" and seen["n"] == 1
+
+
+def test_merge_of_days(spark, run, tmp_path, capsys):
+    listed = "crdate INT, obj_id STRING, vm_id STRING, cluster_id STRING, otype STRING"
+    for number, days in enumerate([(20240101, 20240102), (20240102, 20240103)]):
+        spark.createDataFrame([(d, "a", "v", "c", "vm") for d in days], listed).write.parquet(str(tmp_path / f"listed{number}"))
+        run("merge", tmp_path / f"listed{number}", tmp_path / "state")
+    assert spark.read.parquet(str(tmp_path / "state")).count() == 3
+    shown = capsys.readouterr().out.split("n_changed")[-1]
+    assert "20240103" in shown and "20240102" not in shown
+
+
+def test_register_and_losses(spark, run, tmp_path, capsys):
+    spark.range(5).selectExpr("id AS x", "CAST(id AS STRING) AS k").write.partitionBy("k").parquet(str(tmp_path / "data"))
+    spark.sql(f"CREATE TABLE register_test (x BIGINT, k STRING) USING parquet PARTITIONED BY (k) LOCATION '{tmp_path / 'data'}'")
+    try:
+        run("register", "register_test", tmp_path / "data", tmp_path / "log", "k", "--batch", 2)
+        assert spark.table("register_test").count() == 5
+    finally:
+        spark.sql("DROP TABLE register_test")
+    (tmp_path / "driver.log").write_text(
+        "24/01/01 00:00:00 WARN TaskSetManager: Lost task 1.0 in stage 2.0\n(TID 7) (host executor 3): ExecutorLostFailure\n"
+        "(executor 3 exited) Reason:\nExecutor heartbeat timed out after 130000 ms\n24/01/01 00:00:01 INFO x: y\n"
+    )
+    run("losses", tmp_path / "driver.log", tmp_path / "losses")
+    assert rows(spark.read.parquet(str(tmp_path / "losses")).select("task", "executor", "timeout_ms")) == [(1, "3", 130000)]
