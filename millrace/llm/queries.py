@@ -148,7 +148,7 @@ def op6_urls(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _url_sql() -> str:
-    """The rules as a list, longest first, and the rounds of the propagation written out."""
+    """The rules as a list, longest first; the propagation as a recursion over additions."""
     order = sorted(URL_RULES, key=lambda rule: (-len(rule[1]), -rule[1].index("/")))
     fits = [
         f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN %s"
@@ -157,36 +157,39 @@ def _url_sql() -> str:
     rule = " ".join(fit % f"'{text}'" for fit, (_, text) in zip(fits, order))
     verdict = " ".join(fit % f"'{kind}'" for fit, (kind, _) in zip(fits, order))
     lower = f"translate(%s, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
-    spread = urlfilter.DAMPING
-    rounds = "".join(
-        f""", s{k + 1} AS MATERIALIZED (
-  SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM (
-    FROM s0 UNION ALL
-    SELECT target, {spread} * trust * forth, 0 FROM links JOIN s{k} ON host = source UNION ALL
-    SELECT source, 0, {spread} * distrust * back FROM links JOIN s{k} ON host = target) GROUP BY host)"""
-        for k in range(urlfilter.ROUNDS)
-    )
     parts, link = urlfilter.PARTS.replace("'", "''"), urlfilter.LINK.replace("'", "''")
     return f"""
-WITH parsed AS (
+WITH RECURSIVE parsed AS (
   SELECT page_id, html, {lower % f"coalesce(regexp_extract(url, '{parts}', 1), '')"} AS host,
          coalesce(regexp_extract(url, '{parts}', 2), '') AS path
   FROM pages
 ), ruled AS (
   SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS verdict FROM parsed
-), s0 AS MATERIALIZED (
-  SELECT host, {1 - spread} * avg((verdict IS NOT DISTINCT FROM 'allow')::INT) AS trust,
-         {1 - spread} * avg((verdict IS NOT DISTINCT FROM 'block')::INT) AS distrust
+), seeds AS MATERIALIZED (
+  SELECT host, avg((verdict IS NOT DISTINCT FROM 'allow')::INT) AS trust,
+         avg((verdict IS NOT DISTINCT FROM 'block')::INT) AS distrust
   FROM ruled WHERE host <> '' GROUP BY host
 ), found AS (
   SELECT host AS source, {lower % "regexp_replace(t, '^[^@]*@', '')"} AS target
   FROM (SELECT host, unnest(regexp_extract_all(html, '{link}', 1)) AS t FROM parsed WHERE host <> '')
 ), links AS MATERIALIZED (
-  SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS forth, n / sum(n) OVER (PARTITION BY target) AS back
+  SELECT source, target, {urlfilter.DAMPING} * n / sum(n) OVER (PARTITION BY source) AS forth, 1 - trust - distrust AS free
   FROM (SELECT source, target, count(*) AS n FROM found WHERE target <> '' AND source <> target GROUP BY ALL)
-){rounds}
-SELECT page_id, host, path, rule, coalesce(verdict, if(distrust - trust > {urlfilter.MARGIN * (1 - spread)}, 'block', 'allow')) AS verdict
-FROM ruled LEFT JOIN s{urlfilter.ROUNDS} USING (host)
+  JOIN seeds ON host = source
+), additions AS (
+  SELECT 0 AS round, host, trust, distrust FROM seeds WHERE trust > 0 OR distrust > 0
+  UNION ALL
+  SELECT round, host, sum(trust), sum(distrust) FROM (
+    SELECT round + 1 AS round, target AS host, trust * forth AS trust, 0.0 AS distrust FROM additions JOIN links ON host = source
+    UNION ALL
+    SELECT round + 1, source, 0.0, distrust * forth * free FROM additions JOIN links ON host = target)
+  WHERE (trust > 0 OR distrust > 0) AND round <= 150 GROUP BY round, host
+), scores AS (
+  SELECT host, sum(trust) AS trust, sum(distrust) AS distrust FROM additions GROUP BY host
+)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, if(distrust - trust > {urlfilter.MARGIN + urlfilter.RESIDUAL}, 'block', 'allow')) AS verdict
+FROM ruled LEFT JOIN scores USING (host)
 """
 
 

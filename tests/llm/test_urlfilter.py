@@ -2,10 +2,11 @@
 
 import re
 
+import duckdb
 import pytest
 
 from millrace.llm import urlfilter
-from millrace.llm.queries import URL_RULES
+from millrace.llm.queries import OP6_SQL, URL_RULES
 
 
 def brute_parts(url):
@@ -37,15 +38,16 @@ def brute_judge(pages, rules):
                 links[host, target] = links.get((host, target), 0) + 1
     hosts = {h for _, h, *_ in ruled} - {""} | {x for pair in links for x in pair}
     share = lambda h, kind: (lambda r: sum(v == kind for v in r) / len(r) if r else 0)([v for _, x, _, _, v in ruled if x == h])
-    base = {h: (0.15 * share(h, "allow"), 0.15 * share(h, "block")) for h in hosts}
+    base = {h: (share(h, "allow"), share(h, "block")) for h in hosts}
+    whole = {h: sum(n for (a, _), n in links.items() if a == h) for h in hosts}
     now = dict(base)
-    for _ in range(urlfilter.ROUNDS):
+    for _ in range(200):
         after = {h: list(v) for h, v in base.items()}
         for (a, b), n in links.items():
-            after[b][0] += 0.85 * now[a][0] * n / sum(m for (x, _), m in links.items() if x == a)
-            after[a][1] += 0.85 * now[b][1] * n / sum(m for (_, y), m in links.items() if y == b)
+            after[b][0] += 0.85 * now[a][0] * n / whole[a]
+            after[a][1] += 0.85 * now[b][1] * n / whole[a] * (1 - sum(base[a]))
         now = {h: tuple(v) for h, v in after.items()}
-    bad = {h for h, (t, d) in now.items() if d - t > 0.5 * 0.15}
+    bad = {h for h, (t, d) in now.items() if d - t > 0.5 + 1e-6}
     return sorted(((p, h, path, r, v or ("block" if h in bad else "allow")) for p, h, path, r, v in ruled), key=repr)
 
 
@@ -66,19 +68,59 @@ def test_rules_and_parts(spark):
     assert judged(spark, pages, URL_RULES) == brute_judge(pages, URL_RULES)
 
 
+RULES = [("block", "bad.org/"), ("block", "worse.org/"), ("allow", "good.org/"), ("allow", "bad.org/fine/"), ("block", "spam/"), ("allow", "fair/")]
+
+
+def link_graph():
+    """Pages by name: (verdict that the method has to reach, or None where a rule decides; url; html)."""
+    link = lambda *hosts: " ".join(f'<a href="http://{h}/x">' for h in hosts) + '<a href="/own">'
+    pages = [("block", "http://bad.org/", link("near.org")), ("allow", "http://good.org/", link("fan.org", "near.org"))]
+    pages += [("allow", "http://fan.org/", link("bad.org")), ("block", "http://farm.org/1", link("1.spam", "1.spam", "farm2.org"))]
+    pages += [("block", "http://farm2.org/1", link("farm.org")), ("allow", "http://near.org/", link())]
+    pages += [("allow", "http://bad.org/fine/", None), ("allow", "http://alone.org/", "<a href='#'>")]
+    pages += [("block", "http://bad2.bad.org/", link("bad.org", "worse.org")), ("block", "http://worse.org/", link("bad.org", "bad2.bad.org"))]
+    for count in (1, 2, 100):  # farms around one host
+        pages.append(("block", f"http://{count}.spam/", None))
+        pages += [("block", f"http://m{k}.farm{count}/", link(f"{count}.spam")) for k in range(count)]
+    # Links to nine good hosts and to one whose blocked hosts link to each other.
+    pages.append(("allow", "http://honest.org/", link("worse.org", *(f"h{k}.fair" for k in range(9)))))
+    pages += [("allow", f"http://h{k}.fair/", None) for k in range(9)]
+    # Reached over others, vouched for by a trusted host, and half of a mixed host.
+    pages += [("block", "http://second.org/", link("m0.farm100")), ("allow", "http://vouched.org/", link("2.spam"))]
+    pages += [("allow", "http://voucher.fair/", link("vouched.org")), ("allow", "http://mixed.org/", link("bad.org", "h1.fair"))]
+    return pages
+
+
 def test_propagation(spark):
-    rules = [("block", "bad.org/"), ("allow", "good.org/"), ("allow", "bad.org/fine/")]
-    link = lambda *hosts: " ".join(f'<a href="http://{h}/x">' for h in hosts) + '<a href="/own"><a href="//Near.org">'
-    pages = [(0, "http://bad.org/", link("near.org")), (1, "http://good.org/", link("fan.org", "near.org"))]
-    pages += [(2, "http://fan.org/", link("bad.org")), (3, "http://farm.org/1", link("bad.org", "bad.org", "farm2.org"))]
-    pages += [(4, "http://farm2.org/1", link("farm.org")), (5, "http://near.org/", link()), (6, "http://bad.org/fine/", None)]
-    pages += [(7, "http://alone.org/", "<a href='#'>"), (8, "http://farm3.org/", link("farm.org", "bad.org"))]
-    pages += [(9, "http://bad2.bad.org/", link("bad.org")), (10, "http://only.org/", '<a href="http://bad.org/">')]
-    found = judged(spark, pages, rules)
-    assert found == brute_judge(pages, rules)
+    pages = link_graph()
+    rows = [(i, url, html) for i, (_, url, html) in enumerate(pages)]
+    found = judged(spark, rows, RULES)
+    assert found == brute_judge(rows, RULES)
     verdicts = {row[0]: row[4] for row in found}
-    assert verdicts[7] == "allow" and verdicts[5] == "allow" and verdicts[10] in ("allow", "block")
-    assert {"block"} == {verdicts[0], verdicts[9]} and verdicts[6] == "allow"
+    assert {pages[i][1]: v for i, v in verdicts.items()} == {url: v for v, url, _ in pages}
+
+
+def test_values_reach_their_limit(spark):
+    seeds = spark.createDataFrame([("a", 0.0, 0.0), ("b", 0.0, 0.0), ("s", 0.0, 1.0), ("t", 1.0, 0.0)], "host string, trust double, distrust double")
+    links = spark.createDataFrame([("a", "b", 3), ("b", "a", 1), ("a", "s", 1), ("t", "a", 2)], "source string, target string, n long")
+    found = {r.host: (r.trust, r.distrust) for r in urlfilter.propagate(seeds, links).collect()}
+    into = 0.85 / (1 - 0.85 * 0.85 * 0.75)
+    away = 0.85 * 0.25 / (1 - 0.85 * 0.75 * 0.85)
+    limits = {"a": (into, away), "b": (into * 0.85 * 0.75, 0.85 * away), "s": (into * 0.85 * 0.25, 1.0), "t": (1.0, 0.0)}
+    for host, limit in limits.items():
+        assert found[host] == pytest.approx(limit, abs=urlfilter.RESIDUAL)
+
+
+def test_sql_on_a_link_graph():
+    """The SQL text with the rules of the query, on pages that link between hosts."""
+    pages = [(1, "http://x.net/", None), (2, "http://example.net/en/", None)]
+    pages += [(3 + k, f"http://f{k}.io/", '<a href="//x.net/">' + f'<a href="//f{1 - k}.io">') for k in range(2)]
+    pages += [(5, "http://ok.io/", '<a href="//x.net">' + '<a href="//example.net">' * 3)]
+    base = duckdb.connect()
+    base.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    base.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert sorted(base.execute(OP6_SQL).fetchall(), key=repr) == brute_judge(pages, URL_RULES)
+    assert {r[0]: r[4] for r in brute_judge(pages, URL_RULES)} == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "allow"}
 
 
 def test_empty_table(spark):
