@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Code points of a piece of a text that spans are cut from.
+_BLOCK = 4096
 START, END, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 _TURN = r"(?s)^\n?<\|im_start\|>([^\n]*)\n(.*)$"
 
@@ -57,6 +59,24 @@ def parse(text: Column) -> Column:
     return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The unescaped text under a loss mask, its spans joined in order.
+
+    The text is cut into blocks of equal length once, so that a span near its end is not looked
+    for from its start.
+    """
+
+    def cut(blocks: Column, span: Column) -> Column:
+        first, last = (F.floor(place / _BLOCK).cast("int") for place in (span["start"], span["start"] + span["length"]))
+        around = F.array_join(F.slice(blocks, first + 1, last - first + 1), "")
+        return unescape(F.substr(around, (span["start"] % _BLOCK + 1).cast("int"), span["length"].cast("int")))
+
+    # An array of one element binds the blocks, so that they are computed once and not per span.
+    blocks = F.array(F.regexp_extract_all(formatted, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0)))
+    joined = F.transform(blocks, lambda known: F.array_join(F.transform(spans, lambda span: cut(known, span)), ""))
+    return F.element_at(joined, 1)
+
+
 def format_conversations(turns: DataFrame, assistant: str = "assistant") -> DataFrame:
     """One row per conversation of ``turns`` (conv_id, turn, role, text; other columns are ignored).
 
@@ -117,16 +137,14 @@ def format_conversations(turns: DataFrame, assistant: str = "assistant") -> Data
     return formatted.withColumn("identical", parse(F.col("formatted")).eqNullSafe(F.col("source")))
 
 
-def digest(formatted: DataFrame, assistant: str = "assistant") -> DataFrame:
-    """What a reader gets back from the rendered texts, one row per conversation."""
+def digest(formatted: DataFrame) -> DataFrame:
+    """What a reader gets back from the rendered texts, one row per conversation: turns from the
+    grammar, what is learned from the loss mask."""
     back = formatted.select(
-        "conv_id", "formatted", "n_escaped", "identical", parse(F.col("formatted")).alias("turns")
+        "conv_id", "formatted", "loss_spans", "n_escaped", "identical", parse(F.col("formatted")).alias("turns")
     )
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    learned = F.array_join(
-        F.transform(F.filter("turns", lambda x: x["role"] == assistant), lambda x: x["text"]), ""
-    )
-    return back.withColumn("learned", learned).select(
+    return back.withColumn("learned", masked(F.col("formatted"), F.col("loss_spans"))).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
