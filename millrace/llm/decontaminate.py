@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.08
-# Shorter items stand in clean texts by chance; they take no part.
-MIN_CHARS = 32
+# Items of fewer characters are found with edits in clean texts by chance; they may have none,
+# and have to stand between word borders.
+SHORT = 32
+# From here on letters need no gap between words (Chinese, Japanese and their like).
+_NO_GAPS = "\u2e80"
 # Characters of items that one pass over the documents looks for.
 PASS_CHARS = 8_000_000
 
@@ -30,7 +33,13 @@ def normal(text: str) -> str:
 
 def budget(length: int, rate: float = RATE) -> int:
     """Edits that an item of ``length`` characters may have."""
-    return int(length * rate)
+    return int(length * rate) if length >= SHORT else 0
+
+
+def bordered(text: str, begin: int, end: int) -> bool:
+    """Whether no word of ``text`` goes on over either end of a part of it."""
+    inside = (place for place in (begin, end) if 0 < place < len(text))
+    return not any(all(c.isalnum() and c < _NO_GAPS for c in text[place - 1 : place + 1]) for place in inside)
 
 
 class Pattern:
@@ -89,14 +98,21 @@ class Matcher:
             self.patterns[key] = Pattern(self.items[number][::-1] if reverse else self.items[number])
         return self.patterns[key]
 
-    def _verify(self, text: str, number: int, begin: int) -> tuple[int, int] | None:
-        """(edits, end) of the best occurrence that starts within the budget around ``begin``."""
-        item, k = self.items[number], budget(len(self.items[number]), self.rate)
-        if begin >= 0 and text.startswith(item, begin):
-            return 0, begin + len(item)
-        low = max(0, begin - k)
+    def _unchanged(self, text: str, number: int, starts: list[int]) -> int | None:
+        """The first of ``starts`` at which the item stands as it is."""
+        item = self.items[number]
+        for begin in starts:
+            if begin >= 0 and text.startswith(item, begin) and (len(item) >= SHORT or bordered(text, begin, begin + len(item))):
+                return begin
+        return None
+
+    def _verify(self, text: str, number: int, first: int, last: int) -> tuple[int, int] | None:
+        """(edits, end) of the best occurrence that starts within the budget around ``first`` to ``last``."""
+        length = len(self.items[number])
+        k = budget(length, self.rate)
+        low = max(0, first - k)
         best = None
-        for place, score in enumerate(self._pattern(number, False).scores(text[low : begin + len(item) + k], False)):
+        for place, score in enumerate(self._pattern(number, False).scores(text[low : last + length + k], False)):
             if score <= k and (best is None or score < best[0]):
                 best = score, low + place + 1
         return best
@@ -120,13 +136,15 @@ class Matcher:
                 begins[number].add(last - length + 1 - offset)
         found = []
         for number, starts in sorted(begins.items()):
-            best = None
-            for begin in sorted(starts):
-                if best and best[0] == 0:
-                    break
-                hit = self._verify(text, number, begin)
-                if hit and (best is None or hit < best):
-                    best = hit
+            places, k = sorted(starts), budget(len(self.items[number]), self.rate)
+            begin, best = self._unchanged(text, number, places), None
+            if begin is not None:
+                best = 0, begin + len(self.items[number])
+            elif k:
+                # Starts that lie close together are looked at in one go.
+                gaps = [0, *(at for at in range(1, len(places)) if places[at] - places[at - 1] > k), len(places)]
+                runs = ((places[a], places[b - 1]) for a, b in zip(gaps, gaps[1:]))
+                best = min(filter(None, (self._verify(text, number, *run) for run in runs)), default=None)
             if best:
                 begin = self._start(text, number, *best)
                 first = text.count(" ", 0, begin) + (begin < len(text) and text[begin] == " ")
@@ -142,17 +160,24 @@ def _passes(benchmark: DataFrame, rate: float) -> Iterator[dict]:
     for number in range(passes):
         part = usable.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number)
         rows = [(row.item_id, normal(row.text)) for row in part.orderBy("item_id", "text").collect()]
-        rows = [row for row in rows if len(row[1]) >= MIN_CHARS]
+        rows = [row for row in rows if row[1]]
         yield {"ids": [row[0] for row in rows], "items": dict(enumerate(row[1] for row in rows)), "rate": rate}
 
 
+def _matcher(portion: dict) -> Matcher:
+    """The matcher of a portion, made once in a worker process and kept with the broadcast value."""
+    if "matcher" not in portion:
+        portion["matcher"] = Matcher(portion["items"], portion["rate"])
+    return portion["matcher"]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) and item of ``benchmark`` (item_id, text) found
     in it: doc_id, item_id, edits, first_word, end_word (words of the text between white space).
 
-    Every occurrence with up to ``budget`` edits is found, wherever it stands in the text.
-    Null and empty texts hold nothing; items without text or of fewer than ``MIN_CHARS``
-    characters take no part. Rows without doc_id are searched and have a null doc_id. Repeated
+    Every item that occurs with up to ``budget`` edits is found, wherever it stands in the text;
+    one of fewer than ``SHORT`` characters where it stands unchanged between word borders.
+    Null and empty texts hold nothing; items without text take no part. Rows without doc_id are searched and have a null doc_id. Repeated
     rows are repeated results; repeated items count once. Empty tables give no rows.
 
     The documents are read once per ``PASS_CHARS`` characters of items, without a shuffle.
@@ -162,7 +187,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
         shared = spark.sparkContext.broadcast(portion)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matcher = shared.value["ids"], Matcher(shared.value["items"], shared.value["rate"])
+            ids, matcher = shared.value["ids"], _matcher(shared.value)
             for batch in batches:
                 rows = []
                 for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -186,7 +211,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
         shared = spark.sparkContext.broadcast(portion)
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value["items"], shared.value["rate"])
+            matcher = _matcher(shared.value)
             for batch in batches:
                 texts = batch.column("text").to_pylist()
                 yield batch.filter(pa.array(np.array([not matcher.find(normal(text or "")) for text in texts], bool)))

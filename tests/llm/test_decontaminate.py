@@ -1,6 +1,7 @@
 """Benchmark decontamination against brute-force edit distances."""
 
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,7 +38,7 @@ def test_against_brute_force(spark):
     rng = random.Random(5)
     words = ["the", "of", "and", "inth", "erat", "onst", "hand", "ble"]
     line = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, line(12 + i % 9)) for i in range(25)] + [(90, None), (91, ""), (92, "short"), (3, line(15)), (None, line(14))]
+    items = [(i, line(12 + i % 9)) for i in range(25)] + [(90, None), (91, ""), (92, "short"), (93, "the of and"), (94, "of inth"), (95, "Hand"), (3, line(15)), (None, line(14))]
     docs = []
     for doc in range(120):
         text = line(rng.randrange(0, 60))
@@ -53,11 +54,13 @@ def test_against_brute_force(spark):
     for doc, text in docs:
         for item, passage in items:
             a, b = dc.normal(passage or ""), dc.normal(text or "")
-            if len(a) >= dc.MIN_CHARS and len(b) < 5000:
+            if 0 < len(a) < 32 and re.search(rf"\b{re.escape(a)}\b", b):
+                expected.append((doc, item, 0))
+            elif len(a) >= 32 and len(b) < 5000:
                 d = best_part(a, b)
-                if d <= dc.budget(len(a)):
+                if d <= int(len(a) * 0.08):
                     expected.append((doc, item, d))
-    assert [f for f in found if f[0] != 502] == sorted(expected, key=repr)
+    assert [f for f in found if f[0] != 502 or f[1] in (93, 94, 95)] == sorted(expected, key=repr)
     assert (502, 2, 0) in found
     hit = {r[0] for r in found}
     kept = [r.doc_id for r in dc.clean(frame, bench).collect()]
@@ -73,6 +76,27 @@ def test_spans(spark):
     assert [tuple(r) for r in dc.matches(frame, bench).collect()] == [(1, 8, 1, 3, 17)]
 
 
+def test_short_items(spark):
+    items = [(1, "Is 7 prime?"), (2, "cat"), (3, "猫が好き"), (4, "a"), (5, "  "), (6, "x" * 31), (7, "y" * 32)]
+    docs = [(1, "so: IS  7\nprime? yes"), (2, "concatenate category"), (3, "the cat, sat"), (4, "私は猫が好きです"), (5, "This 7 prime?")]
+    docs += [(6, "b-a"), (7, "x" * 30), (8, "x" * 32), (9, "x" * 31), (10, "y" * 31), (11, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(tuple(r)[:3] for r in dc.matches(frame, bench).collect()) == [(1, 1, 0), (3, 2, 0), (4, 3, 0), (6, 4, 0), (9, 6, 0), (10, 7, 1)]
+    assert sorted(r.doc_id for r in dc.clean(frame, bench).collect()) == [2, 5, 7, 8, 11]
+
+
+def test_a_long_item(spark):
+    """An item of 12,000 characters with 30 edits, in a longer text and alone."""
+    rng = random.Random(8)
+    item = " ".join(f"w{rng.randrange(10**6)}" for _ in range(1600))
+    other = " ".join(f"v{rng.randrange(10**6)}" for _ in range(900))
+    frame = spark.createDataFrame([(1, f"{other} {edited(rng, item, 30)} {other}"), (2, item), (3, other)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = {r.doc_id: r.edits for r in dc.matches(frame, bench).collect()}
+    assert set(found) == {1, 2} and found[2] == 0 and 0 < found[1] <= 30
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     no_items = spark.createDataFrame([], "item_id long, text string")
