@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.workspace import discard, fresh_path
@@ -10,6 +12,10 @@ from millrace.workspace import discard, fresh_path
 SPACES = r"\x20\x09-\x0D"
 
 
+# The folder of every staged frame.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
@@ -19,11 +25,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     every executor reaches, so that the loss of an executor repeats nothing before them."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[back] = path
+    return back
 
 
 def drop_staged(*frames: DataFrame) -> None:
-    """Delete what ``staged`` wrote for ``frames``, once nothing reads it any more."""
+    """Delete what ``staged`` wrote for ``frames`` (as it returned them), once nothing reads it any more."""
     for frame in frames:
-        for folder in {path.rpartition("/")[0] for path in frame.inputFiles()}:
-            discard(frame.sparkSession, folder)
+        discard(frame.sparkSession, _FOLDERS.pop(frame))
