@@ -23,9 +23,8 @@ from pyspark.sql.window import Window
 UNKNOWN = "und"
 BUCKET_BITS, WIDTH = 16, 16
 BUCKETS = 1 << BUCKET_BITS
-# The bounded sample: rows per language, rows in all, characters per row (from a place that the
-# hash of the row decides; predictions read whole texts).
-ROWS_PER_LANGUAGE, ROWS, EXCERPT = 400, 20_000, 1_500
+# The bounded sample: rows per language, rows in all. Their whole texts are read.
+ROWS_PER_LANGUAGE, ROWS = 400, 20_000
 # Parts of a language that the sample is first taken from.
 PARTS = 256
 EPOCHS, HELD_BACK, SEED = 4, 4, 17
@@ -33,9 +32,12 @@ EMBEDDING_RATE, LAYER_RATE, BIAS_RATE = 60.0, 1.0, 0.1
 # A text is rejected if it scores this much below the low quantile of the rows held back that were
 # predicted rightly as its language, in log odds, and is less likely than not to be in it.
 MARGIN, LIKELY, LOW = 1.0, 0.5, 0.05
-# It is rejected too if it has this many times the share of unseen subwords of the rows at that
-# quantile (at least UNSEEN), and DEVIATIONS standard deviations of a text of its length.
-TIMES, UNSEEN, DEVIATIONS = 2.0, 0.08, 3.0
+# It is rejected too if its share of unseen subwords exceeds, by DEVIATIONS standard deviations of a
+# text of its length, the middle between two shares: the high quantile of the rows held back (by as
+# many deviations of its rank, so of few rows it is the largest), and the share FOREIGN of
+# the buckets that training has not seen, as languages of one script have about half their subwords
+# in common.
+FOREIGN, DEVIATIONS = 0.5, 3.0
 # Bytes of a text that are looked at together.
 _SLICE = 1 << 20
 
@@ -57,6 +59,15 @@ def subwords(text: str) -> Iterator[np.ndarray]:
         yield mixed >> np.uint32(32 - BUCKET_BITS)
 
 
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different buckets of a text and how many of its subwords each holds."""
+    counts = np.zeros(BUCKETS, np.int64)
+    for buckets in subwords(text):
+        counts += np.bincount(buckets, minlength=BUCKETS)
+    places = np.flatnonzero(counts)
+    return places, counts[places]
+
+
 @dataclass
 class Model:
     """Predicts from the sum over subwords of a row of ``table``: embeddings times linear layer."""
@@ -103,26 +114,30 @@ def _softmax_top(logits: np.ndarray) -> tuple[int, float]:
 
 def fit(rows: list[tuple[str, str]]) -> Model:
     """A model from (language, text) rows; the same rows in the same order give the same model."""
-    languages = sorted({language for language, _ in rows})
+    return learn([(language, *counted(text)) for language, text in rows])
+
+
+def learn(rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """A model from (language, buckets, counts) rows, as ``counted`` has them."""
+    languages = sorted({row[0] for row in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(SEED)
-    known = [(languages.index(language), np.concatenate(list(subwords(text)))) for language, text in rows]
-    known = [row for row in known if len(row[1])]
+    known = [(languages.index(language), places, counts / counts.sum(), int(counts.sum())) for language, places, counts in rows if len(places)]
     # Of each language, as the sample may have them in turns.
-    order, learn, held = [0] * len(languages), [], []
+    order, taken, held = [0] * len(languages), [], []
     for row in known:
         order[row[0]] += 1
-        (learn if order[row[0]] % HELD_BACK else held).append(row)
+        (taken if order[row[0]] % HELD_BACK else held).append(row)
     embedding = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     layer, bias = rng.normal(0, 0.1, (WIDTH, len(languages))), np.zeros(len(languages))
-    steps, step = EPOCHS * len(learn), 0
+    steps, step = EPOCHS * len(taken), 0
     for _ in range(EPOCHS):
-        for at in rng.permutation(len(learn)):
-            target, buckets = learn[at]
+        for at in rng.permutation(len(taken)):
+            target, places, shares, _ = taken[at]
             rate = 1 - step / steps
             step += 1
-            mean = embedding[buckets].mean(axis=0)
+            mean = shares @ embedding[places]
             logits = mean @ layer + bias
             error = np.exp(logits - logits.max())
             error /= error.sum()
@@ -130,21 +145,36 @@ def fit(rows: list[tuple[str, str]]) -> Model:
             back = layer @ error
             layer -= rate * LAYER_RATE * np.outer(mean, error)
             bias -= rate * BIAS_RATE * error
-            places, counts = np.unique(buckets, return_counts=True)
-            embedding[places] -= rate * EMBEDDING_RATE * np.outer(counts / len(buckets), back)
+            embedding[places] -= rate * EMBEDDING_RATE * np.outer(shares, back)
     model = Model(languages, (embedding @ layer).astype(np.float32), bias)
     model.seen = np.zeros(BUCKETS, bool)
-    for _, buckets in learn:
-        model.seen[buckets] = True
+    for _, places, *_ in taken:
+        model.seen[places] = True
     return _calibrated(model, held)
 
 
-def _calibrated(model: Model, held: list[tuple[int, np.ndarray]]) -> Model:
+def _most_unseen(unseen: np.ndarray, counts: np.ndarray, seen: np.ndarray) -> float:
+    """The largest share of unseen subwords that a text of a language may have, from the rows of it
+    that were held back (how many of their subwords are unseen, and of how many)."""
+    rows = len(unseen)
+    if not rows:
+        return 1.0
+    # The least share with which each row would not be rejected (Wilson's lower bound).
+    part, more = unseen / counts, DEVIATIONS**2 / counts
+    needed = np.sort((part + more / 2 - np.sqrt(more * part * (1 - part) + more**2 / 4)) / (1 + more))
+    rank = np.ceil(rows * (1 - LOW) + DEVIATIONS * np.sqrt(rows * LOW * (1 - LOW)))
+    high = needed[min(rows, int(rank)) - 1]
+    return float(max(high, (high + FOREIGN * np.mean(~seen)) / 2))
+
+
+def _calibrated(model: Model, held: list[tuple[int, np.ndarray, np.ndarray, int]]) -> Model:
     """``model`` with the temperature that makes the rows held back likeliest, and the thresholds."""
     if not held:
         return model
-    logits = np.array([model.table[b].sum(axis=0, dtype=np.float64) / len(b) + model.bias for _, b in held])
-    target = np.array([t for t, _ in held])
+    logits = np.array([shares @ model.table[places].astype(np.float64) + model.bias for _, places, shares, _ in held])
+    target = np.array([row[0] for row in held])
+    counts = np.array([row[3] for row in held])
+    unseen = np.array([shares[~model.seen[places]].sum() * count for _, places, shares, count in held])
 
     def loss(temperature: float) -> float:
         scaled = logits / temperature
@@ -161,28 +191,46 @@ def _calibrated(model: Model, held: list[tuple[int, np.ndarray]]) -> Model:
         low = float(np.quantile([tops[k][1] for k in right], LOW))
         odds = np.log(low / max(1 - low, 1e-12)) - MARGIN
         model.threshold[language] = min(LIKELY, float(1 / (1 + np.exp(-odds))))
-        new = float(np.quantile([1 - model.seen[held[k][1]].mean() for k in right], 1 - LOW))
-        model.unseen[language] = min(1.0, TIMES * max(new, UNSEEN))
+        model.unseen[language] = _most_unseen(unseen[right], counts[right], model.seen)
     return model
 
 
 def train(labelled: DataFrame) -> Model:
     """A model learned from a bounded sample of ``labelled`` (doc_id, text, lang).
 
-    Rows without a language, or without a letter in their text, are not learned from. Of every
-    language the ``ROWS_PER_LANGUAGE`` rows with the smallest hashes are taken, ``ROWS`` in all.
+    Rows without a language, or without a letter in their text, are not learned from; repeated rows
+    are learned once. Of every language the ``ROWS_PER_LANGUAGE`` rows with the smallest hashes
+    are taken, ``ROWS`` in all.
+
+    The sample is chosen by hashes, so that no text is shuffled. Then its whole texts are found
+    again and counted by the tasks that read them; the driver receives counts of at most
+    ``BUCKETS`` buckets a row.
     """
-    order = F.xxhash64("doc_id", F.lit(SEED))
-    room = F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1
-    excerpt = F.substr("text", F.pmod(order, room.cast("long")).cast("int") + 1, F.lit(EXCERPT))
-    usable = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text")))
+    keys = ["lang", "order", "digest"]
+    usable = labelled.where(F.col("lang").isNotNull() & has_letter(F.col("text"))).select(
+        "lang", F.xxhash64("doc_id", F.lit(SEED)).alias("order"), F.xxhash64("text").alias("digest"), "text"
+    )
     # In two steps, or a language that most tasks hold would send one task rows from all of them.
-    rows = usable.select("lang", F.pmod(order, F.lit(PARTS)).alias("part"), order.alias("order"), excerpt.alias("excerpt"))
-    for keys in (["lang", "part"], ["lang"]):
-        first = Window.partitionBy(*keys).orderBy("order", "excerpt")
-        rows = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= ROWS_PER_LANGUAGE)
-    sample = rows.orderBy("place", "lang").limit(ROWS)
-    return fit([(row.lang, row.excerpt) for row in sample.collect()])
+    rows = usable.select(*keys, F.pmod("order", F.lit(PARTS)).alias("part"))
+    for group in (["lang", "part"], ["lang"]):
+        first = Window.partitionBy(*group).orderBy("order", "digest")
+        rows = rows.withColumn("place", F.dense_rank().over(first)).where(F.col("place") <= ROWS_PER_LANGUAGE)
+        rows = rows.dropDuplicates([*group, "order", "digest"])
+    sample = rows.orderBy("place", "lang").limit(ROWS).select(*keys, "place")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                places, counts = counted(batch.column("text")[row].as_py())
+                rest = [pa.array([places], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(row, 1) for k in range(4)] + rest, [*keys, "place", "buckets", "counts"])
+
+    # At most ROWS rows of four short columns are broadcast.
+    found = usable.join(F.broadcast(sample), keys).select(*keys, "place", "text")
+    schema = "lang string, order long, digest long, place int, buckets array<int>, counts array<long>"
+    learned = found.mapInArrow(count, schema).dropDuplicates(keys).orderBy("place", "lang").toArrow()
+    columns = [learned.column(name) for name in ("lang", "buckets", "counts")]
+    return learn([(lang.as_py(), buckets.values.to_numpy(), counts.values.to_numpy()) for lang, buckets, counts in zip(*columns)])
 
 
 def has_letter(text: Column) -> Column:

@@ -1,5 +1,6 @@
 """Language ID: held-out accuracy, whole texts, calibration and edge cases."""
 
+import math
 import zlib
 
 import numpy as np
@@ -67,6 +68,54 @@ def test_slices_add_up(monkeypatch):
     assert len(whole) == three + four
 
 
+def brute_judge(model, text):
+    """The forward pass subword by subword, in plain Python."""
+    raw = (" " + " ".join(text.lower().split()) + " ").encode()
+    total, count, new = list(map(float, model.bias * 0)), 0, 0
+    for size, mixer in ((3, 0), (4, 0x5BD1E995)):
+        for at in range(len(raw) - size + 1):
+            if b" " in raw[at + 1 : at + size - 1]:
+                continue
+            bucket = ((int.from_bytes(raw[at : at + size]) ^ mixer) * 2654435761 % 2**32) >> 16
+            total = [a + float(b) for a, b in zip(total, model.table[bucket])]
+            count, new = count + 1, new + (not model.seen[bucket])
+    logits = [(a / count + float(b)) / model.temperature for a, b in zip(total, model.bias)]
+    best = max(range(len(logits)), key=lambda k: (logits[k], -k))
+    chance = 1 / sum(math.exp(x - logits[best]) for x in logits)
+    language = model.languages[best]
+    share = model.unseen[language]
+    return language, chance, chance < model.threshold[language] or new > share * count + 3 * math.sqrt(count * share * (1 - share))
+
+
+def test_against_a_plain_forward_pass(spark):
+    found = {r.doc_id: r for r in queries.QUERIES["op8_langid"](spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = queries.language_model(docs)
+    rows = docs.collect()
+    assert len(found) == len(rows)
+    for row in rows:
+        if row.text and any(c.isalpha() for c in row.text):
+            language, chance, rejected = brute_judge(model, row.text)
+            got = found[row.doc_id]
+            assert (got.lang_pred, got.rejected) == (language, rejected) and got.score == pytest.approx(chance)
+        else:
+            assert found[row.doc_id].lang_pred == "und"
+
+
+def test_sample_is_whole_texts_once_each(spark, monkeypatch):
+    """The rows with the smallest hashes, copies once, counted to their last word."""
+    taken = []
+    monkeypatch.setattr(langid, "learn", lambda rows: taken.extend(rows))
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 3)
+    rows = [(d, "abc " * 5000 + f"end{d}", lang) for d in range(20) for lang in ("x", "y")]
+    docs = spark.createDataFrame(rows + rows[:8] * 30 + [(50, None, "x"), (51, "t", None), (52, "1", "y")], "doc_id long, text string, lang string")
+    langid.train(docs)
+    hashes = {r.doc_id: r.h for r in docs.selectExpr("doc_id", f"xxhash64(doc_id, {langid.SEED}) AS h").collect()}
+    first = sorted(range(20), key=hashes.get)[:3]
+    expected = sorted((lang, tuple(langid.counted(text)[1])) for d, text, lang in rows if d in first)
+    assert sorted((lang, tuple(counts)) for lang, _, counts in taken) == expected
+
+
 def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     empty = langid.train(none)
