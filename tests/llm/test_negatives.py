@@ -71,7 +71,7 @@ def test_against_brute_force(spark, monkeypatch, case):
 def test_ties_repeats_and_unusable_rows(spark):
     rows = [(0, 1, [1.0, 1.0]), (10, 1, [1.0, 1.0]), (10, 1, [1.0, 1.0]), (3, 2, [1.0, 1.0]), (1, 2, [1.0, 1.0]), (2, 1, [0.9, 1.0])]
     rows += [(4, None, [1.0, 1.0]), (None, 2, [1.0, 1.0]), (5, 2, None), (6, 2, []), (7, 2, [None, 1.0]), (8, 2, [float("nan"), 1.0])]
-    rows += [(9, 2, [float("inf"), 1.0]), (11, 2, [1.0, 1.0, 1.0]), (20, 3, [1.0, 1.0]), (30, 1, [0.0, 0.0]), (12, 4, [1.0, 0.8]), (12, 3, [1.0, 0.9])]
+    rows += [(9, 2, [float("inf"), 1.0]), (11, 2, [1.0, 1.0, 1.0]), (20, 5, [1.0, 1.0]), (30, 1, [0.0, 0.0]), (12, 4, [1.0, 0.8]), (12, 3, [1.0, 0.9])]
     found = run(spark, rows, 10)
     assert found == brute(rows, 10)
     assert [row[3] for row in found if row[:2] == (0, 10)] == [1, 3, 20, 12]  # ties by id, then a lower score
