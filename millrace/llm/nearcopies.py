@@ -1,20 +1,24 @@
-"""Near copies by the Jaccard similarity of their word shingles, found by SimHash and MinHash.
-
-At a similarity of 0.8 two SimHash fingerprints of 64 bits differ in 10 bits on average and in up
-to 20 or so; no choice of pieces of the bits finds that radius without comparing nearly all pairs.
-So documents meet by MinHash bands (of ``BANDS`` bands of ``ROWS`` minima, two texts at 0.8 miss
-all with a chance of 2e-6), pairs whose fingerprints are more than ``RADIUS`` bits apart, or whose
-sizes rule the similarity out, go, and the others are counted exactly on their texts.
-
-Texts with the same shingles are one node. A band's bucket is not compared pair by pair from the
-start: every bucket has a pivot of its own that meets all its nodes, so that a large group, which
-shares buckets in all bands, is connected over many pivots at once. What is left unconnected in a
-bucket then is compared whole, in blocks: a task holds the shingles of its nodes once, counts what
-they have in common by products of matrices, and hands on links alone, no pairs.
+"""Near copies by the Jaccard similarity of their word shingles, found by SimHash and BK-trees.
+
+A wide SimHash is taken of the different shingles of a text. At a similarity of 0.8 the angle between
+two texts lets 15 % of its bits differ, unlike texts differ in half of them. The first ``WIDTH`` bits
+are the fingerprint, the others are cut into pieces. As in ``simhash``, a shard is one value
+of one piece and holds BK-trees; a search by fingerprint finds who is within the radius. No choice
+of few pieces makes that radius exact, so there are as many pieces as leave two texts at
+the similarity without a common shard with a chance of ``MISS``. The bits of a piece grow with the
+logarithm of the rows, so that a shard keeps about ``TREE`` fingerprints at any size.
+
+Texts with the same shingles are one node. What the trees of a shard connect is a group. Groups are
+not compared pair by pair from the start: every group has a pivot of its own that meets all its
+nodes, counted exactly on the texts, so that a large group of copies, which shares shards of many
+pieces, is connected over many pivots at once. What is left unconnected in a group then is compared
+whole, in blocks: a task holds the shingles of its nodes once, counts what they have in common
+by products of matrices, and hands on links alone, no pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,23 +29,49 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import drop_staged, staged
 from millrace.llm.components import connected
-from millrace.llm.simhash import BITS, first_rows
+from millrace.llm.forest import WIDTH, groups
+from millrace.llm.simhash import first_rows
 from millrace.operators.joins import splittable_join
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 4
-# Unlike fingerprints are 32 bits apart, give or take 4; those of texts at 0.8 are 10, give or take 3.
-RADIUS = 28
-# Rounds with one pivot a bucket before all pairs left. Each ends with components of all links so
-# far, which is a chain of jobs; the pivots of the bands do what further rounds would.
+# Chance that two texts at the similarity share no shard, fingerprints of a shard on average, and
+# standard deviations between the bits that differ at the similarity and the radius.
+MISS, TREE, DEVIATIONS = 1e-4, 128, 4.6
+# Fingerprints of a shard that one task searches; a larger shard is cut into parts.
+CAPACITY = 8_192
+# Bits that pieces are taken from; where they need more, bits are used again in other company.
+POOL = 1_024
+# Rounds with one pivot a group before all pairs left. Each ends with components of all links so
+# far, which is a chain of jobs; the pivots of the pieces do what further rounds would.
 PIVOTS = 1
 # Nodes and shingles of a part of a bucket, and different shingles in a matrix.
-PART_NODES, PART_SHINGLES, COLUMNS = 512, 1_000_000, 4_096
+PART_NODES, PART_SHINGLES, COLUMNS = 512, 1_000_000, 1_024
 _SEED = 42
-# Shingles whose minima are taken at a time.
-_BATCH = 4_096
-_FACTORS = np.random.default_rng(_SEED).integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = np.random.default_rng(_SEED + 1).integers(0, 2**63, BANDS * ROWS, np.uint64)
+# Shingles whose bits are counted at a time: counts of 255 rows fit in a byte.
+_BATCH, _ROWS = 16 * 255, 255
+# Fingerprints that are searched together, and texts that are held as Python values at a time.
+_TOGETHER, _TEXTS = 4_096, 512
+
+
+def agreement(similarity: float) -> float:
+    """The share of SimHash bits in which sets of this Jaccard similarity agree, or more do: the
+    cosine is least for sets of equal size."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius(similarity: float) -> int:
+    """Bits of a fingerprint that may differ."""
+    share = 1 - agreement(similarity)
+    return math.ceil(WIDTH * share + DEVIATIONS * math.sqrt(WIDTH * share * (1 - share)))
+
+
+def cuts(rows: int, similarity: float) -> np.ndarray:
+    """The bits, counted after those of the fingerprint, of every piece for a table of ``rows``."""
+    bits = max(1, round(math.log2(max(rows, 1) / TREE)))
+    pieces = math.ceil(math.log(MISS) / math.log1p(-(agreement(similarity) ** bits)))
+    pool, draw = min(bits * pieces, POOL), np.random.default_rng(_SEED)
+    turns = [draw.permutation(pool) for _ in range(-(-bits * pieces // pool))]
+    return np.concatenate(turns)[: bits * pieces].reshape(pieces, bits)
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -53,47 +83,118 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(gram), _SEED) for gram in grams), np.uint64))
 
 
-def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray]:
-    """The SimHash fingerprint and the hash of each band of minima of a set of shingles."""
-    ones = np.zeros(BITS, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` further hashes of every hash, by the last steps of SplitMix64."""
+    mixed = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed ^= mixed >> np.uint64(shift)
+        mixed *= np.uint64(factor)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
+    """The bits (0 or 1) of the SimHash of ``words`` words of a set of shingles: a bit is 1 if it is set
+    in over half their hashes."""
+    ones = np.zeros(64 * words, np.int64)
     for begin in range(0, len(hashes), _BATCH):
-        part = hashes[begin : begin + _BATCH]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        mixed = (part[None, :] ^ _MASKS[:, None]) * _FACTORS[:, None]
-        np.minimum(least, mixed.min(axis=1), out=least)
-    fp = int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
-    bands = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
-    return fp, np.array(bands, np.uint64)
+        mixed = _mixed(hashes[begin : begin + _BATCH], words)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        for row in range(0, len(bits), _ROWS):
+            ones += bits[row : row + _ROWS].sum(0, dtype=np.uint8)
+    return (2 * ones > len(hashes)).astype(np.uint8)
 
 
-def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, tag (a hash of the text), node (a hash of its set of shingles), fp, size and bands
-    of every row of ``docs``."""
+def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(begin, _TEXTS) for batch in batches for begin in range(0, batch.num_rows, _TEXTS))
+
+
+def sketches(docs: DataFrame, places: np.ndarray, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, tag (a hash of the text), node (a hash of its set of shingles), low and high (the
+    fingerprint), size and shards (number and value of each of the pieces ``places``) of every row of
+    ``docs``."""
+    words = -(-(WIDTH + int(places.max()) + 1) // 64)
+    weights, numbers = 1 << np.arange(places.shape[1]), np.arange(len(places)) << 32
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, fps, sizes, bands = [], [], [], []
+        for batch in _portions(batches):
+            nodes, prints, sizes, shards = [], [], [], []
             for text in batch.column("text").to_pylist():
                 hashes = shingles(text, shingle)
-                fp, keys = sketch(hashes)
+                bits = sketch(hashes, words)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), _SEED))
-                fps.append(fp)
+                prints.append(np.packbits(bits[:WIDTH], bitorder="little").view("<i8"))
                 sizes.append(len(hashes))
-                bands.append(keys.view(np.int64))
+                shards.append(numbers + bits[WIDTH + places] @ weights)
+            low, high = np.array(prints, np.int64).reshape(-1, 2).T
             columns = [batch.column("doc_id"), batch.column("tag"), pa.array(np.array(nodes, np.uint64).view(np.int64))]
-            columns += [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "node", "fp", "size", "bands"])
+            columns += [pa.array(low), pa.array(high), pa.array(sizes, pa.int64()), pa.array(shards, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "node", "low", "high", "size", "shards"])
 
     marked = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("text"))
-    return marked.mapInArrow(compute, "doc_id long, tag long, node long, fp long, size long, bands array<long>")
+    return marked.mapInArrow(compute, "doc_id long, tag long, node long, low long, high long, size long, shards array<long>")
+
+
+def tree_groups(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """key, node, size of all groups of several of the ``nodes`` (node, low, high, size, shards) that
+    links of fingerprints connect within a shard.
+
+    A shard of more than ``CAPACITY`` is cut into parts by hash, and every two of them meet in a task.
+    """
+    keyed = nodes.select("node", "low", "high", "size", F.explode("shards").alias("shard"))
+    parts = keyed.groupBy("shard").count().where(F.col("count") > CAPACITY)
+    # Staged, as few rows that Spark then sends to all of the others.
+    parts = staged(parts.select("shard", F.ceil(F.col("count") / CAPACITY).cast("int").alias("parts")), "near-parts")
+    cut = splittable_join(keyed, parts, ["shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("node", "shard"), F.col("parts")).cast("int")
+    # Parts meet in twos, which compares them with themselves as well.
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(
+        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: other != F.col("part"))
+    )
+    met = cut.withColumn("part", part).withColumn("other", F.explode(others))
+    order = ["shard", "i", "j"]
+    dealt = met.select("shard", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "low", "high", "size")
+    most = radius(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, i, j, node, low, high, size in _whole_shards(batches):
+            began = np.concatenate([[True], (shard[1:] != shard[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            found, _ = groups(np.cumsum(began), np.stack([low, high]).view(np.uint64), size, most, similarity)
+            several = np.flatnonzero(np.bincount(found, minlength=len(found))[found] > 1)
+            head = found[several]
+            columns = [pa.array(column[head]) for column in (shard, i, j, node)] + [pa.array(node[several]), pa.array(size[several])]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "i", "j", "head", "node", "size"])
+
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A number, as the work in a row is far more than its bytes tell adaptive execution.
+    found = dealt.repartition(tasks, *order).sortWithinPartitions(*order, "node")
+    found = found.mapInArrow(run, "shard long, i int, j int, head long, node long, size long")
+    return found.select(F.xxhash64("shard", "i", "j", "head").alias("key"), "node", "size")
+
+
+def _whole_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of a sorted stream, in portions that end with a run of equal shard, i, j."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([column.to_numpy(zero_copy_only=False) for column in batch.columns])
+        if sum(len(columns[0]) for columns in held) < _TOGETHER:
+            continue
+        whole = [np.concatenate(parts) for parts in zip(*held)]
+        differs = np.logical_or.reduce([column != column[-1] for column in whole[:3]])
+        end = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
+        if end:
+            yield [column[:end] for column in whole]
+        held = [[column[end:] for column in whole]]
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held)]
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """node, shingles of the texts that stand for ``nodes`` (_doc, _tag)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _portions(batches):
             sets = [shingles(text, shingle) for text in batch.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), _SEED) for s in sets], np.uint64).view(np.int64)
             columns = [pa.array(nodes), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
@@ -134,11 +235,11 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links a, b between nodes of one bucket (key, node, size, label) whose labels differ and whose sets
+    """Links a, b between nodes of one group (key, node, size, label) whose labels differ and whose sets
     are similar, one at least for every two labels that have such nodes.
 
-    A large bucket is cut into parts by hash, and every two parts meet in one task; so what a
-    task holds is bounded, while the number of tasks grows with the square of a bucket's parts.
+    A large group is cut into parts by hash, and every two parts meet in one task; so what a
+    task holds is bounded, while the number of tasks grows with the square of a group's parts.
     """
     count = F.greatest(F.ceil(F.count("*") / PART_NODES), F.ceil(F.sum("size") / PART_SHINGLES), F.lit(1))
     parts = members.groupBy("key").agg(count.cast("int").alias("parts"))
@@ -154,7 +255,7 @@ def _block_links(members: DataFrame, sets: DataFrame, similarity: float) -> Data
         column = table["shingles"].combine_chunks()
         hashes = [item.values.to_numpy(zero_copy_only=False) for item in column]
         common, sizes = common_counts(hashes), np.array([len(h) for h in hashes], np.float64)
-        similar = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-9
+        similar = np.stack([row >= similarity * (size + sizes - row) - 1e-9 for row, size in zip(common, sizes)])
         similar &= labels[:, None] < labels[None, :]
         if part.min() < part.max():  # within a part its nodes meet in another task
             similar &= part[:, None] != part[None, :]
@@ -166,33 +267,29 @@ def _block_links(members: DataFrame, sets: DataFrame, similarity: float) -> Data
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, pivots: int = PIVOTS) -> DataFrame | None:
-    """Links a, b between ``nodes`` (node, fp, size, bands, first) that connect what the similar
+    """Links a, b between ``nodes`` (node, low, high, size, shards, first) that connect what the similar
     pairs connect; None where no two nodes meet."""
-    keyed = nodes.select("node", "fp", "size", F.explode("bands").alias("key"))
-    several = keyed.groupBy("key").count().where("count > 1").select("key")
-    members = staged(splittable_join(keyed, several, ["key"]), "near-members")
+    members = staged(tree_groups(nodes, similarity), "near-members")
     if members.isEmpty():
         drop_staged(members)
         return None
     met = members.select("node").distinct()
     named = nodes.join(met, "node", "left_semi").select(F.col("first.doc_id").alias("_doc"), F.col("first.tag").alias("_tag"))
     sets = staged(_shingle_sets(docs, named, shingle), "near-sets")
-    able = (F.least("size", "size_2") >= F.lit(similarity) * F.greatest("size", "size_2") - 1e-9) & (
-        F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_2"))) <= RADIUS
-    )
+    able = F.least("size", "size_2") >= F.lit(similarity) * F.greatest("size", "size_2") - 1e-9
     ends = (F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
     links, open_members, kept = None, members.withColumn("label", F.col("node")), []
     for number in range(pivots):
-        # Another order in every bucket and round.
+        # Another order in every group and round.
         order = F.xxhash64("node", "key", F.lit(number))
-        one = F.min(F.struct(order.alias("order"), "node", "fp", "size", "label")).alias("one")
-        others = open_members.groupBy("key").agg(one).select("key", *[F.col(f"one.{n}").alias(f"{n}_2") for n in ("node", "fp", "size", "label")])
+        one = F.min(F.struct(order.alias("order"), "node", "size", "label")).alias("one")
+        others = open_members.groupBy("key").agg(one).select("key", *[F.col(f"one.{n}").alias(f"{n}_2") for n in ("node", "size", "label")])
         pairs = splittable_join(open_members, others, ["key"]).where((F.col("label") != F.col("label_2")) & able).select(*ends).distinct()
         found = staged(_verified(pairs, sets, similarity), "near-found")
         links = found if links is None else links.union(found)
         labels = connected(links)
         marked = splittable_join(members, labels, ["node"], "left").withColumn("label", F.coalesce("label", "node"))
-        # Buckets in which all are connected are done.
+        # Groups in which all are connected are done.
         open_ = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
         open_members = staged(splittable_join(marked, open_, ["key"]), "near-open")
         kept.append(open_members)
@@ -204,10 +301,11 @@ def near_links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, simila
 def classes(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, tag, label of every row of ``docs``: label is equal for the rows that are connected
     over pairs of a similarity of ``similarity`` or more."""
-    marked = staged(sketches(docs, shingle), "near-sketches")
+    places = cuts(docs.count(), similarity)
+    marked = staged(sketches(docs, places, shingle), "near-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "tag")).alias("first")
-    # fp, size and bands follow from the node.
-    same = [F.min(name).alias(name) for name in ("fp", "size", "bands")]
+    # The sketch follows from the node.
+    same = [F.first(name).alias(name) for name in ("low", "high", "size", "shards")]
     nodes = staged(marked.groupBy("node").agg(first, *same), "near-nodes")
     links = near_links(docs, nodes, shingle, similarity)
     drop_staged(nodes)

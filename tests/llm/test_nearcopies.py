@@ -7,7 +7,7 @@ import corpus_pipeline as pipeline
 import numpy as np
 import pytest
 
-from millrace.llm import nearcopies
+from millrace.llm import forest, nearcopies
 
 
 def brute_kept(texts):
@@ -95,3 +95,67 @@ def test_common_counts():
     counts = nearcopies.common_counts(sets)
     shared = [[n if i != j else None for j, n in enumerate(row)] for i, row in enumerate(expected)]
     assert [[int(n) if i != j else None for j, n in enumerate(row)] for i, row in enumerate(counts)] == shared
+
+
+def test_candidates_come_from_the_trees(spark, monkeypatch):
+    """With a radius of no bits, only texts of the same shingles are one."""
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(200)]
+    texts = list(enumerate([" ".join(base)] * 2 + [edited(base, rng, 1) for _ in range(5)]))
+    assert kept(spark, texts) == [0]
+    monkeypatch.setattr(nearcopies, "radius", lambda similarity: 0)
+    assert kept(spark, texts) == [0, *range(2, 7)]
+
+
+def test_groups_of_a_forest():
+    """Trees of several shards against all pairs; a dense group is not searched pair by pair."""
+    for seed in range(6):
+        draw, n, radius = np.random.default_rng(seed), 300, 12 + 4 * seed
+        prints = draw.integers(0, 2**62, (2, 20)).astype(np.uint64)[:, draw.integers(0, 20, n)]
+        for _ in range(40):
+            flip = np.uint64(1) << draw.integers(0, 64, (2, n)).astype(np.uint64)
+            prints ^= np.where(draw.random((2, n)) < 0.4, flip, np.uint64(0))
+        shard, sizes = np.sort(draw.integers(0, 3, n)), draw.integers(80, 120, n)
+        linked = np.bitwise_count(prints[:, :, None] ^ prints[:, None, :]).sum(0) <= radius
+        linked &= (shard[:, None] == shard) & (np.minimum(sizes[:, None], sizes) >= 0.8 * np.maximum(sizes[:, None], sizes) - 1e-9)
+        label = np.arange(n)
+        while (label != (label := np.where(linked, label, n).min(1))).any():
+            pass
+        found, _ = forest.groups(shard, prints, sizes, radius, 0.8)
+        assert ((found[:, None] == found) == (label[:, None] == label)).all()
+    draw = np.random.default_rng(7)
+    copies = np.repeat(draw.integers(0, 2**62, (2, 1)).astype(np.uint64), 2000, axis=1)
+    copies[0] ^= np.arange(2000, dtype=np.uint64)
+    found, visited = forest.groups(np.zeros(2000, np.int64), copies, np.full(2000, 100), 39, 0.8)
+    assert len(set(found)) == 1 and visited < 2000
+
+
+def test_trees_prune():
+    """A search with a small radius leaves most of a tree out."""
+    prints = np.random.default_rng(8).integers(0, 2**63, (2, 4000)).astype(np.uint64)
+    _, visited = forest.groups(np.zeros(4000, np.int64), prints, np.full(4000, 100), 2, 0.8)
+    assert visited < 4000 * 4000 / 2 / 2
+
+
+@pytest.mark.parametrize("rows", [1_000, 200_000, 10_000_000])
+def test_recall_of_the_trees(spark, rows):
+    """Pairs of five-word similarity of 0.8 to 0.85 share a group, with the pieces for any size of table."""
+    rng, texts = random.Random(11), []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(base), edited(base, rng, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketches = nearcopies.sketches(docs, nearcopies.cuts(rows, 0.8)).cache()
+    node = {r.doc_id: r.node for r in sketches.collect()}
+    keys = {}
+    for row in nearcopies.tree_groups(sketches).collect():
+        keys.setdefault(row.node, set()).add(row.key)
+    hits, pairs = 0, 0
+    for i in range(0, len(texts), 2):
+        a, b = (nearcopies.shingles(text.encode()) for text in texts[i : i + 2])
+        common = len(np.intersect1d(a, b))
+        if 0.8 <= common / (len(a) + len(b) - common) <= 0.85:
+            pairs += 1
+            hits += bool(keys.get(node[i], set()) & keys.get(node[i + 1], set()))
+    sketches.unpersist()
+    assert pairs > 40 and hits >= 0.95 * pairs
