@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from millrace.workspace import discard, fresh_path
 
 
+# Pieces at least that rows are dealt into for a given number of files.
+PIECES = 64
+
+
 def write_once(df: DataFrame, path: str, file_format: str = "parquet") -> str:
     """Write to a directory that must not exist yet."""
     df.write.format(file_format).mode("errorifexists").save(path)
@@ -39,13 +43,13 @@ def recompress(
     Without ``files`` there is no shuffle: each scan task writes what it read, and the scan
     already packs small files and splits large ones by ``spark.sql.files.maxPartitionBytes``.
     ``files`` deals the rows out evenly to that many output files, at the price of one shuffle, into
-    pieces as many as a shuffle of the session has. They are staged, as a file is written by one
+    pieces as many as a shuffle of the session has, or ``PIECES`` if that is more. They are staged, as a file is written by one
     task: it streams the compressed columns of its pieces, instead of a shuffle of whole rows.
     """
     rows = spark.read.parquet(source)
     if files is None:
         return overwrite(rows, target, "parquet", codec)
-    pieces = int(spark.conf.get("spark.sql.shuffle.partitions")) // files
+    pieces = max(PIECES, int(spark.conf.get("spark.sql.shuffle.partitions"))) // files
     if pieces < 2:
         return overwrite(rows.repartition(files), target, "parquet", codec)
     folder = fresh_path(spark, "pieces")
