@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import drop_staged, staged
-from millrace.llm.components import connected
+from millrace.llm.components import connected, in_few_tasks
 from millrace.llm.forest import WIDTH, groups
 from millrace.llm.simhash import first_rows
 from millrace.operators.joins import splittable_join
@@ -291,7 +291,7 @@ def near_links(docs: DataFrame, nodes: DataFrame, shingle: int = SHINGLE, simila
         marked = splittable_join(members, labels, ["node"], "left").withColumn("label", F.coalesce("label", "node"))
         # Groups in which all are connected are done.
         open_ = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        open_members = staged(splittable_join(marked, open_, ["key"]), "near-open")
+        open_members = staged(in_few_tasks(splittable_join(marked, open_, ["key"]), members.count()), "near-open")
         kept.append(open_members)
     rest = staged(_block_links(open_members, sets, similarity), "near-found")
     drop_staged(sets, members, *kept)

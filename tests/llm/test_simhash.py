@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from millrace.llm import simhash
+from millrace.llm import components, simhash
 from millrace.llm.components import connected
 
 
@@ -96,6 +96,29 @@ def test_long_path_is_one_component(spark):
     assert {row.label for row in connected(links).collect()} == {0}
 
 
+def test_rounds_of_few_links_are_few_files(spark, conf, monkeypatch):
+    """However many pieces a shuffle has, also where adaptive execution may not merge them."""
+    conf("spark.sql.shuffle.partitions", "40")
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files, stage = [], components.staged
+
+    def counted(df, label):
+        back = stage(df, label)
+        files.append(len(back.inputFiles()))
+        return back
+
+    monkeypatch.setattr(components, "staged", counted)
+    links = spark.range(300).where("id % 100 > 0").selectExpr("id as a", "id - 1 as b")
+    labels = {row.node: row.label for row in connected(links).collect()}
+    assert labels == {node: node // 100 * 100 for node in range(300)}
+    assert max(files) == 1
+    # Of more rows than a task takes, each round has several.
+    files.clear()
+    monkeypatch.setattr(components, "ROWS", 100)
+    assert {row.node: row.label for row in connected(links).collect()} == labels
+    assert min(files) > 1 and max(files) <= 3
+
+
 def test_query_on_documents(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     texts = [(row.doc_id, row.text) for row in docs.collect()]
